@@ -24,15 +24,18 @@ from .common import materialise, salt_count
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PER_GROUP = 20_000
 ROUNDS = 4
-CACHED_WORDS = 300_000
-#: Characters that Python splits at and the tokenizer does not.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+CACHED_WORDS = 600_000
+#: The tokenizer lower-cases, composes and splits texts in words before it merges. For texts of these characters alone the
+#: words can be found here: nothing composes, lower case keeps one letter for one, and white space is the same.
+PLAIN = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]|<\\|")
+#: The fixed pattern of the tokenizer's splitter, over plain lower-case characters.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿĀ-ſ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿĀ-ſ0-9²³¹¼-¾]+")
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Token ids of whole texts. The tokenizer never merges across white space, so ids are kept per word, in bounded memory."""
+    """Token ids of whole texts. Merges never cross words, so the ids of words are kept, in bounded memory."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,18 +44,27 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes many words at once; each token tells which word it is of."""
+        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, of = np.array(got.ids, dtype="<u4"), np.array(got.word_ids)
+        ends = np.searchsorted(of, np.arange(len(words)), "right")
+        if len(of) and of[-1] != len(words) - 1:
+            raise ValueError("the tokenizer splits words otherwise")
+        self.known.update(zip(words, (c.tobytes() for c in np.split(ids, ends[:-1]))))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        words = [[] if SEPARATORS.search(t) else t.split() for t in texts]
-        new = list(set().union(*words) - self.known.keys())
+        words = [None if PLAIN.search(t) else WORDS.findall(t.lower()) for t in texts]
+        new = list(set().union(*(w for w in words if w)) - self.known.keys())
         for at in range(0, len(new), 4096):
-            self.known.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096])))
+            self._learn(new[at : at + 4096])
         look = self.known.__getitem__
-        return [self._encode([t])[0] if SEPARATORS.search(t) else b"".join(map(look, w)) for t, w in zip(texts, words)]
+        return [self._whole(t) if w is None else b"".join(map(look, w)) for t, w in zip(texts, words)]
 
 
 def encoder(path: str) -> WordEncoder:
