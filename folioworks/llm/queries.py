@@ -5,29 +5,77 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing
+from . import chat_format, decontamination, language_id, lm_score, media_chunks, packing, shingle_join, toxicity, url_filter, warc
 from .common import table
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), _tokenizer())
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer())
     return packing.pack(pieces)
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.media_columns(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filter.RULES, "action string, rule_host string, rule_path string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.predict_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_format.preference_examples(*chat_format.swapped_endings(table(spark, sf_dir, "conversations")))
+    return out.withColumns({c: chat_format.masks_as_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.captures(table(spark, sf_dir, "pages"))
+    first = lambda c: F.coalesce(f"response.{c}", f"original.{c}")
+    return found.select("page_id", first("payload_bytes").alias("payload_bytes"), first("digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("original.page_id").alias("refers_to"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "severity", "p_toxic", "toxic")
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_lm_scoring": (op1_lm_scoring, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
+    "op3_media_columns": (op3_media_columns, None),
+    "op4_url_filters": (op4_url_filters, url_filter.oracle()),
     "op5_decontamination": (op5_decontamination, decontamination.ORACLE),
+    "op6_language_id": (op6_language_id, None),
+    "op7_chat_formatting": (op7_chat_formatting, chat_format.ORACLE),
+    "op8_warc": (op8_warc, warc.ORACLE),
+    "op9_toxicity": (op9_toxicity, None),
+    "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, None),
 }
 
 
