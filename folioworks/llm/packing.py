@@ -24,12 +24,12 @@ from .common import materialise, salt_count
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PER_GROUP = 20_000
 ROUNDS = 4
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_400_000
 #: The tokenizer lower-cases, composes and splits texts in words before it merges. For texts of these characters alone the
 #: words can be found here: nothing composes, lower case keeps one letter for one, and white space is the same.
 PLAIN = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]|<\\|")
 #: The fixed pattern of the tokenizer's splitter, over plain lower-case characters.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿĀ-ſ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿĀ-ſ0-9²³¹¼-¾]+")
+WORDS = re.compile(r"[a-zªµºß-öø-ÿĀ-ſ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿĀ-ſ0-9²³¹¼-¾]+")
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -50,11 +50,11 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         """Encodes many words at once; each token tells which word it is of."""
         got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids, of = np.array(got.ids, dtype="<u4"), np.array(got.word_ids)
-        ends = np.searchsorted(of, np.arange(len(words)), "right")
+        ids, of = np.array(got.ids, dtype="<u4").tobytes(), np.array(got.word_ids)
+        ends = (4 * np.searchsorted(of, np.arange(len(words)), "right")).tolist()
         if len(of) and of[-1] != len(words) - 1:
             raise ValueError("the tokenizer splits words otherwise")
-        self.known.update(zip(words, (c.tobytes() for c in np.split(ids, ends[:-1]))))
+        self.known.update((w, ids[a:b]) for w, a, b in zip(words, [0, *ends], ends))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
