@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ()
+MODULES = ("lexicon_plans",)
 
 
 def _entries() -> dict:
