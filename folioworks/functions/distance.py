@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from .text import collapse, normalise_for_comparison
 
@@ -61,12 +62,12 @@ def _lcs(a, b) -> int:
     return int(row[-1])
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def lcs_chars(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs(x or "", y or "") for x, y in zip(a, b)])
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def lcs_words(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(a, b)])
 
@@ -100,6 +101,6 @@ def _source_errors(ref: str, hyp: str) -> list[str]:
     return out[::-1]
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def source_errors(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([_source_errors(r or "", h or "") for r, h in zip(ref, hyp)])
