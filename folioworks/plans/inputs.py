@@ -41,19 +41,21 @@ READING_PAIRS = f"""pairs AS (
 
 def gold_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text line boxes: an order is a page, its lines stand below each other in two columns."""
-    li = table(spark, sf_dir, "lineitem")
-    n, k = F.col("l_linenumber").cast("long"), F.col("l_partkey")
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("long").alias("idx"))
+    first = li.agg(F.min(F.struct("l_partkey", "l_linestatus", "l_returnflag")).alias("l")).select("page_id", "idx", "l.*")
+    n, k = F.col("idx"), F.col("l_partkey")
     x1 = F.when(n % 2 == 0, 560.0).otherwise(100.0)
-    return li.select(
-        F.col("l_orderkey").alias("page_id"), n.alias("idx"), x1.alias("x1"), (n * 30.0).alias("y1"), (x1 + 340 + k % 100).alias("x2"), (n * 30.0 + 20 + k % 7).alias("y2"),
-        F.concat_ws(" ", F.lit("line"), k.cast("string"), F.col("l_shipmode"), F.col("l_returnflag")).alias("text"),
-    ).dropDuplicates(["page_id", "idx"])
+    return first.select(
+        "page_id", "idx", x1.alias("x1"), (n * 30.0).alias("y1"), (x1 + 340 + k % 100).alias("x2"), (n * 30.0 + 20 + k % 7).alias("y2"),
+        F.concat_ws(" ", F.lit("line"), k.cast("string"), F.col("l_linestatus"), F.col("l_returnflag")).alias("text"),
+    )
 
 
 GOLD_LINES = """gold AS (
-  SELECT DISTINCT ON (page_id, idx) page_id, idx, x1, y1, x1 + 340 + k % 100 AS x2, y1 + 20 + k % 7 AS y2, text FROM (
+  SELECT page_id, idx, x1, y1, x1 + 340 + k % 100 AS x2, y1 + 20 + k % 7 AS y2, text FROM (
     SELECT l_orderkey AS page_id, CAST(l_linenumber AS BIGINT) AS idx, CASE WHEN CAST(l_linenumber AS BIGINT) % 2 = 0 THEN 560.0::DOUBLE ELSE 100.0::DOUBLE END AS x1,
-           CAST(l_linenumber AS BIGINT) * 30.0::DOUBLE AS y1, l_partkey AS k, concat_ws(' ', 'line', CAST(l_partkey AS VARCHAR), l_shipmode, l_returnflag) AS text FROM lineitem) AS l
+           CAST(l_linenumber AS BIGINT) * 30.0::DOUBLE AS y1, l_partkey AS k, concat_ws(' ', 'line', CAST(l_partkey AS VARCHAR), l_linestatus, l_returnflag) AS text,
+           row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_linestatus, l_returnflag) AS first FROM lineitem) AS l WHERE first = 1
 )"""
 
 
