@@ -97,7 +97,7 @@ class Parser:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         known, starts = self.known, [start for _, start, _ in self.models]
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = tuple(phrases(f" {w} ", s) for s in starts)
         totals = map(sum, zip(*map(known.__getitem__, words)))
         size = sum(map(len, words)) + len(words)
