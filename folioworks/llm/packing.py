@@ -24,7 +24,7 @@ from .common import materialise, salt_count
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PER_GROUP = 20_000
 ROUNDS = 4
-CACHED_WORDS = 1_400_000
+CACHED_WORDS = 1_000_000
 #: The tokenizer lower-cases, composes and splits texts in words before it merges. For texts of these characters alone the
 #: words can be found here: nothing composes, lower case keeps one letter for one, and white space is the same.
 PLAIN = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]|<\\|")
@@ -60,7 +60,7 @@ class WordEncoder:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         words = [None if PLAIN.search(t) else WORDS.findall(t.lower()) for t in texts]
-        new = list(set().union(*(w for w in words if w)) - self.known.keys())
+        new = [w for w in set().union(*(w for w in words if w)) if w not in self.known]
         for at in range(0, len(new), 4096):
             self._learn(new[at : at + 4096])
         look = self.known.__getitem__
