@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lexicon_plans", "metrics_plans", "page_plans", "dataset_plans")
+MODULES = ("lexicon_plans", "metrics_plans", "page_plans", "dataset_plans", "run_plans")
 
 
 def _entries() -> dict:
