@@ -65,20 +65,20 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 600,
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """(id, toxic, words) of a bounded sample: every word of the text with its count."""
+    """(id, toxic, key, words, counts) of a bounded sample: every word of each labelled text; texts of one id differ in key."""
     usable = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).alias("toxic")).filter("id is not null and toxic is not null")
     usable = usable.groupBy("id").agg(F.max("toxic").alias("toxic"))
     picked = usable.orderBy(F.xxhash64("id"), "id").limit(rows)
 
     def count(batches):
         for batch in batches:
-            words = [sorted(Counter(letters(t)).items()) for t in batch.column(2).to_pylist()]
+            words = [sorted(Counter(letters(t)).items()) for t in batch.column(3).to_pylist()]
             names = pa.array([[w for w, _ in x] for x in words], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, pa.array([[n for _, n in x] for x in words], pa.list_(pa.int32()))], ["id", "toxic", "words", "counts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], names, pa.array([[n for _, n in x] for x in words], pa.list_(pa.int32()))], ["id", "toxic", "key", "words", "counts"])
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    joined = texts.join(F.broadcast(picked), F.col("_id") == F.col("id")).select("id", "toxic", "text")  # at most ``rows`` rows are broadcast
-    return joined.mapInArrow(count, "id long, toxic boolean, words array<string>, counts array<int>")
+    joined = texts.join(F.broadcast(picked), F.col("_id") == F.col("id")).select("id", "toxic", F.xxhash64("text").alias("key"), "text").distinct()  # at most ``rows`` rows are broadcast
+    return joined.mapInArrow(count, "id long, toxic boolean, key long, words array<string>, counts array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS) -> OrdinalModel:
@@ -98,11 +98,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not vocabulary:
         return OrdinalModel({}, np.full(GRADES, 50.0))
     known = F.broadcast(sample.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string"))
-    cells = sample.select("id", "toxic", F.explode(F.arrays_zip("words", "counts")).alias("c")).select("id", F.col("c.words").alias("word"), F.col("c.counts").alias("n")).join(known, "word")
-    rows = {r["id"]: (i, r["toxic"]) for i, r in enumerate(sample.select("id", "toxic").orderBy("id").collect())}  # at most ``sample_rows``
+    cells = sample.select("id", "key", F.explode(F.arrays_zip("words", "counts")).alias("c")).select("id", "key", F.col("c.words").alias("word"), F.col("c.counts").alias("n")).join(known, "word")
+    rows = {(r["id"], r["key"]): (i, r["toxic"]) for i, r in enumerate(sample.select("id", "key", "toxic").orderBy("id", "key").collect())}  # those of the sample
     x = np.zeros((len(rows), len(vocabulary)))
     for r in cells.collect():
-        x[rows[r["id"]][0], vocabulary[r["word"]]] = r["n"]
+        x[rows[r["id"], r["key"]][0], vocabulary[r["word"]]] = r["n"]
     toxic = np.array([t for _, t in sorted(rows.values())])
     hits = x.sum(axis=1)
     edges = np.quantile(hits[toxic], [i / GRADES for i in range(1, GRADES)])
