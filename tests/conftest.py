@@ -4,8 +4,8 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parents[1]))
-os.environ["PYTHONPATH"] = f"{Path(__file__).parents[1]}:{os.environ.get('PYTHONPATH', '')}"
+sys.path[:0] = [str(Path(__file__).parents[1]), str(Path(__file__).parent)]
+os.environ["PYTHONPATH"] = f"{Path(__file__).parents[1]}:{Path(__file__).parent}:{os.environ.get('PYTHONPATH', '')}"
 
 
 @pytest.fixture(scope="session")
