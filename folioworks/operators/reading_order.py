@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType
 
 
 def _reach(page: list[str], lo: str, hi: str):
@@ -64,12 +66,23 @@ def keep_uncontained(b: np.ndarray, conf: np.ndarray, most: float = 0.6) -> np.n
     return np.array(kept, dtype=int)
 
 
-def suppress_contained(boxes: DataFrame, page: list[str], most: float = 0.6) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        return pdf.iloc[keep_uncontained(pdf[["x1", "y1", "x2", "y2"]].to_numpy(), pdf["conf"].to_numpy(), most)]
+def _per_page(boxes: DataFrame, page: list[str], order, extra: str | None = None) -> DataFrame:
+    """One row per page: its boxes in idx order as an array, and ``order`` of their coordinates (and an extra column) as positions."""
+    rest = [c for c in boxes.columns if c not in (*page, "idx")]
+    rows = boxes.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("idx", *rest))).alias("b"))
+    parts = [F.col(f"b.{c}").cast("array<double>") for c in ("x1", "y1", "x2", "y2", *([extra] if extra else []))]
+
+    @pandas_udf(ArrayType(LongType()))
+    def run(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series, more: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(order(np.column_stack(c[:4]).astype(float), c[4]), dtype=np.int64) for c in zip(x1, y1, x2, y2, more)])
+
+    placed = rows.withColumn("o", run(*parts, *([] if extra else [parts[0]])))
+    out = placed.select(*page, "b", F.posexplode("o").alias("place", "at")).select(*page, F.get("b", F.col("at").cast("int")).alias("b"), F.col("place").cast("long").alias("place"))
+    return out.select(*[F.col(c) if c in page else F.col(f"b.{c}").alias(c) for c in boxes.columns], "place")
 
-    return boxes.groupBy(*page).applyInPandas(run, boxes.schema)
+
+def suppress_contained(boxes: DataFrame, page: list[str], most: float = 0.6) -> DataFrame:
+    return _per_page(boxes, page, lambda b, conf: keep_uncontained(b, np.asarray(conf), most), "conf").drop("place")
 
 
 class PageOrder:
@@ -180,30 +193,19 @@ class PageOrder:
 
 def reading_order(boxes: DataFrame, page: list[str], width: str = "page_width", share: float = 0.008) -> DataFrame:
     """Boxes with ``place``, their position in reading order (from 0); ties by idx."""
-    schema = ", ".join([*(f"{n} {t}" for n, t in boxes.dtypes), "place long"])
+    return _per_page(boxes, page, lambda b, w: PageOrder(b, share * w[0]).order(), width)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx").reset_index(drop=True)
-        order = PageOrder(pdf[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float), share * float(pdf[width].iloc[0])).order()
-        return pdf.iloc[order].assign(place=range(len(order)))
 
-    return boxes.groupBy(*page).applyInPandas(run, schema)
+def columns_of(b: np.ndarray, _=None) -> np.ndarray:
+    """Columns are boxes tied by a horizontal overlap of half the narrower; right to left by mean centre, lines downwards."""
+    lo, hi, group = b[:, 0], b[:, 2], np.arange(len(b))
+    for i in range(len(b)):
+        inter = np.minimum(hi[i], hi) - np.maximum(lo[i], lo)
+        near = (inter > 0) & (inter / np.maximum(1e-6, np.minimum(hi[i] - lo[i], hi - lo)) >= 0.5)
+        group[np.isin(group, group[near])] = group[i]
+    centre = np.bincount(group, (lo + hi) / 2, minlength=len(b)) / np.maximum(1, np.bincount(group, minlength=len(b)))
+    return np.lexsort(((b[:, 1] + b[:, 3]) / 2, group, -centre[group]))
 
 
 def column_order(boxes: DataFrame, page: list[str]) -> DataFrame:
-    """Columns are groups of boxes tied by a horizontal overlap of half the narrower; right to left by mean centre, lines downwards."""
-    schema = ", ".join([*(f"{n} {t}" for n, t in boxes.dtypes), "place long"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx").reset_index(drop=True)
-        lo, hi = pdf["x1"].to_numpy(), pdf["x2"].to_numpy()
-        group = np.arange(len(pdf))
-        for i in range(len(pdf)):
-            inter = np.minimum(hi[i], hi) - np.maximum(lo[i], lo)
-            near = (inter > 0) & (inter / np.maximum(1e-6, np.minimum(hi[i] - lo[i], hi - lo)) >= 0.5)
-            group[np.isin(group, group[near])] = group[i]
-        centre = pd.Series((lo + hi) / 2).groupby(group).transform("mean")
-        out = pdf.assign(_c=-centre, _g=group, _y=(pdf["y1"] + pdf["y2"]) / 2).sort_values(["_c", "_g", "_y"], kind="stable")
-        return out.drop(columns=["_c", "_g", "_y"]).assign(place=range(len(out)))
-
-    return boxes.groupBy(*page).applyInPandas(run, schema)
+    return _per_page(boxes, page, columns_of)
