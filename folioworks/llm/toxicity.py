@@ -1,12 +1,12 @@
 """Severity of toxic text by cumulative-link ordinal regression on sparse word features.
 
-One weight per word is shared by all ordered thresholds: P(grade > k) = sigmoid(x . w - threshold_k). The expected
-severity is the sum of these probabilities. x holds log(1 + count) of the words that the labelled sample shows to go
-with toxicity. Labels say only whether a row is toxic, so toxic rows are split in grades by how many such words they
+One weight per feature is shared by all ordered thresholds: P(grade > k) = sigmoid(x . w - threshold_k). The expected
+severity is the sum of these probabilities. x holds log(1 + count) of the features that the labelled sample shows to go
+with toxicity: words, and beginnings of words, which catch inflected and compounded forms. Labels say only whether a row is toxic, so toxic rows are split in grades by how many such words they
 have, at the terciles of the sample.
 
 The model is fitted on at most ``sample_rows`` labelled rows, chosen by the hash of their id, with at most
-``max_words`` words as features; every row is scored on its whole text.
+``max_words`` features; every row is scored on its whole text.
 
 Defined results: null and empty texts have severity 0 and are not toxic; without labelled rows of both kinds nothing is
 toxic; labels that are null or belong to no row are ignored; repeated rows get equal scores.
@@ -24,10 +24,25 @@ from pyspark.sql import functions as F
 from .language_id import letters
 
 SAMPLE_ROWS = 8_000
+#: Lengths of the word beginnings that are features, marked by a leading sign that no word has.
+STEMS = (4, 5, 6)
+STEM = "^"
 MAX_WORDS = 1_000
 #: A word is a feature if its chi-squared reaches this and this share of the strongest word's.
 LEAST_CHI2, LEAST_SHARE = 18.0, 0.03
 GRADES = 3
+#: P(grade > 0) from which a text counts as toxic; one telling word alone stays below it.
+TOXIC_AT = 0.25
+
+
+def features(words: Counter) -> Counter:
+    """Words and beginnings of longer words, with counts."""
+    found = Counter(words)
+    for w, n in words.items():
+        for k in STEMS:
+            if len(w) > k:
+                found[STEM + w[:k]] += n
+    return found
 
 
 class OrdinalModel:
@@ -38,14 +53,22 @@ class OrdinalModel:
 
     def above(self, text: str | None) -> np.ndarray:
         """P(grade > k) for every threshold k."""
-        words = Counter(letters(text))
-        score = sum(self.weights[w] * np.log1p(words[w]) for w in words.keys() & self.weights.keys())
+        words, hits = Counter(letters(text)), Counter()
+        for w, n in words.items():
+            if w in self.weights:
+                hits[w] += n
+            for k in STEMS:
+                if len(w) > k and (stem := STEM + w[:k]) in self.weights:
+                    hits[stem] += n
+        score = sum(self.weights[f] * np.log1p(n) for f, n in sorted(hits.items()))
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -60, 60)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 600, rate: float = 0.05, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 2500, rate: float = 0.05, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link model by Adam; thresholds stay in order as a start and positive gaps."""
     n, m = x.shape
+    rows, times = np.unique(np.column_stack([x, grade]), axis=0, return_counts=True)  # most rows have no telling word and are alike
+    x, grade = rows[:, :m], rows[:, m]
     gaps = np.zeros(grades)
     gaps[0] = 1.0
     params, first, second = np.r_[np.zeros(m), gaps], np.zeros(m + grades), np.zeros(m + grades)
@@ -54,7 +77,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 600,
         w, g = params[:m], params[m:]
         thresholds = np.cumsum(np.r_[g[0], np.exp(g[1:])])
         p = 1 / (1 + np.exp(np.clip(thresholds[None, :] - (x @ w)[:, None], -60, 60)))
-        off = (p - above) / n
+        off = (p - above) * times[:, None] / n
         by_threshold = -off.sum(axis=0)
         tail = np.cumsum(by_threshold[::-1])[::-1]
         grad = np.r_[x.T @ off.sum(axis=1) + l2 * w, tail[0], tail[1:] * np.exp(g[1:])]
@@ -72,7 +95,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
     def count(batches):
         for batch in batches:
-            words = [sorted(Counter(letters(t)).items()) for t in batch.column(3).to_pylist()]
+            words = [sorted(features(Counter(letters(t))).items()) for t in batch.column(3).to_pylist()]
             names = pa.array([[w for w, _ in x] for x in words], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], names, pa.array([[n for _, n in x] for x in words], pa.list_(pa.int32()))], ["id", "toxic", "key", "words", "counts"])
 
@@ -123,7 +146,7 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 above = [own.above(t) if t else np.zeros(GRADES) for t in part.column(at).to_pylist()]
-                extra = [pa.array([float(p.sum()) for p in above]), pa.array([float(p[0]) for p in above]), pa.array([bool(p[0] >= 0.5) for p in above])]
+                extra = [pa.array([float(p.sum()) for p in above]), pa.array([float(p[0]) for p in above]), pa.array([bool(p[0] >= TOXIC_AT) for p in above])]
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*kept, "severity", "p_toxic", "toxic"])
 
     schema = docs.select(*kept).schema.add("severity", "double").add("p_toxic", "double").add("toxic", "boolean")
