@@ -76,7 +76,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
         .agg(F.collect_list(F.struct("item_id", "shift", "item_words")).alias("_c"))
     )
 
-    judged = train.join(per_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", words_of(F.col("_text")).alias("_w"), "_c")
+    joined = train.join(per_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    # a row's words come out of a generator, so that a filter on the result never repeats the split inside the comparison
+    judged = joined.select("doc_id", F.explode(F.array(words_of(F.col("_text")))).alias("_w"), "_c")
 
     def extend(c: Column) -> Column:
         """The places in the document that whole agreeing windows along one alignment cover."""
