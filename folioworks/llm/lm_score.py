@@ -1,13 +1,20 @@
 """Cross-entropy difference of texts under matched target and background bigram models.
 
-Both models share one vocabulary, learned from the whole corpus: its ``VOCABULARY`` most frequent words have an id each,
-every other word falls in one of ``CLASSES`` hashed classes, so each token of each text is counted and scored. The
-background model counts all texts, the target model those marked as target. Bigrams are smoothed towards each model's
-unigrams with Dirichlet weight ``KAPPA``, unigrams by adding one half.
+Both models share the whole vocabulary of the corpus, and every bigram of it has its own count: the models grow with the
+input and are never gathered in one place. The background model counts all texts, the target model those marked as
+target. Bigrams are smoothed towards each model's unigrams with Dirichlet weight ``KAPPA``, unigrams by adding one half
+for each word; a vocabulary of fewer than ``SIZE - 1`` words keeps the other places for words not seen.
 
 A text's score is the mean over its tokens of the loss under the target model minus that under the background model, in
-bits: the lower, the more target-like. The models are two square tables over the vocabulary, whose size does not depend
-on the corpus.
+bits: the lower, the more target-like.
+
+The loss of a bigram (v, w) is ``log2(count(v) + KAPPA) - log2(count(v, w) + KAPPA * share(w))``. The ``VOCABULARY`` most
+frequent words and the start are broadcast with their counts, and so are the counts of bigrams among them; this is only
+for speed and against hot keys. Every other bigram is a row per text: those that end in another word meet at that word,
+where its count, its count as a context and those of its bigrams are sums over windows; those that end in a frequent word
+meet at the bigram. So no key gathers more than about one in ``VOCABULARY`` of the tokens.
+
+Words are told apart by 64-bit hashes, and so are texts: two of them coincide with a chance of about size^2 / 2^65.
 
 Defined results: null and wordless texts have 0 tokens and null losses and score; without target texts both models are
 equal up to smoothing; repeated rows count as often as they occur; an empty table gives no rows.
@@ -15,133 +22,248 @@ equal up to smoothing; repeated rows count as often as they occur; an empty tabl
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise, mix64
+
 VOCABULARY = 1_023
 CLASSES = 512
 KAPPA = 8.0
-#: Ids: 0 stands before the first token, then the frequent words, then the hashed classes.
+#: Places that the smoothing of unigrams counts at least: the start, the frequent words, others.
 SIZE = 1 + VOCABULARY + CLASSES
+#: Ids: 0 stands before the first token, then the frequent words.
+FREQUENT = 1 + VOCABULARY
+START = np.int64(0x5851F42D4C957F2D)
 
 
 def tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-class _Ids(dict):
-    """Word ids; words that are not frequent get the id of their hashed class and are kept in bounded memory."""
+def _hash(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+class _Codes(dict):
+    """(hash, id) of words; words that are not frequent have id -1. Kept in bounded memory."""
+
+    def __init__(self, words: list[str]):
+        super().__init__({w: (self.hash(w), i + 1) for i, w in enumerate(words)})
+        self.most = len(self) + 300_000
 
-    def __missing__(self, word: str) -> int:
-        found = 1 + VOCABULARY + zlib.crc32(word.encode("utf-8", "surrogatepass")) % CLASSES
-        if len(self) < 300_000:
+    @staticmethod
+    def hash(word: str) -> int:
+        return _hash(word.encode("utf-8", "surrogatepass"))
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        found = (self.hash(word), -1)
+        if len(self) < self.most:
             self[word] = found
         return found
 
 
-def _pairs(texts: list, ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram codes of all texts one after the other, and the number of tokens of each text."""
-    look = ids.__getitem__
-    coded = [np.fromiter(map(look, words), dtype=np.int64, count=len(words)) for words in map(tokens, texts)]
-    sizes = np.array([len(c) for c in coded], dtype=np.int64)
-    return np.concatenate([np.r_[0, c[:-1]] * SIZE + c if len(c) else c for c in coded]), sizes
+def _coded(texts: list, codes: _Codes):
+    """Of all tokens one after the other: the text, hash and id of the token and of the one before, and whether it is the last."""
+    look = codes.__getitem__
+    words = [tokens(t) for t in texts]
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    flat = np.array([x for ws in words for x in map(look, ws)], dtype=np.int64).reshape(-1, 2)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    w, i = flat[:, 0], flat[:, 1]
+    v, j = np.r_[START, w[:-1]][: len(w)], np.r_[0, i[:-1]][: len(i)]
+    first = np.cumsum(np.r_[0, sizes[:-1]])[sizes > 0]
+    v[first], j[first] = START, 0
+    last = np.zeros(len(w), dtype=np.int64)
+    last[np.cumsum(sizes)[sizes > 0] - 1] = 1
+    return sizes, owner, v, j, w, i, last
+
+
+WORD = "word string, background long, target long, ends long, target_ends long"
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> list[str]:
-    """The most frequent words of all texts, ties in word order."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """Of each word of the corpus: tokens and final tokens, in all texts and in target texts."""
 
     def count(batches):
-        seen: Counter = Counter()
+        every, own, ends, own_ends = Counter(), Counter(), Counter(), Counter()
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            words = list(every)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (every, own, ends, own_ends))], [f.split()[0] for f in WORD.split(", ")])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(tokens(t))
-                if len(seen) > 200_000:
-                    yield rows()
-                    seen.clear()
+            for text, marked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = tokens(text)
+                every.update(words)
+                ends.update(words[-1:])
+                if marked:
+                    own.update(words)
+                    own_ends.update(words[-1:])
+            if len(every) > 200_000:
+                yield rows()
+                for c in (every, own, ends, own_ends):
+                    c.clear()
         yield rows()
 
-    counts = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    sums = [F.sum(c).alias(c) for c in ("background", "target", "ends", "target_ends")]
+    return docs.select("text", "target").mapInArrow(count, WORD).groupBy("word").agg(*sums)
 
 
-def bigram_counts(docs: DataFrame, words: list[str], text_col: str = "text", target_col: str = "target") -> DataFrame:
-    """(pair, background, target) counts over all texts."""
+def frequent_bigrams(docs: DataFrame, words: list[str]) -> DataFrame:
+    """(pair, background, target) counts of the bigrams of frequent words and the start, over all texts."""
     held = docs.sparkSession.sparkContext.broadcast(words)
 
     def count(batches):
-        ids = _Ids({w: i + 1 for i, w in enumerate(held.value)})
+        codes = _Codes(held.value)
         for batch in batches:
-            sums = [np.zeros(0, dtype=np.int64)] * 2
+            pairs, own = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                pairs, sizes = _pairs(part.column(0).to_pylist(), ids)
-                marked = np.repeat(np.array([bool(x) for x in part.column(1).to_pylist()]), sizes)
-                sums = [np.concatenate([s, p]) for s, p in zip(sums, (pairs, pairs[marked]))]
-            codes, background = np.unique(sums[0], return_counts=True)
-            target = np.zeros(len(codes), dtype=np.int64)
-            own, n = np.unique(sums[1], return_counts=True)
-            target[np.searchsorted(codes, own)] = n
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(background), pa.array(target)], ["pair", "background", "target"])
-
-    every = docs.select(text_col, target_col).mapInArrow(count, "pair long, background long, target long")
+                _, owner, _, j, _, i, _ = _coded(part.column(0).to_pylist(), codes)
+                marked = np.array([bool(x) for x in part.column(1).to_pylist()])
+                both = (i > 0) & (j >= 0)
+                found = (j * FREQUENT + i)[both]
+                pairs, own = np.r_[pairs, found], np.r_[own, found[marked[owner[both]]]]
+            distinct, background = np.unique(pairs, return_counts=True)
+            target = np.zeros(len(distinct), dtype=np.int64)
+            at, n = np.unique(own, return_counts=True)
+            target[np.searchsorted(distinct, at)] = n
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(background), pa.array(target)], ["pair", "background", "target"])
+
+    every = docs.select("text", "target").mapInArrow(count, "pair long, background long, target long")
     return every.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def losses(counts: np.ndarray) -> np.ndarray:
-    """Bits of every bigram under one model, as a SIZE x SIZE table of counts turned into one of losses."""
-    unigram = counts.sum(axis=0) + 0.5
-    unigram[0] = 0.0
-    unigram /= unigram.sum()
-    with np.errstate(divide="ignore"):
-        return (-np.log2((counts + KAPPA * unigram[None, :]) / (counts.sum(axis=1) + KAPPA)[:, None])).astype(np.float32)
+class Model:
+    """What is broadcast: the frequent words with their counts, in the order background, target; sizes do not depend on the corpus."""
 
+    def __init__(self, docs: DataFrame):
+        counts = materialise(word_counts(docs), "words")
+        sums = ["background", "target", "ends", "target_ends"]
+        whole = counts.agg(F.count(F.lit(1)).alias("words"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums)).first()
+        top = counts.orderBy(F.desc("background"), "word").limit(VOCABULARY).collect()
+        self.words = [r["word"] for r in top]
+        places = max(whole["words"], SIZE - 1)
+        self.totals = [whole[c] + 0.5 * places for c in ("background", "target")]
+        rows = frequent_bigrams(docs, self.words).toArrow()  # at most FREQUENT * FREQUENT rows, whatever the corpus
+        self.share, self.context, self.bigram = [], [], []
+        for m, (name, ends) in enumerate((("background", "ends"), ("target", "target_ends"))):
+            share = np.zeros(FREQUENT)
+            share[1 : 1 + len(top)] = [(r[name] + 0.5) / self.totals[m] for r in top]
+            context = np.zeros(FREQUENT)
+            context[: 1 + len(top)] = [whole[ends], *(r[name] - r[ends] for r in top)]
+            pairs = np.zeros(FREQUENT * FREQUENT)
+            pairs[rows["pair"].to_numpy()] = rows[name].to_numpy()
+            with np.errstate(divide="ignore"):
+                loss = -np.log2(pairs.reshape(FREQUENT, FREQUENT) + KAPPA * share[None, :])
+            self.share.append(share)
+            self.context.append(np.log2(context + KAPPA))
+            self.bigram.append(loss.astype(np.float32))
 
-def fit(docs: DataFrame, text_col: str = "text", target_col: str = "target") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The shared vocabulary and the loss tables of target and background."""
-    words = vocabulary(docs, text_col)
-    rows = bigram_counts(docs, words, text_col, target_col).toArrow()  # at most SIZE * SIZE rows, whatever the corpus
-    tables = []
-    for name in ("target", "background"):
-        counts = np.zeros(SIZE * SIZE)
-        counts[rows["pair"].to_numpy()] = rows[name].to_numpy()
-        tables.append(losses(counts.reshape(SIZE, SIZE)))
-    return words, tables[0], tables[1]
 
+def _key(doc_id, text) -> int:
+    return _hash(f"{doc_id} {text}".encode("utf-8", "surrogatepass"))
+
+
+HEAD = "key long, doc_id long, copies long, n_tokens long, loss_target double, loss_background double"
 
-def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens, loss_target, loss_background, score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+
+def _heads(docs: DataFrame, held) -> DataFrame:
+    """Per row: what the broadcast counts say of its losses."""
 
     def run(batches):
-        words, target, background = held.value
-        ids, target, background = _Ids({w: i + 1 for i, w in enumerate(words)}), target.ravel(), background.ravel()
+        model = held.value
+        codes = _Codes(model.words)
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                pairs, sizes = _pairs(part.column(1).to_pylist(), ids)
-                ends = np.cumsum(sizes)
-                sums = [np.concatenate([[0.0], np.cumsum(t[pairs], dtype=np.float64)]) for t in (target, background)]
-                with np.errstate(invalid="ignore"):
-                    means = [(s[ends] - s[ends - sizes]) / sizes for s in sums]
-                none = sizes == 0
-                columns = [pa.array(m, pa.float64(), mask=none) for m in (*means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *columns], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                sizes, owner, _, j, _, i, _ = _coded(texts, codes)
+                both, context = (i > 0) & (j >= 0), j >= 0
+                sums = []
+                for m in (1, 0):
+                    found = np.bincount(owner[both], model.bigram[m][j[both], i[both]].astype(np.float64), len(texts))
+                    sums.append(found + np.bincount(owner[context], model.context[m][j[context]], len(texts)))
+                keys = [_key(d, t) for d, t in zip(ids, texts)]
+                columns = [pa.array(keys, pa.int64()), part.column(0), pa.array(np.ones(len(texts), dtype=np.int64)), pa.array(sizes), *map(pa.array, sums)]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in HEAD.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(run, HEAD)
+
+
+OTHER = "key long, at long, before long, frequent int, n int, ends int, target boolean"
+
+
+def _others(docs: DataFrame, held) -> DataFrame:
+    """Per text and distinct bigram that is not among frequent words: ``at`` is its last word, or itself where that is frequent."""
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    def run(batches):
+        codes = _Codes(held.value.words)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                _, owner, v, j, w, i, last = _coded(texts, codes)
+                other = (i < 0) | (j < 0)
+                owner, v, w, i, last = (x[other] for x in (owner, v, w, i, last))
+                with np.errstate(over="ignore"):
+                    pair = mix64(v.view(np.uint64) * np.uint64(3) + mix64(w.view(np.uint64))).view(np.int64)
+                order = np.lexsort((pair, owner))
+                new = np.flatnonzero(np.r_[True, (np.diff(pair[order]) != 0) | (np.diff(owner[order]) != 0)][: len(order)])
+                one = order[new]
+                n = np.diff(np.r_[new, len(order)])
+                ends = np.add.reduceat(last[order], new) if len(new) else n
+                keys = np.array([_key(d, t) for d, t in zip(ids, texts)], dtype=np.int64)
+                marked = np.array([bool(x) for x in part.column(2).to_pylist()])
+                columns = [keys[owner[one]], np.where(i[one] < 0, w[one], pair[one]), v[one], np.maximum(i[one], 0).astype(np.int32), n.astype(np.int32), ends.astype(np.int32), marked[owner[one]]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [f.split()[0] for f in OTHER.split(", ")])
+
+    return docs.select("doc_id", "text", "target").mapInArrow(run, OTHER)
+
+
+def _other_losses(rows: DataFrame, model: Model) -> DataFrame:
+    """Sums per text of the losses that need counts of words and bigrams that are not broadcast."""
+    spark = rows.sparkSession
+    shares = spark.createDataFrame([(i, float(model.share[1][i]), float(model.share[0][i])) for i in range(1, FREQUENT)], "frequent int, share_target double, share_background double")
+    word, pair = Window.partitionBy("at"), Window.partitionBy("at", "before")
+    # one shuffle and one sort serve both windows
+    rows = rows.repartition("at").sortWithinPartitions("at", "before")
+    sums = {}
+    for name, n, inner in (("background", F.col("n"), F.col("n") - F.col("ends")), ("target", F.when(F.col("target"), F.col("n")).otherwise(0), F.when(F.col("target"), F.col("n") - F.col("ends")).otherwise(0))):
+        sums |= {f"pair_{name}": F.sum(n).over(pair), f"word_{name}": F.sum(n).over(word), f"context_{name}": F.sum(inner).over(word)}
+    known = rows.withColumns(sums).join(F.broadcast(shares), "frequent", "left")
+    losses = []
+    for m, name in ((1, "target"), (0, "background")):
+        share = F.coalesce(f"share_{name}", (F.col(f"word_{name}") + 0.5) / F.lit(float(model.totals[m])))
+        bigram = -F.col("n") * F.log2(F.col(f"pair_{name}") + KAPPA * share)
+        context = F.when(F.col("frequent") == 0, (F.col("n") - F.col("ends")) * F.log2(F.col(f"context_{name}") + KAPPA)).otherwise(0.0)
+        losses.append(F.sum(bigram + context).alias(f"loss_{name}"))
+    return known.groupBy("key").agg(*losses)
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """Per row of (doc_id, text, target): doc_id, n_tokens, loss_target, loss_background, score."""
+    model = Model(docs)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    others = _other_losses(_others(docs, held), model).select("key", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_tokens"), "loss_target", "loss_background")
+    # rows that repeat an id and a text add up alike above and below the line
+    sums = [F.sum(c).alias(c) for c in ("copies", "n_tokens", "loss_target", "loss_background")]
+    texts = _heads(docs, held).unionByName(others).groupBy("key").agg(F.max("doc_id").alias("doc_id"), *sums)
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).alias(c)
+    rows = texts.select("doc_id", "copies", (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"), mean("loss_target"), mean("loss_background"))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select("doc_id", "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every row of ``docs``; the target texts are those whose id is in ``target_ids``."""
     marks = target_ids.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct().withColumn("target", F.lit(True))
     # marks grow with the corpus: the same sort-merge join at every size
-    marked = docs.select(id_col, text_col).join(marks.hint("merge"), F.col(id_col) == F.col("_id"), "left").select(text_col, "target")
-    return score(docs, fit(marked, text_col), id_col, text_col)
+    marked = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(marks.hint("merge"), F.col("_doc") == F.col("_id"), "left")
+    return score(materialise(marked.select(F.col("_doc").cast("long").alias("doc_id"), "text", "target"), "marked"))
