@@ -104,13 +104,18 @@ class Parser:
         return [n * bits / size for n, (_, _, bits) in zip(totals, self.models)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None, label: str | None = None) -> tuple[str, float, float | None]:
+        """The language, its score, and by which share it is cheaper than the labelled one (None if that has no model)."""
         words = letters(text)
         if not words or not self.models:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, None
         ranked = sorted((cost, lang) for cost, (lang, _, _) in zip(self.costs(words), self.models))
+        own = next((1.0 - ranked[0][0] / cost for cost, lang in ranked if lang == label and cost), None)
         if len(ranked) == 1:
-            return ranked[0][1], 1.0
-        return ranked[0][1], max(0.0, min(1.0, 1.0 - ranked[0][0] / ranked[1][0])) if ranked[1][0] else 0.0
+            return ranked[0][1], 1.0, own
+        return ranked[0][1], max(0.0, min(1.0, 1.0 - ranked[0][0] / ranked[1][0])) if ranked[1][0] else 0.0, own
 
 
 _parsers: dict[int, Parser] = {}
@@ -167,12 +172,36 @@ def identify(docs: DataFrame, sample: dict[str, str], text_col: str = "text") ->
     return docs.select(*kept).mapInArrow(run, schema)
 
 
+def label_margins(docs: DataFrame, sample: dict[str, str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Adds lang_pred and label_margin, the share by which the predicted language is cheaper than the labelled one."""
+    held = docs.sparkSession.sparkContext.broadcast(sample)
+    kept = [c for c in docs.columns if c not in ("lang_pred", "label_margin")]
+    at, label = kept.index(text_col), kept.index(lang_col)
+
+    def run(batches):
+        parser = _parser(held.value)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                said = [parser.judge(t, own) for t, own in zip(part.column(at).to_pylist(), part.column(label).to_pylist())]
+                extra = [pa.array([x[0] for x in said], pa.string()), pa.array([x[2] for x in said], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*kept, "lang_pred", "label_margin"])
+
+    schema = docs.select(*kept).schema.add("lang_pred", "string").add("label_margin", "double")
+    return docs.select(*kept).mapInArrow(run, schema)
+
+
 def held_out(id_col: str):
     """True for the fifth of rows that no model learns from."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def learned_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
+    """The sample of the rows that are not held out."""
+    return training_sample(docs.filter(~F.coalesce(held_out(id_col), F.lit(False))), id_col, text_col, lang_col)
+
+
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learns from the labelled rows that are not held out and predicts every row."""
-    sample = training_sample(docs.filter(~F.coalesce(held_out(id_col), F.lit(False))), id_col, text_col, lang_col)
+    sample = learned_sample(docs, id_col, text_col, lang_col)
     return identify(docs, sample, text_col).withColumn("held_out", F.coalesce(held_out(id_col), F.lit(False)))
