@@ -32,7 +32,7 @@ def corpus_cer(spark, sf_dir):
 
 
 def letter_errors(spark, sf_dir):
-    return M.letter_errors(_short(spark, sf_dir), "aeht")
+    return M.letter_errors(_pairs(spark, sf_dir), "aeht")
 
 
 def pairwise_methods(spark, sf_dir):
@@ -69,7 +69,7 @@ def chrf(spark, sf_dir):
 
 
 def rouge(spark, sf_dir):
-    return M.rouge(_short(spark, sf_dir))
+    return M.rouge(_pairs(spark, sf_dir))
 
 
 def text_stats(spark, sf_dir):
