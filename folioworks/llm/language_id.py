@@ -1,207 +1,305 @@
 """Language identification by cross-parsing entropy over suffix automata.
 
-Training: per language a bounded sample of labelled texts, whole rows in hash order up to ``sample_chars`` letters, makes
-one suffix automaton. Prediction: a whole text is cut greedily in phrases, each the longest match in the automaton plus
-the letter that breaks it; the language that needs the fewest phrases, each weighted by the logarithm of its automaton's
-text length, wins. Ties go to the language that sorts first.
+Training: labelled texts are cut in pieces of ``PIECE`` characters, and per language the ``SAMPLE_PIECES`` distinct pieces of
+least hash make one suffix automaton. This is the documented bound of the sample: every piece of every labelled text may be
+in it, wherever it stands and however long its text is, and copies of a piece count once.
 
-Texts are parsed in lower case with every run of non-letters as one space. Words already parsed at a word start are kept
-in a bounded table, so a phrase never spans words: parsing restarts at each word and stays linear in the text.
+Prediction: a whole text is cut greedily in phrases, each the longest match in the automaton from where the last one ended;
+a byte that the sample does not have is a phrase of its own. The language that needs the fewest phrases, each weighted by
+the logarithm of its sample's size, wins. Ties go to the language that sorts first.
+
+Texts are parsed as UTF-8, in lower case, every word behind one space; all that is no letter only separates words. Phrases
+span words. Texts of a slice are parsed side by side in segments: each segment is walked from the start state, then again
+from the state in which the segment before it ended, until both walks are in one state, from where on they agree. The few
+walks that never agree within a segment are followed to their end one by one, so counts are those of one walk of the text.
 
 Defined results: null, empty and letterless texts get ``und`` with score 0; without any labelled text every row is
-``und``; the row's own label, id and source are never looked at when predicting.
+``und``; repeated rows are predicted alike; very long texts are parsed whole, in memory in proportion to the longest text;
+an empty table gives no rows; further columns are ignored, whatever their names. The row's own label, id and source are never
+looked at when predicting.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Bounds of the training sample: rows and letters per language.
-SAMPLE_ROWS = 400
-SAMPLE_CHARS = 60_000
-CACHED_WORDS = 200_000
+#: Bounds of the training sample: pieces per language and characters per piece.
+SAMPLE_PIECES = 32
+PIECE = 1_000
+#: Groups in which the pieces of a language are ranked before they are ranked together.
+SALTS = 64
+SEGMENT = 512
+SLICE_CHARS = 1 << 20
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_is_letter: list[np.ndarray] = []
 
 
 def letters(text: str | None) -> list[str]:
+    """The words of a text: runs of letters, in lower case."""
     return _LETTERS.findall((text or "").lower())
 
 
-def suffix_automaton(text: str) -> dict:
-    """The start state; a state is the dict of its transitions, so a walk is a chain of dict lookups."""
-    start: dict = {}
-    links, lengths, states = [-1], [0], [start]
-    last = 0
-    for c in text:
-        current = len(states)
-        states.append({})
+def _letter_table() -> np.ndarray:
+    """Which code points are letters; about 1 MB."""
+    if not _is_letter:
+        _is_letter.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000))
+    return _is_letter[0]
+
+
+def normalised(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
+    """All texts as one run of UTF-8 bytes, each word behind one space, and where each text ends in it."""
+    marked = [" " + (t or "").lower() for t in texts]
+    bounds = np.cumsum([len(t) for t in marked])
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letter = _letter_table()[points]
+    keep = letter.copy()
+    keep[:-1] |= letter[1:]  # every text starts with a space, so the place before a word is of the same text
+    points = np.where(letter, points, 0x20)[keep]
+    ends = np.r_[0, np.cumsum(keep)][bounds]
+    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    data = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    return data, np.r_[0, np.cumsum(width)][ends]
+
+
+def suffix_automaton(data: bytes) -> list[dict[int, int]]:
+    """The transitions of each state by byte; state 0 is the start."""
+    moves: list[dict[int, int]] = [{}]
+    links, lengths, last = [-1], [0], 0
+    for c in data:
+        current = len(moves)
+        moves.append({})
         links.append(0)
         lengths.append(lengths[last] + 1)
         p = last
-        while p != -1 and c not in states[p]:
-            states[p][c] = current
+        while p != -1 and c not in moves[p]:
+            moves[p][c] = current
             p = links[p]
         if p != -1:
-            q = states[p][c]
+            q = moves[p][c]
             if lengths[p] + 1 == lengths[q]:
                 links[current] = q
             else:
-                clone = len(states)
-                states.append(dict(states[q]))
+                clone = len(moves)
+                moves.append(dict(moves[q]))
                 links.append(links[q])
                 lengths.append(lengths[p] + 1)
-                while p != -1 and states[p].get(c) == q:
-                    states[p][c] = clone
+                while p != -1 and moves[p].get(c) == q:
+                    moves[p][c] = clone
                     p = links[p]
                 links[q] = links[current] = clone
         last = current
-    for moves in states:
-        for c, to in moves.items():
-            moves[c] = states[to]
-    return start
-
+    return moves
 
-def phrases(word: str, start: dict) -> int:
-    """Phrases of the greedy cross-parsing of one word with its leading space."""
-    state, n = start, 1
-    for c in word:
-        after = state.get(c)
-        if after is None:
-            n += 1
-            after = start.get(c, start)
-        state = after
-    return n
 
+class Model:
+    """The automata of all languages as flat transition lists, small enough to broadcast: their size is that of the sample."""
 
-def model(sample: dict[str, str]) -> list[tuple[str, dict, float]]:
-    """(language, automaton, bits per phrase) per language, from its sample text."""
-    return [(lang, suffix_automaton(text), math.log2(2 + len(text))) for lang, text in sorted(sample.items()) if text.strip()]
+    def __init__(self, sample: dict[str, str]):
+        self.languages, self.bits, self.automata = [], [], []
+        for lang, text in sorted(sample.items()):
+            data = normalised([text])[0]
+            if data:
+                moves = suffix_automaton(data)
+                flat = np.array([(s, c, to) for s, m in enumerate(moves) for c, to in m.items()], dtype=np.int32)
+                self.languages.append(lang)
+                self.bits.append(math.log2(2 + len(data)))
+                self.automata.append((len(moves), flat))
 
 
 class Parser:
     """Cross-parses texts with every language's automaton."""
 
-    def __init__(self, sample: dict[str, str]):
-        self.models = model(sample)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def costs(self, words: list[str]) -> list[float]:
-        """Bits per letter that each language needs."""
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known, starts = self.known, [start for _, start, _ in self.models]
-        for w in {w for w in words if w not in known}:
-            known[w] = tuple(phrases(f" {w} ", s) for s in starts)
-        totals = map(sum, zip(*map(known.__getitem__, words)))
-        size = sum(map(len, words)) + len(words)
-        return [n * bits / size for n, (_, _, bits) in zip(totals, self.models)]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        return self.judge(text)[:2]
-
-    def judge(self, text: str | None, label: str | None = None) -> tuple[str, float, float | None]:
-        """The language, its score, and by which share it is cheaper than the labelled one (None if that has no model)."""
-        words = letters(text)
-        if not words or not self.models:
-            return UNKNOWN, 0.0, None
-        ranked = sorted((cost, lang) for cost, (lang, _, _) in zip(self.costs(words), self.models))
-        own = next((1.0 - ranked[0][0] / cost for cost, lang in ranked if lang == label and cost), None)
-        if len(ranked) == 1:
-            return ranked[0][1], 1.0, own
-        return ranked[0][1], max(0.0, min(1.0, 1.0 - ranked[0][0] / ranked[1][0])) if ranked[1][0] else 0.0, own
-
-
-_parsers: dict[int, Parser] = {}
-
-
-def _parser(sample: dict[str, str]) -> Parser:
-    """One parser per Python worker and sample; building the automata takes seconds."""
-    key = hash(tuple(sorted(sample.items())))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(sample)
-    return _parsers[key]
-
-
-def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """At most ``rows`` rows and ``chars`` letters per language, in hash order of the id; short rows before very long ones."""
-    size = F.length(text_col)
-    usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (size.between(1, chars)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = (
-        usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), size.alias("size"))
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= rows)
-        .withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .filter(F.col("upto") - F.col("size") < chars)
-    )
-    ids = picked.select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).distinct()  # at most ``rows`` per language
-    texts = usable.join(F.broadcast(ids), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang")))
+    def __init__(self, model: Model):
+        self.languages, self.bits = model.languages, np.array(model.bits)
+        used = sorted({int(c) for _, flat in model.automata for c in np.unique(flat[:, 1])})
+        self.wide = len(used) + 2  # a class for the end of a text and one for bytes of no sample
+        self.classes = np.full(256, self.wide - 1, dtype=np.uint8 if self.wide <= 256 else np.uint16)
+        self.classes[used] = np.arange(1, len(used) + 1)
+        states = sum(n for n, _ in model.automata)
+        kind = np.int32 if 4 * states * self.wide < 1 << 31 else np.int64
+        #: Per state and class: where to go (times 4, as an offset in this table), plus the phrases that end on the way.
+        self.table = np.empty((states, self.wide), dtype=kind)
+        self.roots, first = [], 0
+        for n, flat in model.automata:
+            part = self.table[first : first + n]
+            root = first * self.wide
+            start = np.full(self.wide, -1, dtype=np.int64)
+            mine = flat[flat[:, 0] == 0]
+            start[self.classes[mine[:, 1]]] = (first + mine[:, 2].astype(np.int64)) * self.wide
+            part[:] = np.where(start >= 0, 4 * start + 1, 4 * root + 2)
+            part[0] = np.where(start >= 0, 4 * start, 4 * root + 1)
+            part[flat[:, 0], self.classes[flat[:, 1]]] = 4 * (first + flat[:, 2].astype(np.int64)) * self.wide
+            part[:, 0] = 4 * (first + np.arange(n, dtype=np.int64)) * self.wide
+            self.roots.append(root)
+            first += n
+        self.table = self.table.reshape(-1)
+
+    def _walk(self, codes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Walks all lanes one class at a time; returns the phrases that ended and the last states."""
+        kind = self.table.dtype  # one type throughout, so that no step converts
+        n, at, value, state = np.zeros(state.shape, kind), np.empty(state.shape, kind), np.empty(state.shape, kind), state.astype(kind)
+        for row in codes:
+            np.add(state, row.astype(kind), out=at)
+            np.take(self.table, at, out=value, mode="clip")
+            np.right_shift(value, 2, out=state)
+            np.bitwise_and(value, 3, out=value)
+            np.add(n, value, out=n)
+        return n, state
+
+    def phrases(self, data: bytes, ends: np.ndarray) -> np.ndarray:
+        """Phrases per language and text."""
+        starts = np.r_[0, ends[:-1]]
+        segments = -(-(ends - starts) // SEGMENT)
+        total, texts = int(segments.sum()), len(ends)
+        owner = np.repeat(np.arange(texts), segments)
+        place = np.arange(total) - np.repeat(np.cumsum(segments) - segments, segments)
+        classes = self.classes[np.frombuffer(data, dtype=np.uint8)]
+        spots = (starts[owner] + place * SEGMENT)[:, None] + np.arange(SEGMENT)
+        codes = np.where(spots < ends[owner][:, None], classes[np.minimum(spots, max(0, len(classes) - 1))] if len(classes) else 0, 0).T.copy()
+        roots = np.array(self.roots, dtype=np.int64)[:, None]
+        n, last = self._walk(codes, np.broadcast_to(roots, (len(roots), total)))
+        n, alone = n.astype(np.int64), n
+        lang, seg = (x.reshape(-1) for x in np.meshgrid(np.arange(len(roots)), np.flatnonzero(place > 0), indexing="ij"))
+        true, guess = last[lang, seg - 1], np.broadcast_to(roots, last.shape)[lang, seg]
+        for first in range(0, SEGMENT, 16):
+            apart = true != guess
+            lang, seg, true, guess = lang[apart], seg[apart], true[apart], guess[apart]
+            if not len(seg):
+                break
+            part = codes[first : first + 16][:, seg]
+            more, true = self._walk(part, true)
+            less, guess = self._walk(part, guess)
+            np.add.at(n, (lang, seg), more.astype(np.int64) - less)
+        apart = true != guess
+        if apart.any():
+            self._follow(codes, owner, alone, n, last, lang[apart], seg[apart], true[apart])
+        ended = np.zeros((len(roots), texts), dtype=np.int64)
+        np.add.at(ended, (slice(None), owner), n)
+        final = np.flatnonzero(np.r_[owner[1:] != owner[:-1], True][:total])
+        ended[:, owner[final]] += last[:, final] != roots
+        return ended
+
+    def _follow(self, codes, owner, alone, n, last, lang, seg, state) -> None:
+        """Corrects ``n`` and ``last`` after segments whose walks did not meet, along their texts until they do; ``alone`` are
+        the phrases of each segment walked from the start state."""
+        table, wide = memoryview(self.table), n.shape[1]
+        ends = dict(zip(zip(lang.tolist(), seg.tolist()), state.tolist()))
+        done = set()
+        for k, s in sorted(ends):
+            if (k, s) in done:
+                continue
+            true = ends[k, s]
+            last[k, s] = true
+            while s + 1 < wide and owner[s + 1] == owner[s]:
+                s += 1
+                done.add((k, s))
+                guess, more = self.roots[k], 0
+                for c in codes[:, s].tolist():
+                    a, b = table[true + c], table[guess + c]
+                    more += (a & 3) - (b & 3)
+                    true, guess = a >> 2, b >> 2
+                    if true == guess:
+                        break
+                n[k, s] = alone[k, s] + more
+                if true == guess:
+                    break
+                last[k, s] = true
+
+    def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits per byte that each language needs for each text, and the bytes of each text."""
+        data, ends = normalised(texts)
+        size = np.diff(np.r_[0, ends])
+        return self.phrases(data, ends) * self.bits[:, None] / np.maximum(1, size), size
+
+    def judge(self, texts: list[str | None], labels: list[str | None]) -> list[tuple[str, float, float | None]]:
+        """Per text its language, the score, and by which share that is cheaper than the labelled language (None without a model)."""
+        if not self.languages:
+            return [(UNKNOWN, 0.0, None)] * len(texts)
+        costs, size = self.costs(texts)
+        out = []
+        for column, n, label in zip(costs.T.tolist(), size.tolist(), labels):
+            if not n:
+                out.append((UNKNOWN, 0.0, None))
+                continue
+            ranked = sorted(zip(column, self.languages))
+            best = ranked[0][0]
+            own = next((1.0 - best / cost for cost, lang in ranked if lang == label), None)
+            score = 1.0 if len(ranked) == 1 else 1.0 - best / ranked[1][0]
+            out.append((ranked[0][1], max(0.0, min(1.0, score)), own))
+        return out
+
+
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``SLICE_CHARS`` characters together; a longer text stands alone."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t or "") > SLICE_CHARS:
+            yield first, i
+            first, size = i, 0
+        size += len(t or "")
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def training_sample(labelled: DataFrame, text_col: str, lang_col: str, pieces: int = SAMPLE_PIECES, size: int = PIECE) -> dict[str, str]:
+    """Per language its ``pieces`` distinct pieces of least hash."""
+    cut = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+    every = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), cut.alias("piece"))
+    every = every.select("lang", F.xxhash64("piece").alias("h"), "piece").filter(F.col("piece").rlike(r"\p{L}"))
+    least = every.select("lang", "h").distinct()
+    for groups in (["lang", F.pmod(F.hash("h"), F.lit(SALTS))], ["lang"]):  # no task ranks all pieces of a language
+        least = least.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy("h"))).filter(F.col("rank") <= pieces).drop("rank")
+    picked = every.join(F.broadcast(least), ["lang", "h"]).dropDuplicates(["lang", "h"]).collect()  # ``pieces`` rows per language
     found: dict[str, list] = {}
-    for row in texts.select("_lang", "_id", text_col).collect():
-        found.setdefault(row[0], []).append((row[1], row[2]))
-    return {lang: " ".join(["", *(w for _, t in sorted(got, key=lambda x: (str(x[0]), x[1])) for w in letters(t)), ""])[: chars + 1] for lang, got in found.items()}
-
-
-PREDICTED = "lang_pred string, score double"
-
-
-def identify(docs: DataFrame, sample: dict[str, str], text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to every row; all columns stay."""
-    held = docs.sparkSession.sparkContext.broadcast(sample)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    at = kept.index(text_col)
+    for row in picked:
+        found.setdefault(row["lang"], []).append((row["h"], row["piece"]))
+    return {lang: " ".join(p for _, p in sorted(got)) for lang, got in found.items()}
 
-    def run(batches):
-        parser = _parser(held.value)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                said = [parser.predict(t) for t in part.column(at).to_pylist()]
-                extra = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*kept, "lang_pred", "score"])
 
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*kept).mapInArrow(run, schema)
+JUDGED = "lang_pred string, score double, label_margin double"
 
 
-def label_margins(docs: DataFrame, sample: dict[str, str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Adds lang_pred and label_margin, the share by which the predicted language is cheaper than the labelled one."""
-    held = docs.sparkSession.sparkContext.broadcast(sample)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "label_margin")]
-    at, label = kept.index(text_col), kept.index(lang_col)
+def judged(model, text: Column, label: Column) -> Column:
+    """A struct of lang_pred, score and label_margin (by which share lang_pred is cheaper than ``label``; null where that has
+    no model). Only the two columns go to Python. ``model`` is a broadcast Model."""
 
-    def run(batches):
-        parser = _parser(held.value)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                said = [parser.judge(t, own) for t, own in zip(part.column(at).to_pylist(), part.column(label).to_pylist())]
-                extra = [pa.array([x[0] for x in said], pa.string()), pa.array([x[2] for x in said], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*kept, "lang_pred", "label_margin"])
+    @F.arrow_udf(JUDGED)
+    def judge(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        parser = Parser(model.value)  # lives as long as the task
+        for texts, labels in batches:
+            said = []
+            for first in range(0, len(texts), 1024):
+                part, own = texts.slice(first, 1024).to_pylist(), labels.slice(first, 1024).to_pylist()
+                for a, b in _slices(part):
+                    said += parser.judge(part[a:b], own[a:b])
+            columns = list(zip(*said)) or [(), (), ()]
+            kinds = (pa.string(), pa.float64(), pa.float64())
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang_pred", "score", "label_margin"])
 
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("label_margin", "double")
-    return docs.select(*kept).mapInArrow(run, schema)
+    return judge(text, label)
 
 
-def held_out(id_col: str):
+def held_out(id_col: str) -> Column:
     """True for the fifth of rows that no model learns from."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def learned_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """The sample of the rows that are not held out."""
-    return training_sample(docs.filter(~F.coalesce(held_out(id_col), F.lit(False))), id_col, text_col, lang_col)
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
+    """The broadcast model of the labelled rows that are not held out."""
+    sample = training_sample(docs.filter(~held_out(id_col)), text_col, lang_col)
+    return docs.sparkSession.sparkContext.broadcast(Model(sample))
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learns from the labelled rows that are not held out and predicts every row."""
-    sample = learned_sample(docs, id_col, text_col, lang_col)
-    return identify(docs, sample, text_col).withColumn("held_out", F.coalesce(held_out(id_col), F.lit(False)))
+    """Learns from the labelled rows that are not held out and predicts every row: doc_id, held_out, lang_pred, score."""
+    said = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), judged(fit(docs, id_col, text_col, lang_col), F.col(text_col), F.lit(None).cast("string")).alias("said"))
+    return said.select("doc_id", "held_out", "said.lang_pred", "said.score")

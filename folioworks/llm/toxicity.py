@@ -9,16 +9,19 @@ The model is fitted on at most ``sample_rows`` labelled rows, chosen by the hash
 ``max_words`` features; every row is scored on its whole text.
 
 Defined results: null and empty texts have severity 0 and are not toxic; without labelled rows of both kinds nothing is
-toxic; labels that are null or belong to no row are ignored; repeated rows get equal scores.
+toxic; labels that are null or belong to no row are ignored, and of labels that disagree on one id the toxic one counts;
+repeated rows get equal scores; ties between features go to the word that sorts first; very long texts are scored whole;
+an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import letters
@@ -134,20 +137,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return OrdinalModel({w: float(weights[i]) for w, i in vocabulary.items()}, thresholds)
 
 
-def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """Adds severity (0 to the number of grades), p_toxic and toxic to every row; all columns stay."""
+GRADED = "severity double, p_toxic double, toxic boolean"
+
+
+def graded(model: OrdinalModel, docs: DataFrame, text: Column) -> Column:
+    """A struct of severity (0 to the number of grades), p_toxic and toxic for each row of ``docs``; only the text goes to Python."""
     held = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
-    kept = [c for c in docs.columns if c not in ("severity", "p_toxic", "toxic")]
-    at = kept.index(text_col)
 
-    def run(batches):
+    @F.arrow_udf(GRADED)
+    def grade(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = OrdinalModel(*held.value)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                above = [own.above(t) if t else np.zeros(GRADES) for t in part.column(at).to_pylist()]
-                extra = [pa.array([float(p.sum()) for p in above]), pa.array([float(p[0]) for p in above]), pa.array([bool(p[0] >= TOXIC_AT) for p in above])]
-                yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*kept, "severity", "p_toxic", "toxic"])
-
-    schema = docs.select(*kept).schema.add("severity", "double").add("p_toxic", "double").add("toxic", "boolean")
-    return docs.select(*kept).mapInArrow(run, schema)
+        for texts in batches:
+            said = []
+            for first in range(0, len(texts), 256):
+                above = [own.above(t) if t else np.zeros(GRADES) for t in texts.slice(first, 256).to_pylist()]
+                said += [(float(p.sum()), float(p[0]), bool(p[0] >= TOXIC_AT)) for p in above]
+            columns = list(zip(*said)) or [(), (), ()]
+            kinds = (pa.float64(), pa.float64(), pa.bool_())
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["severity", "p_toxic", "toxic"])
+
+    return grade(text)
+
+
+def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, severity, p_toxic and toxic of every row."""
+    said = docs.select(F.col(id_col).alias("doc_id"), graded(model, docs, F.col(text_col)).alias("said"))
+    return said.select("doc_id", "said.severity", "said.p_toxic", "said.toxic")

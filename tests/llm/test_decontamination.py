@@ -61,3 +61,14 @@ def test_shuffled_join_gives_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(7, "a b c d e f g h i j")], "item_id long, text string")
     monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)
     assert [(r["n_hit"], r["items"]) for r in dc.contamination(docs, items).collect()] == [(10, ["7"])]
+
+
+def test_repeated_words_stay_linear(spark):
+    n = 20_000
+    docs = [(1, "same " * n), (2, "x y " * n), (3, "a b c d e f g h i j k " + "same " * 9), (3, "same " * 12)]
+    items = [(7, "same " * n), (8, "y x " * 300 + "same " * 50), (9, "same " * 10), (10, "same " * 9)]
+    out = dc.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in out)
+    assert got == [(1, n, n, ["10", "7", "8", "9"]), (2, 2 * n, 2 * n, ["8"]), (3, 12, 12, ["10", "7", "8", "9"]), (3, 20, 9, ["10"])]
+    spans = {(r["doc_id"], r["n_words"]): [tuple(s) for s in r["hit_spans"]] for r in out}
+    assert spans[1, n] == [(0, n)] and spans[3, 20] == [(11, 20)]

@@ -113,32 +113,6 @@ def test_url_verdicts(spark):
 # --- languages
 
 
-def test_suffix_automaton_holds_all_substrings():
-    text = "abracadabra abba"
-    start = language_id.suffix_automaton(text)
-
-    def known(s):
-        state = start
-        for c in s:
-            if c not in state:
-                return False
-            state = state[c]
-        return True
-
-    subs = {text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)}
-    assert all(known(s) for s in subs)
-    assert not any(known(s) for s in ("aa", "bd", "abrab", "cc"))
-    for word in ("abracadabra", "zebra", "abba", "cadab"):
-        n, at = 1, 0
-        while True:  # the longest match from here, then a new phrase from the letter that broke it
-            size = max(k for k in range(len(word) - at + 1) if k == 0 or word[at : at + k] in text)
-            at += max(size, 1)
-            if at >= len(word):
-                break
-            n += 1
-        assert abs(language_id.phrases(word, start) - n) <= 1
-
-
 def test_languages(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(10_001, None, "en"), (10_002, "", "de"), (10_003, "123 !?", None), (None, "the and of this", None)], "doc_id long, text string, lang string")
@@ -146,8 +120,9 @@ def test_languages(spark, sf_dir):
     got = {r["doc_id"]: r for r in out}
     assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0.0 for k in (10_001, 10_002, 10_003))
     assert got[None]["lang_pred"] == "en" and not got[None]["held_out"]
+    labels = {r["doc_id"]: r["lang"] for r in d.collect()}
     held = [r for r in out if r["held_out"] and r["lang_pred"] != "und"]
-    assert len(held) > 20 and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
+    assert len(held) > 20 and sum(labels[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.97 * len(held)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out if r["doc_id"] is not None)
     assert all(0 <= r["score"] <= 1 for r in out)
     assert language_id.predict_languages(d.limit(0)).count() == 0
