@@ -4,42 +4,46 @@
 role, same text) is rendered once as the prompt; what is left of each side is a completion. Masks are character spans,
 counted from the start of prompt and completion together, that a loss covers: the text and end marker of assistant turns.
 
-Defined results: a null text or role counts as empty; turns sort by turn number, then role and text, so repeated rows
+Defined results: a null text or role counts as empty; rows without a pair id make one pair; a null turn comes first; turns sort by turn number, then role and text, so repeated rows
 stay and order is fixed; a pair with one side missing has an empty completion there; pairs of equal sides have two
-empty completions; an empty table gives no rows; further columns are ignored.
+empty completions; very long texts stay whole; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 
 
+TURN = "struct<turn:bigint,role:string,text:string,till:bigint>"
+
+
 def _side(turns: DataFrame, name: str) -> DataFrame:
-    one = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.groupBy("pair_id").agg(F.array_sort(F.collect_list(one)).alias(name))
+    """Per pair its turns in order, each with where it ends in the rendered conversation."""
+    plain = turns.select(F.col("pair_id").alias(f"{name}_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    size = F.length("role") + F.length("text") + F.lit(len(START) + len(MIDDLE) + len(END))
+    order = Window.partitionBy(f"{name}_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    one = F.struct("turn", "role", "text", F.sum(size).over(order).alias("till"))
+    return plain.select(f"{name}_id", one.alias("one")).groupBy(f"{name}_id").agg(F.array_sort(F.collect_list("one")).alias(name))
 
 
 def rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(START), t["role"], F.lit(MIDDLE), t["text"], F.lit(END))), "")
 
 
-def mask_spans(turns: Column, offset: Column) -> Column:
-    """Spans (start, end) of assistant text and end marker, ``offset`` characters further on."""
-    head = lambda t: F.length(t["role"]) + F.lit(len(START) + len(MIDDLE))
-    size = lambda t: head(t) + F.length(t["text"]) + F.lit(len(END))
-    ends = F.transform(F.sequence(F.lit(1), F.size(turns)), lambda i: F.aggregate(F.slice(turns, F.lit(1), i), F.lit(0), lambda acc, t: acc + size(t)))
-    spans = F.transform(turns, lambda t, i: F.struct((F.get(ends, i) - F.length(t["text"]) - F.lit(len(END)) + offset).alias("start"), (F.get(ends, i) + offset).alias("end"), t["role"].alias("role")))
-    only = F.filter(spans, lambda s: s["role"] == "assistant")
-    return F.when(F.size(turns) > 0, F.transform(only, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+def mask_spans(turns: Column) -> Column:
+    """Spans (start, end) of assistant text and end marker, from the start of the conversation."""
+    only = F.filter(turns, lambda t: t["role"] == "assistant")
+    return F.transform(only, lambda t: F.struct((t["till"] - F.length(t["text"]) - F.lit(len(END))).alias("start"), t["till"].alias("end")))
 
 
 def preference_examples(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """Both tables have pair_id, turn, role, text. One row per pair."""
-    none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
-    both = _side(chosen, "c").join(_side(rejected, "r"), "pair_id", "full").select("pair_id", F.coalesce("c", none).alias("c"), F.coalesce("r", none).alias("r"))
+    none = F.array().cast(f"array<{TURN}>")
+    both = _side(chosen, "c").join(_side(rejected, "r"), F.col("c_id").eqNullSafe(F.col("r_id")), "full")
+    both = both.select(F.coalesce("c_id", "r_id").alias("pair_id"), F.coalesce("c", none).alias("c"), F.coalesce("r", none).alias("r"))
     same = F.zip_with("c", "r", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
     differs = F.array_position(same, False)
     both = both.withColumn("shared", F.when(differs > 0, differs - 1).otherwise(F.size("c")).cast("int"))
@@ -51,8 +55,8 @@ def preference_examples(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
         "prompt",
         rendered(F.col("c")).alias("chosen"),
         rendered(F.col("r")).alias("rejected"),
-        mask_spans(F.col("c"), F.length("prompt")).alias("chosen_mask"),
-        mask_spans(F.col("r"), F.length("prompt")).alias("rejected_mask"),
+        mask_spans(F.col("c")).alias("chosen_mask"),
+        mask_spans(F.col("r")).alias("rejected_mask"),
     )
 
 

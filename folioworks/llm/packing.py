@@ -4,8 +4,11 @@
 fills bins, dual feasible functions bound from below how many bins that group needs, and a group whose count exceeds its
 bound (a gap) hands the pieces of its unfilled bins to the next round, where they meet those of other groups.
 
-Defined results: a null text counts as empty and yields one piece that holds only the end id; repeated rows are packed
-as often as they occur; ties go to the row with the smaller id; an empty table gives no rows; further columns are ignored.
+Rounds end when the bins that are left are certified by the bound of all their pieces together, or a round gains none.
+
+Defined results: a null text counts as empty and yields one piece that holds only the end id; null ids are kept, and
+repeated rows are packed as often as they occur; ties go to the row with the smaller id; a very long text is encoded whole,
+in memory in proportion to it; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +27,8 @@ from .common import materialise, salt_count
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PER_GROUP = 20_000
-ROUNDS = 4
-CACHED_WORDS = 1_000_000
+#: Bound of the ids of words that are kept, in bytes of words and ids; they are dropped at the end of each task.
+CACHED_BYTES = 32 << 20
 #: The tokenizer lower-cases, composes and splits texts in words before it merges. For texts of these characters alone the
 #: words can be found here: nothing composes, lower case keeps one letter for one, and white space is the same.
 PLAIN = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]|<\\|")
@@ -43,6 +47,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.kept = 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -55,10 +60,15 @@ class WordEncoder:
         if len(of) and of[-1] != len(words) - 1:
             raise ValueError("the tokenizer splits words otherwise")
         self.known.update((w, ids[a:b]) for w, a, b in zip(words, [0, *ends], ends))
+        self.kept += sum(map(len, words)) + len(ids)
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.kept = 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+        if self.kept > CACHED_BYTES:
+            self.forget()
         words = [None if PLAIN.search(t) else WORDS.findall(t.lower()) for t in texts]
         new = [w for w in set().union(*(w for w in words if w)) if w not in self.known]
         for at in range(0, len(new), 4096):
@@ -89,10 +99,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
                         cut = ids[start : start + 4 * size]
                         rows.append((key, k, start // 4, len(cut) // 4, zlib.crc32(cut)))
                 yield record_batch(rows)
+        enc.forget()
 
     def record_batch(rows):
-        import pyarrow as pa
-
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -101,18 +110,20 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
 
 
 def dual_bound(lengths: np.ndarray, size: int) -> int:
+    """The lower bound of bins of ``size`` for items of these lengths."""
+    return _dual_bound(np.bincount(lengths, minlength=size + 1).astype(np.int64), size)
+
+
+def _dual_bound(count: np.ndarray, size: int) -> int:
     """The best of a family of dual feasible functions: no packing into bins of ``size`` uses fewer bins.
 
     Thresholding keeps large items whole and drops small ones; rounding by k turns an item x into floor((k + 1) x) / k.
     Both are also applied one after the other.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=size + 1).astype(np.int64)
     value = np.arange(size + 1, dtype=np.int64)
     total, n = np.cumsum(count * value), np.cumsum(count)
     best = -(-int(total[-1]) // size)
-    cuts = [0, *np.unique(lengths[lengths <= size // 2]).tolist()]
+    cuts = [0, *np.flatnonzero(count[: size // 2 + 1]).tolist()]
     for e in cuts:  # items over size - e count as a whole bin, items under e as nothing
         middle = int(total[size - e] - (total[e - 1] if e else 0))
         best = max(best, int(n[size] - n[size - e]) - (-middle // size))
@@ -155,9 +166,9 @@ PACKED = PIECES + ", sequence_id long, offset long, bound long, bins long, kept
 def _placer(size: int, turn: int, last: bool):
     """Packs one salted group; ``kept`` marks the rows whose place is final."""
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable", na_position="first").reset_index(drop=True)
-        lengths = pdf["length"].to_numpy()
+    def place(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, [("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")], null_placement="at_start"))
+        lengths = group["length"].to_numpy()
         where, room = best_fit_decreasing(lengths, size)
         bound, room = dual_bound(lengths, size), np.array(room)
         if last:
@@ -171,27 +182,47 @@ def _placer(size: int, turn: int, last: bool):
         ends = np.cumsum(lengths[order])
         first = np.r_[True, np.diff(where[order]) != 0]
         base = np.maximum.accumulate(np.where(first, ends - lengths[order], 0))
-        offset = np.empty(len(pdf), dtype=np.int64)
+        offset = np.empty(group.num_rows, dtype=np.int64)
         offset[order] = ends - lengths[order] - base
-        seq = (np.int64(turn) << 56) + (np.int64(pdf["salt"].iloc[0]) << 24) + where
-        return pdf.drop(columns="salt").assign(sequence_id=seq, offset=offset, bound=bound, bins=len(room), kept=kept[where])
+        seq = (np.int64(turn) << 56) + (np.int64(group["salt"][0].as_py()) << 24) + where
+        names = [f.split()[0] for f in PIECES.split(", ")]
+        same = [pa.array(np.full(group.num_rows, n, dtype=np.int64)) for n in (bound, len(room))]
+        return pa.table([*(group[c] for c in names), pa.array(seq), pa.array(offset), *same, pa.array(kept[where])], [f.split()[0] for f in PACKED.split(", ")])
 
     return place
 
 
-def pack(pieces: DataFrame, size: int = 4096, per_group: int = PER_GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """Adds sequence_id, the offset in it, and the certificate: the bound and the bin count of the group that placed it."""
+def total_bound(pieces: DataFrame, size: int) -> int:
+    """The dual bound of all pieces together, from how many there are of each length (at most ``size`` rows)."""
+    counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    held = np.zeros(size + 1, dtype=np.int64)
+    for r in counts:
+        held[r["length"]] = r["n"]
+    return _dual_bound(held, size)
+
+
+def pack(pieces: DataFrame, size: int = 4096, per_group: int = PER_GROUP) -> DataFrame:
+    """Adds sequence_id, the offset in it, and the certificate: the bound and the bin count of the group that placed it.
+
+    Rounds go on until the bins that are left over are certified by the dual bound of all their pieces, one group holds them
+    all, or a round has no fewer bins than they had before.
+    """
     done: DataFrame | None = None
-    pool = materialise(pieces, "pieces")
-    for turn in range(rounds):
+    pool, turn, had = materialise(pieces, "pieces"), 0, None
+    while True:
         groups = salt_count(pool.count(), per_group)
-        last = groups == 1 or turn == rounds - 1
-
-        salted = pool.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)))
-        placed = materialise(salted.groupBy("salt").applyInPandas(_placer(size, turn, last), PACKED), "placed")
-        kept = placed.filter("kept").drop("kept")
+        # rows are dealt by their place in the table, so rows that repeat one id are dealt like others
+        salted = pool.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups)))
+        placed = materialise(salted.groupBy("salt").applyInArrow(_placer(size, turn, groups == 1), PACKED), "placed")
+        rest = placed.filter("not kept")
+        now, left = _bins(placed), _bins(rest)
+        final = left == 0 or (had is not None and now >= had) or total_bound(rest, size) == left
+        kept = (placed if final else placed.filter("kept")).drop("kept")
         done = kept if done is None else done.unionByName(kept)
-        if last:
+        if final:
             return done
-        pool = placed.filter("not kept").select("doc_id", "piece", "start", "length", "ids_crc32")
-    raise AssertionError("the last round keeps everything")
+        pool, turn, had = rest.select("doc_id", "piece", "start", "length", "ids_crc32"), turn + 1, left
+
+
+def _bins(placed: DataFrame) -> int:
+    return placed.agg(F.count_distinct("sequence_id")).first()[0]

@@ -143,6 +143,11 @@ def test_preference_examples(spark):
     whole = one["prompt"] + one["rejected"]
     assert [whole[s["start"] : s["end"]] for s in one["rejected_mask"]] == ["bb<|end|>\n"]
     assert (got[3]["chosen"], got[3]["rejected"], got[3]["shared_turns"]) == ("", "", 2)
+    many = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(3000)] + [(None, 0, "assistant", "x"), (None, None, None, None)], turns)
+    rows = {x["pair_id"]: x for x in chat_format.preference_examples(many, many.filter("turn < 1000 or pair_id is null")).collect()}
+    assert len(rows) == 2 and rows[1]["shared_turns"] == 1000 and len(rows[1]["chosen_mask"]) == 1000 and rows[None]["shared_turns"] == 2
+    whole = rows[1]["prompt"] + rows[1]["chosen"]
+    assert [whole[m["start"] : m["end"]] for m in rows[1]["chosen_mask"]][:2] == ["t1001<|end|>\n", "t1003<|end|>\n"]
     assert (got[4]["chosen"], got[4]["prompt"]) == ("", "") and got[2]["chosen"] == "<|user|>\n<|end|>\n"
     assert chat_format.preference_examples(c.limit(0), r.limit(0)).count() == 0
 
@@ -151,21 +156,24 @@ def test_preference_examples(spark):
 
 
 def test_archives_read_back(spark):
-    rows = [(1, "http://a/x", "same"), (2, "http://b", "same"), (3, None, None), (4, "http://c\r\nX: y", ""), (5, "http://d/ü?q=1", "p\r\n\r\nWARC/1.1\r\n\r\nü" * 3), (6, "http://e", "z" * 300_000), (6, "http://e", "z" * 300_000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("digest", F.lit(1))
-    out = {r["page_id"]: r for r in warc.captures(pages, with_payload=True).collect()}
-    assert set(out) == {1, 2, 3, 4, 5, 6}
-    html = {i: (h or "").encode() for i, _, h in rows}
-    for i, r in out.items():
-        last = max(j for j in html if html[j] == html[i])
-        assert r["response"]["type"] == ("response" if i == last else "revisit")
-        stored = r["response"] if i == last else r["original"]
-        assert stored["digest"] == base64.b32encode(hashlib.sha1(html[i]).digest()).decode() and stored["payload_bytes"] == len(html[i])
-        if i == last:
-            assert bytes(r["response"]["payload"]) == html[i]
-        else:
-            assert r["original"]["page_id"] == last
+    rows = [(1, "http://a/x", "same"), (2, "http://b", "same"), (3, None, None), (4, "http://c\r\nX: y", ""), (5, "http://d/ü?q=1", "p\r\n\r\nWARC/1.1\r\n\r\nü\r\n" * 3), (6, "http://e", "z" * 300_000), (6, "http://e", "z" * 300_000)]
+    rows += [(1, "http://b/y", "same"), (1, "http://a/x", "same"), (None, None, None), (None, None, None), (None, "http://n", "only nulls"), (None, "http://n", "only nulls"), (7, "http://f", "\r\n"), (8, "http://g", "\r\n\r\n\r\n")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("digest", F.lit(1)).withColumn("row", F.lit(1)).withColumn("salt", F.lit(1))
+    got = []
+    for r in warc.captures(pages, with_payload=True).collect():
+        stored = r["response"] if r["response"]["type"] == "response" else r["original"]
+        if r["response"]["type"] == "response":
+            raw = bytes(r["response"]["payload"])
+            assert r["original"] is None and base64.b32encode(hashlib.sha1(raw).digest()).decode() == stored["digest"] and len(raw) == stored["payload_bytes"]
         assert len(r["requests"]) == 1 and len(r["metadata"]) == 1
+        got.append((r["page_id"], r["response"]["target"], stored["payload_bytes"], stored["digest"], r["response"]["type"], r["original"] and r["original"]["page_id"]))
+    want = []
+    for i, url, html in rows:
+        raw = (html or "").encode()
+        last = max((j for j, _, h in rows if (h or "") == (html or "")), key=lambda j: -1 if j is None else j)
+        target = (url or "").replace("\r\n", " ")
+        want.append((i, target, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if i == last else "revisit", None if i == last else last))
+    assert sorted(got, key=str) == sorted(want, key=str)
     assert warc.captures(pages.limit(0)).count() == 0
 
 

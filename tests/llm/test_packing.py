@@ -53,6 +53,13 @@ def test_packing_is_valid_and_near_the_bound(spark):
     assert bins <= packing.dual_bound(np.array([r[3] for r in rows]), 4096) + 2
 
 
+def test_repeated_rows_and_null_ids_are_dealt_like_others(spark):
+    rows = [(None, 0, 0, 1500, 5)] * 900 + [(9_007_199_254_740_993, 0, 0, 1300, 6)] * 900
+    out = packing.pack(spark.createDataFrame(rows, packing.PIECES), per_group=200).collect()
+    assert valid(out, 4096) <= len(packing.best_fit_decreasing(np.array([r[3] for r in rows]), 4096)[1]) + 9
+    assert sum(r["doc_id"] is None for r in out) == 900 and sum(r["doc_id"] == 9_007_199_254_740_993 for r in out) == 900
+
+
 def test_bound_never_exceeds_the_optimum():
     rnd = random.Random(2)
 
