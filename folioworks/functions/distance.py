@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -14,17 +16,22 @@ from .text import collapse, normalise_for_comparison
 GATE = 0.85
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def compute_cer(ref: Column, hyp: Column) -> Column:
     """Character error rate of one pair over collapsed texts; an empty reference gives 0 or 1."""
-    r, h = collapse(F.coalesce(ref, F.lit(""))), collapse(F.coalesce(hyp, F.lit("")))
-    return F.when(r == "", F.when(h == "", 0.0).otherwise(1.0)).otherwise(F.round(F.levenshtein(r, h) / F.length(r), 4))
+    pair = F.struct(collapse(F.coalesce(ref, F.lit(""))).alias("r"), collapse(F.coalesce(hyp, F.lit(""))).alias("h"))
+    return once(pair, lambda s: F.when(s["r"] == "", F.when(s["h"] == "", 0.0).otherwise(1.0)).otherwise(F.round(F.levenshtein(s["r"], s["h"]) / F.length(s["r"]), 4)))
 
 
 def character_agreement(a: Column, b: Column, composed: bool = False) -> Column:
     """1 - distance over the longer text; 0 when both are empty."""
-    x, y = normalise_for_comparison(a, composed), normalise_for_comparison(b, composed)
-    longest = F.greatest(F.length(x), F.length(y))
-    return F.when(longest == 0, 0.0).otherwise(1 - F.levenshtein(x, y) / longest)
+    longest = lambda s: F.greatest(F.length(s["x"]), F.length(s["y"]))
+    share = lambda s: F.when(longest(s) == 0, 0.0).otherwise(1 - F.levenshtein(s["x"], s["y"]) / longest(s))
+    return once(F.struct(normalise_for_comparison(a, composed).alias("x"), normalise_for_comparison(b, composed).alias("y")), share)
 
 
 def percent(x: Column, digits: int) -> Column:
@@ -33,9 +40,12 @@ def percent(x: Column, digits: int) -> Column:
 
 def agreement_gate(a: Column, b: Column, coverage: Column | None = None, threshold: float = GATE, composed: bool = False) -> Column:
     """struct<agreement, threshold, passed, method_b_coverage, status, reason>; the rounded agreement meets the threshold."""
-    agreement = F.round(character_agreement(a, b, composed), 4)
-    passed = agreement >= threshold
     coverage = F.lit(None).cast("double") if coverage is None else coverage
+    return once(F.round(character_agreement(a, b, composed), 4), lambda agreement: _verdict(agreement, coverage, threshold))
+
+
+def _verdict(agreement: Column, coverage: Column, threshold: float) -> Column:
+    passed = agreement >= threshold
     limit = f" (threshold {threshold:.0%})"
     low = F.when(coverage < threshold, F.concat(F.lit(" Method B dictionary covered "), percent(coverage, 1), F.lit(" of words, which may explain part of the gap."))).otherwise("")
     reason = F.when(passed, F.concat(F.lit("Methods A and B agree at "), percent(agreement, 1), F.lit(limit + "."))).otherwise(
@@ -62,6 +72,32 @@ def _lcs(a, b) -> int:
     return int(row[-1])
 
 
+GRAM_HITS = "array<struct<n:int,hit:bigint,hyp:bigint,ref:bigint>>"
+
+
+def gram_counts(hyp: Column, ref: Column, orders: int) -> Column:
+    """Per order n: how many n-grams of ``hyp`` and ``ref`` there are, and how many of ``hyp`` hit, each at most as often as
+    ``ref`` has it. Both are texts (grams of characters) or arrays of tokens; nulls have none."""
+
+    def grams(x, n: int) -> Counter:
+        return Counter(x[i : i + n] for i in range(len(x) - n + 1))
+
+    @pandas_udf(GRAM_HITS)
+    def count(hyps: pd.Series, refs: pd.Series) -> pd.Series:
+        out = []
+        for h, r in zip(hyps, refs):
+            h, r = (() if x is None else x if isinstance(x, str) else tuple(x) for x in (h, r))
+            rows = []
+            for n in range(1, orders + 1):
+                a, b = grams(h, n), grams(r, n)
+                hit = sum(min(k, b[g]) for g, k in a.items() if g in b)
+                rows.append({"n": n, "hit": hit, "hyp": max(0, len(h) - n + 1), "ref": max(0, len(r) - n + 1)})
+            out.append(rows)
+        return pd.Series(out)
+
+    return count(hyp, ref)
+
+
 @pandas_udf(LongType())
 def lcs_chars(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs(x or "", y or "") for x, y in zip(a, b)])

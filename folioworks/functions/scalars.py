@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapse
+from .text import collapse, strip
 
 KNOWLEDGE_FIELDS = ("people", "places", "dates", "organizations", "themes", "key_claims")
+#: Fixed sentences of the routing label.
+SHORT_LABEL = "Short snippet (%d words) — skipping summary agent"
+FULL_LABEL = "Full article (%d words) — running all 4 agents"
 TERMINAL = ("completed", "needs_review", "failed")
 GATE_STAGE_STATUS = {"passed": "completed", "flagged": "needs_review", "skipped": "skipped"}
 
@@ -55,7 +58,7 @@ def validate_knowledge(text: Column, fields: tuple = KNOWLEDGE_FIELDS) -> Column
     kind = {f: F.schema_of_variant(parts[f]) for f in fields}
     present = F.coalesce(F.json_object_keys(F.when(value.isNotNull(), raw)), F.array().cast("array<string>"))
     listed = {f: F.when(kind[f] == "STRING", F.array(F.try_variant_get(value, f"$.{f}", "string"))).otherwise(F.try_variant_get(value, f"$.{f}", "array<string>")) for f in fields}
-    clean = {f: F.filter(F.transform(F.coalesce(listed[f], F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "") for f in fields}
+    clean = {f: F.filter(F.transform(F.coalesce(listed[f], F.array().cast("array<string>")), strip), lambda x: x != "") for f in fields}
     missing = F.array_except(F.array(*map(F.lit, fields)), present)
     wrong = F.array_compact(F.array(*[F.when(~kind[f].isin("STRING", "ARRAY<STRING>", "ARRAY<VOID>"), f) for f in fields]))
     reason = (
@@ -74,14 +77,40 @@ def message_text(response: Column) -> Column:
     kind = F.schema_of_variant(content)
     items = F.try_variant_get(content, "$", "array<variant>")
     joined = F.array_join(F.transform(items, lambda i: F.coalesce(F.try_variant_get(i, "$.text", "string"), F.when(F.schema_of_variant(i) == "STRING", F.try_variant_get(i, "$", "string")), F.lit(""))), "")
-    text = F.trim(F.when(kind == "STRING", F.try_variant_get(content, "$", "string")).when(F.startswith(kind, F.lit("ARRAY")), joined).otherwise(""))
+    text = strip(F.when(kind == "STRING", F.try_variant_get(content, "$", "string")).when(F.startswith(kind, F.lit("ARRAY")), joined).otherwise(""))
     none = F.try_variant_get(value, "$.choices[0]", "variant").isNull()
     error = F.when(none, "no_choices").when((F.coalesce(text, F.lit("")) == "") & (finish == "length"), "length_limit").when(F.coalesce(text, F.lit("")) == "", "empty")
     return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"))
 
 
 def is_empty(text: Column) -> Column:
-    return text.isNull() | (F.trim(text) == "")
+    """Null or nothing but white space of any kind."""
+    return text.isNull() | (strip(text) == "")
+
+
+def is_empty_list(items: Column) -> Column:
+    """The same for arrays and maps: null or without members."""
+    return items.isNull() | (F.size(items) == 0)
+
+
+def iso_seconds(ts: Column) -> Column:
+    """A timestamp as ISO text with seconds and zone."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def elapsed(started: Column, finished: Column) -> Column:
+    """Seconds from start to finish, 2 digits; null while one is missing."""
+    return F.round((F.unix_micros(finished) - F.unix_micros(started)) / 1e6, 2)
+
+
+def low_confidence(confidence: Column, threshold: Column | float) -> Column:
+    """Null without a score, else whether it is below the threshold."""
+    return F.when(confidence.isNotNull(), confidence < threshold)
+
+
+def preview(text: Column, lines: int) -> Column:
+    """The first lines of a text."""
+    return F.array_join(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, lines), "\n")
 
 
 def fallback(*texts: Column) -> Column:
@@ -93,23 +122,22 @@ def route(text: Column, least_words: int = 10) -> Column:
     """struct<word_count, summarise, label>: short texts skip the summary."""
     clean = collapse(F.coalesce(text, F.lit("")))
     n = F.when(clean == "", 0).otherwise(F.size(F.split(clean, " ")))
-    label = F.when(n < least_words, F.format_string("summary skipped (%d words)", n)).otherwise(F.format_string("all stages (%d words)", n))
+    label = F.when(n < least_words, F.format_string(SHORT_LABEL, n)).otherwise(F.format_string(FULL_LABEL, n))
     return F.struct(n.alias("word_count"), (n >= least_words).alias("summarise"), label.alias("label"))
 
 
 def input_status(text: Column, pages: Column, size: Column, file_type: Column, most_chars: int, most_pages: int, most_bytes: int) -> Column:
     """The status an input is refused with, or null."""
     return (
-        F.when(file_type.isNull(), 400).when(size > most_bytes, 413).when(pages > most_pages, 413).when(is_empty(text), 422).when(F.length(text) > most_chars, 413)
+        F.when(file_type.isNull(), 400).when(size > most_bytes, 413).when(pages > most_pages, 413).when(F.length(text) > most_chars, 413).when(is_empty(text), 400)
     ).cast("int")
 
 
 def file_type(content: Column) -> Column:
-    """pdf, png, jpeg, tiff or webp by the leading bytes, else null."""
-    head = F.hex(F.substring(content, 1, 12))
+    """pdf, png or jpg by the leading bytes, else null."""
+    head = F.hex(F.substring(content, 1, 8))
     return (
-        F.when(F.startswith(head, F.lit("25504446")), "pdf").when(F.startswith(head, F.lit("89504E470D0A1A0A")), "png").when(F.startswith(head, F.lit("FFD8FF")), "jpeg")
-        .when(F.startswith(head, F.lit("49492A00")) | F.startswith(head, F.lit("4D4D002A")), "tiff").when(F.startswith(head, F.lit("52494646")) & (F.substring(head, 17, 8) == "57454250"), "webp")
+        F.when(F.startswith(head, F.lit("255044462D")), "pdf").when(F.startswith(head, F.lit("89504E470D0A1A0A")), "png").when(F.startswith(head, F.lit("FFD8FF")), "jpg")
     )
 
 

@@ -175,10 +175,31 @@ def parse_saved_text(content: Column) -> Column:
     return F.struct(body.alias("text"), F.map_from_entries(last).alias("metadata"))
 
 
-def infer_provider(metadata: Column, file_name: Column, content: Column, known: tuple = ("kraken", "tesseract", "trocr"), default: str = "unknown") -> Column:
-    """The provider that metadata names, else one whose name is in the file name, else in the content, else the default."""
-    picks = [F.when(F.contains(F.lower(source), F.lit(k)), k) for source in (file_name, content) for k in known]
-    return F.coalesce(F.nullif(F.lower(F.trim(F.coalesce(metadata["provider"], metadata["ocr_provider"]))), F.lit("")), *picks, F.lit(default))
+#: Fixed values: (mark, provider) by what a file name or a text contains, the first that fits; and what is left.
+NAME_MARKS = (("qwen", "qwen-fixture"), ("kraken", "kraken-fixture"), ("tesseract", "tesseract"), ("ocr_output", "tesseract"))
+CONTENT_MARKS = (("jawi llm-ocr result (qwen)", "qwen-fixture"), ("jawi llm-ocr result (kraken)", "kraken-fixture"), ("jawi ocr result", "tesseract"))
+NO_PROVIDER = "text-fixture"
+
+
+def infer_provider(metadata: Column, file_name: Column, content: Column, default: str = NO_PROVIDER) -> Column:
+    """The provider that metadata names, else what the file name tells, else the content, else the default."""
+    picks = [F.when(F.contains(F.lower(source), F.lit(mark)), name) for source, marks in ((file_name, NAME_MARKS), (content, CONTENT_MARKS)) for mark, name in marks]
+    return F.coalesce(F.lower(metadata["provider"]), *picks, F.lit(default))
+
+
+def normalise_output(text: Column) -> Column:
+    """NFC, and white space collapsed; nothing else changes."""
+    return collapse(unicode_normalise(F.coalesce(text, F.lit("")), "NFC"))
+
+
+def safe_name(text: Column, default: str = "document") -> Column:
+    """A document name that is safe as a file name: runs of other characters than letters, digits, dots and hyphens become ``_``."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}.\-]+", "_"), "^[._]+|[._]+$", ""), F.lit("")), F.lit(default))
+
+
+def distinct_in_order(items: Column) -> Column:
+    """Stripped members without blanks, each once, where it comes first."""
+    return F.array_distinct(F.filter(F.transform(items, strip), lambda x: x != ""))
 
 
 def spreadsheet_id(url: Column) -> Column:

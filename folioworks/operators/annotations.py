@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cell_lines, script_fraction
+from ..functions.text import cell_lines, script_fraction, strip
 
 
 def latest_annotation(annotations: Column) -> Column:
@@ -48,7 +48,7 @@ def join_regions(boxes: DataFrame, texts: DataFrame, keys: list[str]) -> DataFra
 
 def untexted_boxes(lines: DataFrame, page: list[str]) -> DataFrame:
     """Per page: lines, boxes without text, and whether the page is incomplete."""
-    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    blank = strip(F.coalesce("text", F.lit(""))) == ""
     return lines.groupBy(*page).agg(F.count(F.lit(1)).alias("lines"), F.count_if(blank).alias("untexted"), F.max(blank).alias("incomplete"))
 
 
@@ -87,7 +87,7 @@ def truth_column(cells: DataFrame, article: str = "article_id", sample: int = 8,
     rows = cells.filter(F.col("row").between(1, sample))
     counts = rows.groupBy(article).agg(F.countDistinct("row").alias("n"))
     share = script_fraction(F.col("value"), block) if block else script_fraction(F.col("value"))
-    filled = rows.filter(F.trim("value") != "").groupBy(article, "col").agg(F.count(F.lit(1)).alias("k"), F.avg(share).alias("share"))
+    filled = rows.filter(strip(F.col("value")) != "").groupBy(article, "col").agg(F.count(F.lit(1)).alias("k"), F.avg(share).alias("share"))
     fit = filled.join(counts, article).filter((F.col("k") >= F.greatest(F.lit(2), F.floor(F.col("n") / 2))) & (F.col("share") > 0.5))
     best = fit.groupBy(article).agg(F.max("col").alias("truth_col"))
     checked = counts.select(article).join(best, article, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import centre_box
-from ..functions.text import LABEL_MAP, SPECIAL_LETTERS
+from ..functions.text import LABEL_MAP, SPECIAL_LETTERS, strip
 
 
 def split_articles(articles: DataFrame, test: DataFrame, key: str = "article_id", val_share: float = 0.12, seed: int = 0) -> DataFrame:
@@ -77,7 +77,7 @@ def label_fixes(lines: DataFrame, rules: tuple = LABEL_MAP, text: str = "text")
 def words_to_lines(words: DataFrame, keys: list[str]) -> DataFrame:
     """OCR words grouped to lines: text in order, bounding box, mean confidence / 100 to 4 digits. Blank words and
     layout rows (negative confidence) go."""
-    used = words.filter((F.trim("text") != "") & (F.col("conf") >= 0))
+    used = words.filter((strip(F.col("text")) != "") & (F.col("conf") >= 0))
     return used.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda w: w["text"]), " ").alias("text"),
         F.min("left").alias("left"), F.min("top").alias("top"), (F.max(F.col("left") + F.col("width")) - F.min("left")).alias("width"), (F.max(F.col("top") + F.col("height")) - F.min("top")).alias("height"), F.round(F.avg("conf") / 100, 4).alias("confidence"),
@@ -105,7 +105,7 @@ def article_totals(lines: DataFrame) -> DataFrame:
 
 def exported_pairs(lines: DataFrame) -> DataFrame:
     """Lines with text per article and in all (article null)."""
-    return lines.filter(F.trim(F.coalesce("text", F.lit(""))) != "").rollup("article_id").agg(F.count(F.lit(1)).alias("pairs"))
+    return lines.filter(strip(F.coalesce("text", F.lit(""))) != "").rollup("article_id").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def label_length(lines: DataFrame, text: str = "text", spare: int = 8, most: int = 512) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import lcs_words, similarity_ratio, source_errors
+from ..functions.distance import gram_counts, lcs_words, similarity_ratio, source_errors
 from ..functions.scalars import safe_ratio
 from ..functions.text import SPECIAL_LETTERS, normalise_entity
 
@@ -21,7 +21,8 @@ def paired(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
 
 def corpus_cer(pairs: DataFrame, by: str | None = None) -> DataFrame:
     """Edits over reference characters: per ``by`` value and over all (null), as sums and never as a mean of ratios."""
-    rows = pairs.withColumn("edits", F.levenshtein("ref", "hyp").cast("long")).withColumn("chars", F.length("ref").cast("long"))
+    r, h = F.coalesce("ref", F.lit("")), F.coalesce("hyp", F.lit(""))  # a text that is missing is an empty one
+    rows = pairs.withColumn("edits", F.levenshtein(r, h).cast("long")).withColumn("chars", F.length(r).cast("long"))
     grouped = rows.rollup(by) if by else rows.groupBy()
     out = grouped.agg(F.sum("edits").alias("edits"), F.sum("chars").alias("chars"))
     cer = F.col("edits") / F.greatest(F.lit(1), "chars")
@@ -62,19 +63,9 @@ def rubric_summary(ratings: DataFrame, scales: tuple = ("adequacy", "fluency"))
     return ratings.agg(F.count(F.lit(1)).alias("ratings"), F.countDistinct("item_id").alias("items"), F.array_join(F.sort_array(F.collect_set("rater")), ",").alias("raters"), *stats)
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    """The n-grams of an array, each as one string."""
-    last = F.size(tokens) - (n - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), "\u0001"))).otherwise(F.array().cast("array<string>"))
-
-
 def gram_hits(pairs: DataFrame, key: str, hyp: Column, ref: Column, orders: int) -> DataFrame:
-    """(key, n, hit, hyp, ref): grams of each order per pair; a gram hits at most as often as the reference has it."""
-    one = lambda n, h, r: F.transform(_grams(h if r is None else r, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(1 if r is None else 0).alias("h"), F.lit(0 if r is None else 1).alias("r")))
-    toks = pairs.select(key, hyp.alias("h"), ref.alias("r"))
-    sides = F.concat(*[one(n, F.col("h"), None) for n in range(1, orders + 1)], *[one(n, None, F.col("r")) for n in range(1, orders + 1)])
-    counts = toks.select(key, F.explode(sides).alias("x")).groupBy(key, "x.n", "x.g").agg(F.sum("x.h").alias("h"), F.sum("x.r").alias("r"))
-    return counts.groupBy(key, "n").agg(F.sum(F.least("h", "r")).alias("hit"), F.sum("h").alias("hyp"), F.sum("r").alias("ref"))
+    """(key, n, hit, hyp, ref): grams of each order per pair. They are counted within the row, so only sums are shuffled."""
+    return pairs.select(key, F.explode(gram_counts(hyp, ref, orders)).alias("x")).select(key, "x.*")
 
 
 def tokens_13a(text: Column) -> Column:
@@ -92,27 +83,29 @@ def gram_sums(pairs: DataFrame, key: str, hyp: Column, ref: Column, orders: int)
 
 
 def corpus_bleu(pairs: DataFrame, orders: int = 4, key: str = "doc_id") -> DataFrame:
-    """BLEU over all pairs with exponential smoothing of empty orders."""
+    """BLEU over all pairs with exponential smoothing of orders without hits; 0 if nothing hits or no text is long enough for
+    an order."""
     s = gram_sums(pairs, key, tokens_13a(F.col("hyp")), tokens_13a(F.col("ref")), orders)
     logs, smooth = F.lit(0.0), F.lit(1.0)
     for n in range(1, orders + 1):
         empty = F.col(f"hit_{n}") == 0
         smooth = F.when(empty, smooth * 2).otherwise(smooth)
-        logs = logs + F.log(F.when(empty, 1 / (smooth * F.col(f"hyp_{n}"))).otherwise(F.col(f"hit_{n}") / F.col(f"hyp_{n}")))
-    brevity = F.when(F.col("hyp_1") < F.col("ref_1"), F.exp(1 - F.col("ref_1") / F.col("hyp_1"))).otherwise(1.0)
-    return s.select(F.round(100 * brevity * F.exp(logs / orders), 6).alias("bleu"), F.col("hyp_1").alias("hyp_len"), F.col("ref_1").alias("ref_len"), *[f"hit_{n}" for n in range(1, orders + 1)])
+        logs = logs + F.log(F.when(empty, F.try_divide(F.lit(1.0), smooth * F.col(f"hyp_{n}"))).otherwise(F.try_divide(f"hit_{n}", f"hyp_{n}")))
+    brevity = F.when(F.col("hyp_1") < F.col("ref_1"), F.exp(1 - F.try_divide("ref_1", "hyp_1"))).otherwise(1.0)
+    score = F.when((F.col(f"hyp_{orders}") > 0) & (F.col("hit_1") > 0), F.round(100 * brevity * F.exp(logs / orders), 6)).otherwise(0.0)
+    return s.select(score.alias("bleu"), F.col("hyp_1").alias("hyp_len"), F.col("ref_1").alias("ref_len"), *[f"hit_{n}" for n in range(1, orders + 1)])
 
 
 def corpus_chrf(pairs: DataFrame, orders: int = 6, beta: float = 2.0, key: str = "doc_id") -> DataFrame:
     """chrF over all pairs: precision and recall of each character order, averaged over the orders that occur."""
-    chars = lambda c: F.filter(F.split(F.regexp_replace(F.col(c), r"\s+", ""), ""), lambda x: x != "")
+    chars = lambda c: F.regexp_replace(F.col(c), r"\s+", "")
     s = gram_sums(pairs, key, chars("hyp"), chars("ref"), orders)
     used = [(F.col(f"hyp_{n}") > 0) & (F.col(f"ref_{n}") > 0) for n in range(1, orders + 1)]
     total = lambda xs: reduce(lambda a, b: a + b, xs)
     count = total([u.cast("int") for u in used])
-    mean = lambda den: total([F.when(u, F.col(f"hit_{n}") / F.col(f"{den}_{n}")).otherwise(0.0) for n, u in enumerate(used, 1)]) / count
+    mean = lambda den: total([F.when(u, F.try_divide(F.col(f"hit_{n}"), F.col(f"{den}_{n}"))).otherwise(0.0) for n, u in enumerate(used, 1)]) / F.nullif(count, F.lit(0))
     p, r = mean("hyp"), mean("ref")
-    score = F.when((count > 0) & (p + r > 0), (1 + beta**2) * p * r / (beta**2 * p + r)).otherwise(0.0)
+    score = F.when((count > 0) & (p + r > 0), (1 + beta**2) * p * r / F.nullif(beta**2 * p + r, F.lit(0.0))).otherwise(0.0)
     return s.select(F.round(100 * score, 6).alias("chrf"), *[f"hit_{n}" for n in range(1, orders + 1)])
 
 

@@ -69,6 +69,7 @@ def match_lines(pred: DataFrame, gold: DataFrame, page: list[str], threshold: fl
 
 def line_outcomes(pred: DataFrame, gold: DataFrame, page: list[str], threshold: float = IOU) -> DataFrame:
     """(page, kind, edits, gold_chars, longer, shorter, repeats, touches): matched pairs, extra and missed lines."""
+    pred, gold = (lines.withColumn("text", F.coalesce("text", F.lit(""))) for lines in (pred, gold))  # a line without text is empty
     pairs = match_lines(pred, gold, page, threshold)
     p, g = F.col("p.text"), F.col("g.text")
     longer = F.length(p) > LONG * F.length(g)
@@ -114,7 +115,8 @@ def error_breakdown(outcomes: DataFrame, page: list[str] | None = None) -> DataF
 
 
 def joined_text(lines: DataFrame, page: list[str], order: str, skip_empty: bool) -> DataFrame:
-    rows = lines.filter("text <> ''") if skip_empty else lines
+    rows = lines.withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.filter("text <> ''") if skip_empty else rows
     return rows.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 

@@ -8,13 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 PAGE_LINE = "document string, page int, ord int, text string, confidence double"
 
 
 def romanise_lines(texts: DataFrame, romanise: Callable[[list[str]], list[str]], key: str = "doc_id", text: str = "text", batch: int = 16) -> DataFrame:
     """Texts with ``romanised``: the callable gets non-blank lines in batches, blank lines stay where they are."""
     lines = texts.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("at", "line"))
-    filled, blank = lines.filter(F.trim("line") != ""), lines.filter(F.trim("line") == "")
+    filled, blank = lines.filter(strip(F.col("line")) != ""), lines.filter(strip(F.col("line")) == "")
     kind = dict(texts.dtypes)[key]
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:

@@ -1,13 +1,17 @@
-"""Reading order of page boxes: gap splits and gutters as window queries, the full order per page as a vectorised helper."""
+"""Reading order of page boxes: gap splits, gutters and cuts as window queries over all pages and regions at once."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, LongType
+
+from ..sources.store import new_folder
+
+#: Boxes from which two boxes may cross a gutter.
+CROWDED = 40
+#: How much of the narrower column a box takes that spans a gutter; how many times a line a headline is high; how many
+#: times a gutter an empty band across is wide that goes before it.
+SPANNING, TALL, WIDER = 0.25, 1.8, 1.5
 
 
 def _reach(page: list[str], lo: str, hi: str):
@@ -27,19 +31,21 @@ def widest_band(boxes: DataFrame, page: list[str], lo: str = "y1", hi: str = "y2
     return gaps.groupBy(*page).agg(F.min(F.struct((-F.col("gap")).alias("g"), F.col(lo).alias("at"), "idx")).alias("b")).select(*page, (-F.col("b.g")).alias("gap"), F.col("b.at").alias("at"), F.col("b.idx").alias("idx"))
 
 
-def gutters(boxes: DataFrame, page: list[str], least: float) -> DataFrame:
-    """Per page the best column gutter: the longest run of x positions that few boxes cover (1, or 2 from 40 boxes on),
-    emptier runs before longer ones, with two box centres or more on either side; an empty run may be of any width."""
-    whole = boxes.select(*page, F.floor("x1").cast("int").alias("a"), F.floor("x2").cast("int").alias("b"), ((F.col("x1") + F.col("x2")) / 2).alias("c"))
-    sizes = whole.groupBy(*page).agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("end"))
+def gutters(boxes: DataFrame, page: list[str], least) -> DataFrame:
+    """Per page the best column gutter: the longest run of x positions that few boxes cover (1, or 2 from ``CROWDED`` boxes
+    on), emptier runs before longer ones, with two box centres or more on either side; an empty run may be of any width.
+    ``least`` is a number or a column that is the same for all boxes of a page."""
+    least = least if isinstance(least, Column) else F.lit(float(least))
+    whole = boxes.select(*page, F.floor("x1").cast("int").alias("a"), F.floor("x2").cast("int").alias("b"), ((F.col("x1") + F.col("x2")) / 2).alias("c"), least.alias("least"))
+    sizes = whole.groupBy(*page).agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("end"), F.max("least").alias("least"))
     steps = whole.select(*page, F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("d")), F.struct((F.col("b") + 1).alias("x"), F.lit(-1).alias("d")))).alias("s")).groupBy(*page, "s.x").agg(F.sum("s.d").alias("d"))
     w = Window.partitionBy(*page).orderBy("x")
     levels = steps.select(*page, "x", F.sum("d").over(w).alias("cover"), F.lead("x").over(w).alias("to")).filter("to is not null").join(sizes, page).filter("n >= 4")
     levels = levels.withColumn("to", F.least(F.col("to"), F.col("end") + 1))
-    thin = levels.withColumn("thin", F.col("cover") <= F.when(F.col("n") < 40, 1).otherwise(2))
-    runs = thin.withColumn("run", F.sum((~F.col("thin")).cast("int")).over(w)).filter("thin").groupBy(*page, "run").agg(F.min("x").alias("lo"), F.max("to").alias("hi"), F.min("cover").alias("cover"))
-    runs = runs.filter((F.col("hi") - F.col("lo")) >= F.when(F.col("cover") == 0, 1.0).otherwise(least))
-    sides = runs.join(whole.select(*page, "c"), page).withColumn("left", F.col("c") < (F.col("lo") + F.col("hi")) / 2)
+    thin = levels.withColumn("thin", F.col("cover") <= F.when(F.col("n") < CROWDED, 1).otherwise(2))
+    runs = thin.withColumn("run", F.sum((~F.col("thin")).cast("int")).over(w)).filter("thin").groupBy(*page, "run", "least").agg(F.min("x").alias("lo"), F.max("to").alias("hi"), F.min("cover").alias("cover"))
+    runs = runs.filter((F.col("hi") - F.col("lo")) >= F.when(F.col("cover") == 0, 1.0).otherwise(F.col("least")))
+    sides = runs.drop("least").join(whole.select(*page, "c"), page).withColumn("left", F.col("c") < (F.col("lo") + F.col("hi")) / 2)
     kept = sides.groupBy(*page, "lo", "hi", "cover").agg(F.count_if("left").alias("left"), F.count_if(~F.col("left")).alias("right")).filter("left >= 2 and right >= 2")
     return kept.groupBy(*page).agg(F.min(F.struct("cover", (F.col("lo") - F.col("hi")).alias("w"), "lo", "hi")).alias("g")).select(*page, F.col("g.lo").alias("lo"), F.col("g.hi").alias("hi"), F.col("g.cover").alias("cover"))
 
@@ -50,162 +56,160 @@ def fixed_columns(boxes: DataFrame, page: list[str], middle) -> DataFrame:
     return boxes.withColumn("place", F.row_number().over(Window.partitionBy(*page).orderBy(left, (F.col("y1") + F.col("y2")) / 2, "idx")))
 
 
-# --- per-page helpers; a page's boxes are an array of x1, y1, x2, y2
-
+# --- orders and choices that need rounds: each round is a handful of joins and windows over all pages at once
 
-def keep_uncontained(b: np.ndarray, conf: np.ndarray, most: float = 0.6) -> np.ndarray:
-    """Positions that stay when boxes mostly inside a surer one go."""
-    size = np.maximum(1e-6, (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]))
-    kept: list[int] = []
-    for i in np.argsort(-conf, kind="stable").tolist():
-        k = np.array(kept, dtype=int)
-        w = np.clip(np.minimum(b[i, 2], b[k, 2]) - np.maximum(b[i, 0], b[k, 0]), 0, None)
-        h = np.clip(np.minimum(b[i, 3], b[k, 3]) - np.maximum(b[i, 1], b[k, 1]), 0, None)
-        if not (w * h / np.minimum(size[i], size[k]) > most).any():
-            kept.append(i)
-    return np.array(kept, dtype=int)
 
+def _kept(df: DataFrame) -> DataFrame:
+    path = new_folder(df.sparkSession, "order")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def _per_page(boxes: DataFrame, page: list[str], order, extra: str | None = None) -> DataFrame:
-    """One row per page: its boxes in idx order as an array, and ``order`` of their coordinates (and an extra column) as positions."""
-    rest = [c for c in boxes.columns if c not in (*page, "idx")]
-    rows = boxes.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("idx", *rest))).alias("b"))
-    parts = [F.col(f"b.{c}").cast("array<double>") for c in ("x1", "y1", "x2", "y2", *([extra] if extra else []))]
 
-    @pandas_udf(ArrayType(LongType()))
-    def run(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series, more: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(order(np.column_stack(c[:4]).astype(float), c[4]), dtype=np.int64) for c in zip(x1, y1, x2, y2, more)])
-
-    placed = rows.withColumn("o", run(*parts, *([] if extra else [parts[0]])))
-    out = placed.select(*page, "b", F.posexplode("o").alias("place", "at")).select(*page, F.get("b", F.col("at").cast("int")).alias("b"), F.col("place").cast("long").alias("place"))
-    return out.select(*[F.col(c) if c in page else F.col(f"b.{c}").alias(c) for c in boxes.columns], "place")
+def _pairs(boxes: DataFrame, page: list[str], columns: list[str]) -> DataFrame:
+    """Pairs of different boxes of a page, as structs p and q."""
+    side = lambda n: boxes.select(*page, F.struct(*columns).alias(n))
+    return side("p").join(side("q"), page).filter("p.idx <> q.idx")
 
 
 def suppress_contained(boxes: DataFrame, page: list[str], most: float = 0.6) -> DataFrame:
-    return _per_page(boxes, page, lambda b, conf: keep_uncontained(b, np.asarray(conf), most), "conf").drop("place")
-
-
-class PageOrder:
-    """Right-to-left order of one page's boxes by recursive cuts at gutters and empty bands."""
-
-    def __init__(self, b: np.ndarray, least_x: float, least_y: float = 1.0):
-        self.b, self.least_x, self.least_y = b, least_x, least_y
-        self.mid_x, self.mid_y = (b[:, 0] + b[:, 2]) / 2, (b[:, 1] + b[:, 3]) / 2
-        self.line = float(np.median(b[:, 3] - b[:, 1])) if len(b) else 0.0
-
-    def rows(self, at: list[int]) -> list[int]:
-        """Boxes whose middle is at the height of a row's first box are of that row; rows downwards, boxes leftwards."""
-        rows: list[list[int]] = []
-        for i in sorted(at, key=lambda i: self.mid_y[i]):
-            row = next((r for r in rows if self.b[r[0], 1] <= self.mid_y[i] <= self.b[r[0], 3]), None)
-            rows.append([i]) if row is None else row.append(i)
-        return [i for r in rows for i in sorted(r, key=lambda i: -self.mid_x[i])]
-
-    def gutter(self, at: list[int]):
-        """(lo, hi) of the best gutter among these boxes, or None."""
-        if len(at) < 4:
-            return None
-        left, right = self.b[at, 0].astype(int), self.b[at, 2].astype(int)
-        start, cover = left.min(), np.zeros(right.max() - left.min() + 3, dtype=int)
-        np.add.at(cover, left - start, 1)
-        np.add.at(cover, right - start + 1, -1)
-        cover = np.cumsum(cover)[: right.max() + 1 - start]
-        edge = np.diff(np.r_[0, (cover <= (1 if len(at) < 40 else 2)).astype(int), 0])
-        found = []
-        for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-            low, cut = int(cover[i:j].min()), start + (i + j) / 2
-            on_left = int((self.mid_x[at] < cut).sum())
-            if j - i >= (1 if low == 0 else self.least_x) and min(on_left, len(at) - on_left) >= 2:
-                found.append((low, i - j, start + i, start + j))
-        return min(found)[2:] if found else None
-
-    def spans(self, i: int, gutter, lo: float, hi: float) -> bool:
-        """A quarter of the narrower column or more on both sides of the gutter."""
-        need = 0.25 * min(gutter[0] - lo, hi - gutter[1])
-        return bool(self.b[i, 0] <= gutter[0] - need and self.b[i, 2] >= gutter[1] + need)
-
-    def band(self, at: list[int], gutter):
-        """(above, below, gap) at the widest empty band; beside a gutter only one next to a box that spans it."""
-        order = sorted(at, key=lambda i: self.b[i, 1])
-        lo, hi = self.b[at, 0].min(), self.b[at, 2].max()
-        best, deepest = None, order[0]
-        for k, i in enumerate(order[1:], 1):
-            gap = self.b[i, 1] - self.b[deepest, 3]
-            if gap > 0 and (best is None or gap > best[1]) and (gutter is None or self.spans(deepest, gutter, lo, hi) or self.spans(i, gutter, lo, hi)):
-                best = (k, gap)
-            if self.b[i, 3] > self.b[deepest, 3]:
-                deepest = i
-        return None if best is None else (order[: best[0]], order[best[0] :], best[1])
-
-    def bands(self, at: list[int]) -> list[list[int]]:
-        order, groups, reach = sorted(at, key=lambda i: self.b[i, 1]), [], -np.inf
-        for i in order:
-            if not groups or self.b[i, 1] - reach >= self.least_y:
-                groups.append([])
-            groups[-1].append(i)
-            reach = max(reach, self.b[i, 3]) if len(groups[-1]) > 1 else self.b[i, 3]
-        return groups
-
-    def cut(self, at: list[int], depth: int = 0) -> list[int]:
-        if len(at) <= 1 or depth > 60:
-            return self.rows(at)
-        gutter = self.gutter(at)
-        band = self.band(at, gutter)
-        if band and (gutter is None or band[2] > 1.5 * (gutter[1] - gutter[0])):
-            parts = list(band[:2])
-        elif gutter:
-            middle = sum(gutter) / 2
-            parts = [[i for i in at if self.mid_x[i] >= middle], [i for i in at if self.mid_x[i] < middle]]
-        else:
-            parts = self.bands(at)
-        return self.rows(at) if len(parts) == 1 else [i for p in parts for i in self.cut(p, depth + 1)]
-
-    def page_number(self) -> int | None:
-        """The lowest box, if it is short and below all others."""
-        if len(self.b) < 2:
-            return None
-        k = int(self.b[:, 1].argmax())
-        others = np.delete(self.b[:, 3], k).max()
-        return k if self.b[k, 2] - self.b[k, 0] <= 2 * self.line and self.b[k, 1] >= others - 0.25 * self.line else None
-
-    def headlines(self, at: list[int]) -> list[int]:
-        """Tall or gutter-spanning boxes in the top third, with no ordinary text above them."""
-        if len(at) < 3:
-            return []
-        line = float(np.median(self.b[at, 3] - self.b[at, 1]))
-        top, bottom, lo, hi = self.b[at, 1].min(), self.b[at, 3].max(), self.b[at, 0].min(), self.b[at, 2].max()
-        gutter = self.gutter(at)
-        heads = [i for i in at if self.b[i, 1] <= top + (bottom - top) / 3 and (self.b[i, 3] - self.b[i, 1] >= 1.8 * line or (gutter is not None and self.spans(i, gutter, lo, hi)))]
-        while True:
-            text = [j for j in at if j not in heads]
-            under = [i for i in heads if any(self.b[j, 3] <= self.b[i, 1] + 0.5 * line and min(self.b[i, 2], self.b[j, 2]) > max(self.b[i, 0], self.b[j, 0]) for j in text)]
-            if not under:
-                return heads
-            heads = [i for i in heads if i not in under]
-
-    def order(self) -> list[int]:
-        number = self.page_number()
-        at = [i for i in range(len(self.b)) if i != number]
-        heads = self.headlines(at)
-        rest = [i for i in at if i not in heads]
-        return self.rows(heads) + (self.cut(rest) if rest else []) + ([] if number is None else [number])
-
-
-def reading_order(boxes: DataFrame, page: list[str], width: str = "page_width", share: float = 0.008) -> DataFrame:
-    """Boxes with ``place``, their position in reading order (from 0); ties by idx."""
-    return _per_page(boxes, page, lambda b, w: PageOrder(b, share * w[0]).order(), width)
+    """Boxes that are not mostly inside a surer one that stays: of any two that share more than ``most`` of the smaller
+    area the surer (ties: the first) stays, unless it goes itself.
+
+    Each round settles the boxes all of whose surer rivals are settled.
+    """
+    area = lambda b: F.greatest(F.lit(1e-6), (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]))
+    p, q = F.col("p"), F.col("q")
+    inter = F.greatest(F.lit(0.0), F.least(p["x2"], q["x2"]) - F.greatest(p["x1"], q["x1"])) * F.greatest(F.lit(0.0), F.least(p["y2"], q["y2"]) - F.greatest(p["y1"], q["y1"]))
+    surer = (p["conf"] > q["conf"]) | ((p["conf"] == q["conf"]) & (p["idx"] < q["idx"]))
+    rivals = _pairs(boxes, page, ["idx", "x1", "y1", "x2", "y2", "conf"]).filter(surer & (inter / F.least(area(p), area(q)) > most))
+    rivals = _kept(rivals.select(*page, F.col("p.idx").alias("by"), F.col("q.idx").alias("idx")))
+    open_ = _kept(rivals.select(*page, "idx").distinct())
+    gone = boxes.select(*page, "idx").limit(0)
+    while not open_.isEmpty():
+        waits = rivals.join(open_.withColumnRenamed("idx", "by"), [*page, "by"], "left_semi").select(*page, "idx")
+        ready = open_.join(waits, [*page, "idx"], "left_anti")
+        stays = rivals.join(gone.withColumnRenamed("idx", "by"), [*page, "by"], "left_anti").select(*page, "idx").distinct()
+        ready = _kept(ready)
+        gone = _kept(gone.unionByName(ready.join(stays, [*page, "idx"], "left_semi")))
+        open_ = _kept(open_.join(ready, [*page, "idx"], "left_anti"))
+    return boxes.join(gone, [*page, "idx"], "left_anti")
 
 
-def columns_of(b: np.ndarray, _=None) -> np.ndarray:
-    """Columns are boxes tied by a horizontal overlap of half the narrower; right to left by mean centre, lines downwards."""
-    lo, hi, group = b[:, 0], b[:, 2], np.arange(len(b))
-    for i in range(len(b)):
-        inter = np.minimum(hi[i], hi) - np.maximum(lo[i], lo)
-        near = (inter > 0) & (inter / np.maximum(1e-6, np.minimum(hi[i] - lo[i], hi - lo)) >= 0.5)
-        group[np.isin(group, group[near])] = group[i]
-    centre = np.bincount(group, (lo + hi) / 2, minlength=len(b)) / np.maximum(1, np.bincount(group, minlength=len(b)))
-    return np.lexsort(((b[:, 1] + b[:, 3]) / 2, group, -centre[group]))
+def column_order(boxes: DataFrame, page: list[str]) -> DataFrame:
+    """Boxes with ``place``: columns are boxes tied by a horizontal overlap of half the narrower or more, directly or through
+    others; they go from right to left by their mean centre, lines downwards."""
+    p, q = F.col("p"), F.col("q")
+    inter = F.least(p["x2"], q["x2"]) - F.greatest(p["x1"], q["x1"])
+    tied = (inter > 0) & (inter / F.greatest(F.lit(1e-6), F.least(p["x2"] - p["x1"], q["x2"] - q["x1"])) >= 0.5)
+    ties = _kept(_pairs(boxes, page, ["idx", "x1", "x2"]).filter(tied).select(*page, F.col("p.idx").alias("idx"), F.col("q.idx").alias("other")))
+    labels = _kept(boxes.select(*page, "idx", F.col("idx").alias("label")))
+    while True:
+        near = ties.join(labels.withColumnRenamed("idx", "other"), [*page, "other"]).groupBy(*page, "idx").agg(F.min("label").alias("near"))
+        least = labels.join(near, [*page, "idx"], "left").select(*page, "idx", "label", F.least("label", F.coalesce("near", "label")).alias("to"))
+        own = least.select(*page, F.col("idx").alias("to"), F.col("to").alias("far"))  # what the label's own box is now labelled
+        moved = _kept(least.join(own, [*page, "to"]).select(*page, "idx", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("new")))
+        labels = moved.drop("new")
+        if moved.filter("new").isEmpty():
+            break
+    column = Window.partitionBy(*page, "label")
+    placed = boxes.join(labels, [*page, "idx"]).withColumn("_centre", F.avg((F.col("x1") + F.col("x2")) / 2).over(column))
+    order = Window.partitionBy(*page).orderBy(F.desc("_centre"), "label", (F.col("y1") + F.col("y2")) / 2, "idx")
+    return placed.withColumn("place", (F.row_number().over(order) - 1).cast("long")).drop("label", "_centre")
+
+
+def _spans(x1, x2, lo, hi, left, right):
+    """Whether a box from x1 to x2 takes ``SPANNING`` of the narrower column, or more, on both sides of the gutter lo to hi."""
+    need = SPANNING * F.least(lo - left, right - hi)
+    return F.coalesce((x1 <= lo - need) & (x2 >= hi + need), F.lit(False))
+
+
+def page_numbers(boxes: DataFrame, page: list[str]) -> DataFrame:
+    """(page, idx) of page numbers: the box that starts lowest, if it is no wider than two lines are high and no other box
+    ends more than a quarter of a line below its start."""
+    w = Window.partitionBy(*page)
+    lowest = F.max(F.struct("y1", (-F.col("idx")).alias("i"))).over(w)["i"] == -F.col("idx")
+    line = F.percentile(F.col("y2") - F.col("y1"), F.lit(0.5)).over(w)
+    rows = boxes.select(*page, "idx", "x1", "x2", "y1", "y2", lowest.alias("lowest"), line.alias("line"), F.count(F.lit(1)).over(w).alias("n"))
+    rows = rows.withColumn("others", F.max(F.when(~F.col("lowest"), F.col("y2"))).over(w))
+    return rows.filter(F.col("lowest") & (F.col("n") > 1) & (F.col("x2") - F.col("x1") <= 2 * F.col("line")) & (F.col("y1") >= F.col("others") - 0.25 * F.col("line"))).select(*page, "idx")
+
+
+def headlines(boxes: DataFrame, page: list[str], least) -> DataFrame:
+    """(page, idx) of headlines: boxes that start in the top third of a page of three boxes or more, and are ``TALL`` times
+    as high as its lines or span its gutter, unless text that is no headline stands above them."""
+    w = Window.partitionBy(*page)
+    rows = boxes.join(gutters(boxes, page, least).select(*page, F.col("lo").alias("g_lo"), F.col("hi").alias("g_hi")), page, "left")
+    rows = rows.select(*page, "idx", "x1", "x2", "y1", "y2", "g_lo", "g_hi", F.percentile(F.col("y2") - F.col("y1"), F.lit(0.5)).over(w).alias("line"), F.min("y1").over(w).alias("top"), F.max("y2").over(w).alias("bottom"), F.min("x1").over(w).alias("left"), F.max("x2").over(w).alias("right"), F.count(F.lit(1)).over(w).alias("n"))
+    high = (F.col("y1") <= F.col("top") + (F.col("bottom") - F.col("top")) / 3) & (F.col("n") >= 3)
+    large = (F.col("y2") - F.col("y1") >= TALL * F.col("line")) | _spans(F.col("x1"), F.col("x2"), F.col("g_lo"), F.col("g_hi"), F.col("left"), F.col("right"))
+    rows = _kept(rows.select(*page, "idx", "x1", "x2", "y1", "y2", "line", (high & large).alias("head")))
+    p, q = F.col("p"), F.col("q")  # p above q
+    above = (p["y2"] <= q["y1"] + 0.5 * q["line"]) & (F.least(p["x2"], q["x2"]) > F.greatest(p["x1"], q["x1"])) & q["head"]
+    covers = _kept(_pairs(rows, page, ["idx", "x1", "x2", "y1", "y2", "line", "head"]).filter(above).select(*page, F.col("p.idx").alias("by"), F.col("q.idx").alias("idx")))
+    heads = _kept(rows.filter("head").select(*page, "idx"))
+    while True:  # what text stands above is text itself
+        under = covers.join(heads.withColumnRenamed("idx", "by"), [*page, "by"], "left_anti").select(*page, "idx").distinct()
+        fewer = _kept(heads.join(under, [*page, "idx"], "left_anti"))
+        if fewer.count() == heads.count():
+            return fewer
+        heads = fewer
+
+
+def _cut(boxes: DataFrame, region: list[str], least) -> DataFrame:
+    """Boxes with ``part``, the number of their part of the region. A region is cut at the widest empty band across, if it
+    has no gutter or the band is ``WIDER`` times as wide; else at its gutter, the right side first; else at all bands.
+    Beside a gutter only bands next to a box that spans it count. A region that is not cut has the one part 0."""
+    whole, order = Window.partitionBy(*region), Window.partitionBy(*region).orderBy("y1", "idx")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = boxes.join(gutters(boxes, region, least).select(*region, F.col("lo").alias("g_lo"), F.col("hi").alias("g_hi")), region, "left")
+    rows = rows.withColumns({"_k": F.row_number().over(order), "_left": F.min("x1").over(whole), "_right": F.max("x2").over(whole)})
+    rows = rows.withColumn("_deep", F.max(F.struct("y2", (-F.col("_k")).alias("k"), "x1", "x2")).over(before))
+    gap = F.col("y1") - F.col("_deep.y2")
+    beside = [_spans(x1, x2, F.col("g_lo"), F.col("g_hi"), F.col("_left"), F.col("_right")) for x1, x2 in ((F.col("_deep.x1"), F.col("_deep.x2")), (F.col("x1"), F.col("x2")))]
+    counts = (gap > 0) & (F.col("g_lo").isNull() | beside[0] | beside[1])
+    rows = rows.withColumn("_band", F.max(F.when(counts, F.struct(gap.alias("gap"), (-F.col("_k")).alias("k")))).over(whole))
+    rows = rows.withColumn("_group", F.sum(F.coalesce((gap >= 1.0).cast("int"), F.lit(0))).over(order))
+    width = F.col("g_hi") - F.col("g_lo")
+    across = F.coalesce(F.col("_band.gap").isNotNull() & (F.col("g_lo").isNull() | (F.col("_band.gap") > WIDER * width)), F.lit(False))
+    left_side = ((F.col("x1") + F.col("x2")) / 2 < (F.col("g_lo") + F.col("g_hi")) / 2).cast("int")
+    part = F.when(across, (F.col("_k") >= -F.col("_band.k")).cast("int")).when(F.col("g_lo").isNotNull(), left_side).otherwise(F.col("_group"))
+    return rows.withColumn("part", part.cast("int")).drop("g_lo", "g_hi", "_k", "_left", "_right", "_deep", "_band", "_group")
+
+
+def _rows(boxes: DataFrame, region: list[str]) -> DataFrame:
+    """Boxes with ``row``: from the top, a box is of the first row whose first box is as high as its middle, else a new one."""
+    columns = [c for c in boxes.columns if c not in region]
+    sorted_ = F.array_sort(F.collect_list(F.struct(((F.col("y1") + F.col("y2")) / 2).alias("_y"), F.col("idx").alias("_i"), F.struct(*columns).alias("b"))))
+    fits = lambda acc, x: F.filter(F.transform(acc["firsts"], lambda f, i: F.when((f["y1"] <= x["_y"]) & (x["_y"] <= f["y2"]), i)), lambda i: i.isNotNull())
+    start = F.struct(F.array().cast("array<struct<y1:double,y2:double>>").alias("firsts"), F.array().cast("array<int>").alias("rows"))
+
+    def step(acc, x):
+        row = F.coalesce(F.get(fits(acc, x), F.lit(0)), F.size(acc["firsts"]))
+        first = F.array(F.struct(x["b"]["y1"].cast("double").alias("y1"), x["b"]["y2"].cast("double").alias("y2")))
+        return F.struct(F.when(row == F.size(acc["firsts"]), F.concat(acc["firsts"], first)).otherwise(acc["firsts"]).alias("firsts"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+    folded = boxes.groupBy(*region).agg(sorted_.alias("s")).withColumn("r", F.aggregate("s", start, step)["rows"])
+    out = folded.select(*region, F.explode(F.arrays_zip("s", "r")).alias("z"))
+    return out.select(*region, *[F.col(f"z.s.b.{c}").alias(c) for c in columns], F.col("z.r").alias("row"))
 
 
-def column_order(boxes: DataFrame, page: list[str]) -> DataFrame:
-    return _per_page(boxes, page, columns_of)
+def reading_order(boxes: DataFrame, page: list[str], width: str = "page_width", share: float = 0.008) -> DataFrame:
+    """Boxes with ``place``, their position in right-to-left reading order (from 0): headlines, then the regions that cuts
+    leave, each in rows from the top and from the right, the page number last; ties by idx. A gutter that boxes cross must be
+    ``share`` of the page's width."""
+    least = F.col(width) * share
+    numbers = page_numbers(boxes, page).withColumn("_last", F.lit(True))
+    body = _kept(boxes.join(numbers, [*page, "idx"], "left").withColumn("_last", F.coalesce("_last", F.lit(False))))
+    heads = headlines(body.filter("not _last"), page, least).withColumn("_head", F.lit(True))
+    kind = F.when(F.col("_last"), 2).when(F.coalesce("_head", F.lit(False)), 0).otherwise(1)
+    body = body.join(heads, [*page, "idx"], "left").withColumn("_kind", kind).drop("_last", "_head").withColumn("_region", F.array(F.col("_kind")))
+    region = [*page, "_region"]
+    done, open_ = body.filter("_kind <> 1"), _kept(body.filter("_kind = 1"))
+    while not open_.isEmpty():
+        parts = _cut(open_, region, least).withColumn("_cut", F.max("part").over(Window.partitionBy(*region)) > 0)
+        parts = _kept(parts)
+        done = done.unionByName(parts.filter("not _cut").drop("part", "_cut"))
+        open_ = parts.filter("_cut").withColumn("_region", F.concat("_region", F.array("part"))).drop("part", "_cut")
+    placed = _rows(done, region)
+    order = Window.partitionBy(*page).orderBy("_region", "row", -(F.col("x1") + F.col("x2")), (F.col("y1") + F.col("y2")), "idx")
+    return placed.withColumn("place", (F.row_number().over(order) - 1).cast("long")).select(*boxes.columns, "place")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import GATE_STAGE_STATUS, TERMINAL, is_empty
 
-INCOMPLETE = ("failed", "failed_exception", "failed_timeout", "failed_empty_output")
+INCOMPLETE = ("failed", "failed_exception", "failed_timeout", "failed_empty_output", "running", "incomplete")
+GATE_STAGE, RUN_ERROR = "agreement_gate", "error"
 
 
 def latest_stage_states(events: DataFrame) -> DataFrame:
@@ -16,19 +17,23 @@ def latest_stage_states(events: DataFrame) -> DataFrame:
     return last.select("run_id", "stage", "e.*")
 
 
-def run_status(stages: DataFrame) -> DataFrame:
-    """Per run: failed if no stage completed, needs_review if one is incomplete or asks for it, else completed."""
-    bad, done = F.col("status").isin(*INCOMPLETE), F.col("status") == "completed"
+def run_status(stages: DataFrame, gate: str = GATE_STAGE, error: str = RUN_ERROR) -> DataFrame:
+    """Per run: failed if the run itself broke off (an ``error`` stage), needs_review if a stage is incomplete (failed or never
+    ended) or the gate was flagged, skipped or asks for review, else completed."""
+    broken = F.col("stage") == error
+    bad = F.col("status").isin(*INCOMPLETE) & ~broken
+    asks = (F.col("stage") == gate) & F.col("status").isin("flagged", "skipped", "needs_review")
     rows = stages.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("stages"), F.array_join(F.array_sort(F.collect_set(F.when(bad, F.col("stage")))), ",").alias("incomplete_stages"), F.count_if(bad).alias("n_bad"), F.count_if(done).alias("n_done"), F.max(F.col("status") == "needs_review").alias("review"), F.round(F.sum("duration"), 6).alias("duration")
+        F.count(F.lit(1)).alias("stages"), F.array_join(F.array_sort(F.collect_set(F.when(bad, F.col("stage")))), ",").alias("incomplete_stages"), F.count_if(bad).alias("n_bad"), F.max(broken).alias("broken"), F.max(asks).alias("review"), F.round(F.sum("duration"), 6).alias("duration")
     )
-    status = F.when(F.col("n_done") == 0, "failed").when((F.col("n_bad") > 0) | F.col("review"), "needs_review").otherwise("completed")
+    status = F.when(F.col("broken"), "failed").when((F.col("n_bad") > 0) | F.col("review"), "needs_review").otherwise("completed")
     return rows.select("run_id", "stages", status.alias("status"), "incomplete_stages", (status != "completed").alias("needs_human_review"), "duration")
 
 
 def stage_times(stages: DataFrame) -> DataFrame:
-    """Per stage: runs, mean, median and longest duration."""
-    return stages.groupBy("stage").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("duration"), 6).alias("mean"), F.round(F.percentile("duration", F.lit(0.5)), 6).alias("median"), F.round(F.max("duration"), 6).alias("longest"))
+    """Per stage: runs, mean, median and longest duration, and attempts where the records have them."""
+    tried = [F.sum("attempts").alias("attempts")] if "attempts" in stages.columns else []
+    return stages.groupBy("stage").agg(*tried, F.count(F.lit(1)).alias("runs"), F.round(F.avg("duration"), 6).alias("mean"), F.round(F.percentile("duration", F.lit(0.5)), 6).alias("median"), F.round(F.max("duration"), 6).alias("longest"))
 
 
 def numbered_events(events: DataFrame, since: int = 0) -> DataFrame:

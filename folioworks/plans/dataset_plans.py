@@ -104,7 +104,7 @@ def exported_pairs(spark, sf_dir):
 
 
 def label_length(spark, sf_dir):
-    return D.label_length(_lines(spark, sf_dir).filter(F.length("text") < 300))
+    return D.label_length(_lines(spark, sf_dir))
 
 
 def issue_articles(spark, sf_dir):
@@ -205,8 +205,8 @@ def outlier_boxes(spark, sf_dir):
 
 
 def truth_columns(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("turn < 9")
-    cells = c.select(F.col("conv_id").alias("article_id"), F.col("turn").cast("int").alias("row"), F.explode(F.array(F.struct(F.lit(0).alias("col"), F.substring("text", 1, 40).alias("value")), F.struct(F.lit(1).alias("col"), F.regexp_replace(F.substring("text", 1, 40), "[a-z]", "é").alias("value")), F.struct(F.lit(2).alias("col"), F.when(F.col("turn") == 1, "abc").otherwise("  ").alias("value")))).alias("x")).select("article_id", "row", "x.*")
+    c = table(spark, sf_dir, "conversations")
+    cells = c.select(F.col("conv_id").alias("article_id"), F.col("turn").cast("int").alias("row"), F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("text").alias("value")), F.struct(F.lit(1).alias("col"), F.regexp_replace("text", "[a-z]", "é").alias("value")), F.struct(F.lit(2).alias("col"), F.when(F.col("turn") == 1, "abc").otherwise("  ").alias("value")))).alias("x")).select("article_id", "row", "x.*")
     long = cells.groupBy("article_id").agg(F.max("row").alias("top")).filter("top >= 3").select("article_id")
     return A.truth_column(cells.join(long, "article_id", "left_semi"), block="a-z")
 
@@ -232,7 +232,7 @@ QUERIES = {
     "dataset_short_articles": (short_articles, f"WITH {LINES} SELECT article_id, count(*) AS lines, count(*) < 40 AS suspicious FROM lines GROUP BY 1"),
     "dataset_article_totals": (article_totals, f"WITH {LINES}, p AS (SELECT article_id, page_index, count(*) AS n FROM lines GROUP BY 1, 2) SELECT article_id, count(*) AS pages, CAST(sum(n) AS BIGINT) AS lines FROM p GROUP BY ROLLUP (article_id)"),
     "dataset_exported_pairs": (exported_pairs, f"WITH {LINES} SELECT article_id, count(*) AS pairs FROM lines WHERE line_index % 9 <> 0 GROUP BY ROLLUP (article_id)"),
-    "dataset_label_length": (label_length, f"WITH {LINES} SELECT least(512, max(length(text)) + 8) AS max_label_length FROM lines WHERE length(text) < 300"),
+    "dataset_label_length": (label_length, f"WITH {LINES} SELECT least(512, max(length(text)) + 8) AS max_label_length FROM lines"),
     "dataset_issue_articles": (issue_articles, f"WITH {LINES} SELECT DISTINCT article_id FROM lines WHERE starts_with(article_id, 'en_src1') OR starts_with(article_id, 'de_')"),
     "dataset_kept_pages": (kept_pages, f"WITH {LINES} SELECT article_id, count(*) AS lines FROM lines WHERE suffix(article_id, '5') AND page_index <> 3 GROUP BY 1"),
     "dataset_pages_without_image": (pages_without_image, f"WITH {LINES} SELECT DISTINCT article_id, page_index FROM lines WHERE page_index < 2"),

@@ -14,10 +14,6 @@ def _pairs(spark, sf_dir):
     return reading_pairs(spark, sf_dir).select("doc_id", "article_id", F.col("a").alias("ref"), F.col("b").alias("hyp"))
 
 
-def _short(spark, sf_dir):
-    return _pairs(spark, sf_dir).filter(F.length("ref") < 400)
-
-
 def agreement_gate(spark, sf_dir):
     g = D.agreement_gate(F.col("ref"), F.col("hyp"), F.lit(0.5), composed=True)
     return _pairs(spark, sf_dir).select("doc_id", g.alias("g")).select("doc_id", "g.agreement", "g.passed", "g.status", "g.reason")
@@ -36,7 +32,7 @@ def letter_errors(spark, sf_dir):
 
 
 def pairwise_methods(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("item"), F.col("role").alias("method")).agg(F.max(F.substring("text", 1, 1 << 20)).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.floor(F.col("turn") / 2)).alias("item"), F.concat_ws("-", "role", (F.col("turn") % 2).cast("string")).alias("method"), "text")
     return M.pairwise_methods(turns)
 
 
@@ -61,11 +57,11 @@ def rubric_summary(spark, sf_dir):
 
 
 def bleu(spark, sf_dir):
-    return M.corpus_bleu(_short(spark, sf_dir))
+    return M.corpus_bleu(_pairs(spark, sf_dir))
 
 
 def chrf(spark, sf_dir):
-    return M.corpus_chrf(_short(spark, sf_dir))
+    return M.corpus_chrf(_pairs(spark, sf_dir))
 
 
 def rouge(spark, sf_dir):
@@ -117,13 +113,13 @@ def _gram_sql(tokens_h: str, tokens_r: str, orders: int) -> str:
         for n in range(1, orders + 1)
         for s, t in (("h", "h"), ("r", "r"))
     )
-    return f"""toks AS (SELECT doc_id, {tokens_h} AS h, {tokens_r} AS r FROM short),
+    return f"""toks AS (SELECT doc_id, {tokens_h} AS h, {tokens_r} AS r FROM whole),
     grams AS ({grams}),
     counts AS (SELECT doc_id, n, gram, count(*) FILTER (side = 'h') AS ch, count(*) FILTER (side = 'r') AS cr FROM grams GROUP BY doc_id, n, gram),
     sums AS (SELECT n, sum(least(ch, cr)) AS hit, sum(ch) AS hyp, sum(cr) AS ref FROM counts GROUP BY n)"""
 
 
-SHORT = f"{READING_PAIRS}, short AS (SELECT doc_id, a AS ref, b AS hyp FROM pairs WHERE length(a) < 400)"
+PAIRED = f"{READING_PAIRS}, whole AS (SELECT doc_id, a AS ref, b AS hyp FROM pairs)"
 PUNCT = r"regexp_replace({c}, '([\{{-\~\[-\x60 -\&\(-\+\:-\@\/])', ' \1 ', 'g')"
 
 
@@ -134,11 +130,11 @@ def _13a(c: str) -> str:
     return rf"list_filter(regexp_split_to_array(regexp_replace({t}, '([0-9])(-)', '\1 \2 ', 'g'), '\s+'), lambda w: w <> '')"
 
 
-BLEU = f"""WITH {SHORT}, {_gram_sql(_13a('hyp'), _13a('ref'), 4)}, lens AS (SELECT sum(len(h)) AS hl, sum(len(r)) AS rl FROM toks)
+BLEU = f"""WITH {PAIRED}, {_gram_sql(_13a('hyp'), _13a('ref'), 4)}, lens AS (SELECT sum(len(h)) AS hl, sum(len(r)) AS rl FROM toks)
 SELECT round(100 * CASE WHEN hl < rl THEN exp(1 - rl / hl) ELSE 1 END * exp((SELECT sum(ln(hit / hyp)) FROM sums) / 4), 6) AS bleu, CAST(hl AS BIGINT) AS hyp_len, CAST(rl AS BIGINT) AS ref_len,
   {', '.join(f'CAST((SELECT hit FROM sums WHERE n = {n}) AS BIGINT) AS hit_{n}' for n in range(1, 5))} FROM lens"""
 CHARS = r"list_filter(string_split(regexp_replace({c}, '\s+', '', 'g'), ''), lambda x: x <> '')"
-CHRF = f"""WITH {SHORT}, {_gram_sql(CHARS.format(c='hyp'), CHARS.format(c='ref'), 6)}, pr AS (SELECT avg(hit / hyp) AS p, avg(hit / ref) AS r FROM sums WHERE hyp > 0 AND ref > 0)
+CHRF = f"""WITH {PAIRED}, {_gram_sql(CHARS.format(c='hyp'), CHARS.format(c='ref'), 6)}, pr AS (SELECT avg(hit / hyp) AS p, avg(hit / ref) AS r FROM sums WHERE hyp > 0 AND ref > 0)
 SELECT round(100 * 5 * p * r / (4 * p + r), 6) AS chrf, {', '.join(f'CAST((SELECT hit FROM sums WHERE n = {n}) AS BIGINT) AS hit_{n}' for n in range(1, 7))} FROM pr"""
 PRF = "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r"
 

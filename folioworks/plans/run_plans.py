@@ -20,7 +20,9 @@ def stage_states(spark, sf_dir):
 
 
 def run_status(spark, sf_dir):
-    return R.run_status(R.latest_stage_states(run_events(spark, sf_dir)))
+    stages = R.latest_stage_states(run_events(spark, sf_dir))
+    status = F.when(F.col("duration") > 95, "failed_timeout").when((F.col("stage") == "purchase") & (F.col("duration") < 10), "skipped").otherwise(F.col("status"))
+    return R.run_status(stages.withColumn("status", status), gate="purchase")
 
 
 def stage_times(spark, sf_dir):
@@ -77,20 +79,21 @@ def event_props(spark, sf_dir):
 
 
 def knowledge_checks(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("turn = 0")
-    word = F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0)
-    body = F.to_json(F.struct(F.array(word, F.lit(" ")).alias("people"), F.array().cast("array<string>").alias("places"), word.alias("dates"), F.array(word).alias("organizations"), F.array(word).alias("themes")))
-    full = F.concat(F.expr("substring({b}, 1, length({b}) - 1)".replace("{b}", "b")), F.when(F.col("conv_id") % 3 == 0, ',"key_claims":[]}').when(F.col("conv_id") % 3 == 1, ',"key_claims":[{"a":1}]}').otherwise("}"))
-    k = S.validate_knowledge(F.concat(F.lit("Here: "), full))
-    return c.select("conv_id", body.alias("b")).select("conv_id", k.alias("k")).select("conv_id", "k.valid", "k.reason", F.size("k.fields.people").alias("people"), F.size("k.fields.dates").alias("dates"))
+    c = table(spark, sf_dir, "conversations").withColumn("w", F.coalesce("text", F.lit("")))
+    none, one = F.array().cast("array<string>"), F.array("w")
+    fields = [F.array("w", F.lit(" ")).alias("people"), none.alias("places"), F.col("w").alias("dates"), one.alias("organizations"), one.alias("themes")]
+    kind = F.col("conv_id") % 3
+    body = F.when(kind == 0, F.to_json(F.struct(*fields, none.alias("key_claims")))).when(kind == 1, F.to_json(F.struct(*fields, F.array(F.struct(F.lit(1).alias("a"))).alias("key_claims")))).otherwise(F.to_json(F.struct(*fields)))
+    k = S.validate_knowledge(F.concat(F.lit("Here: "), body))
+    return c.select("conv_id", "turn", k.alias("k")).select("conv_id", "turn", "k.valid", "k.reason", F.size("k.fields.people").alias("people"), F.size("k.fields.dates").alias("dates"))
 
 
 def chat_answers(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    text = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", ""), 1, 20)
-    plain = F.concat(F.lit('{"choices":[{"finish_reason":"stop","message":{"content":"'), text, F.lit('"}}]}'))
-    parts = F.concat(F.lit('{"choices":[{"finish_reason":"stop","message":{"content":["'), text, F.lit('",{"text":"!"}]}}]}'))
-    cut = F.lit('{"choices":[{"finish_reason":"length","message":{"content":""}}]}')
+    text = F.coalesce("text", F.lit(""))
+    answer = lambda content, finish="stop": F.to_json(F.struct(F.array(F.struct(F.lit(finish).alias("finish_reason"), F.struct(content.alias("content")).alias("message"))).alias("choices")))
+    plain, cut = answer(text), answer(F.lit(""), "length")
+    parts = F.replace(answer(F.array(text, F.lit("@part"))), F.lit('"@part"'), F.lit('{"text":"!"}'))
     m = S.message_text(F.when(F.col("turn") % 4 == 0, plain).when(F.col("turn") % 4 == 1, parts).when(F.col("turn") % 4 == 2, cut).otherwise(F.lit('{"choices":[]}')))
     return c.select("conv_id", "turn", m.alias("m")).select("conv_id", "turn", "m.text", "m.error")
 
@@ -127,10 +130,12 @@ def run_ids(spark, sf_dir):
 
 def saved_texts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("text is not null")
-    body = F.regexp_replace(F.col("text"), "[^a-z]", "")
-    p = X.parse_saved_text(F.concat(F.lit("=== OCR ===\n"), body, F.lit("\n=== Metadata ===\nOCR Provider: kraken\nPage-No: 1\nPage-No: "), F.col("doc_id").cast("string")))
-    provider = X.infer_provider(F.col("p.metadata"), F.lit("x_trocr.txt"), F.lit(""))
-    return d.select("doc_id", p.alias("p")).select("doc_id", F.length("p.text").alias("chars"), F.col("p.metadata")["page_no"].alias("page_no"), provider.alias("provider"))
+    kind = F.col("doc_id") % 5
+    provider = F.when(kind == 0, "Provider: Kraken\n").otherwise("")
+    mark = F.when(kind == 3, "Jawi OCR Result\n").otherwise("")
+    p = X.parse_saved_text(F.concat(F.lit("=== OCR ===\n"), mark, F.col("text"), F.lit("\n=== Metadata ===\n"), provider, F.lit("Page-No: 1\nPage-No: "), F.col("doc_id").cast("string")))
+    name = F.when(kind == 1, "a_Qwen_1.txt").when(kind == 2, "OCR_output.txt").otherwise("plain.txt")
+    return d.select("doc_id", p.alias("p"), name.alias("name"), F.concat(mark, "text").alias("t")).select("doc_id", F.length("p.text").alias("chars"), F.col("p.metadata")["page_no"].alias("page_no"), X.infer_provider(F.col("p.metadata"), F.col("name"), F.col("t")).alias("provider"))
 
 
 def line_names(spark, sf_dir):
@@ -139,7 +144,7 @@ def line_names(spark, sf_dir):
 
 
 def file_types(spark, sf_dir):
-    heads = F.array(*[F.unhex(F.lit(h)) for h in ("255044462D", "89504E470D0A1A0A00", "FFD8FFE0", "49492A0000", "524946460000000057454250", "00112233")])
+    heads = F.array(*[F.unhex(F.lit(h)) for h in ("255044462D", "89504E470D0A1A0A00", "FFD8FFE0", "2550444600", "524946460000000057454250", "00112233")])
     p = table(spark, sf_dir, "part")
     return p.select("p_partkey", S.file_type(F.get(heads, (F.col("p_partkey") % 6).cast("int"))).alias("file_type"))
 
@@ -268,7 +273,7 @@ def stream_bursts(spark, sf_dir):
 
 def stream_interrupted(spark, sf_dir):
     rows = _run(spark, T.interrupted(_stream(spark, sf_dir), "12 hours", end_stage="purchase"), "append")
-    return rows.select("run_id", "status", "events")
+    return T.still_interrupted(rows).select("run_id", "status", "events")
 
 
 def stream_complete_articles(spark, sf_dir):
@@ -294,8 +299,10 @@ QUERIES = {
     "run_stage_states": (stage_states, f"WITH {LATEST} SELECT run_id, stage, seq, status FROM latest"),
     "run_status": (
         run_status,
-        f"""WITH {LATEST}, r AS (SELECT run_id, count(*) AS stages, coalesce(string_agg(stage, ',' ORDER BY stage) FILTER (status = 'failed'), '') AS bad, count_if(status = 'failed') AS n_bad, count_if(status = 'completed') AS n_done, bool_or(status = 'needs_review') AS review, round(sum(duration), 6) AS duration FROM latest GROUP BY run_id)
-        SELECT run_id, stages, CASE WHEN n_done = 0 THEN 'failed' WHEN n_bad > 0 OR review THEN 'needs_review' ELSE 'completed' END AS status, bad AS incomplete_stages, NOT (n_done > 0 AND n_bad = 0 AND NOT review) AS needs_human_review, duration FROM r""",
+        f"""WITH {LATEST}, s AS (SELECT run_id, stage, duration, CASE WHEN duration > 95 THEN 'failed_timeout' WHEN stage = 'purchase' AND duration < 10 THEN 'skipped' ELSE status END AS status FROM latest),
+        r AS (SELECT run_id, count(*) AS stages, coalesce(string_agg(stage, ',' ORDER BY stage) FILTER (status = 'failed_timeout' AND stage <> 'error'), '') AS bad, bool_or(stage = 'error') AS broken, bool_or(stage = 'purchase' AND status IN ('needs_review', 'skipped')) AS review, round(sum(duration), 6) AS duration FROM s GROUP BY run_id),
+        t AS (SELECT *, CASE WHEN broken THEN 'failed' WHEN bad <> '' OR review THEN 'needs_review' ELSE 'completed' END AS status FROM r)
+        SELECT run_id, stages, status, bad AS incomplete_stages, status <> 'completed' AS needs_human_review, duration FROM t""",
     ),
     "run_stage_times": (stage_times, f"WITH {RUN_EVENTS} SELECT stage, count(*) AS runs, round(avg(duration), 6) AS mean, round(quantile_cont(duration, 0.5), 6) AS median, round(max(duration), 6) AS longest FROM run_events GROUP BY stage"),
     "run_events_since": (events_since, f"WITH {RUN_EVENTS} SELECT * FROM (SELECT run_id, seq, CAST(row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1 AS INTEGER) AS idx FROM run_events) AS e WHERE idx >= 2"),
@@ -304,17 +311,17 @@ QUERIES = {
     "ocr_page_summary": (ocr_page_summary, f"WITH {OCR} SELECT run_id, page, count(*) AS lines, round(avg(confidence), 6) AS mean_confidence, count_if(coalesce(confidence < 0.6::DOUBLE, false)) AS low_lines FROM ocr GROUP BY GROUPING SETS ((run_id, page), (run_id))"),
     "ocr_article_text": (article_text, f"WITH {OCR}, p AS (SELECT run_id, page, string_agg(text, chr(10) ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice) AS text FROM ocr WHERE text <> '' GROUP BY 1, 2) SELECT run_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY page)) AS md5 FROM p GROUP BY run_id"),
     "stage_outcomes": (stage_outcomes, "SELECT CASE WHEN value > 95 THEN 'failed_timeout' WHEN event_type = 'error' THEN 'failed_exception' WHEN value > 20 THEN 'completed' ELSE 'failed_empty_output' END AS status, CASE WHEN value > 50 THEN 'completed' ELSE 'needs_review' END AS gate, count(*) AS n FROM events GROUP BY 1, 2"),
-    "routed_texts": (routed_texts, f"WITH c AS (SELECT conv_id, turn, {ONES} AS c FROM conversations), n AS (SELECT conv_id, turn, CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END AS n FROM c) SELECT conv_id, turn, n AS word_count, n >= 10 AS summarise, CASE WHEN n < 10 THEN 'summary skipped (' ELSE 'all stages (' END || n || ' words)' AS label FROM n"),
-    "input_checks": (input_checks, r"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 400 WHEN length(text) > 9000 THEN 413 WHEN doc_id % 30 > 25 THEN 413 WHEN doc_id % 11 = 0 OR text IS NULL OR trim(text) = '' THEN 422 WHEN length(text) > 6000 THEN 413 END AS status FROM documents"),
+    "routed_texts": (routed_texts, f"WITH c AS (SELECT conv_id, turn, {ONES} AS c FROM conversations), n AS (SELECT conv_id, turn, CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END AS n FROM c) SELECT conv_id, turn, n AS word_count, n >= 10 AS summarise, CASE WHEN n < 10 THEN 'Short snippet (' || n || ' words) — skipping summary agent' ELSE 'Full article (' || n || ' words) — running all 4 agents' END AS label FROM n"),
+    "input_checks": (input_checks, r"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 400 WHEN length(text) > 9000 THEN 413 WHEN doc_id % 30 > 25 THEN 413 WHEN doc_id % 11 > 0 AND length(text) > 6000 THEN 413 WHEN doc_id % 11 = 0 OR text IS NULL OR regexp_full_match(text, '\s*') THEN 400 END AS status FROM documents"),
     "json_event_props": (event_props, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
     "json_knowledge_checks": (
         knowledge_checks,
-        """WITH c AS (SELECT conv_id, regexp_extract(coalesce(text, ''), '[A-Za-z]+') AS w FROM conversations WHERE turn = 0) SELECT conv_id, conv_id % 3 = 0 AS valid, CASE conv_id % 3 WHEN 1 THEN 'not a list of strings: key_claims' WHEN 2 THEN 'missing keys: key_claims' END AS reason,
-        CASE WHEN conv_id % 3 = 0 THEN CASE WHEN w = '' THEN 0 ELSE 1 END END AS people, CASE WHEN conv_id % 3 = 0 THEN CASE WHEN w = '' THEN 0 ELSE 1 END END AS dates FROM c""",
+        r"""WITH c AS (SELECT conv_id, turn, regexp_full_match(coalesce(text, ''), '\s*') AS blank FROM conversations) SELECT conv_id, turn, conv_id % 3 = 0 AS valid, CASE conv_id % 3 WHEN 1 THEN 'not a list of strings: key_claims' WHEN 2 THEN 'missing keys: key_claims' END AS reason,
+        CASE WHEN conv_id % 3 = 0 THEN CASE WHEN blank THEN 0 ELSE 1 END END AS people, CASE WHEN conv_id % 3 = 0 THEN CASE WHEN blank THEN 0 ELSE 1 END END AS dates FROM c""",
     ),
     "json_chat_answers": (
         chat_answers,
-        """WITH c AS (SELECT conv_id, turn, trim(substr(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g'), 1, 20) || CASE WHEN turn % 4 = 1 THEN '!' ELSE '' END) AS t FROM conversations)
+        r"""WITH c AS (SELECT conv_id, turn, regexp_replace(coalesce(text, '') || CASE WHEN turn % 4 = 1 THEN '!' ELSE '' END, '^\s+|\s+$', '', 'g') AS t FROM conversations)
         SELECT conv_id, turn, CASE WHEN turn % 4 < 2 AND t <> '' THEN t END AS text, CASE WHEN turn % 4 = 3 THEN 'no_choices' WHEN turn % 4 = 2 THEN 'length_limit' WHEN t = '' THEN 'empty' END AS error FROM c""",
     ),
     "verified_evidence": (verified_evidence, None),
@@ -326,9 +333,9 @@ QUERIES = {
     "cost_estimates": (cost_estimates, "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN round(((p_partkey * 100 / 750.0::DOUBLE + length(p_name) / 4.0::DOUBLE) * 0.15::DOUBLE + p_size / 4.0::DOUBLE * 0.6::DOUBLE) / 1e6, 12) END AS cost FROM part"),
     "fallback_texts": (fallback_texts, "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'b' || turn ELSE 'input' END AS text FROM conversations"),
     "run_ids_and_issues": (run_ids, "SELECT event_id, event_id % 3 = 0 AS valid, strftime(ts, '%Y_%m') AS issue, CAST(strftime(ts, '%Y') AS INTEGER) AS year, CAST(strftime(ts, '%Y') AS INTEGER) BETWEEN 1950 AND 1969 AS in_range FROM events"),
-    "saved_texts": (saved_texts, "SELECT doc_id, length(regexp_replace(text, '[^a-z]', '', 'g')) AS chars, CAST(doc_id AS VARCHAR) AS page_no, 'kraken' AS provider FROM documents WHERE text IS NOT NULL"),
+    "saved_texts": (saved_texts, r"SELECT doc_id, length(regexp_replace(CASE WHEN doc_id % 5 = 3 THEN 'Jawi OCR Result' || chr(10) ELSE '' END || text, '^\s+|\s+$', '', 'g')) AS chars, CAST(doc_id AS VARCHAR) AS page_no, CASE doc_id % 5 WHEN 0 THEN 'kraken' WHEN 1 THEN 'qwen-fixture' WHEN 2 THEN 'tesseract' WHEN 3 THEN 'tesseract' ELSE 'text-fixture' END AS provider FROM documents WHERE text IS NOT NULL"),
     "line_names": (line_names, f"WITH {GOLD_LINES} SELECT page_id, idx, printf('1950_01_001_p%02d', idx) AS page_key, printf('a_p%02d_line_%03d.png', idx, idx) AS crop, '1950_01_00' || idx AS article, 'ab-' || idx AS sheet FROM gold"),
-    "file_types": (file_types, "SELECT p_partkey, ['pdf', 'png', 'jpeg', 'tiff', 'webp', NULL][CAST(p_partkey % 6 + 1 AS BIGINT)] AS file_type FROM part"),
+    "file_types": (file_types, "SELECT p_partkey, ['pdf', 'png', 'jpg', NULL, NULL, NULL][CAST(p_partkey % 6 + 1 AS BIGINT)] AS file_type FROM part"),
     "order_gap_groups": (gap_groups, f"WITH {GOLD_LINES}, r AS (SELECT *, max(y2) OVER (PARTITION BY page_id ORDER BY y1, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM gold) SELECT page_id, idx, CAST(sum(CASE WHEN y1 - reach >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY y1, idx) AS BIGINT) AS \"group\" FROM r"),
     "order_widest_bands": (widest_bands, f"WITH {GOLD_LINES}, r AS (SELECT *, y1 - max(y2) OVER (PARTITION BY page_id ORDER BY y1, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM gold), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY gap DESC, y1, idx) AS k FROM r WHERE gap > 0) SELECT page_id, gap, y1 AS at, idx FROM k WHERE k = 1"),
     "order_gutters": (page_gutters, None),
@@ -347,7 +354,7 @@ QUERIES = {
     "stream_sliding_throughput": (stream_sliding, f"WITH {RUN_EVENTS}, w AS (SELECT date_trunc('hour', ts) - to_hours(k) AS start, status, mark {CLOSED}, (VALUES (0), (1)) AS s(k)) SELECT start, count(*) AS events, count_if(status = 'failed') AS failed FROM w GROUP BY start, mark HAVING start + INTERVAL 2 HOUR <= mark"),
     "stream_deduplicated": (stream_deduplicated, "SELECT event_type AS stage, count(*) AS events FROM events GROUP BY 1"),
     "stream_bursts": (stream_bursts, f"WITH {SESSIONS.format(gap='2 HOUR')} SELECT run_id, count(*) AS bursts, CAST(sum(events) AS BIGINT) AS events FROM closed GROUP BY run_id"),
-    "stream_interrupted": (stream_interrupted, f"WITH {SESSIONS.format(gap='12 HOUR')} SELECT run_id, 'failed' AS status, events FROM closed WHERE NOT ended"),
+    "stream_interrupted": (stream_interrupted, f"WITH {SESSIONS.format(gap='12 HOUR')} SELECT run_id, 'failed' AS status, CAST(sum(events) AS BIGINT) AS events FROM closed GROUP BY run_id HAVING NOT bool_or(ended)"),
     "stream_complete_articles": (stream_complete_articles, f"WITH {RUN_EVENTS} SELECT run_id, count(DISTINCT stage) AS page_count FROM run_events GROUP BY run_id"),
     "stream_gate": (stream_gate, f"WITH {RUN_EVENTS} SELECT seq % 2 = 0 AS passed, count(*) AS n FROM run_events GROUP BY 1"),
 }

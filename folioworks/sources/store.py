@@ -7,11 +7,17 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Folders of local sessions (tests) that name none.
+_LOCAL: dict[str, str] = {}
+
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share; a temporary one only for a local session that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="folioworks-")
-        spark.sparkContext.setCheckpointDir(base)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        base = _LOCAL.get(app) or _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="folioworks-"))
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

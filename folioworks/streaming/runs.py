@@ -35,9 +35,16 @@ def throughput(events: DataFrame, size: str = "1 hour", slide: str | None = None
 
 
 def interrupted(events: DataFrame, timeout: str, late: str = LATE, end_stage: str = "pipeline_done") -> DataFrame:
-    """Runs that fell silent for ``timeout`` without an end event, given out as failed once the watermark passes."""
+    """Stretches of a run after which it fell silent for ``timeout``, given out once the watermark passes: failed without an
+    end event, else ended. A run that goes on later gets another stretch; ``still_interrupted`` tells which runs stay failed."""
     rows = events.withWatermark("ts", late).groupBy("run_id", F.session_window("ts", timeout).alias("w")).agg(F.max(F.col("stage") == end_stage).alias("ended"), F.count(F.lit(1)).alias("events"))
-    return rows.filter("not ended").select("run_id", F.col("w.end").alias("closed_at"), F.lit("failed").alias("status"), "events")
+    return rows.select("run_id", F.col("w.end").alias("closed_at"), F.when(F.col("ended"), "ended").otherwise("failed").alias("status"), "events")
+
+
+def still_interrupted(stretches: DataFrame) -> DataFrame:
+    """Of what ``interrupted`` gave out: the runs whose last stretch had no end and that no stretch ended before."""
+    last = stretches.groupBy("run_id").agg(F.max_by("status", "closed_at").alias("status"), F.max("closed_at").alias("closed_at"), F.sum("events").alias("events"), F.max(F.col("status") == "ended").alias("over"))
+    return last.filter("not over").select("run_id", "closed_at", "status", "events")
 
 
 def complete_articles(pages: DataFrame, counts: DataFrame) -> DataFrame:
