@@ -9,9 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import JAWI, Script, clean_pair, consonant_skeleton, normalise_script, normalise_separator, spelling_variants, tokens
+from ..sources.store import new_folder
 
 AMBIGUOUS_SHARE = 0.2
 TOP = 5
+#: Looked-up words that are broadcast at most, and places a word's rows are dealt to beyond that.
+BROADCAST_ROWS = 200_000
+SALTS = 16
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Written once and read back: what several joins need is not worked out for each."""
+    path = new_folder(df.sparkSession, "lexicon")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def phrase_word_pairs(phrases: DataFrame) -> DataFrame:
@@ -98,14 +109,14 @@ def resolve_words(words: DataFrame, lexicon: DataFrame, script: Script = JAWI) -
     In this order: fixed clitics, spelling variants, a joined prefix with the rest looked up, the consonant skeleton
     (always ambiguous), and for hyphenated words their parts, which must all resolve.
     """
-    words = words.select("word").distinct()
+    words, lexicon = _kept(words.select("word").distinct()), _kept(lexicon)
     parts = words.filter(F.contains("word", F.lit("-"))).select("word", F.posexplode(F.split("word", "-")).alias("at", "part"))
-    keys = words.select(F.col("word").alias("key")).union(parts.select("part")).distinct()
+    keys = _kept(words.select(F.col("word").alias("key")).union(parts.select("part")).distinct())
     prefixes = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(p).alias("prefix"), F.lit(r).alias("reads")) for i, (p, r) in enumerate(script.prefixes)])
     cut = keys.select("key", F.explode(prefixes).alias("p")).filter(F.startswith(F.col("key"), F.col("p.prefix")))
     cut = cut.select("key", "p.rank", "p.reads", F.expr("substring(key, length(p.prefix) + 1)").alias("rest")).filter(F.length("rest") >= script.least_rest)
 
-    direct = resolve_variants(keys.union(cut.select("rest")).distinct(), lexicon, script)
+    direct = _kept(resolve_variants(keys.union(cut.select("rest")).distinct(), lexicon, script))
     split = cut.join(direct.withColumnRenamed("key", "rest"), "rest").groupBy("key").agg(
         F.min(F.struct("rank", F.concat_ws(" ", "reads", "rumi").alias("rumi"), "status", F.concat(F.lit("prefix_split+"), "rule").alias("rule"), "candidates")).alias("p")
     )
@@ -132,13 +143,14 @@ def resolve_words(words: DataFrame, lexicon: DataFrame, script: Script = JAWI) -
     )
     out = words.join(single.withColumnRenamed("key", "word"), "word").join(halves.filter("whole"), "word", "left")
     use = (F.col("status") == "unknown") & F.col("whole")
-    return out.select(
+    found = out.select(
         "word",
         F.when(use, F.col("joined")).otherwise(F.col("rumi")).alias("rumi"),
         F.when(use, F.when(F.col("doubt"), "ambiguous").otherwise("known")).otherwise(F.col("status")).alias("status"),
         F.when(use, "hyphen_split").otherwise(F.col("rule")).alias("rule"),
         "candidates",
     )
+    return _kept(found)
 
 
 def document_tokens(docs: DataFrame, script: Script = JAWI, composed: bool = False) -> DataFrame:
@@ -147,16 +159,46 @@ def document_tokens(docs: DataFrame, script: Script = JAWI, composed: bool = Fal
     return rows.select("doc_id", "at", "t.text", "t.is_word", "t.reduplicated")
 
 
-def looked_up(placed: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Word tokens with their lookup."""
-    return placed.filter("is_word").join(resolved, placed["text"] == resolved["word"], "left").drop("text")
+def word_counts(docs: DataFrame, script: Script = JAWI, composed: bool = False) -> DataFrame:
+    """(doc_id, word, n): the distinct words of each document with their counts."""
+    words = document_tokens(docs, script, composed).filter("is_word")
+    return words.groupBy("doc_id", F.col("text").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _attached(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, word, more) with their lookup. Up to ``BROADCAST_ROWS`` lookups are broadcast; beyond, both sides are
+    shuffled, and the rows of a word are dealt to ``SALTS`` places by their document."""
+    if resolved.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(resolved), "word", "left")
+    spread = resolved.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["word", "_salt"], "left").drop("_salt")
+
+
+def looked_up(counted: DataFrame, lexicon: DataFrame, script: Script = JAWI) -> DataFrame:
+    """(word, n) with the lookup of each word."""
+    counted = _kept(counted)
+    return counted.join(resolve_words(counted, lexicon, script), "word")
+
+
+def document_coverage(docs: DataFrame, lexicon: DataFrame, script: Script = JAWI, composed: bool = False) -> DataFrame:
+    """Per document: doc_id, word_count, coverage, unknown_count, ambiguous_count and cases (both together). Words are counted
+    before they are looked up."""
+    counted = _kept(word_counts(docs, script, composed))
+    met = _attached(counted, resolve_words(counted, lexicon, script).select("word", "status"))
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    per = met.groupBy("doc_id").agg(F.sum("n").alias("word_count"), total(F.col("status") == "unknown").alias("unknown_count"), total(F.col("status") == "ambiguous").alias("ambiguous_count"))
+    out = docs.select("doc_id").join(per, "doc_id", "left").fillna(0, ["word_count", "unknown_count", "ambiguous_count"])
+    n = F.col("word_count")
+    return out.select("doc_id", "word_count", F.when(n > 0, F.try_divide(n - F.col("unknown_count"), n)).otherwise(0.0).alias("coverage"), "unknown_count", "ambiguous_count", (F.col("unknown_count") + F.col("ambiguous_count")).alias("cases"))
 
 
 def romanise(docs: DataFrame, lexicon: DataFrame, script: Script = JAWI, composed: bool = False) -> DataFrame:
     """Per document: doc_id, romanised text, word_count, coverage, unknown and ambiguous counts, case log."""
-    placed = document_tokens(docs, script, composed)
+    placed = _kept(document_tokens(docs, script, composed))
     resolved = resolve_words(placed.filter("is_word").select(F.col("text").alias("word")), lexicon, script)
-    joined = placed.join(resolved, F.col("is_word") & (placed["text"] == resolved["word"]), "left")
+    # separators are not looked up, so they meet nothing in a shuffle
+    words = _attached(placed.filter("is_word").withColumn("word", F.col("text")), resolved)
+    joined = words.unionByName(placed.filter("not is_word"), allowMissingColumns=True)
     shown = (
         F.when(~F.col("is_word"), normalise_separator(F.col("text"), script))
         .when(F.col("rumi").isNull(), F.concat(F.lit("⟦"), "text", F.lit("⟧")))
@@ -185,7 +227,8 @@ def romanise(docs: DataFrame, lexicon: DataFrame, script: Script = JAWI, compose
 
 
 def coverage_report(words: DataFrame) -> DataFrame:
-    """(kind, name, n) over word occurrences: totals by status, by rule, and all words."""
-    sets = words.groupingSets([["status"], ["rule"], []], "status", "rule").agg(F.count(F.lit(1)).alias("n"), F.grouping("status").alias("gs"), F.grouping("rule").alias("gr"))
+    """(kind, name, n) over word occurrences: totals by status, by rule, and all words. ``words`` has status, rule and n, how
+    often the word occurs."""
+    sets = words.groupingSets([["status"], ["rule"], []], "status", "rule").agg(F.sum("n").alias("n"), F.grouping("status").alias("gs"), F.grouping("rule").alias("gr"))
     kind = F.when(F.col("gs") == 0, "status").when(F.col("gr") == 0, "rule").otherwise("all")
     return sets.select(kind.alias("kind"), F.coalesce(F.when(F.col("gs") == 0, F.col("status")).when(F.col("gr") == 0, F.coalesce("rule", F.lit("none"))), F.lit("words")).alias("name"), "n")

@@ -22,7 +22,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rumi = F.when(F.col("item_id") % 3 == 0, F.concat("w", F.lit("x"))).when(F.col("item_id") % 7 == 1, F.concat("w", F.lit("1"))).otherwise(F.concat(F.lit("'"), "w", F.lit(".'")))
     pair = F.when(F.col("item_id") % 11 == 5, F.array("w")).otherwise(F.array(rumi, F.col("w")))
     phrases = items.select(
-        F.col("item_id").alias("ord"), F.array_join(F.slice("w", 1, 6), " ").alias("rumi"), F.array_join(F.slice("w", F.lit(1), F.when(F.col("item_id") % 4 == 0, 5).otherwise(6)), "  ").alias("jawi")
+        F.col("item_id").alias("ord"), F.array_join("w", " ").alias("rumi"), F.array_join(F.filter("w", lambda _, i: (F.col("item_id") % 4 > 0) | (i > 0)), "  ").alias("jawi")
     )
     return L.judged_pairs(pairs.select(pair.alias("pair"), (F.col("item_id") * 10000 + F.col("pos")).alias("ord")), phrases, LATIN, composed=True)
 
@@ -35,9 +35,8 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    placed = L.document_tokens(_texts(spark, sf_dir), LATIN, composed=True)
-    return placed, L.resolve_words(placed.filter("is_word").select(F.col("text").alias("word")), _lexicon(spark, sf_dir), LATIN)
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.resolve_words(L.word_counts(_texts(spark, sf_dir), LATIN, composed=True), _lexicon(spark, sf_dir), LATIN)
 
 
 ITEMS = """items AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
@@ -47,8 +46,8 @@ raw AS (
 ), judged AS (
   SELECT CASE WHEN NOT aligned THEN 'malformed_row' WHEN bad THEN 'rumi_not_alphabetic' END AS reason, source, ord, 0 AS late, rumi, jawi FROM raw
   UNION ALL
-  SELECT CASE WHEN len(w) > 5 AND item_id % 4 = 0 THEN 'phrase_token_count_mismatch' END, 'phrase', item_id * 1000 + k, 1, word, word FROM (
-    SELECT item_id, w, unnest(CASE WHEN len(w) > 5 AND item_id % 4 = 0 THEN [NULL] ELSE w[1:6] END) AS word, unnest(CASE WHEN len(w) > 5 AND item_id % 4 = 0 THEN [0] ELSE range(0, least(6, len(w))) END) AS k FROM items) AS p
+  SELECT CASE WHEN len(w) > 0 AND item_id % 4 = 0 THEN 'phrase_token_count_mismatch' END, 'phrase', item_id * 1000000 + k, 1, word, word FROM (
+    SELECT item_id, w, unnest(CASE WHEN len(w) > 0 AND item_id % 4 = 0 THEN [NULL] ELSE w END) AS word, unnest(CASE WHEN len(w) > 0 AND item_id % 4 = 0 THEN [0] ELSE range(0, len(w)) END) AS k FROM items) AS p
 ), lexicon AS (
   SELECT jawi, rumi, n, CAST(row_number() OVER (PARTITION BY jawi ORDER BY n DESC, first) AS INTEGER) AS ord FROM (
     SELECT jawi, rumi, count(*) AS n, min(late * 1000000000000 + ord) AS first FROM judged WHERE reason IS NULL GROUP BY jawi, rumi) AS c
@@ -125,18 +124,19 @@ def lexicon_skeletons(spark, sf_dir):
 
 
 def lexicon_word_lookup(spark, sf_dir):
-    _, resolved = _resolved(spark, sf_dir)
+    resolved = _resolved(spark, sf_dir)
     shown = F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["rumi"], c["n"].cast("string"))), ",")
     return resolved.withColumn("candidates", shown)
 
 
 def lexicon_document_coverage(spark, sf_dir):
-    return L.romanise(_texts(spark, sf_dir), _lexicon(spark, sf_dir), LATIN, composed=True).select("doc_id", "word_count", F.round("coverage", 9).alias("coverage"), "unknown_count", "ambiguous_count", F.size("case_log").cast("long").alias("cases"))
+    out = L.document_coverage(_texts(spark, sf_dir), _lexicon(spark, sf_dir), LATIN, composed=True)
+    return out.withColumn("coverage", F.round("coverage", 9))
 
 
 def lexicon_coverage_report(spark, sf_dir):
-    placed, resolved = _resolved(spark, sf_dir)
-    return L.coverage_report(L.looked_up(placed, resolved))
+    counted = L.word_counts(_texts(spark, sf_dir), LATIN, composed=True).groupBy("word").agg(F.sum("n").alias("n"))
+    return L.coverage_report(L.looked_up(counted, _lexicon(spark, sf_dir), LATIN))
 
 
 def lexicon_romanised_text(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import distance as D
 from ..functions import text as X
 from ..operators import metrics as M
-from .inputs import READING_PAIRS, reading_pairs, table
+from .inputs import READING_PAIRS, SQL_BYTES, reading_pairs, table
 
 
 def _pairs(spark, sf_dir):
@@ -101,9 +101,10 @@ def repeated_runs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.new_repeat_run(F.coalesce("text", F.lit("")), F.lit("#####")).alias("repeats"), F.round(X.script_fraction(F.col("text"), "a-z"), 9).alias("latin_share"))
 
 
-NORM = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9_ -]', ' ', 'g'), ' +', ' ', 'g'))"
+NORM = r"trim(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
+DISTANCE = f"levenshtein({SQL_BYTES.format(c='{a}')}, {SQL_BYTES.format(c='{b}')})"
 SCORED = f"""{READING_PAIRS}, n AS (SELECT doc_id, {NORM.format(c='a')} AS x, {NORM.format(c='b')} AS y FROM pairs), g AS (
-  SELECT doc_id, round(CASE WHEN greatest(length(x), length(y)) = 0 THEN 0.0::DOUBLE ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y)) END, 4) AS agreement FROM n)"""
+  SELECT doc_id, round(CASE WHEN greatest(length(x), length(y)) = 0 THEN 0.0::DOUBLE ELSE 1 - {DISTANCE.format(a='x', b='y')} / greatest(length(x), length(y)) END, 4) AS agreement FROM n)"""
 
 
 def _gram_sql(tokens_h: str, tokens_r: str, orders: int) -> str:
@@ -147,13 +148,13 @@ QUERIES = {
     ),
     "pair_cer": (
         pair_cer,
-        f"""WITH {READING_PAIRS}, c AS (SELECT doc_id, trim(regexp_replace(a, ' +', ' ', 'g')) AS r, trim(regexp_replace(b, ' +', ' ', 'g')) AS h FROM pairs)
-        SELECT doc_id, CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE round(levenshtein(r, h) / length(r), 4) END AS cer FROM c""",
+        f"""WITH {READING_PAIRS}, c AS (SELECT doc_id, trim(regexp_replace(a, '\\s+', ' ', 'g')) AS r, trim(regexp_replace(b, '\\s+', ' ', 'g')) AS h FROM pairs)
+        SELECT doc_id, CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE round({DISTANCE.format(a='r', b='h')} / length(r), 4) END AS cer FROM c""",
     ),
     "corpus_cer": (
         corpus_cer,
-        f"""WITH {READING_PAIRS} SELECT article_id, CAST(sum(levenshtein(a, b)) AS BIGINT) AS edits, CAST(sum(length(a)) AS BIGINT) AS chars, round(sum(levenshtein(a, b)) / greatest(1, sum(length(a))), 6) AS cer,
-        round(1 - sum(levenshtein(a, b)) / greatest(1, sum(length(a))), 6) AS accuracy FROM pairs GROUP BY ROLLUP (article_id)""",
+        f"""WITH {READING_PAIRS} SELECT article_id, CAST(sum({DISTANCE.format(a='a', b='b')}) AS BIGINT) AS edits, CAST(sum(length(a)) AS BIGINT) AS chars, round(sum({DISTANCE.format(a='a', b='b')}) / greatest(1, sum(length(a))), 6) AS cer,
+        round(1 - sum({DISTANCE.format(a='a', b='b')}) / greatest(1, sum(length(a))), 6) AS accuracy FROM pairs GROUP BY ROLLUP (article_id)""",
     ),
     "letter_errors": (letter_errors, None),
     "pairwise_methods": (pairwise_methods, None),
@@ -188,7 +189,7 @@ QUERIES = {
     ),
     "setting_sweep": (
         setting_sweep,
-        f"""WITH {READING_PAIRS}, s AS (SELECT doc_id % 4 / 10 AS pad_x, doc_id % 2 / 20 AS pad_y, levenshtein(a, b) AS e, length(a) AS c FROM pairs), g AS (SELECT pad_x, pad_y, round(sum(e) / sum(c), 6) AS cer, count(*) AS pages FROM s GROUP BY 1, 2)
+        f"""WITH {READING_PAIRS}, s AS (SELECT doc_id % 4 / 10 AS pad_x, doc_id % 2 / 20 AS pad_y, {DISTANCE.format(a='a', b='b')} AS e, length(a) AS c FROM pairs), g AS (SELECT pad_x, pad_y, round(sum(e) / sum(c), 6) AS cer, count(*) AS pages FROM s GROUP BY 1, 2)
         SELECT *, row_number() OVER (ORDER BY cer, pad_x, pad_y) = 1 AS best FROM g""",
     ),
     "review_counts": (review_counts, "SELECT o_orderpriority AS review_target, o_orderstatus AS status, count(*) AS reviews, round(avg(1 + o_orderkey % 5), 6) AS rating FROM orders GROUP BY 1, 2"),
