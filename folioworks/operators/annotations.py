@@ -46,6 +46,15 @@ def join_regions(boxes: DataFrame, texts: DataFrame, keys: list[str]) -> DataFra
     return boxes.join(texts.select(*keys, F.col("text").alias("_t")), keys, "left").withColumn("text", F.coalesce("_t", F.lit(""))).drop("_t")
 
 
+def complete_pages(lines: DataFrame, page: list[str], fail: bool = False) -> DataFrame:
+    """Lines of the pages all of whose boxes have text; with ``fail`` an incomplete page is an error instead."""
+    blank = strip(F.coalesce("text", F.lit(""))) == ""
+    rows = lines.withColumn("_gap", F.max(blank).over(Window.partitionBy(*page)))
+    if fail:
+        rows = rows.withColumn("_gap", F.when(F.col("_gap"), F.raise_error(F.lit("a page has boxes without text")).cast("boolean")).otherwise(F.lit(False)))
+    return rows.filter("not _gap").drop("_gap")
+
+
 def untexted_boxes(lines: DataFrame, page: list[str]) -> DataFrame:
     """Per page: lines, boxes without text, and whether the page is incomplete."""
     blank = strip(F.coalesce("text", F.lit(""))) == ""

@@ -92,6 +92,30 @@ def detector_labels(boxes: DataFrame, page: list[str]) -> DataFrame:
     return rows.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_index", "line"))), lambda x: x["line"]), "\n").alias("label"))
 
 
+def confident(boxes: DataFrame, least: float = 0.35) -> DataFrame:
+    """Detected boxes of at least this confidence."""
+    return boxes.filter(F.col("conf") >= least)
+
+
+def export_summary(boxes: DataFrame, page: list[str], excluded: DataFrame | None = None) -> DataFrame:
+    """(split, pages, boxes, articles) of exported boxes (article_id, split, width, height); excluded articles make a row of
+    their own, with the articles that were asked to stay out. Boxes without area are not counted, their pages are."""
+    whole = F.col("width") * F.col("height") > 0
+    per = boxes.groupBy("split", "article_id", *[c for c in page if c != "article_id"]).agg(F.count_if(whole & (F.col("width") > 0)).alias("boxes"))
+    articles = per.groupBy("split", "article_id").agg(F.count(F.lit(1)).alias("pages"), F.sum("boxes").alias("boxes"))
+    listed = articles.groupBy("split").agg(F.sum("pages").alias("pages"), F.sum("boxes").alias("boxes"), F.array_sort(F.collect_list("article_id")).alias("articles"))
+    if excluded is None:
+        return listed
+    out = excluded.select("article_id").distinct().agg(F.array_sort(F.collect_list("article_id")).alias("articles"))
+    return listed.unionByName(out.select(F.lit("excluded").alias("split"), F.lit(0).cast("long").alias("pages"), F.lit(0).cast("long").alias("boxes"), "articles"))
+
+
+def page_boxes(lines: DataFrame) -> DataFrame:
+    """Per article its pages in order with their line counts, and the totals."""
+    pages = lines.groupBy("article_id", "page_index").agg(F.count(F.lit(1)).alias("lines"))
+    return pages.groupBy("article_id").agg(F.count(F.lit(1)).alias("pages"), F.sum("lines").alias("lines"), F.array_sort(F.collect_list(F.struct("page_index", "lines"))).alias("per_page"))
+
+
 def short_articles(lines: DataFrame, least: int = 3) -> DataFrame:
     counts = lines.groupBy("article_id").agg(F.count(F.lit(1)).alias("lines"))
     return counts.withColumn("suspicious", F.col("lines") < least)

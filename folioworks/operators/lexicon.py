@@ -63,6 +63,12 @@ def reject_report(judged: DataFrame) -> DataFrame:
     return judged.filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def pair_counts(judged: DataFrame) -> DataFrame:
+    """(source, read, aligned, kept) of judged pairs: rows read, rows with both sides, and rows without a reject reason."""
+    unaligned = F.col("reason").isin("malformed_row", "phrase_token_count_mismatch")
+    return judged.groupBy("source").agg(F.count(F.lit(1)).alias("read"), F.count_if(~F.coalesce(unaligned, F.lit(False))).alias("aligned"), F.count_if(F.col("reason").isNull()).alias("kept"))
+
+
 def _ambiguous(counts: Column) -> Column:
     """The runner-up's share of all counts, from counts in falling order."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)

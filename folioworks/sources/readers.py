@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import file_type
-from ..functions.text import infer_provider, parse_saved_text, strip
+from ..functions.text import NO_PROVIDER, infer_provider, parse_saved_text, strip
 
 OCR_RECORD = "source_file string, ocr_provider string, ocr_jawi_text string, metadata map<string,string>"
 VALUE = "struct<x:double,y:double,width:double,height:double,text:array<string>>"
@@ -16,7 +16,7 @@ EVENT = "run_id string, seq bigint, ts timestamp, type string, agent string, dur
 OCR_PAGE = "run_id string, page int, status string, error string, duration double, lines array<struct<text:string,box:array<int>,confidence:double,order:int,low_confidence:boolean>>"
 
 
-def ocr_texts(spark: SparkSession, paths, default_provider: str = "unknown") -> DataFrame:
+def ocr_texts(spark: SparkSession, paths, default_provider: str = NO_PROVIDER) -> DataFrame:
     """One record per text file: banner and metadata block parsed, provider inferred."""
     raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
     parsed = raw.select("source_file", "value", parse_saved_text(F.col("value")).alias("p"))
@@ -39,8 +39,10 @@ def word_pairs(spark: SparkSession, paths) -> DataFrame:
 
 def phrase_pairs(spark: SparkSession, rumi_path: str, jawi_path: str, split: str = "train") -> DataFrame:
     """(rumi, jawi, ord) of two index-aligned JSON arrays below the split's key; unequal lengths are an error."""
-    side = lambda path, name: spark.read.text(path, wholetext=True).select(F.from_json("value", f"{split} array<string>")[split].alias(name))
-    both = side(rumi_path, "r").join(side(jawi_path, "j"), F.lit(True))  # one row each
+    side = lambda path, name: spark.read.text(path, wholetext=True).select(F.lit(name).alias("side"), F.from_json("value", f"{split} array<string>")[split].alias("words"))
+    of = lambda name: F.max(F.when(F.col("side") == name, F.col("words")))
+    files = side(rumi_path, "r").unionByName(side(jawi_path, "j")).agg(of("r").alias("r"), of("j").alias("j"), F.count(F.lit(1)).alias("n"))
+    both = files.filter(F.when(F.col("n") == 2, True).otherwise(F.raise_error(F.lit("phrases come in one file for each side")).cast("boolean")))
     zipped = F.when(F.size("r") == F.size("j"), F.arrays_zip("r", "j")).otherwise(F.raise_error(F.lit("phrase files differ in length")).cast("array<struct<r:string,j:string>>"))
     return both.select(F.posexplode(zipped).alias("ord", "p")).select(F.col("p.r").alias("rumi"), F.col("p.j").alias("jawi"), "ord")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.distance import agreement_gate
 
@@ -15,10 +17,37 @@ def without_repeats(events: DataFrame, late: str = LATE) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "seq"])
 
 
-def live_state(events: DataFrame) -> DataFrame:
-    """Latest status of each stage of each run, for update mode."""
-    last = events.groupBy("run_id", "stage").agg(F.max(F.struct("seq", "status")).alias("e"))
-    return last.select("run_id", "stage", F.col("e.seq").alias("seq"), F.col("e.status").alias("status"))
+def live_state(events: DataFrame, late: str = LATE, idle: str = "1 day", end_stage: str = "pipeline_done") -> DataFrame:
+    """Latest status of each stage of each run, for update mode: a row per stage that the new events changed.
+
+    A run's state is dropped at its end event, and once the watermark is ``idle`` past its last event. A row that comes after
+    that starts anew; ``newest`` keeps the higher sequence number. Repeated and older events change nothing.
+    """
+    columns = "run_id string, stage string, seq long, status string"
+
+    def step(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        stages = {n: (k, v) for n, k, v in zip(*state.get)} if state.exists else {}
+        changed, latest, over = {}, 0, False
+        for pdf in batches:
+            for stage, seq, status, ts in zip(pdf["stage"], pdf["seq"].tolist(), pdf["status"], pdf["ts"]):
+                latest, over = max(latest, int(ts.timestamp() * 1000)), over or stage == end_stage
+                if stage not in stages or seq > stages[stage][0]:
+                    stages[stage] = changed[stage] = (seq, status)
+        if over:
+            state.remove()
+        else:
+            names = list(stages)
+            state.update((names, [stages[n][0] for n in names], [stages[n][1] for n in names]))
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + milliseconds)
+        yield pd.DataFrame([(key[0], n, *v) for n, v in changed.items()], columns=["run_id", "stage", "seq", "status"])
+
+    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000)
+    rows = events.select("run_id", "stage", F.col("seq").cast("long").alias("seq"), "status", "ts").withWatermark("ts", late)
+    kept = "stages array<string>, seqs array<long>, statuses array<string>"
+    return rows.groupBy("run_id").applyInPandasWithState(step, columns, kept, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def bursts(events: DataFrame, gap: str = "15 seconds", late: str = LATE) -> DataFrame:
@@ -48,7 +77,10 @@ def still_interrupted(stretches: DataFrame) -> DataFrame:
 
 
 def complete_articles(pages: DataFrame, counts: DataFrame) -> DataFrame:
-    """Runs all of whose pages have arrived; ``counts`` (static) has run_id and page_count. For update mode."""
+    """Runs all of whose pages have arrived; ``counts`` (static) has run_id and page_count. For update mode.
+
+    A run's state is its page_count pages at most: pages are counted once each by a set that can not outgrow that number.
+    """
     seen = pages.join(counts, "run_id").groupBy("run_id", "page_count").agg(F.size(F.collect_set("page")).alias("pages"))
     return seen.filter("pages >= page_count")
 
@@ -77,7 +109,8 @@ def written(spark: SparkSession, path: str) -> DataFrame:
 def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The last state of each key that an update-mode stream wrote."""
     others = [c for c in rows.columns if c not in (*keys, "batch")]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r"))
+    rank = F.struct("batch", *[c for c in ("seq",) if c in others])  # within a batch, the row of the higher sequence number
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("r"))
     return last.select(*keys, "r.*")
 
 
