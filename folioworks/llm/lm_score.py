@@ -6,264 +6,189 @@ target. Bigrams are smoothed towards each model's unigrams with Dirichlet weight
 for each word; a vocabulary of fewer than ``SIZE - 1`` words keeps the other places for words not seen.
 
 A text's score is the mean over its tokens of the loss under the target model minus that under the background model, in
-bits: the lower, the more target-like.
+bits: the lower, the more target-like. The loss of a bigram (v, w) is
+``log2(count(v) + KAPPA) - log2(count(v, w) + KAPPA * share(w))``.
 
-The loss of a bigram (v, w) is ``log2(count(v) + KAPPA) - log2(count(v, w) + KAPPA * share(w))``. The ``VOCABULARY`` most
-frequent words and the start are broadcast with their counts, and so are the counts of bigrams among them; this is only
-for speed and against hot keys. Every other bigram is a row per text: those that end in another word meet at that word,
-where its count, its count as a context and those of its bigrams are sums over windows; those that end in a frequent word
-meet at the bigram. So no key gathers more than about one in ``VOCABULARY`` of the tokens.
+Rows are dealt to chunks of about ``CHUNK_BYTES`` of text. A chunk counts its distinct words, contexts and bigrams and sends
+each range of their hashes, with the counts, to the bucket of that range. A bucket adds up what the chunks sent and returns
+to each the totals in the order in which it sent the hashes, with its share of the sums over all words. So each key of a chunk
+is moved once, however often it occurs, a frequent word weighs no more than a rare one, and no task holds more than a chunk
+or a bucket. The chunk then looks its tokens up in the totals.
 
-Words are told apart by 64-bit hashes, and so are texts: two of them coincide with a chance of about size^2 / 2^65.
+Words, contexts and bigrams are told apart by 62-bit hashes: two of them coincide with a chance of about size^2 / 2^63.
 
 Defined results: null and wordless texts have 0 tokens and null losses and score; without target texts both models are
-equal up to smoothing; repeated rows count as often as they occur; an empty table gives no rows.
+equal up to smoothing; rows without an id are never target; repeated rows count as often as they occur, and rows of an id
+that very many share are dealt like others; a very long text is a chunk's, in memory in proportion to it; an empty table
+gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64
+from .common import mix64
 
-VOCABULARY = 1_023
-CLASSES = 512
 KAPPA = 8.0
-#: Places that the smoothing of unigrams counts at least: the start, the frequent words, others.
-SIZE = 1 + VOCABULARY + CLASSES
-#: Ids: 0 stands before the first token, then the frequent words.
-FREQUENT = 1 + VOCABULARY
-START = np.int64(0x5851F42D4C957F2D)
+#: Places that the smoothing of unigrams counts at least: the start and others.
+SIZE = 1_536
+CHUNK_BYTES = 16 << 20
+#: Rows of one id from which they are dealt to ``SALTS`` chunks; at most one in ``OFTEN`` rows has such an id of its own.
+OFTEN, SALTS = 10_000, 64
+#: The low bits of a key tell bigrams, words and contexts apart.
+KIND, BIGRAM, WORD, CONTEXT = np.uint64(3), np.uint64(0), np.uint64(1), np.uint64(2)
+START = np.uint64(0x5851F42D4C957F2D)
 
 
 def tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def _hash(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
-
-
-class _Codes(dict):
-    """(hash, id) of words; words that are not frequent have id -1. Kept in bounded memory."""
-
-    def __init__(self, words: list[str]):
-        super().__init__({w: (self.hash(w), i + 1) for i, w in enumerate(words)})
-        self.most = len(self) + 300_000
-
-    @staticmethod
-    def hash(word: str) -> int:
-        return _hash(word.encode("utf-8", "surrogatepass"))
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        found = (self.hash(word), -1)
-        if len(self) < self.most:
-            self[word] = found
-        return found
-
-
-def _coded(texts: list, codes: _Codes):
-    """Of all tokens one after the other: the text, hash and id of the token and of the one before, and whether it is the last."""
-    look = codes.__getitem__
-    words = [tokens(t) for t in texts]
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    flat = np.array([x for ws in words for x in map(look, ws)], dtype=np.int64).reshape(-1, 2)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    w, i = flat[:, 0], flat[:, 1]
-    v, j = np.r_[START, w[:-1]][: len(w)], np.r_[0, i[:-1]][: len(i)]
-    first = np.cumsum(np.r_[0, sizes[:-1]])[sizes > 0]
-    v[first], j[first] = START, 0
-    last = np.zeros(len(w), dtype=np.int64)
-    last[np.cumsum(sizes)[sizes > 0] - 1] = 1
-    return sizes, owner, v, j, w, i, last
-
-
-WORD = "word string, background long, target long, ends long, target_ends long"
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Of each word of the corpus: tokens and final tokens, in all texts and in target texts."""
-
-    def count(batches):
-        every, own, ends, own_ends = Counter(), Counter(), Counter(), Counter()
-
-        def rows():
-            words = list(every)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (every, own, ends, own_ends))], [f.split()[0] for f in WORD.split(", ")])
-
-        for batch in batches:
-            for text, marked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = tokens(text)
-                every.update(words)
-                ends.update(words[-1:])
-                if marked:
-                    own.update(words)
-                    own_ends.update(words[-1:])
-            if len(every) > 200_000:
-                yield rows()
-                for c in (every, own, ends, own_ends):
-                    c.clear()
-        yield rows()
-
-    sums = [F.sum(c).alias(c) for c in ("background", "target", "ends", "target_ends")]
-    return docs.select("text", "target").mapInArrow(count, WORD).groupBy("word").agg(*sums)
-
-
-def frequent_bigrams(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(pair, background, target) counts of the bigrams of frequent words and the start, over all texts."""
-    held = docs.sparkSession.sparkContext.broadcast(words)
-
-    def count(batches):
-        codes = _Codes(held.value)
-        for batch in batches:
-            pairs, own = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                _, owner, _, j, _, i, _ = _coded(part.column(0).to_pylist(), codes)
-                marked = np.array([bool(x) for x in part.column(1).to_pylist()])
-                both = (i > 0) & (j >= 0)
-                found = (j * FREQUENT + i)[both]
-                pairs, own = np.r_[pairs, found], np.r_[own, found[marked[owner[both]]]]
-            distinct, background = np.unique(pairs, return_counts=True)
-            target = np.zeros(len(distinct), dtype=np.int64)
-            at, n = np.unique(own, return_counts=True)
-            target[np.searchsorted(distinct, at)] = n
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(background), pa.array(target)], ["pair", "background", "target"])
-
-    every = docs.select("text", "target").mapInArrow(count, "pair long, background long, target long")
-    return every.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-class Model:
-    """What is broadcast: the frequent words with their counts, in the order background, target; sizes do not depend on the corpus."""
-
-    def __init__(self, docs: DataFrame):
-        counts = materialise(word_counts(docs), "words")
-        sums = ["background", "target", "ends", "target_ends"]
-        whole = counts.agg(F.count(F.lit(1)).alias("words"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums)).first()
-        top = counts.orderBy(F.desc("background"), "word").limit(VOCABULARY).collect()
-        self.words = [r["word"] for r in top]
-        places = max(whole["words"], SIZE - 1)
-        self.totals = [whole[c] + 0.5 * places for c in ("background", "target")]
-        rows = frequent_bigrams(docs, self.words).toArrow()  # at most FREQUENT * FREQUENT rows, whatever the corpus
-        self.share, self.context, self.bigram = [], [], []
-        for m, (name, ends) in enumerate((("background", "ends"), ("target", "target_ends"))):
-            share = np.zeros(FREQUENT)
-            share[1 : 1 + len(top)] = [(r[name] + 0.5) / self.totals[m] for r in top]
-            context = np.zeros(FREQUENT)
-            context[: 1 + len(top)] = [whole[ends], *(r[name] - r[ends] for r in top)]
-            pairs = np.zeros(FREQUENT * FREQUENT)
-            pairs[rows["pair"].to_numpy()] = rows[name].to_numpy()
-            with np.errstate(divide="ignore"):
-                loss = -np.log2(pairs.reshape(FREQUENT, FREQUENT) + KAPPA * share[None, :])
-            self.share.append(share)
-            self.context.append(np.log2(context + KAPPA))
-            self.bigram.append(loss.astype(np.float32))
-
-
-def _key(doc_id, text) -> int:
-    return _hash(f"{doc_id} {text}".encode("utf-8", "surrogatepass"))
-
-
-HEAD = "key long, doc_id long, copies long, n_tokens long, loss_target double, loss_background double"
-
-
-def _heads(docs: DataFrame, held) -> DataFrame:
-    """Per row: what the broadcast counts say of its losses."""
-
-    def run(batches):
-        model = held.value
-        codes = _Codes(model.words)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                sizes, owner, _, j, _, i, _ = _coded(texts, codes)
-                both, context = (i > 0) & (j >= 0), j >= 0
-                sums = []
-                for m in (1, 0):
-                    found = np.bincount(owner[both], model.bigram[m][j[both], i[both]].astype(np.float64), len(texts))
-                    sums.append(found + np.bincount(owner[context], model.context[m][j[context]], len(texts)))
-                keys = [_key(d, t) for d, t in zip(ids, texts)]
-                columns = [pa.array(keys, pa.int64()), part.column(0), pa.array(np.ones(len(texts), dtype=np.int64)), pa.array(sizes), *map(pa.array, sums)]
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in HEAD.split(", ")])
-
-    return docs.select("doc_id", "text").mapInArrow(run, HEAD)
-
-
-OTHER = "key long, at long, before long, frequent int, n int, ends int, target boolean"
-
-
-def _others(docs: DataFrame, held) -> DataFrame:
-    """Per text and distinct bigram that is not among frequent words: ``at`` is its last word, or itself where that is frequent."""
-
-    def run(batches):
-        codes = _Codes(held.value.words)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                _, owner, v, j, w, i, last = _coded(texts, codes)
-                other = (i < 0) | (j < 0)
-                owner, v, w, i, last = (x[other] for x in (owner, v, w, i, last))
-                with np.errstate(over="ignore"):
-                    pair = mix64(v.view(np.uint64) * np.uint64(3) + mix64(w.view(np.uint64))).view(np.int64)
-                order = np.lexsort((pair, owner))
-                new = np.flatnonzero(np.r_[True, (np.diff(pair[order]) != 0) | (np.diff(owner[order]) != 0)][: len(order)])
-                one = order[new]
-                n = np.diff(np.r_[new, len(order)])
-                ends = np.add.reduceat(last[order], new) if len(new) else n
-                keys = np.array([_key(d, t) for d, t in zip(ids, texts)], dtype=np.int64)
-                marked = np.array([bool(x) for x in part.column(2).to_pylist()])
-                columns = [keys[owner[one]], np.where(i[one] < 0, w[one], pair[one]), v[one], np.maximum(i[one], 0).astype(np.int32), n.astype(np.int32), ends.astype(np.int32), marked[owner[one]]]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [f.split()[0] for f in OTHER.split(", ")])
-
-    return docs.select("doc_id", "text", "target").mapInArrow(run, OTHER)
-
-
-def _other_losses(rows: DataFrame, model: Model) -> DataFrame:
-    """Sums per text of the losses that need counts of words and bigrams that are not broadcast."""
-    spark = rows.sparkSession
-    shares = spark.createDataFrame([(i, float(model.share[1][i]), float(model.share[0][i])) for i in range(1, FREQUENT)], "frequent int, share_target double, share_background double")
-    word, pair = Window.partitionBy("at"), Window.partitionBy("at", "before")
-    # one shuffle and one sort serve both windows
-    rows = rows.repartition("at").sortWithinPartitions("at", "before")
-    sums = {}
-    for name, n, inner in (("background", F.col("n"), F.col("n") - F.col("ends")), ("target", F.when(F.col("target"), F.col("n")).otherwise(0), F.when(F.col("target"), F.col("n") - F.col("ends")).otherwise(0))):
-        sums |= {f"pair_{name}": F.sum(n).over(pair), f"word_{name}": F.sum(n).over(word), f"context_{name}": F.sum(inner).over(word)}
-    known = rows.withColumns(sums).join(F.broadcast(shares), "frequent", "left")
-    losses = []
-    for m, name in ((1, "target"), (0, "background")):
-        share = F.coalesce(f"share_{name}", (F.col(f"word_{name}") + 0.5) / F.lit(float(model.totals[m])))
-        bigram = -F.col("n") * F.log2(F.col(f"pair_{name}") + KAPPA * share)
-        context = F.when(F.col("frequent") == 0, (F.col("n") - F.col("ends")) * F.log2(F.col(f"context_{name}") + KAPPA)).otherwise(0.0)
-        losses.append(F.sum(bigram + context).alias(f"loss_{name}"))
-    return known.groupBy("key").agg(*losses)
-
-
-def score(docs: DataFrame) -> DataFrame:
-    """Per row of (doc_id, text, target): doc_id, n_tokens, loss_target, loss_background, score."""
-    model = Model(docs)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    others = _other_losses(_others(docs, held), model).select("key", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_tokens"), "loss_target", "loss_background")
-    # rows that repeat an id and a text add up alike above and below the line
-    sums = [F.sum(c).alias(c) for c in ("copies", "n_tokens", "loss_target", "loss_background")]
-    texts = _heads(docs, held).unionByName(others).groupBy("key").agg(F.max("doc_id").alias("doc_id"), *sums)
-    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).alias(c)
-    rows = texts.select("doc_id", "copies", (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"), mean("loss_target"), mean("loss_background"))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return rows.select("doc_id", "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
+class _Counted:
+    """The keys of a chunk in ascending order, and where each token's bigram is among them."""
+
+    def __init__(self, texts: list[str | None]):
+        codes: dict[str, int] = {}
+        parts, sizes = [], []
+        for text in texts:
+            words = tokens(text)
+            parts.append(np.fromiter((codes.setdefault(w, len(codes)) for w in words), dtype=np.int64, count=len(words)))
+            sizes.append(len(words))
+        self.sizes = np.array(sizes, dtype=np.int64)
+        self.word = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        self.start = len(codes)  # the code of what stands before the first token
+        self.before = np.r_[self.start, self.word[:-1]][: len(self.word)]
+        self.before[np.cumsum(np.r_[0, self.sizes[:-1]])[self.sizes > 0]] = self.start
+        pairs, self.pair = np.unique(self.before * (self.start + 1) + self.word, return_inverse=True)
+        self.pair_before, self.pair_word = np.divmod(pairs, self.start + 1)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in codes), dtype=np.uint64, count=len(codes))
+        hashes = np.r_[hashes, START]
+        with np.errstate(over="ignore"):
+            both = mix64(hashes[self.pair_before] * np.uint64(3) + mix64(hashes[self.pair_word]))
+        kinds = ((mix64(hashes[:-1]), WORD), (mix64(hashes), CONTEXT), (both, BIGRAM))
+        keys = np.concatenate([h & ~KIND | kind for h, kind in kinds])
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def counts(self, of: np.ndarray | None = None) -> np.ndarray:
+        """How often each key occurs in all tokens, or in those marked in ``of``."""
+        one = slice(None) if of is None else of
+        sizes = (self.start, self.start + 1, len(self.pair_word))
+        return np.concatenate([np.bincount(x[one], minlength=n) for x, n in zip((self.word, self.before, self.pair), sizes)])[self.order]
+
+    def unsorted(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals in key order, as those of words, of contexts and of bigrams by their codes."""
+        by_code = np.empty(len(totals), dtype=np.float64)
+        by_code[self.order] = totals
+        return by_code[: self.start], by_code[self.start : 2 * self.start + 1], by_code[2 * self.start + 1 :]
+
+
+def _texts(rows: pa.Table) -> tuple[list[str | None], pa.Array, np.ndarray]:
+    """Texts, ids and target marks of a chunk; rows that only mark an id as target go."""
+    marks = np.array(rows["mark"].to_pylist(), dtype=bool)
+    wanted = set(rows["doc_id"].filter(pa.array(marks)).to_pylist())
+    docs = rows.filter(pa.array(~marks))
+    ids = docs["doc_id"]
+    return docs["text"].to_pylist(), ids, np.array([i in wanted for i in ids.to_pylist()], dtype=bool)
+
+
+SENT = "bucket int, chunk int, keys array<long>, background array<int>, target array<int>"
+RETURNED = "bucket int, chunk int, background array<long>, target array<long>, words long, background_tokens long, target_tokens long"
+
+
+def _lists(values: np.ndarray, cuts: np.ndarray, kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
+
+
+def _sender(n: int):
+    edges = (np.arange(1, n, dtype=object) * (1 << 64) // n).astype(np.uint64)
+
+    def send(rows: pa.Table) -> pa.Table:
+        texts, _, target = _texts(rows)
+        found = _Counted(texts)
+        cuts = np.r_[0, np.searchsorted(found.keys, edges), len(found.keys)]
+        m = n if len(found.word) else 0  # a chunk with tokens hears of every bucket, for the sums
+        cuts = cuts if m else np.zeros(1, dtype=np.int64)
+        chunk = rows["chunk"][0].as_py()
+        own = found.counts(np.repeat(target, found.sizes))
+        columns = [pa.array(np.arange(m), pa.int32()), pa.array(np.full(m, chunk), pa.int32()), _lists(found.keys.view(np.int64), cuts, pa.int64()), _lists(found.counts(), cuts, pa.int32()), _lists(own, cuts, pa.int32())]
+        return pa.table(columns, [f.split()[0] for f in SENT.split(", ")])
+
+    return send
+
+
+def _values(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in column.chunks]) if column.num_chunks else np.zeros(0, dtype=np.int64)
+
+
+def _add_up(rows: pa.Table) -> pa.Table:
+    """The totals of a bucket's keys, for each chunk in its order."""
+    keys, at = np.unique(_values(rows["keys"]).view(np.uint64), return_inverse=True)
+    sizes = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in rows["keys"].chunks])
+    cuts, word = np.r_[0, np.cumsum(sizes)], (keys & KIND) == WORD
+    totals = [np.bincount(at, _values(rows[c]), len(keys)).astype(np.int64) for c in ("background", "target")]
+    sums = [int(word.sum()), *(int(t[word].sum()) for t in totals)]
+    same = [pa.array(np.full(rows.num_rows, s), pa.int64()) for s in sums]
+    return pa.table([rows["bucket"], rows["chunk"], *(_lists(t[at], cuts, pa.int64()) for t in totals), *same], [f.split()[0] for f in RETURNED.split(", ")])
+
+
+SCORED = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
+
+
+def _scored(rows: pa.Table, totals: pa.Table) -> pa.Table:
+    """The losses of a chunk's rows from the totals that the buckets returned."""
+    texts, ids, _ = _texts(rows)
+    found = _Counted(texts)
+    totals = totals.sort_by("bucket")
+    owner, sums = np.repeat(np.arange(len(texts)), found.sizes), []
+    for name in ("target", "background"):
+        held = _values(totals[name])
+        if len(held) != len(found.keys) and len(found.word):
+            raise ValueError("a chunk has other rows than when it was counted")
+        if not len(found.word):
+            sums.append(np.zeros(len(texts)))
+            continue
+        word, context, bigram = found.unsorted(held)
+        tokens_, words = (int(np.sum(_plain(totals[c]))) for c in (f"{name}_tokens", "words"))
+        share = (word + 0.5) / (tokens_ + 0.5 * max(words, SIZE - 1))
+        loss = np.log2(context[found.pair_before] + KAPPA) - np.log2(bigram + KAPPA * share[found.pair_word])
+        sums.append(np.bincount(owner, loss[found.pair], len(texts)))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        target, background = (s / found.sizes for s in sums)
+    none = found.sizes == 0
+    means = [pa.array(x, pa.float64(), mask=none) for x in (target, background, target - background)]
+    return pa.table([ids, pa.array(found.sizes), *means], [f.split()[0] for f in SCORED.split(", ")])
+
+
+def _plain(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy()
+
+
+def _dealt(docs: DataFrame, target_ids: DataFrame) -> tuple[DataFrame, int]:
+    """(chunk, doc_id, text, mark): rows by chunk, with a row for each target id in the chunks that its rows may be in."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-size // CHUNK_BYTES))
+    often = docs.filter("doc_id is not null").groupBy("doc_id").count().filter(F.col("count") >= OFTEN).select("doc_id", F.lit(SALTS).alias("salts"))
+    place = lambda salt: F.pmod(F.xxhash64("doc_id", salt), F.lit(n)).cast("int").alias("chunk")
+    row = F.monotonically_increasing_id()
+    # an id that is missing is spread over all chunks, one that very many rows share over SALTS
+    numbered = docs.withColumn("row", row).join(F.broadcast(often), "doc_id", "left")  # at most one in OFTEN rows
+    salt = F.when(F.col("doc_id").isNull(), F.col("row")).when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("row"), F.col("salts"))).otherwise(F.lit(0)).cast("long")
+    texts = numbered.withColumn("salt", salt).select(place("salt"), "doc_id", "text", F.lit(False).alias("mark"))
+    marks = target_ids.join(F.broadcast(often), "doc_id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("salts", F.lit(1)) - 1).cast("long"))))
+    return texts.unionByName(marks.select(place("salt"), "doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("mark"))), n
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores every row of ``docs``; the target texts are those whose id is in ``target_ids``."""
-    marks = target_ids.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct().withColumn("target", F.lit(True))
-    # marks grow with the corpus: the same sort-merge join at every size
-    marked = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(marks.hint("merge"), F.col("_doc") == F.col("_id"), "left")
-    return score(materialise(marked.select(F.col("_doc").cast("long").alias("doc_id"), "text", "target"), "marked"))
+    """Per row of ``docs``: doc_id, n_tokens, loss_target, loss_background, score; the target texts are those whose id is in
+    ``target_ids``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    wanted = target_ids.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    dealt, n = _dealt(rows, wanted)
+    chunks = dealt.groupBy("chunk")
+    totals = chunks.applyInArrow(_sender(n), SENT).groupBy("bucket").applyInArrow(_add_up, RETURNED)
+    return chunks.cogroup(totals.groupBy("chunk")).applyInArrow(_scored, SCORED)

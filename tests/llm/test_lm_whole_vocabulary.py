@@ -1,4 +1,4 @@
-"""LM scores over more words than the broadcast ones, against plain counting of every word and bigram."""
+"""LM scores over many words and chunks, against plain counting of every word and bigram."""
 
 import math
 import random
@@ -9,7 +9,10 @@ import pytest
 from folioworks.llm import lm_score
 
 
-def test_every_word_and_bigram_has_its_own_count(spark):
+@pytest.mark.parametrize("size", [16 << 20, 1_000])
+def test_every_word_and_bigram_has_its_own_count(spark, monkeypatch, size):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", size)
+    monkeypatch.setattr(lm_score, "OFTEN", 2)  # the id 502 is one that very many share
     rnd = random.Random(5)
     rows = [(i, " ".join(f"w{int(6000 * rnd.random() ** 2)}" for _ in range(rnd.randint(1, 80)))) for i in range(400)]
     rows += [(500, "Rare rare pair"), (501, "rare pair"), (502, "rare"), (502, "rare"), (None, "rare w1"), (None, "rare w1"), (None, "pair"), (503, None), (504, "w1 w2 w1 w2 rare")]
