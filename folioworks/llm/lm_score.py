@@ -15,7 +15,8 @@ to each the totals in the order in which it sent the hashes, with its share of t
 is moved once, however often it occurs, a frequent word weighs no more than a rare one, and no task holds more than a chunk
 or a bucket. The chunk then looks its tokens up in the totals.
 
-Words, contexts and bigrams are told apart by 62-bit hashes: two of them coincide with a chance of about size^2 / 2^63.
+Keys travel as compressed steps from one to the next. Words, contexts and bigrams are told apart by hashes of 56 bits: of n
+keys a share of about n / 2^56 coincides with another (one in 70,000 of a million million).
 
 Defined results: null and wordless texts have 0 tokens and null losses and score; without target texts both models are
 equal up to smoothing; rows without an id are never target; repeated rows count as often as they occur, and rows of an id
@@ -28,6 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,9 @@ from .common import mix64
 KAPPA = 8.0
 #: Places that the smoothing of unigrams counts at least: the start and others.
 SIZE = 1_536
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+#: Bits of a key: with n keys in the corpus a share of about n / 2^(KEY_BITS - 2) of them is counted together with another.
+KEY_BITS = 58
 #: Rows of one id from which they are dealt to ``SALTS`` chunks; at most one in ``OFTEN`` rows has such an id of its own.
 OFTEN, SALTS = 10_000, 64
 #: The low bits of a key tell bigrams, words and contexts apart.
@@ -70,7 +74,7 @@ class _Counted:
         with np.errstate(over="ignore"):
             both = mix64(hashes[self.pair_before] * np.uint64(3) + mix64(hashes[self.pair_word]))
         kinds = ((mix64(hashes[:-1]), WORD), (mix64(hashes), CONTEXT), (both, BIGRAM))
-        keys = np.concatenate([h & ~KIND | kind for h, kind in kinds])
+        keys = np.concatenate([(h >> np.uint64(64 - KEY_BITS)) & ~KIND | kind for h, kind in kinds])
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
 
@@ -96,44 +100,61 @@ def _texts(rows: pa.Table) -> tuple[list[str | None], pa.Array, np.ndarray]:
     return docs["text"].to_pylist(), ids, np.array([i in wanted for i in ids.to_pylist()], dtype=bool)
 
 
-SENT = "bucket int, chunk int, keys array<long>, background array<int>, target array<int>"
-RETURNED = "bucket int, chunk int, background array<long>, target array<long>, words long, background_tokens long, target_tokens long"
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 as compressed bytes: the lowest bytes of all, then the next ones, as many as the largest needs."""
+    values = np.ascontiguousarray(values, dtype="<u8")
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _lists(values: np.ndarray, cuts: np.ndarray, kind) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=np.uint8).reshape(data[0], -1)
+    wide = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    wide[:, : data[0]] = planes.T
+    return wide.view("<u8").reshape(-1)
+
+
+SENT = "bucket int, chunk int, keys binary, background binary, target binary"
+RETURNED = "bucket int, chunk int, background binary, target binary, words long, background_tokens long, target_tokens long"
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as the first and the steps from each to the next."""
+    return np.diff(keys, prepend=np.uint64(0)) if len(keys) else keys
 
 
 def _sender(n: int):
-    edges = (np.arange(1, n, dtype=object) * (1 << 64) // n).astype(np.uint64)
+    edges = (np.arange(1, n, dtype=object) * (1 << KEY_BITS) // n).astype(np.uint64)
 
     def send(rows: pa.Table) -> pa.Table:
         texts, _, target = _texts(rows)
         found = _Counted(texts)
         cuts = np.r_[0, np.searchsorted(found.keys, edges), len(found.keys)]
         m = n if len(found.word) else 0  # a chunk with tokens hears of every bucket, for the sums
-        cuts = cuts if m else np.zeros(1, dtype=np.int64)
         chunk = rows["chunk"][0].as_py()
-        own = found.counts(np.repeat(target, found.sizes))
-        columns = [pa.array(np.arange(m), pa.int32()), pa.array(np.full(m, chunk), pa.int32()), _lists(found.keys.view(np.int64), cuts, pa.int64()), _lists(found.counts(), cuts, pa.int32()), _lists(own, cuts, pa.int32())]
-        return pa.table(columns, [f.split()[0] for f in SENT.split(", ")])
+        counts = found.counts(), found.counts(np.repeat(target, found.sizes))
+        parts = [slice(cuts[i], cuts[i + 1]) for i in range(m)]
+        columns = [pa.array([packed(_steps(found.keys[p])) for p in parts], pa.binary()), *(pa.array([packed(c[p]) for p in parts], pa.binary()) for c in counts)]
+        return pa.table([pa.array(np.arange(m), pa.int32()), pa.array(np.full(m, chunk), pa.int32()), *columns], [f.split()[0] for f in SENT.split(", ")])
 
     return send
 
 
-def _values(column: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in column.chunks]) if column.num_chunks else np.zeros(0, dtype=np.int64)
-
-
 def _add_up(rows: pa.Table) -> pa.Table:
     """The totals of a bucket's keys, for each chunk in its order."""
-    keys, at = np.unique(_values(rows["keys"]).view(np.uint64), return_inverse=True)
-    sizes = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in rows["keys"].chunks])
-    cuts, word = np.r_[0, np.cumsum(sizes)], (keys & KIND) == WORD
-    totals = [np.bincount(at, _values(rows[c]), len(keys)).astype(np.int64) for c in ("background", "target")]
-    sums = [int(word.sum()), *(int(t[word].sum()) for t in totals)]
-    same = [pa.array(np.full(rows.num_rows, s), pa.int64()) for s in sums]
-    return pa.table([rows["bucket"], rows["chunk"], *(_lists(t[at], cuts, pa.int64()) for t in totals), *same], [f.split()[0] for f in RETURNED.split(", ")])
+    sent = [np.cumsum(unpacked(x), dtype=np.uint64) for x in rows["keys"].to_pylist()]
+    cuts = np.cumsum([len(x) for x in sent])[:-1]
+    keys, at = np.unique(np.concatenate(sent), return_inverse=True)
+    del sent
+    word, sums, columns = (keys & KIND) == WORD, [], []
+    for name in ("background", "target"):
+        counts = np.concatenate([unpacked(x) for x in rows[name].to_pylist()])
+        totals = np.bincount(at, counts, len(keys)).astype(np.uint64)  # whole numbers under 2^53
+        sums.append(int(totals[word].sum()))
+        columns.append(pa.array([packed(totals[x]) for x in np.split(at, cuts)], pa.binary()))
+    same = [pa.array(np.full(rows.num_rows, x), pa.int64()) for x in (int(word.sum()), *sums)]
+    return pa.table([rows["bucket"], rows["chunk"], *columns, *same], [f.split()[0] for f in RETURNED.split(", ")])
 
 
 SCORED = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
@@ -146,14 +167,14 @@ def _scored(rows: pa.Table, totals: pa.Table) -> pa.Table:
     totals = totals.sort_by("bucket")
     owner, sums = np.repeat(np.arange(len(texts)), found.sizes), []
     for name in ("target", "background"):
-        held = _values(totals[name])
+        held = np.concatenate([unpacked(x) for x in totals[name].to_pylist()] or [np.zeros(0, dtype=np.uint64)])
         if len(held) != len(found.keys) and len(found.word):
             raise ValueError("a chunk has other rows than when it was counted")
         if not len(found.word):
             sums.append(np.zeros(len(texts)))
             continue
         word, context, bigram = found.unsorted(held)
-        tokens_, words = (int(np.sum(_plain(totals[c]))) for c in (f"{name}_tokens", "words"))
+        tokens_, words = (int(totals[c].to_numpy().sum()) for c in (f"{name}_tokens", "words"))
         share = (word + 0.5) / (tokens_ + 0.5 * max(words, SIZE - 1))
         loss = np.log2(context[found.pair_before] + KAPPA) - np.log2(bigram + KAPPA * share[found.pair_word])
         sums.append(np.bincount(owner, loss[found.pair], len(texts)))
@@ -164,10 +185,6 @@ def _scored(rows: pa.Table, totals: pa.Table) -> pa.Table:
     return pa.table([ids, pa.array(found.sizes), *means], [f.split()[0] for f in SCORED.split(", ")])
 
 
-def _plain(column: pa.ChunkedArray) -> np.ndarray:
-    return column.to_numpy()
-
-
 def _dealt(docs: DataFrame, target_ids: DataFrame) -> tuple[DataFrame, int]:
     """(chunk, doc_id, text, mark): rows by chunk, with a row for each target id in the chunks that its rows may be in."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

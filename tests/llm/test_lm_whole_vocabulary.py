@@ -4,12 +4,13 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from folioworks.llm import lm_score
 
 
-@pytest.mark.parametrize("size", [16 << 20, 1_000])
+@pytest.mark.parametrize("size", [8 << 20, 1_000])
 def test_every_word_and_bigram_has_its_own_count(spark, monkeypatch, size):
     monkeypatch.setattr(lm_score, "CHUNK_BYTES", size)
     monkeypatch.setattr(lm_score, "OFTEN", 2)  # the id 502 is one that very many share
@@ -42,3 +43,8 @@ def test_every_word_and_bigram_has_its_own_count(spark, monkeypatch, size):
     for a, b in zip(found, sorted(want, key=order)):
         assert a[:2] == b[:2]
         assert a[2:] == (None, None) if b[2] is None else a[2:] == pytest.approx(b[2:], abs=1e-4)
+
+
+def test_packed_numbers_come_back():
+    for values in ([], [0], [1, 0, 255, 256], [2**63 + 5, 1], list(range(100_000))):
+        assert lm_score.unpacked(lm_score.packed(np.array(values, dtype=np.uint64))).tolist() == values
