@@ -18,7 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Bloom, bloom_of, materialise, new_path
@@ -29,6 +29,10 @@ RATE = 8_000
 CUT_BITS = 13
 LEAST, MOST = 2_048, 65_536
 HEADER = 44
+#: References to stored chunks are counted by hash in this many counters, a table that is broadcast whole.
+COUNTERS = 1 << 16
+#: References to one chunk that meet it in one place, or four times a counter's mean where that is more.
+PER_PLACE = 1_000
 
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
@@ -153,11 +157,29 @@ def feature(payload: bytes) -> str:
     return f"mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
 
 
+def with_chunks(references: DataFrame, loose: DataFrame) -> DataFrame:
+    """``references`` (medium, seq, digest) with the data of their chunks.
+
+    A chunk that many media refer to is copied to several places, and its references are dealt to them. How many depends
+    on the counter of the digest's hash, so both sides know it from one table of at most ``COUNTERS`` rows; digests that share
+    a counter with a frequent one are copied in vain, which changes no result.
+    """
+    counter = F.pmod(F.xxhash64("digest"), F.lit(COUNTERS)).cast("int")
+    counts = references.groupBy(counter.alias("counter")).agg(F.count(F.lit(1)).alias("n"))
+    mean = F.sum("n").over(Window.partitionBy()) / COUNTERS
+    places = materialise(counts.select("counter", F.ceil(F.col("n") / F.greatest(F.lit(float(PER_PLACE)), 4 * mean)).cast("int").alias("places")).filter("places > 1"), "places")
+    known = F.broadcast(places)  # at most COUNTERS rows of two integers
+    several = F.coalesce("places", F.lit(1))
+    dealt = references.withColumn("counter", counter).join(known, "counter", "left").withColumn("place", F.pmod(F.xxhash64("medium", "seq"), several).cast("int"))
+    copied = loose.withColumn("counter", counter).join(known, "counter", "left").withColumn("place", F.explode(F.sequence(F.lit(0), several - 1)))
+    return dealt.select("medium", "seq", "digest", "place").join(copied.select("digest", "place", "data"), ["digest", "place"]).select("medium", "seq", "digest", "data")
+
+
 def read_store(listed: DataFrame, whole: DataFrame, loose: DataFrame) -> DataFrame:
     """Per medium: its verified bytes' digests and features. Rows hold a medium's chunks in order, each with its digest."""
     once = listed.select("medium", "digests").dropDuplicates(["medium"])
-    spread = once.join(whole.select("medium"), "medium", "left_anti").select("medium", F.posexplode("digests").alias("seq", "digest"))
-    gathered = spread.join(loose, "digest").groupBy("medium").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "data"))).alias("parts"))
+    spread = materialise(once.join(whole.select("medium"), "medium", "left_anti").select("medium", F.posexplode("digests").alias("seq", "digest")), "references")
+    gathered = with_chunks(spread, loose).groupBy("medium").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "data"))).alias("parts"))
     shape = "medium binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
 
     def described(rows):

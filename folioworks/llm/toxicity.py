@@ -68,7 +68,8 @@ class OrdinalModel:
 
 
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 2500, rate: float = 0.05, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of the cumulative-link model by Adam; thresholds stay in order as a start and positive gaps."""
+    """Weights and thresholds of the cumulative-link model by Adam: those of the least sum of the thresholds' logistic losses.
+    Thresholds stay in order as a start and positive gaps."""
     n, m = x.shape
     rows, times = np.unique(np.column_stack([x, grade]), axis=0, return_counts=True)  # most rows have no telling word and are alike
     x, grade = rows[:, :m], rows[:, m]
