@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import JAWI, Script, clean_pair, consonant_skeleton, normalise_script, normalise_separator, spelling_variants, tokens
-from ..sources.store import new_folder
+from ..sources.store import kept
 
 AMBIGUOUS_SHARE = 0.2
 TOP = 5
@@ -19,10 +19,7 @@ SALTS = 16
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Written once and read back: what several joins need is not worked out for each."""
-    path = new_folder(df.sparkSession, "lexicon")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept(df, "lexicon")
 
 
 def phrase_word_pairs(phrases: DataFrame) -> DataFrame:

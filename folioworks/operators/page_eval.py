@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.boxes import intersects, iou
 from ..functions.scalars import ratio
 from ..functions.text import new_repeat_run
+from ..sources.store import kept
 
 IOU = 0.5
 BAND = 64.0
@@ -32,9 +33,12 @@ def touching(pred: DataFrame, gold: DataFrame, page: list[str]) -> DataFrame:
     return p.join(g, [*page, "band"]).filter(own & intersects(F.col("p"), F.col("g"))).drop("band")
 
 
+def _near_enough(met: DataFrame, threshold: float) -> DataFrame:
+    return met.withColumn("iou", iou(F.col("p"), F.col("g"))).filter(F.col("iou") >= threshold)
+
+
 def iou_candidates(pred: DataFrame, gold: DataFrame, page: list[str], threshold: float = IOU) -> DataFrame:
-    pairs = touching(pred, gold, page).withColumn("iou", iou(F.col("p"), F.col("g")))
-    return pairs.filter(F.col("iou") >= threshold)
+    return _near_enough(touching(pred, gold, page), threshold)
 
 
 def match_lines(pred: DataFrame, gold: DataFrame, page: list[str], threshold: float = IOU) -> DataFrame:
@@ -43,10 +47,14 @@ def match_lines(pred: DataFrame, gold: DataFrame, page: list[str], threshold: fl
 
     Pages where no prediction has two candidates need no loop: the best prediction of each gold box takes it.
     """
-    edges = iou_candidates(pred, gold, page, threshold).withColumn("rank", F.struct((-F.coalesce("p.conf", F.lit(1.0))).alias("c"), F.col("p.idx").alias("i")))
+    return _matched(iou_candidates(pred, gold, page, threshold), page)
+
+
+def _matched(candidates: DataFrame, page: list[str]) -> DataFrame:
+    edges = candidates.withColumn("rank", F.struct((-F.coalesce("p.conf", F.lit(1.0))).alias("c"), F.col("p.idx").alias("i")))
     per_pred = Window.partitionBy(*page, "p.idx")
     edges = edges.withColumn("options", F.count(F.lit(1)).over(per_pred))
-    edges = edges.withColumn("loop", F.max(F.col("options") > 1).over(Window.partitionBy(*page)))
+    edges = kept(edges.withColumn("loop", F.max(F.col("options") > 1).over(Window.partitionBy(*page))), "edges")
     first = F.row_number().over(Window.partitionBy(*page, "g.idx").orderBy("rank"))
     easy = edges.filter("not loop").withColumn("k", first).filter("k = 1").select(*page, "p", "g", "iou")
 
@@ -69,14 +77,19 @@ def match_lines(pred: DataFrame, gold: DataFrame, page: list[str], threshold: fl
 
 def line_outcomes(pred: DataFrame, gold: DataFrame, page: list[str], threshold: float = IOU) -> DataFrame:
     """(page, kind, edits, gold_chars, longer, shorter, repeats, touches): matched pairs, extra and missed lines."""
+    return compared(pred, gold, page, threshold)[0]
+
+
+def compared(pred: DataFrame, gold: DataFrame, page: list[str], threshold: float = IOU) -> tuple[DataFrame, DataFrame]:
+    """The outcomes of ``line_outcomes`` and the pairs of ``match_lines``, from boxes that meet once."""
     pred, gold = (lines.withColumn("text", F.coalesce("text", F.lit(""))) for lines in (pred, gold))  # a line without text is empty
-    pairs = match_lines(pred, gold, page, threshold)
+    met = kept(touching(pred, gold, page), "touching")
+    pairs = kept(_matched(_near_enough(met, threshold), page), "pairs")
     p, g = F.col("p.text"), F.col("g.text")
     longer = F.length(p) > LONG * F.length(g)
     matched = pairs.select(
         *page, F.lit("matched").alias("kind"), F.levenshtein(g, p).cast("long").alias("edits"), F.length(g).cast("long").alias("gold_chars"), longer.alias("longer"), ((~longer) & (F.length(p) < SHORT * F.length(g))).alias("shorter"), new_repeat_run(p, g).alias("repeats"), F.lit(True).alias("touches")
     )
-    met = touching(pred, gold, page)
 
     def unmatched(lines: DataFrame, side: str, kind: str) -> DataFrame:
         mine = pairs.select(*page, F.col(f"{side}.idx").alias("idx"))
@@ -87,7 +100,7 @@ def line_outcomes(pred: DataFrame, gold: DataFrame, page: list[str], threshold:
         gold_chars = size if kind == "missed" else F.lit(0).cast("long")
         return left.select(*page, F.lit(kind).alias("kind"), size.alias("edits"), gold_chars.alias("gold_chars"), F.lit(False).alias("longer"), F.lit(False).alias("shorter"), repeats.alias("repeats"), F.coalesce("near", F.lit(False)).alias("touches"))
 
-    return matched.unionByName(unmatched(pred, "p", "extra")).unionByName(unmatched(gold, "g", "missed"))
+    return matched.unionByName(unmatched(pred, "p", "extra")).unionByName(unmatched(gold, "g", "missed")), pairs
 
 
 def page_scores(outcomes: DataFrame, page: list[str]) -> DataFrame:

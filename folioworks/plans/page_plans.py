@@ -36,18 +36,18 @@ def page_text_cer(spark, sf_dir):
     return P.page_cer(*_lines(spark, sf_dir), PAGE)
 
 
-def _swapped(spark, sf_dir):
-    pairs = P.match_lines(*_lines(spark, sf_dir), PAGE)
+def _swapped(pairs):
     return pairs.select("page_id", F.col("g.idx").alias("gr"), ((F.col("p.idx") * 5 + F.col("page_id")) % 7 * 100 + F.col("p.idx")).alias("pr"))
 
 
 def page_order_tau(spark, sf_dir):
-    return P.order_agreement(_swapped(spark, sf_dir), PAGE, "pr", "gr")
+    return P.order_agreement(_swapped(P.match_lines(*_lines(spark, sf_dir), PAGE)), PAGE, "pr", "gr")
 
 
 def evaluation_overall(spark, sf_dir):
-    scores = P.page_scores(P.line_outcomes(*_lines(spark, sf_dir), PAGE), PAGE).filter("page_id is not null")
-    pages = scores.join(P.order_agreement(_swapped(spark, sf_dir), PAGE, "pr", "gr").select("page_id", "concordant", "pairs", "tau"), "page_id", "left")
+    outcomes, pairs = P.compared(*_lines(spark, sf_dir), PAGE)
+    scores = P.page_scores(outcomes, PAGE).filter("page_id is not null")
+    pages = scores.join(P.order_agreement(_swapped(pairs), PAGE, "pr", "gr").select("page_id", "concordant", "pairs", "tau"), "page_id", "left")
     return P.overall(pages.withColumn("seconds", F.col("page_id") % 17 / 2).withColumn("reviewed", F.col("page_id") % 3 == 0))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of local sessions (tests) that name none.
 _LOCAL: dict[str, str] = {}
@@ -21,3 +21,10 @@ def new_folder(spark: SparkSession, label: str) -> str:
         app = spark.sparkContext.applicationId
         base = _LOCAL.get(app) or _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="folioworks-"))
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Written once and read back: what several joins need is not worked out for each, and a lost executor costs nothing."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
