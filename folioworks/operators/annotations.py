@@ -88,8 +88,9 @@ def pair_by_position(left: DataFrame, right: DataFrame, group: str, left_order:
     return number(left, left_order).join(number(right, right_order), [group, "_n"]).drop("_n")
 
 
-def truth_column(cells: DataFrame, article: str = "article_id", sample: int = 8, block: str | None = None) -> DataFrame:
-    """The last column of each sheet whose sampled cells are mostly of one script; a sheet without one is an error.
+def truth_column(cells: DataFrame, article: str = "article_id", sample: int = 8, block: str | None = None, strict: bool = True) -> DataFrame:
+    """The last column of each sheet whose sampled cells are mostly of one script; a sheet without one is an error, or has
+    null if not ``strict``.
 
     ``cells`` has article, row (0 is the header), col, value. A column needs values in half the sampled rows, two at least.
     """
@@ -100,6 +101,8 @@ def truth_column(cells: DataFrame, article: str = "article_id", sample: int = 8,
     fit = filled.join(counts, article).filter((F.col("k") >= F.greatest(F.lit(2), F.floor(F.col("n") / 2))) & (F.col("share") > 0.5))
     best = fit.groupBy(article).agg(F.max("col").alias("truth_col"))
     checked = counts.select(article).join(best, article, "left")
+    if not strict:
+        return checked
     none = F.raise_error(F.lit("no column in the expected script")).cast("int")
     return checked.withColumn("truth_col", F.coalesce("truth_col", none))
 

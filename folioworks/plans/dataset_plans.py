@@ -207,10 +207,17 @@ def outlier_boxes(spark, sf_dir):
 def truth_columns(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     cells = c.select(F.col("conv_id").alias("article_id"), F.col("turn").cast("int").alias("row"), F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("text").alias("value")), F.struct(F.lit(1).alias("col"), F.regexp_replace("text", "[a-z]", "é").alias("value")), F.struct(F.lit(2).alias("col"), F.when(F.col("turn") == 1, "abc").otherwise("  ").alias("value")))).alias("x")).select("article_id", "row", "x.*")
-    long = cells.groupBy("article_id").agg(F.max("row").alias("top")).filter("top >= 3").select("article_id")
-    return A.truth_column(cells.join(long, "article_id", "left_semi"), block="a-z")
+    return A.truth_column(cells, block="a-z", strict=False)
 
 
+TRUTH_COLUMNS = r"""
+WITH cells AS (
+  SELECT conv_id AS article_id, turn AS row, unnest([0, 1, 2]) AS col, unnest([text, regexp_replace(text, '[a-z]', 'é', 'g'), CASE WHEN turn = 1 THEN 'abc' ELSE '  ' END]) AS value FROM conversations
+), rows AS (SELECT * FROM cells WHERE row BETWEEN 1 AND 8), counts AS (SELECT article_id, count(DISTINCT row) AS n FROM rows GROUP BY 1),
+letters AS (SELECT article_id, col, regexp_replace(value, '[^\p{L}]', '', 'g') AS l FROM rows WHERE regexp_replace(value, '[\s\x1c-\x1f]+', '', 'g') <> ''),
+filled AS (SELECT article_id, col, count(*) AS k, avg(CASE WHEN length(l) > 0 THEN (length(l) - length(regexp_replace(l, '[a-z]', '', 'g'))) / length(l) ELSE 0 END) AS share FROM letters GROUP BY 1, 2)
+SELECT c.article_id, CAST(max(f.col) AS INTEGER) AS truth_col FROM counts c LEFT JOIN filled f ON f.article_id = c.article_id AND f.k >= greatest(2, c.n // 2) AND f.share > 0.5 GROUP BY 1
+"""
 PERCENT = f"{GOLD_LINES}, pct AS (SELECT page_id, idx, text, CASE WHEN idx % 6 = 5 THEN 0 ELSE x2 - x1 END AS width, y2 - y1 AS height FROM gold)"
 
 QUERIES = {
@@ -251,5 +258,5 @@ QUERIES = {
     "annotation_ready_articles": (ready_articles, "SELECT o_orderkey FROM orders WHERE o_orderkey % 4 > 0 AND o_orderkey % 5 > 0 AND o_orderkey % 3 = 0"),
     "annotation_replaced_page": (replaced_page, f"WITH {GOLD_LINES} SELECT page_id % 10 AS digit, count_if(NOT (page_id % 10 = 0 AND one) OR (page_id % 10 = 0 AND idx = 1)) AS lines, count_if(page_id % 10 = 0 AND idx = 1) AS new FROM (SELECT *, bool_or(idx = 1) OVER (PARTITION BY page_id) AS one FROM gold) AS g GROUP BY 1"),
     "annotation_outlier_boxes": (outlier_boxes, f"WITH {GOLD_LINES}, h AS (SELECT page_id, idx, CASE WHEN (page_id + idx) % 6 = 0 THEN 60 ELSE y2 - y1 END AS h FROM gold), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY h) - 1 AS k, count(*) OVER (PARTITION BY page_id) AS n FROM h), m AS (SELECT page_id, max(h) FILTER (k = n // 2) AS median, max(n) AS n FROM r GROUP BY 1) SELECT page_id, any_value(median) AS median, count_if(m.n >= 3 AND h > 1.6::DOUBLE * median) AS outliers FROM h JOIN m USING (page_id) GROUP BY page_id"),
-    "annotation_truth_columns": (truth_columns, None),
+    "annotation_truth_columns": (truth_columns, TRUTH_COLUMNS),
 }

@@ -105,6 +105,13 @@ def verified_evidence(spark, sf_dir):
     return d.select("doc_id", F.size(kept).cast("long").alias("kept"))
 
 
+VERIFIED_EVIDENCE = r"""
+WITH d AS (SELECT doc_id, text, trim(regexp_replace(text, '[\s\x1c-\x1f]+', ' ', 'g')) AS hay FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, hay, trim(regexp_replace(unnest([substr(text, 3, 30), upper(substr(text, 3, 30)), 'no such words']), '[\s\x1c-\x1f]+', ' ', 'g')) AS quote FROM d)
+SELECT doc_id, count_if(quote <> '' AND contains(hay, quote)) AS kept FROM q GROUP BY doc_id
+"""
+
+
 def token_confidence(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", (-F.col("l_discount")).alias("p"), (F.col("l_suppkey") % 4).cast("int").alias("id")))).alias("t"))
     return rows.select("l_orderkey", S.token_confidence(F.transform("t", lambda x: x["p"]), F.transform("t", lambda x: x["id"]), 3).alias("confidence"))
@@ -324,7 +331,7 @@ QUERIES = {
         r"""WITH c AS (SELECT conv_id, turn, regexp_replace(coalesce(text, '') || CASE WHEN turn % 4 = 1 THEN '!' ELSE '' END, '^\s+|\s+$', '', 'g') AS t FROM conversations)
         SELECT conv_id, turn, CASE WHEN turn % 4 < 2 AND t <> '' THEN t END AS text, CASE WHEN turn % 4 = 3 THEN 'no_choices' WHEN turn % 4 = 2 THEN 'length_limit' WHEN t = '' THEN 'empty' END AS error FROM c""",
     ),
-    "verified_evidence": (verified_evidence, None),
+    "verified_evidence": (verified_evidence, VERIFIED_EVIDENCE),
     "token_confidence": (
         token_confidence,
         """WITH t AS (SELECT l_orderkey, -l_discount AS p, l_suppkey % 4 AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, -l_discount, l_suppkey % 4) AS k FROM lineitem), e AS (SELECT l_orderkey, min(k) FILTER (id = 3) AS stop FROM t GROUP BY 1)
