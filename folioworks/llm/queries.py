@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, filter_audit, language_id, lm_score, media_chunks, packing, shingle_join, toxicity, url_filter, warc
+from . import chat_format, decontamination, filter_audit, html_text, language_id, lm_score, media_chunks, packing, shingle_join, toxicity, url_filter, warc
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_warc": (op8_warc, warc.ORACLE),
     "op9_toxicity": (op9_toxicity, None),
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, None),
+    "op12_html_extraction": (op12_html_extraction, html_text.ORACLE),
     "op13_filter_audit": (op13_filter_audit, filter_audit.oracle()),
 }
 
