@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, filter_audit, html_text, language_id, lm_score, media_chunks, packing, shingle_join, toxicity, url_filter, warc
+from . import chat_format, decontamination, filter_audit, html_text, language_id, lm_score, media_chunks, packing, periodic_runs, shingle_join, toxicity, url_filter, warc
 from .common import table
 
 
@@ -63,6 +63,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.withColumns({"g": F.floor(h / 10), "n": F.when(h % 10 == 0, F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))))})
+    start = (F.col("g") % F.col("n")).cast("int")
+    period = (1 + F.floor((F.col("n") - start) / (3 + F.col("g") % 8))).cast("int")
+    found = periodic_runs.detect(docs.withColumn("text", F.when(F.col("n") > 0, periodic_runs.looped_tail(F.col("text"), start, period)).otherwise(F.col("text"))))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "leading.start", "leading.length", "leading.period",
+        F.expr("1000 * leading.length div leading.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -82,6 +97,7 @@ QUERIES = {
     "op8_warc": (op8_warc, warc.ORACLE),
     "op9_toxicity": (op9_toxicity, None),
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, None),
+    "op11_periodic_runs": (op11_periodic_runs, periodic_runs.ORACLE),
     "op12_html_extraction": (op12_html_extraction, html_text.ORACLE),
     "op13_filter_audit": (op13_filter_audit, filter_audit.oracle()),
 }
