@@ -1,7 +1,7 @@
 """Interaction of corpus filters: what each removes alone, after the others, and on average over all orders.
 
 Word statistics come from a sparse document-term matrix. ``term_shards`` encodes words in one dictionary of the whole table:
-tasks turn their rows into CSR slices over a dictionary of their shard, the distinct words of the shards meet in one grouping
+tasks turn their rows into CSR slices over a dictionary of their shard, the distinct words of the shards meet in one sort
 that numbers them, and each shard gets the numbers of its own words back, so a word travels once per shard and not once per
 place. ``document_checks`` reads word and distinct-word counts off the CSR rows; ``interactions`` adds up the orders.
 
@@ -116,15 +116,29 @@ def _local_rows(max_capitals: int):
     return run
 
 
+def _numbered(batches):
+    """Numbers the distinct words of a sorted partition; its number in the upper bits keeps words of different partitions apart."""
+    number, before = (TaskContext.get().partitionId() << 33) - 1, None
+    for batch in batches:
+        word = batch.column(2)
+        if not len(word):
+            continue
+        fresh = np.ones(len(word), dtype=np.int64)
+        fresh[1:] = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
+        fresh[0] = word[0].as_py() != before
+        numbers = number + np.cumsum(fresh)
+        number, before = int(numbers[-1]), word[-1].as_py()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int64())], ["of_shard", "position", "number"])
+
+
 def term_shards(docs: DataFrame, max_capitals: int = 2, id_col: str = "doc_id", part_col: str = "source", text_col: str = "text") -> DataFrame:
     """CSR slices of the document-term matrix. A row holds some documents: their ids, parts, digests and checks, and for the
     i-th of them its term numbers and counts at places ``bounds[i]`` up to ``bounds[i + 1]``. Terms are numbered alike in all rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.col(text_col).cast("string").alias("text"))
     local = materialise(rows.mapInArrow(_local_rows(max_capitals), LOCAL), "term-slices", "kind")
     held = local.filter("kind = 'word'").select("shard", "position", "word")
-    dictionary = materialise(held.groupBy("word").agg(F.count("*").alias("n_shards")).select("word", F.monotonically_increasing_id().alias("number")), "term-dictionary")
-    # A word is held once by a shard, so no word has more rows than there are shards.
-    numbered = held.join(dictionary, "word").select(F.col("shard").alias("of_shard"), "position", "number")
+    # A word is held once by a shard, so no word has more rows than there are shards. Those of one word stand together.
+    numbered = held.repartition("word").sortWithinPartitions("word").mapInArrow(_numbered, "of_shard long, position int, number long")
     slices = local.filter("kind = 'rows'").select("shard", "doc_id", "part", "digest", "capitals", "symbols", "bounds", "terms", "counts")
 
     def renumber(left: pa.Table, right: pa.Table) -> pa.Table:
