@@ -11,6 +11,7 @@ from ..operators import reading_order as O
 from ..operators import runs as R
 from ..sources import readers, writers
 from ..sources.store import new_folder
+from ..streaming import journal as J
 from ..streaming import runs as T
 from .inputs import GOLD_LINES, PREDICTED_LINES, RUN_EVENTS, gold_lines, predicted_lines, run_events, table
 
@@ -289,6 +290,19 @@ def stream_complete_articles(spark, sf_dir):
     return T.newest(rows, ["run_id"]).select("run_id", "page_count")
 
 
+def stream_replayed(spark, sf_dir):
+    """What a reader gets that starts when half of the log is there: the log comes in two files."""
+    log, out = new_folder(spark, "log"), new_folder(spark, "reader")
+    events = run_events(spark, sf_dir).select("run_id", F.col("seq").cast("long").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "stage", "status")
+    middle = events.agg(F.expr("percentile_approx(seq, 0.5)")).head()[0]
+    numbered = lambda: J.numbered(spark.readStream.schema(events.schema).parquet(log), end_stage="purchase")
+    for half in (F.col("seq") <= middle, F.col("seq") > middle):
+        events.filter(half).write.mode("append").parquet(log)
+        J.keep(numbered(), f"{log}-journal", f"{log}-state").awaitTermination()
+        J.follow(spark, f"{log}-journal", f"{out}-state", J.to_folder(out)).awaitTermination()
+    return T.written(spark, out).select("run_id", "index", "seq", "stage")
+
+
 def stream_gate(spark, sf_dir):
     s = _stream(spark, sf_dir).select("seq", F.col("stage").alias("a"), F.when(F.col("seq") % 2 == 0, F.col("stage")).otherwise(F.col("status")).alias("b"))
     return _run(spark, T.gated(s).select("seq", "gate.passed"), "append").groupBy("passed").agg(F.count(F.lit(1)).alias("n"))
@@ -363,5 +377,10 @@ QUERIES = {
     "stream_bursts": (stream_bursts, f"WITH {SESSIONS.format(gap='2 HOUR')} SELECT run_id, count(*) AS bursts, CAST(sum(events) AS BIGINT) AS events FROM closed GROUP BY run_id"),
     "stream_interrupted": (stream_interrupted, f"WITH {SESSIONS.format(gap='12 HOUR')} SELECT run_id, 'failed' AS status, CAST(sum(events) AS BIGINT) AS events FROM closed GROUP BY run_id HAVING NOT bool_or(ended)"),
     "stream_complete_articles": (stream_complete_articles, f"WITH {RUN_EVENTS} SELECT run_id, count(DISTINCT stage) AS page_count FROM run_events GROUP BY run_id"),
+    "stream_replayed": (
+        stream_replayed,
+        f"""WITH {RUN_EVENTS}, ends AS (SELECT run_id, min(seq) FILTER (stage = 'purchase') AS last FROM run_events GROUP BY run_id)
+            SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1 AS index, seq, stage FROM run_events JOIN ends USING (run_id) WHERE last IS NULL OR seq <= last""",
+    ),
     "stream_gate": (stream_gate, f"WITH {RUN_EVENTS} SELECT seq % 2 = 0 AS passed, count(*) AS n FROM run_events GROUP BY 1"),
 }

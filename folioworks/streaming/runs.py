@@ -17,37 +17,45 @@ def without_repeats(events: DataFrame, late: str = LATE) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "seq"])
 
 
+def _milliseconds(time: str) -> int:
+    return int(pd.Timedelta(time).total_seconds() * 1000)
+
+
+def _expire_after(state, rows: pd.DataFrame, milliseconds: int) -> None:
+    """State of a key goes once the watermark is ``milliseconds`` past the newest event of the key in ``rows``."""
+    newest = int(rows["ts"].max().timestamp() * 1000) if len(rows) else 0
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + milliseconds)
+
+
 def live_state(events: DataFrame, late: str = LATE, idle: str = "1 day", end_stage: str = "pipeline_done") -> DataFrame:
     """Latest status of each stage of each run, for update mode: a row per stage that the new events changed.
 
     A run's state is dropped at its end event, and once the watermark is ``idle`` past its last event. A row that comes after
     that starts anew; ``newest`` keeps the higher sequence number. Repeated and older events change nothing.
     """
-    columns = "run_id string, stage string, seq long, status string"
+    columns = ["run_id", "stage", "seq", "status"]
+    milliseconds = _milliseconds(idle)
 
     def step(key, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
-        stages = {n: (k, v) for n, k, v in zip(*state.get)} if state.exists else {}
-        changed, latest, over = {}, 0, False
-        for pdf in batches:
-            for stage, seq, status, ts in zip(pdf["stage"], pdf["seq"].tolist(), pdf["status"], pdf["ts"]):
-                latest, over = max(latest, int(ts.timestamp() * 1000)), over or stage == end_stage
-                if stage not in stages or seq > stages[stage][0]:
-                    stages[stage] = changed[stage] = (seq, status)
-        if over:
-            state.remove()
+        rows = pd.concat(list(batches))
+        known = pd.DataFrame(zip(*state.get), columns=columns[1:]) if state.exists else rows.iloc[:0][columns[1:]]
+        last = rows.sort_values("seq", kind="stable").drop_duplicates("stage", keep="last")[columns[1:]]
+        before = last["stage"].map(known.set_index("stage")["seq"])
+        changed = last[before.isna() | (last["seq"] > before)]
+        if (rows["stage"] == end_stage).any():
+            if state.exists:
+                state.remove()
         else:
-            names = list(stages)
-            state.update((names, [stages[n][0] for n in names], [stages[n][1] for n in names]))
-            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + milliseconds)
-        yield pd.DataFrame([(key[0], n, *v) for n, v in changed.items()], columns=["run_id", "stage", "seq", "status"])
+            now = pd.concat([known[~known["stage"].isin(changed["stage"])], changed])
+            state.update((now["stage"].tolist(), now["seq"].tolist(), now["status"].tolist()))
+            _expire_after(state, rows, milliseconds)
+        yield changed.assign(run_id=key[0])[columns]
 
-    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000)
     rows = events.select("run_id", "stage", F.col("seq").cast("long").alias("seq"), "status", "ts").withWatermark("ts", late)
-    kept = "stages array<string>, seqs array<long>, statuses array<string>"
-    return rows.groupBy("run_id").applyInPandasWithState(step, columns, kept, "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("run_id").applyInPandasWithState(step, "run_id string, stage string, seq long, status string", "stages array<string>, seqs array<long>, statuses array<string>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def bursts(events: DataFrame, gap: str = "15 seconds", late: str = LATE) -> DataFrame:
@@ -76,13 +84,31 @@ def still_interrupted(stretches: DataFrame) -> DataFrame:
     return last.filter("not over").select("run_id", "closed_at", "status", "events")
 
 
-def complete_articles(pages: DataFrame, counts: DataFrame) -> DataFrame:
-    """Runs all of whose pages have arrived; ``counts`` (static) has run_id and page_count. For update mode.
+def complete_articles(pages: DataFrame, counts: DataFrame, late: str = LATE, idle: str = "1 day") -> DataFrame:
+    """Runs all of whose pages have arrived, each once, as soon as its last page is there; ``counts`` (static) has run_id and page_count.
 
-    A run's state is its page_count pages at most: pages are counted once each by a set that can not outgrow that number.
+    A run's state is the set of its pages, and no more than a mark once it is complete; it is dropped when the watermark is
+    ``idle`` past the run's last page, whether all pages came or not. Repeated pages count once, pages without a number not at all.
     """
-    seen = pages.join(counts, "run_id").groupBy("run_id", "page_count").agg(F.size(F.collect_set("page")).alias("pages"))
-    return seen.filter("pages >= page_count")
+    milliseconds = _milliseconds(idle)
+
+    def step(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches))
+        held, complete = state.get if state.exists else ([], False)
+        if not complete:
+            seen = pd.unique(pd.concat([pd.Series(held, dtype=object), rows["page"].dropna()]))
+            complete = len(seen) >= rows["page_count"].iloc[0]
+            held = [] if complete else [str(x) for x in seen]
+            if complete:
+                yield pd.DataFrame({"run_id": [key[0]], "page_count": [int(rows["page_count"].iloc[0])]})
+        state.update((held, bool(complete)))
+        _expire_after(state, rows, milliseconds)
+
+    rows = pages.withWatermark("ts", late).join(counts.select("run_id", F.col("page_count").cast("long").alias("page_count")), "run_id").select("run_id", F.col("page").cast("string").alias("page"), "page_count", "ts")
+    return rows.groupBy("run_id").applyInPandasWithState(step, "run_id string, page_count long", "pages array<string>, complete boolean", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def gated(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -112,10 +138,3 @@ def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
     rank = F.struct("batch", *[c for c in ("seq",) if c in others])  # within a batch, the row of the higher sequence number
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("r"))
     return last.select(*keys, "r.*")
-
-
-def replay(spark: SparkSession, log: DataFrame, since: int = 0) -> DataFrame:
-    """The sequence a late reader gets: every run's events from an index on, in order."""
-    from ..operators.runs import numbered_events
-
-    return numbered_events(log, since)
