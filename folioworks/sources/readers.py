@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import file_type
 from ..functions.text import NO_PROVIDER, infer_provider, parse_saved_text, strip
+from .records import csv_records, good, json_file_records, json_line_records, rejects
 
 OCR_RECORD = "source_file string, ocr_provider string, ocr_jawi_text string, metadata map<string,string>"
 VALUE = "struct<x:double,y:double,width:double,height:double,text:array<string>>"
@@ -47,9 +48,13 @@ def phrase_pairs(spark: SparkSession, rumi_path: str, jawi_path: str, split: str
     return both.select(F.posexplode(zipped).alias("ord", "p")).select(F.col("p.r").alias("rumi"), F.col("p.j").alias("jawi"), "ord")
 
 
-def json_lines(spark: SparkSession, paths, schema: str) -> DataFrame:
-    """JSONL rows; blank lines are skipped."""
-    return spark.read.schema(schema).json(paths)
+def json_lines(spark: SparkSession, paths, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """JSONL rows; blank lines are skipped, broken ones are rows of ``json_line_rejects``."""
+    return good(json_line_records(spark, paths, schema, required))
+
+
+def json_line_rejects(spark: SparkSession, paths, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
+    return rejects(json_line_records(spark, paths, schema, required))
 
 
 def ratings(spark: SparkSession, paths) -> DataFrame:
@@ -57,7 +62,12 @@ def ratings(spark: SparkSession, paths) -> DataFrame:
 
 
 def annotation_tasks(spark: SparkSession, paths) -> DataFrame:
-    return spark.read.schema(TASK).json(paths, multiLine=True)
+    """Tasks of export files; what is none is a row of ``annotation_task_rejects``."""
+    return good(json_file_records(spark, paths, TASK, ("id",)))
+
+
+def annotation_task_rejects(spark: SparkSession, paths) -> DataFrame:
+    return rejects(json_file_records(spark, paths, TASK, ("id",)))
 
 
 def annotation_rows(spark: SparkSession, paths) -> DataFrame:
@@ -67,14 +77,20 @@ def annotation_rows(spark: SparkSession, paths) -> DataFrame:
 
 
 def sheet_cells(spark: SparkSession, paths, columns: int) -> DataFrame:
-    """(article_id, row, col, value) of header-less CSV exports, one file per article.
+    """(article_id, row, col, value) of header-less CSV exports, one file per article; a cell may hold several lines.
 
-    Rows are numbered within a file, so each file is read whole.
+    Rows are the file's records, numbered from 0; blank ones have no cells. A file whose quotes do not close is left out and is
+    a row of ``sheet_rejects``.
     """
     names = [f"c{i}" for i in range(columns)]
-    raw = spark.read.text(paths, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]+)?$", 1).alias("article_id"), F.posexplode(F.split("value", "\r?\n")).alias("row", "line"))
-    cells = F.from_csv("line", ", ".join(f"{n} string" for n in names))
-    return raw.filter("line <> ''").select("article_id", "row", F.posexplode(F.array(*[cells[n] for n in names])).alias("col", "value")).filter("value is not null")
+    records = csv_records(spark, paths)[0].filter("value <> ''")
+    cells = F.from_csv("value", ", ".join(f"{n} string" for n in names), {"quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+    parsed = records.select(F.regexp_extract("file", r"([^/]+?)(\.[^./]+)?$", 1).alias("article_id"), F.col("record").cast("int").alias("row"), cells.alias("cells"))
+    return parsed.select("article_id", "row", F.posexplode(F.array(*[F.col(f"cells.{n}") for n in names])).alias("col", "value")).filter("value is not null")
+
+
+def sheet_rejects(spark: SparkSession, paths) -> DataFrame:
+    return csv_records(spark, paths)[1]
 
 
 def reading_orders(spark: SparkSession, path: str) -> DataFrame:
@@ -103,7 +119,12 @@ def uploads(spark: SparkSession, paths) -> DataFrame:
 
 
 def ocr_pages(spark: SparkSession, paths) -> DataFrame:
-    return spark.read.schema(OCR_PAGE).json(paths, multiLine=True)
+    """Page records; what is none is a row of ``ocr_page_rejects``."""
+    return good(json_file_records(spark, paths, OCR_PAGE, ("run_id", "page")))
+
+
+def ocr_page_rejects(spark: SparkSession, paths) -> DataFrame:
+    return rejects(json_file_records(spark, paths, OCR_PAGE, ("run_id", "page")))
 
 
 def events(spark: SparkSession, path: str, schema: str = EVENT) -> DataFrame:
