@@ -229,6 +229,16 @@ def pair_files(spark, sf_dir):
     return readers.word_pairs(spark, path).groupBy(F.get("pair", F.lit(1)).alias("p_type")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
+def sheet_texts(spark, sf_dir):
+    """Whole documents as cells of sheets, written, read back and cut in lines."""
+    path = new_folder(spark, "sheets")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.option("escape", '"').option("emptyValue", "").csv(path)
+    cells = readers.sheet_cells(spark, path, 2).groupBy("article_id", "row").agg(*(F.max(F.when(F.col("col") == k, F.col("value"))).alias(n) for k, n in enumerate(("id", "text"))))
+    text = F.coalesce("text", F.lit(""))
+    return cells.select(F.col("id").cast("long").alias("doc_id"), F.length(text).alias("chars"), F.sha2(text, 256).alias("digest"), F.size(F.split(text, "\n")).alias("lines"))
+
+
 def kept_once(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     old = o.filter("o_orderkey % 4 = 0").select("o_custkey").distinct()
@@ -367,6 +377,7 @@ QUERIES = {
     "plugin_lines": (plugged_lines, "SELECT conv_id * 100 + turn AS doc_id, length(coalesce(text, '')) AS chars FROM conversations"),
     "plugin_stage": (plugged_stage, "SELECT CASE WHEN length(text) = 0 THEN 'failed_empty_output' ELSE 'completed' END AS status, length(text) % 7 = 0 OR length(text) % 5 = 0 AS repaired, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2"),
     "files_by_split": (split_files, "SELECT CASE WHEN p_partkey % 10 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS lines, count(DISTINCT p_type) AS texts FROM part GROUP BY 1"),
+    "files_sheet_cells": (sheet_texts, "SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(coalesce(text, '')) AS digest, len(string_split(coalesce(text, ''), chr(10))) AS lines FROM documents"),
     "files_word_pairs": (pair_files, "SELECT p_type, count(*) AS pairs FROM part GROUP BY 1"),
     "files_written_once": (kept_once, "SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 4 = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0)"),
     "files_order_templates": (order_templates, f"WITH {GOLD_LINES}, n AS (SELECT page_id, count(*) AS n FROM gold GROUP BY 1) SELECT page_id, array_to_string(range(0, n), ',') AS places FROM n"),
