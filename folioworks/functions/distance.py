@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections import Counter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
+from . import bitvectors
 from .text import collapse, normalise_for_comparison
 
 GATE = 0.85
@@ -21,17 +21,39 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: A pair whose distance is no more than this is settled by a table of so many diagonals; bit vectors are quicker than a wider one.
+NEAR = 12
+
+
+@pandas_udf(StructType().add("edits", LongType()).add("a_chars", LongType()).add("b_chars", LongType()))
+def _settled(a: pd.Series, b: pd.Series, near: pd.Series, a_chars: pd.Series, b_chars: pd.Series) -> pd.DataFrame:
+    """``near`` where it is a distance; else that of the texts, which only those rows have."""
+    edits = near.astype("Int64")
+    far = (edits < 0).fillna(False)
+    edits[far] = [bitvectors.distance(x, y) for x, y in zip(a[far], b[far])]
+    return pd.DataFrame({"edits": edits, "a_chars": a_chars.astype("Int64"), "b_chars": b_chars.astype("Int64")})
+
+
+def measured(a: Column, b: Column) -> Column:
+    """struct<edits, a_chars, b_chars> of two texts, null edits if one is null. Exact at every length: pairs that are near to each
+    other take a bounded distance within the JVM, in time in proportion to their length; only texts farther apart are handed on to
+    bit vectors."""
+    near = F.levenshtein(a, b, NEAR)
+    far = near < 0
+    return _settled(F.when(far, a), F.when(far, b), near, F.length(a), F.length(b))
+
+
 def compute_cer(ref: Column, hyp: Column) -> Column:
     """Character error rate of one pair over collapsed texts; an empty reference gives 0 or 1."""
-    pair = F.struct(collapse(F.coalesce(ref, F.lit(""))).alias("r"), collapse(F.coalesce(hyp, F.lit(""))).alias("h"))
-    return once(pair, lambda s: F.when(s["r"] == "", F.when(s["h"] == "", 0.0).otherwise(1.0)).otherwise(F.round(F.levenshtein(s["r"], s["h"]) / F.length(s["r"]), 4)))
+    pair = measured(collapse(F.coalesce(ref, F.lit(""))), collapse(F.coalesce(hyp, F.lit(""))))
+    return once(pair, lambda m: F.when(m["a_chars"] == 0, F.when(m["b_chars"] == 0, 0.0).otherwise(1.0)).otherwise(F.round(m["edits"] / m["a_chars"], 4)))
 
 
 def character_agreement(a: Column, b: Column, composed: bool = False) -> Column:
     """1 - distance over the longer text; 0 when both are empty."""
-    longest = lambda s: F.greatest(F.length(s["x"]), F.length(s["y"]))
-    share = lambda s: F.when(longest(s) == 0, 0.0).otherwise(1 - F.levenshtein(s["x"], s["y"]) / longest(s))
-    return once(F.struct(normalise_for_comparison(a, composed).alias("x"), normalise_for_comparison(b, composed).alias("y")), share)
+    longest = lambda m: F.greatest(m["a_chars"], m["b_chars"])
+    share = lambda m: F.when(longest(m) == 0, 0.0).otherwise(1 - m["edits"] / longest(m))
+    return once(measured(normalise_for_comparison(a, composed), normalise_for_comparison(b, composed)), share)
 
 
 def percent(x: Column, digits: int) -> Column:
@@ -56,22 +78,6 @@ def _verdict(agreement: Column, coverage: Column, threshold: float) -> Column:
     )
 
 
-def _lcs(a, b) -> int:
-    """Length of the longest common subsequence; one numpy row per element of the shorter sequence."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    codes: dict = {}
-    b = np.array([codes.setdefault(x, len(codes)) for x in b])
-    row = np.zeros(len(b) + 1, dtype=np.int32)
-    for x in a:
-        grown = row.copy()
-        grown[1:] = np.maximum(row[1:], row[:-1] + (b == codes.get(x, -1)))
-        row = np.maximum.accumulate(grown)
-    return int(row[-1])
-
-
 GRAM_HITS = "array<struct<n:int,hit:bigint,hyp:bigint,ref:bigint>>"
 
 
@@ -100,12 +106,12 @@ def gram_counts(hyp: Column, ref: Column, orders: int) -> Column:
 
 @pandas_udf(LongType())
 def lcs_chars(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_lcs(x or "", y or "") for x, y in zip(a, b)])
+    return pd.Series([bitvectors.common_subsequence(x or "", y or "") for x, y in zip(a, b)])
 
 
 @pandas_udf(LongType())
 def lcs_words(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_lcs(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(a, b)])
+    return pd.Series([bitvectors.common_subsequence(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(a, b)])
 
 
 def similarity_ratio(a: Column, b: Column) -> Column:
@@ -113,30 +119,6 @@ def similarity_ratio(a: Column, b: Column) -> Column:
     return F.when((F.length(a) > 0) & (F.length(b) > 0), F.round(200.0 * lcs_chars(a, b) / (F.length(a) + F.length(b)), 2)).otherwise(0.0)
 
 
-def _source_errors(ref: str, hyp: str) -> list[str]:
-    """Characters of ``ref`` that a shortest edit script replaces or deletes."""
-    n, m = len(ref), len(hyp)
-    h = np.array([ord(c) for c in hyp], dtype=np.int64)
-    steps = np.arange(m + 1)
-    table = np.empty((n + 1, m + 1), dtype=np.int32)
-    table[0] = steps
-    for i, c in enumerate(ref, 1):
-        best = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (h != ord(c)))
-        table[i] = np.minimum.accumulate(np.r_[i, best] - steps) + steps
-    out, i, j = [], n, m
-    while i > 0:
-        if j > 0 and table[i, j] == table[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
-            if ref[i - 1] != hyp[j - 1]:
-                out.append(ref[i - 1])
-            i, j = i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] + 1:
-            out.append(ref[i - 1])
-            i -= 1
-        else:
-            j -= 1
-    return out[::-1]
-
-
 @pandas_udf(ArrayType(StringType()))
 def source_errors(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([_source_errors(r or "", h or "") for r, h in zip(ref, hyp)])
+    return pd.Series([bitvectors.source_errors(r or "", h or "") for r, h in zip(ref, hyp)])

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import gram_counts, lcs_words, similarity_ratio, source_errors
+from ..functions.distance import gram_counts, lcs_words, measured, similarity_ratio, source_errors
 from ..functions.scalars import safe_ratio
 from ..functions.text import SPECIAL_LETTERS, normalise_entity
 
@@ -22,7 +22,7 @@ def paired(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
 def corpus_cer(pairs: DataFrame, by: str | None = None) -> DataFrame:
     """Edits over reference characters: per ``by`` value and over all (null), as sums and never as a mean of ratios."""
     r, h = F.coalesce("ref", F.lit("")), F.coalesce("hyp", F.lit(""))  # a text that is missing is an empty one
-    rows = pairs.withColumn("edits", F.levenshtein(r, h).cast("long")).withColumn("chars", F.length(r).cast("long"))
+    rows = pairs.withColumn("_m", measured(r, h)).withColumns({"edits": F.col("_m.edits"), "chars": F.col("_m.a_chars")})
     grouped = rows.rollup(by) if by else rows.groupBy()
     out = grouped.agg(F.sum("edits").alias("edits"), F.sum("chars").alias("chars"))
     cer = F.col("edits") / F.greatest(F.lit(1), "chars")

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows with much work each, over all cores: those of a small table come in fewer splits than there are cores. Larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def edited(text):
     """A deterministic second reading of a text."""
     return F.replace(F.replace(F.replace(text, F.lit("tion"), F.lit("sion")), F.lit("ea"), F.lit("e")), F.lit("th"), F.lit("t"))
@@ -25,7 +31,7 @@ SQL_EDITED = "replace(replace(replace({c}, 'tion', 'sion'), 'ea', 'e'), 'th', 't
 def reading_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, article_id, a, b): every chat turn's whole text and its edited copy, by conversation."""
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), F.concat(F.lit("c"), F.col("conv_id") % 10).alias("article_id"), F.coalesce("text", F.lit("")).alias("a"))
-    return turns.withColumn("b", edited(F.col("a")))
+    return dealt(turns).withColumn("b", edited(F.col("a")))
 
 
 READING_PAIRS = f"""pairs AS (

@@ -79,7 +79,7 @@ def method_benchmark(spark, sf_dir):
 
 
 def setting_sweep(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).select((F.col("doc_id") % 4 / 10).alias("pad_x"), (F.col("doc_id") % 2 / 20).alias("pad_y"), F.levenshtein("ref", "hyp").alias("edits"), F.length("ref").alias("chars"))
+    rows = _pairs(spark, sf_dir).select((F.col("doc_id") % 4 / 10).alias("pad_x"), (F.col("doc_id") % 2 / 20).alias("pad_y"), D.measured(F.col("ref"), F.col("hyp")).alias("m")).select("pad_x", "pad_y", "m.edits", F.col("m.a_chars").alias("chars"))
     return M.best_setting(rows, ["pad_x", "pad_y"])
 
 
