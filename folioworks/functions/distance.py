@@ -26,21 +26,21 @@ NEAR = 12
 
 
 @pandas_udf(StructType().add("edits", LongType()).add("a_chars", LongType()).add("b_chars", LongType()))
-def _settled(a: pd.Series, b: pd.Series, near: pd.Series, a_chars: pd.Series, b_chars: pd.Series) -> pd.DataFrame:
+def _settled(pairs: pd.DataFrame) -> pd.DataFrame:
     """``near`` where it is a distance; else that of the texts, which only those rows have."""
-    edits = near.astype("Int64")
-    far = (edits < 0).fillna(False)
-    edits[far] = [bitvectors.distance(x, y) for x, y in zip(a[far], b[far])]
-    return pd.DataFrame({"edits": edits, "a_chars": a_chars.astype("Int64"), "b_chars": b_chars.astype("Int64")})
+    out = pairs[["near", "a_chars", "b_chars"]].astype("Int64").rename(columns={"near": "edits"})
+    far = (out["edits"] < 0).fillna(False)
+    out.loc[far, "edits"] = [bitvectors.distance(x, y) for x, y in zip(pairs["a"][far], pairs["b"][far])]
+    return out
 
 
 def measured(a: Column, b: Column) -> Column:
     """struct<edits, a_chars, b_chars> of two texts, null edits if one is null. Exact at every length: pairs that are near to each
     other take a bounded distance within the JVM, in time in proportion to their length; only texts farther apart are handed on to
     bit vectors."""
-    near = F.levenshtein(a, b, NEAR)
-    far = near < 0
-    return _settled(F.when(far, a), F.when(far, b), near, F.length(a), F.length(b))
+    far = lambda s, c: F.when(s["near"] < 0, s[c]).alias(c)
+    near = once(F.struct(a.alias("a"), b.alias("b")), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.levenshtein(s["a"], s["b"], NEAR).alias("near")))
+    return _settled(once(near, lambda s: F.struct(s["near"].alias("near"), F.length(s["a"]).alias("a_chars"), F.length(s["b"]).alias("b_chars"), far(s, "a"), far(s, "b"))))
 
 
 def compute_cer(ref: Column, hyp: Column) -> Column:

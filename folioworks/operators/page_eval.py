@@ -6,10 +6,12 @@ all against all. Matching is one-to-one and greedy by confidence within a page.
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distance import measured
 from ..functions.boxes import intersects, iou
 from ..functions.scalars import ratio
 from ..functions.text import new_repeat_run
@@ -18,6 +20,9 @@ from ..sources.store import kept
 IOU = 0.5
 BAND = 64.0
 LONG, SHORT = 1.15, 0.85
+OPEN, TAKEN, CLOSED = 0, 1, 2
+#: Rounds of matching that are worked out before what is open is written.
+ROUNDS = 2
 
 
 def _boxes(lines: DataFrame, name: str, page: list[str]) -> DataFrame:
@@ -43,36 +48,35 @@ def iou_candidates(pred: DataFrame, gold: DataFrame, page: list[str], threshold:
 
 def match_lines(pred: DataFrame, gold: DataFrame, page: list[str], threshold: float = IOU) -> DataFrame:
     """(page, p, g, iou): predictions by confidence (missing counts as 1, ties by position) each take the best gold box
-    still free; of equally good ones the first.
-
-    Pages where no prediction has two candidates need no loop: the best prediction of each gold box takes it.
-    """
+    still free; of equally good ones the first."""
     return _matched(iou_candidates(pred, gold, page, threshold), page)
 
 
 def _matched(candidates: DataFrame, page: list[str]) -> DataFrame:
-    edges = candidates.withColumn("rank", F.struct((-F.coalesce("p.conf", F.lit(1.0))).alias("c"), F.col("p.idx").alias("i")))
-    per_pred = Window.partitionBy(*page, "p.idx")
-    edges = edges.withColumn("options", F.count(F.lit(1)).over(per_pred))
-    edges = kept(edges.withColumn("loop", F.max(F.col("options") > 1).over(Window.partitionBy(*page))), "edges")
-    first = F.row_number().over(Window.partitionBy(*page, "g.idx").orderBy("rank"))
-    easy = edges.filter("not loop").withColumn("k", first).filter("k = 1").select(*page, "p", "g", "iou")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, done, rows = set(), set(), []
-        for i, (_, pi, gi, _) in sorted(enumerate(zip(pdf["c"], pdf["pi"], pdf["gi"], pdf["iou"])), key=lambda e: (e[1][0], e[1][1], -e[1][3], e[1][2])):
-            if pi not in done and gi not in taken:
-                done.add(pi)
-                taken.add(gi)
-                rows.append(i)
-        return pdf.iloc[rows][[*page, "pi", "gi"]]
-
-    hard = edges.filter("loop")
-    narrow = hard.select(*page, F.col("rank.c").alias("c"), F.col("p.idx").alias("pi"), F.col("g.idx").alias("gi"), "iou")
-    kinds = ", ".join(f"{n} {t}" for n, t in narrow.dtypes if n in (*page, "pi", "gi"))
-    chosen = narrow.groupBy(*page).applyInPandas(greedy, kinds)
-    picked = hard.withColumn("pi", F.col("p.idx")).withColumn("gi", F.col("g.idx")).join(chosen, [*page, "pi", "gi"]).select(*page, "p", "g", "iou")
-    return easy.unionByName(picked)
+    """The greedy choice over edges in order of confidence, position and overlap, for all pages at once.
+
+    An edge that comes first among the open edges of both its ends is one that the greedy choice takes, and ends all other
+    edges of these. Rounds of this give the whole choice; a round takes an edge of every group of boxes that are still linked, so
+    there are no more rounds than such a group has matches, and mostly one or two. ROUNDS of them are one job.
+    """
+    rank = F.struct((-F.coalesce("p.conf", F.lit(1.0))).alias("c"), F.col("p.idx").alias("p"), (-F.col("iou")).alias("o"), F.col("g.idx").alias("g"))
+    ends = [Window.partitionBy(*page, F.col(f"{side}.idx")) for side in ("p", "g")]
+    rows, chosen = candidates.repartition(*page).withColumn("rank", rank).withColumn("state", F.lit(OPEN)), []
+    while True:
+        for _ in range(ROUNDS):
+            is_open = F.col("state") == OPEN
+            for k, end in enumerate(ends):
+                rows = rows.withColumn(f"first{k}", F.min(F.when(is_open, F.col("rank"))).over(end))
+            rows = rows.withColumn("state", F.when(is_open & (F.col("rank") == F.col("first0")) & (F.col("rank") == F.col("first1")), TAKEN).otherwise(F.col("state")))
+            for k, end in enumerate(ends):
+                rows = rows.withColumn(f"met{k}", F.max(F.col("state") == TAKEN).over(end))
+            rows = rows.withColumn("state", F.when(is_open & (F.col("met0") | F.col("met1")), CLOSED).otherwise(F.col("state")))
+        done = kept(rows.filter(F.col("state") != CLOSED).select(*page, "p", "g", "iou", "rank", "state"), "edges")
+        chosen.append(done.filter(F.col("state") == TAKEN).select(*page, "p", "g", "iou"))
+        left = done.filter(F.col("state") == OPEN)
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, chosen)
+        rows = left.repartition(*page)
 
 
 def line_outcomes(pred: DataFrame, gold: DataFrame, page: list[str], threshold: float = IOU) -> DataFrame:
@@ -84,7 +88,7 @@ def compared(pred: DataFrame, gold: DataFrame, page: list[str], threshold: float
     """The outcomes of ``line_outcomes`` and the pairs of ``match_lines``, from boxes that meet once."""
     pred, gold = (lines.withColumn("text", F.coalesce("text", F.lit(""))) for lines in (pred, gold))  # a line without text is empty
     met = kept(touching(pred, gold, page), "touching")
-    pairs = kept(_matched(_near_enough(met, threshold), page), "pairs")
+    pairs = _matched(_near_enough(met, threshold), page)
     p, g = F.col("p.text"), F.col("g.text")
     longer = F.length(p) > LONG * F.length(g)
     matched = pairs.select(
@@ -136,20 +140,28 @@ def joined_text(lines: DataFrame, page: list[str], order: str, skip_empty: bool)
 def page_cer(pred: DataFrame, gold: DataFrame, page: list[str], order: str = "idx") -> DataFrame:
     """Edits and CER of whole page texts, predicted lines in reading order, gold lines in gold order."""
     both = joined_text(gold, page, order, False).withColumnRenamed("text", "g").join(joined_text(pred, page, order, True).withColumnRenamed("text", "p"), page, "left")
-    edits, chars = F.levenshtein("g", F.coalesce("p", F.lit(""))).cast("long"), F.length("g").cast("long")
-    return both.select(*page, edits.alias("edits"), chars.alias("gold_chars"), ratio(edits, chars).alias("page_cer"))
+    edits, chars = F.col("m.edits"), F.col("m.a_chars")
+    return both.select(*page, measured(F.col("g"), F.coalesce("p", F.lit(""))).alias("m")).select(*page, edits.alias("edits"), chars.alias("gold_chars"), ratio(edits, chars).alias("page_cer"))
 
 
 def order_agreement(pairs: DataFrame, page: list[str], pred_rank: str = "p.idx", gold_rank: str = "g.idx") -> DataFrame:
     """Kendall's tau of matched lines per page; null under two lines. Every pair that is not concordant is discordant.
 
-    The concordant pairs of a page are counted by comparing each line with those before it in gold order.
+    Lines are numbered in gold order. Two of them part at the highest bit in which their numbers differ, so each pair is met once:
+    at the level of that bit, in the block of the bits above it. There one sort by predicted rank counts, for each line of the
+    upper half, those of the lower half before it: n log n rows of a page in sorts, and nothing is gathered.
     """
-    ranks = F.array_sort(F.collect_list(F.struct(F.col(gold_rank).alias("g"), F.col(pred_rank).alias("p"))))
-    rows = pairs.groupBy(*page).agg(ranks.alias("r"))
-    before = F.transform("r", lambda x, i: F.size(F.filter(F.slice("r", F.lit(1), i), lambda y: y["p"] < x["p"])))
-    n = F.size("r")
-    out = rows.select(*page, n.cast("long").alias("lines"), F.aggregate(before, F.lit(0).cast("long"), lambda a, x: a + x).alias("concordant"), (n * (n - 1) / 2).cast("long").alias("pairs"))
+    here = Window.partitionBy(*page)
+    rows = pairs.select(*page, F.col(gold_rank).alias("g"), F.col(pred_rank).alias("p"))
+    rows = rows.withColumn("place", F.row_number().over(here.orderBy("g", "p")) - 1).withColumn("n", F.count(F.lit(1)).over(here))
+    levels = rows.filter("n > 1").withColumn("level", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("n") - 1)) - 1)))
+    levels = levels.withColumn("upper", F.expr("shiftright(place, level) % 2")).withColumn("block", F.expr("shiftright(place, level + 1)"))
+    # Of equal predicted ranks the upper half's lines come first: they are not concordant.
+    before = Window.partitionBy(*page, "level", "block").orderBy("p", F.desc("upper")).rowsBetween(Window.unboundedPreceding, -1)
+    met = levels.withColumn("lower", F.sum(1 - F.col("upper")).over(before)).filter("upper = 1").groupBy(*page).agg(F.sum("lower").alias("concordant"))
+    n = F.col("lines")
+    out = rows.groupBy(*page).agg(F.count(F.lit(1)).alias("lines")).join(met, page, "left")
+    out = out.select(*page, "lines", F.coalesce("concordant", F.lit(0)).alias("concordant"), (n * (n - 1) / 2).cast("long").alias("pairs"))
     return out.withColumn("tau", ratio(2 * F.col("concordant") - F.col("pairs"), F.col("pairs")))
 
 
