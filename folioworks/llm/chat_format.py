@@ -62,12 +62,18 @@ def preference_examples(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def swapped_endings(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns from plain conversations: the rejected side ends with the last turn of the neighbour
-    (2n and 2n + 1 are neighbours) instead of its own; without a neighbour that turn is missing."""
-    turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    last = turns.groupBy("pair_id").agg(F.max("turn").alias("last"), F.max(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("ending"))
-    kept = turns.join(last.select("pair_id", "last"), "pair_id").filter("turn < last").select("pair_id", "turn", "role", "text")
-    lent = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), "ending").join(last.select("pair_id", "last"), "pair_id")
-    return turns, kept.unionByName(lent.select("pair_id", F.col("last").alias("turn"), "ending.role", "ending.text"))
+    (2n and 2n + 1 are neighbours) instead of its own; without a neighbour that turn is missing.
+
+    Turns are in the order of ``preference_examples``. Exactly one row is the last, so a last turn that is repeated loses one of
+    its rows; the turn that takes its place has its number, which may be null. Turns without a conversation are one
+    conversation, which has no neighbour.
+    """
+    turns = conversations.select(F.col("conv_id").alias("pair_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("pair_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
+    ranked = turns.withColumn("from_end", F.row_number().over(order))
+    last = ranked.filter("from_end = 1")
+    lent = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), "role", "text").join(last.select("pair_id", "turn"), "pair_id")
+    return turns, ranked.filter("from_end > 1").drop("from_end").unionByName(lent)
 
 
 def masks_as_text(mask: Column) -> Column:
@@ -77,20 +83,20 @@ def masks_as_text(mask: Column) -> Column:
 ORACLE = """
 WITH t AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 ending AS (
-  SELECT pair_id, turn AS last, role, text FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC, role DESC, text DESC) AS k FROM t) AS x WHERE k = 1
+  SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) AS from_end FROM t
 ), sides AS (
   SELECT 'c' AS side, pair_id, turn, role, text FROM t
-  UNION ALL SELECT 'r', t.pair_id, turn, t.role, t.text FROM t JOIN ending e ON e.pair_id = t.pair_id WHERE turn < last
-  UNION ALL SELECT 'r', mine.pair_id, mine.last, other.role, other.text FROM ending mine JOIN ending other ON other.pair_id = xor(mine.pair_id, 1)
+  UNION ALL SELECT 'r', pair_id, turn, role, text FROM ending WHERE from_end > 1
+  UNION ALL SELECT 'r', mine.pair_id, mine.turn, other.role, other.text FROM ending mine JOIN ending other ON other.pair_id = xor(mine.pair_id, 1) WHERE mine.from_end = 1 AND other.from_end = 1
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY side, pair_id ORDER BY turn, role, text) AS k, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece FROM sides
+  SELECT *, row_number() OVER (PARTITION BY side, pair_id ORDER BY turn NULLS FIRST, role, text) AS k, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece FROM sides
 ), shared AS (
   SELECT pair_id, coalesce(min(k) FILTER (NOT same) - 1, count(*)) AS n FROM (
     SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.k, r.k) AS k, coalesce(c.role = r.role AND c.text = r.text, false) AS same
-    FROM (SELECT * FROM ranked WHERE side = 'c') c FULL JOIN (SELECT * FROM ranked WHERE side = 'r') r ON c.pair_id = r.pair_id AND c.k = r.k) AS z
+    FROM (SELECT * FROM ranked WHERE side = 'c') c FULL JOIN (SELECT * FROM ranked WHERE side = 'r') r ON c.pair_id IS NOT DISTINCT FROM r.pair_id AND c.k = r.k) AS z
   GROUP BY pair_id
 ), placed AS (
-  SELECT x.*, s.n, sum(length(piece)) OVER (PARTITION BY side, x.pair_id ORDER BY k) AS till FROM ranked x JOIN shared s ON s.pair_id = x.pair_id
+  SELECT x.*, s.n, sum(length(piece)) OVER (PARTITION BY side, x.pair_id ORDER BY k) AS till FROM ranked x JOIN shared s ON s.pair_id IS NOT DISTINCT FROM x.pair_id
 )
 SELECT pair_id, CAST(any_value(n) AS BIGINT) AS shared_turns,
   coalesce(string_agg(piece, '' ORDER BY k) FILTER (side = 'c' AND k <= n), '') AS prompt,
