@@ -15,6 +15,8 @@ nothing is known of (allow); repeated rows are judged alike; an empty table give
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,16 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?([a-z][a-z0-9+.\-]*://[^\"'\s>]+)"
 DAMPING = 0.85
-ROUNDS = 12
+#: Share of what the seeds give that may still be on its way when the rounds end: each round hands on ``DAMPING`` of what is.
+RESIDUAL = 0.01
 THRESHOLD = 0.5
 
 
+def rounds_for(residual: float, damping: float = DAMPING) -> int:
+    """Rounds after which no more than ``residual`` of the seeds' mass is on its way, whatever the links are."""
+    return max(1, math.ceil(math.log(residual) / math.log(damping)))
+
+
 def host_of(url: Column) -> Column:
     return ascii_lower(F.regexp_extract(F.coalesce(url, F.lit("")), URL, 1))
 
@@ -62,9 +70,10 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, score) after ``rounds`` of personalised PageRank. ``seeds`` has kind, host, seed; kind 1 walks the
-    edges forwards, kind -1 backwards."""
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, residual: float = RESIDUAL) -> DataFrame:
+    """(kind, host, score) of personalised PageRank, all scores of a kind together less than ``residual`` of its seeds below
+    their limits. ``seeds`` has kind, host, seed; kind 1 walks the edges forwards, kind -1 backwards. What reaches a host without
+    links stays there and is not handed on."""
     forward = edges.select(F.lit(1).alias("kind"), "src", "dst", "n")
     backward = edges.select(F.lit(-1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     steps = forward.unionByName(backward)
@@ -72,7 +81,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     steps = materialise(steps.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("share")), "steps")
     given = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("part"))
     scores = given.select("kind", "host", F.col("part").alias("score"))
-    for turn in range(rounds):
+    for turn in range(rounds_for(residual, damping)):
         moved = steps.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("part"))
         scores = given.unionByName(moved).groupBy("kind", "host").agg(F.sum("part").alias("score"))
         if turn % 4 == 3:
@@ -80,7 +89,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     return scores
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, damping: float = DAMPING, residual: float = RESIDUAL) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, trust, distrust."""
     base = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("html"))
     hosts = materialise(base.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
@@ -92,15 +101,16 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     shares = ruled.filter("action is not null").groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("a"), F.count_if(F.col("action") == "block").alias("b"))
     seeds = shares.join(hosts, "host").select("host", F.explode(F.array(F.struct(F.lit(1).alias("kind"), (F.col("a") / F.col("pages")).alias("seed")), F.struct(F.lit(-1).alias("kind"), (F.col("b") / F.col("pages")).alias("seed")))).alias("s")).select("s.kind", "host", "s.seed")
     seeds = materialise(seeds.filter("seed > 0"), "seeds")
-    scores = propagate(seeds, host_edges(base, named), damping, rounds)
+    scores = propagate(seeds, host_edges(base, named), damping, residual)
     wide = scores.groupBy("host").agg(*[F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)) / (1 - damping), 9).alias(name) for k, name in ((1, "trust"), (-1, "distrust"))])
     out = ruled.join(wide, "host", "left").fillna(0.0, ["trust", "distrust"])
     by_method = F.when(F.col("distrust") - F.col("trust") >= threshold, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", by_method).alias("verdict"), "trust", "distrust")
 
 
-def oracle(rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> str:
+def oracle(rules=RULES, damping: float = DAMPING, residual: float = RESIDUAL, threshold: float = THRESHOLD) -> str:
     """The same judgement as DuckDB SQL, one CTE a round."""
+    rounds = rounds_for(residual, damping)
     values = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in rules)
     lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     link = LINK.replace("'", "''")
