@@ -41,6 +41,13 @@ def to_pixels(value: Column, side: Column) -> Column:
     return value * side / 100.0
 
 
+def pixel_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
+    """Corners in whole pixels of a box in percent; halves round to even."""
+    left, top = to_pixels(x, width), to_pixels(y, height)
+    corners = (left, top, left + to_pixels(w, width), top + to_pixels(h, height))
+    return F.struct(*(F.bround(c).cast("int").alias(n) for c, n in zip(corners, ("x1", "y1", "x2", "y2"))))
+
+
 def padded(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, pad_x: Column, pad_y: Column) -> Column:
     """The box grown by the pads, cut at the page, in whole pixels (towards zero)."""
     return F.struct(

@@ -142,8 +142,8 @@ def file_type(content: Column) -> Column:
 
 
 def verified_evidence(evidence: Column, source: Column) -> Column:
-    """The {entity, quote} pairs whose quote stands verbatim in the source, white space aside."""
-    hay = collapse(source)
+    """The {entity, quote} pairs whose quote stands verbatim in the source, white space aside; none if the source is null."""
+    hay = collapse(F.coalesce(source, F.lit("")))
     return F.filter(evidence, lambda e: (collapse(e["quote"]) != "") & F.contains(hay, collapse(e["quote"])))
 
 

@@ -167,4 +167,5 @@ def first_existing(wanted: DataFrame, files: DataFrame, names: Column) -> DataFr
 
 
 def first_pages(lines: DataFrame, page: list[str], n: int) -> DataFrame:
+    """The first n pages in page order."""
     return lines.select(*page).distinct().orderBy(*page).limit(n)

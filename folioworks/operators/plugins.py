@@ -42,7 +42,7 @@ def recognise_pages(pages: DataFrame, recognise: Callable[[bytes], list[tuple[st
 
 
 def text_stage(texts: DataFrame, stage: Callable[[str], str], name: str, key: str = "doc_id", text: str = "text", attempts: int = 1) -> DataFrame:
-    """(key, stage, output, status, error, attempts): errors and empty outputs become a status; others are not hurt."""
+    """(key, stage, output, status, error, attempts): errors and empty outputs become a status; others are not hurt. A null text is an empty one."""
     kind = dict(texts.dtypes)[key]
 
     def one(value: str) -> tuple:
@@ -63,7 +63,7 @@ def text_stage(texts: DataFrame, stage: Callable[[str], str], name: str, key: st
             rows = [(k, name, *one(v)) for k, v in zip(pdf[key], pdf[text])]
             yield pd.DataFrame(rows, columns=[key, "stage", "output", "status", "error", "attempts"])
 
-    return texts.select(key, text).mapInPandas(run, f"{key} {kind}, stage string, output string, status string, error string, attempts int")
+    return texts.select(key, F.coalesce(text, F.lit("")).alias(text)).mapInPandas(run, f"{key} {kind}, stage string, output string, status string, error string, attempts int")
 
 
 def repaired(texts: DataFrame, first: DataFrame, valid, repair: Callable[[str], str], key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -65,10 +65,18 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _pairs(boxes: DataFrame, page: list[str], columns: list[str]) -> DataFrame:
-    """Pairs of different boxes of a page, as structs p and q."""
-    side = lambda n: boxes.select(*page, F.struct(*columns).alias(n))
-    return side("p").join(side("q"), page).filter("p.idx <> q.idx")
+def _meeting(boxes: DataFrame, page: list[str], columns: list[str], low: str, high: str) -> DataFrame:
+    """Pairs of different boxes of a page that overlap between ``low`` and ``high``, as structs p and q.
+
+    The axis is cut in buckets as wide as the page's mean box, so a box is in as many as it is longer than that and all boxes
+    together in no more than two each. A pair meets in the first bucket that both are in: boxes far apart never do.
+    """
+    size = F.greatest(F.avg(F.greatest(F.col(high) - F.col(low), F.lit(0.0))).over(Window.partitionBy(*page)), F.lit(1e-6))
+    first, last = F.floor(F.col(low) / F.col("_size")), F.floor(F.greatest(F.col(low), F.col(high)) / F.col("_size"))
+    spread = boxes.withColumn("_size", size).select(*page, F.struct(*columns).alias("b"), first.alias("first"), F.explode(F.sequence(first, last)).alias("bucket"))
+    side = lambda n: spread.select(*page, "bucket", F.col("b").alias(n), F.col("first").alias(f"{n}_first"))
+    met = side("p").join(side("q"), [*page, "bucket"]).filter((F.col("bucket") == F.greatest("p_first", "q_first")) & (F.col("p.idx") != F.col("q.idx")))
+    return met.filter(F.least(f"p.{high}", f"q.{high}") > F.greatest(f"p.{low}", f"q.{low}")).select(*page, "p", "q")
 
 
 def suppress_contained(boxes: DataFrame, page: list[str], most: float = 0.6) -> DataFrame:
@@ -81,7 +89,7 @@ def suppress_contained(boxes: DataFrame, page: list[str], most: float = 0.6) ->
     p, q = F.col("p"), F.col("q")
     inter = F.greatest(F.lit(0.0), F.least(p["x2"], q["x2"]) - F.greatest(p["x1"], q["x1"])) * F.greatest(F.lit(0.0), F.least(p["y2"], q["y2"]) - F.greatest(p["y1"], q["y1"]))
     surer = (p["conf"] > q["conf"]) | ((p["conf"] == q["conf"]) & (p["idx"] < q["idx"]))
-    rivals = _pairs(boxes, page, ["idx", "x1", "y1", "x2", "y2", "conf"]).filter(surer & (inter / F.least(area(p), area(q)) > most))
+    rivals = _meeting(boxes, page, ["idx", "x1", "y1", "x2", "y2", "conf"], "y1", "y2").filter(surer & (inter / F.least(area(p), area(q)) > most))
     rivals = _kept(rivals.select(*page, F.col("p.idx").alias("by"), F.col("q.idx").alias("idx")))
     open_ = _kept(rivals.select(*page, "idx").distinct())
     gone = boxes.select(*page, "idx").limit(0)
@@ -101,7 +109,7 @@ def column_order(boxes: DataFrame, page: list[str]) -> DataFrame:
     p, q = F.col("p"), F.col("q")
     inter = F.least(p["x2"], q["x2"]) - F.greatest(p["x1"], q["x1"])
     tied = (inter > 0) & (inter / F.greatest(F.lit(1e-6), F.least(p["x2"] - p["x1"], q["x2"] - q["x1"])) >= 0.5)
-    ties = _kept(_pairs(boxes, page, ["idx", "x1", "x2"]).filter(tied).select(*page, F.col("p.idx").alias("idx"), F.col("q.idx").alias("other")))
+    ties = _kept(_meeting(boxes, page, ["idx", "x1", "x2"], "x1", "x2").filter(tied).select(*page, F.col("p.idx").alias("idx"), F.col("q.idx").alias("other")))
     labels = _kept(boxes.select(*page, "idx", F.col("idx").alias("label")))
     while True:
         near = ties.join(labels.withColumnRenamed("idx", "other"), [*page, "other"]).groupBy(*page, "idx").agg(F.min("label").alias("near"))
@@ -145,7 +153,7 @@ def headlines(boxes: DataFrame, page: list[str], least) -> DataFrame:
     rows = _kept(rows.select(*page, "idx", "x1", "x2", "y1", "y2", "line", (high & large).alias("head")))
     p, q = F.col("p"), F.col("q")  # p above q
     above = (p["y2"] <= q["y1"] + 0.5 * q["line"]) & (F.least(p["x2"], q["x2"]) > F.greatest(p["x1"], q["x1"])) & q["head"]
-    covers = _kept(_pairs(rows, page, ["idx", "x1", "x2", "y1", "y2", "line", "head"]).filter(above).select(*page, F.col("p.idx").alias("by"), F.col("q.idx").alias("idx")))
+    covers = _kept(_meeting(rows, page, ["idx", "x1", "x2", "y1", "y2", "line", "head"], "x1", "x2").filter(above).select(*page, F.col("p.idx").alias("by"), F.col("q.idx").alias("idx")))
     heads = _kept(rows.filter("head").select(*page, "idx"))
     while True:  # what text stands above is text itself
         under = covers.join(heads.withColumnRenamed("idx", "by"), [*page, "by"], "left_anti").select(*page, "idx").distinct()

@@ -59,10 +59,21 @@ def ocr_page_summary(lines: DataFrame, threshold: float = 0.6) -> DataFrame:
     return lines.rollup("run_id", "page").agg(F.count(F.lit(1)).alias("lines"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.count_if(low).alias("low_lines")).filter("run_id is not null")
 
 
+def ocr_run_summary(pages: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """``ocr_page_summary`` from page records (run_id, page, status, lines), so that pages without lines count: per (run, page) and per run
+    (page null) its pages, failed pages and lines, the mean confidence over lines that have one, and low-confidence lines."""
+    lines = pages.select("run_id", "page", F.coalesce(F.startswith("status", F.lit("failed")), F.lit(False)).alias("bad"), F.explode_outer("lines").alias("line"))
+    distinct = lambda c: F.countDistinct(c)  # noqa: E731  a page's row is repeated for each of its lines
+    return lines.rollup("run_id", "page").agg(
+        distinct(F.col("page")).alias("pages"), distinct(F.when(F.col("bad"), F.col("page"))).alias("failed_pages"), F.count("line").alias("lines"),
+        F.round(F.avg("line.confidence"), 6).alias("mean_confidence"), F.count_if(F.col("line.confidence") < threshold).alias("low_lines"),
+    ).filter("run_id is not null")
+
+
 def article_text(lines: DataFrame) -> DataFrame:
-    """Non-empty page texts of a run joined in page order, lines in order."""
+    """Non-empty page texts of a run joined in page order, lines in order, by one line end each."""
     pages = lines.filter("text <> ''").groupBy("run_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return pages.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    return pages.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
 def stage_outcome(output, error, timed_out):
@@ -70,6 +81,15 @@ def stage_outcome(output, error, timed_out):
     return F.when(timed_out, "failed_timeout").when(error.isNotNull(), "failed_exception").when(is_empty(output), "failed_empty_output").otherwise("completed")
 
 
+NO_GATE = "Gate skipped because at least one romanisation method failed."
+
+
+def gate_or_skipped(gate):
+    """The gate of a romanisation, or a skipped one where a method failed and there is none: struct<status, reason, needs_review>.
+    A gate that is missing or has not passed asks for a review."""
+    return F.struct(F.coalesce(gate["status"], F.lit("skipped")).alias("status"), F.coalesce(gate["reason"], F.lit(NO_GATE)).alias("reason"), (~F.coalesce(gate["passed"], F.lit(False))).alias("needs_review"))
+
+
 def gate_stage_status(gate):
     out = F.lit("pending")
     for name, status in GATE_STAGE_STATUS.items():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from ..operators import dataset as D
 from ..operators import page_eval as P
 from .inputs import GOLD_LINES, PREDICTED_LINES, gold_lines, predicted_lines
 
@@ -76,6 +77,15 @@ def box_arithmetic(spark, sf_dir):
     return out.select("page_id", "idx", F.col("p.x1").alias("px1"), F.col("p.y1").alias("py1"), F.col("p.x2").alias("px2"), F.col("p.y2").alias("py2"), F.round("c.cx", 3).alias("cx"), F.round("c.cy", 3).alias("cy"), F.round("c.w", 3).alias("w"), F.round("c.h", 3).alias("h"), "l.left", "l.width", F.round("h", 6).alias("overlap"))
 
 
+def box_pixels(spark, sf_dir):
+    """The first hundred pages' boxes in percent of a page and back."""
+    g = gold_lines(spark, sf_dir)
+    g = g.join(D.first_pages(g, PAGE, 100), "page_id")
+    w, h = F.lit(1250.0), F.lit(410.0)
+    share = [B.to_percent(c, side).alias(n) for n, c, side in (("x", F.col("x1"), w), ("y", F.col("y1"), h), ("bw", F.col("x2") - F.col("x1"), w), ("bh", F.col("y2") - F.col("y1"), h))]
+    return g.select("page_id", "idx", *share).select("page_id", "idx", B.pixel_box(F.col("x"), F.col("y"), F.col("bw"), F.col("bh"), w, h).alias("b")).select("page_id", "idx", "b.*")
+
+
 BOTH = f"{GOLD_LINES}, {PREDICTED_LINES}"
 TOUCH = """touch AS (
   SELECT p.page_id, p.idx AS p, g.idx AS g, p.conf, p.text AS pt, g.text AS gt, (least(p.x2, g.x2) - greatest(p.x1, g.x1)) * (least(p.y2, g.y2) - greatest(p.y1, g.y1)) AS inter,
@@ -134,6 +144,11 @@ QUERIES = {
         reviewed_gold_order,
         f"WITH {GOLD_LINES}, r AS (SELECT page_id, idx, row_number() OVER (PARTITION BY page_id ORDER BY idx) - 1 AS k, count(*) OVER (PARTITION BY page_id) AS n FROM gold) SELECT page_id, idx, CAST(CASE WHEN page_id % 2 = 0 THEN n - 1 - k ELSE k END AS INTEGER) AS place FROM r",
     ),
+    "box_pixels": (
+        box_pixels,
+        f"""WITH {GOLD_LINES}, f AS (SELECT DISTINCT page_id FROM gold ORDER BY page_id LIMIT 100), s AS (SELECT page_id, idx, round(100 * x1 / 1250, 4) AS x, round(100 * y1 / 410, 4) AS y, round(100 * (x2 - x1) / 1250, 4) AS w, round(100 * (y2 - y1) / 410, 4) AS h FROM gold JOIN f USING (page_id))
+        SELECT page_id, idx, CAST(round_even(x * 1250 / 100, 0) AS INTEGER) AS x1, CAST(round_even(y * 410 / 100, 0) AS INTEGER) AS y1, CAST(round_even(x * 1250 / 100 + w * 1250 / 100, 0) AS INTEGER) AS x2, CAST(round_even(y * 410 / 100 + h * 410 / 100, 0) AS INTEGER) AS y2 FROM s""",
+    ),
     "box_arithmetic": (
         box_arithmetic,
         f"""WITH {GOLD_LINES} SELECT page_id, idx, greatest(0, CAST(trunc(x1 - 0.3::DOUBLE * (y2 - y1)) AS INTEGER)) AS px1, greatest(0, CAST(trunc(y1 - 40) AS INTEGER)) AS py1, least(1200, CAST(trunc(x2 + 0.3::DOUBLE * (y2 - y1)) AS INTEGER)) AS px2, least(400, CAST(trunc(y2 + 40) AS INTEGER)) AS py2,

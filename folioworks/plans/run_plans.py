@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as X
+from ..functions.distance import agreement_gate
 from ..operators import plugins as P
 from ..operators import reading_order as O
 from ..operators import runs as R
@@ -13,7 +14,8 @@ from ..sources import readers, writers
 from ..sources.store import new_folder
 from ..streaming import journal as J
 from ..streaming import runs as T
-from .inputs import GOLD_LINES, PREDICTED_LINES, RUN_EVENTS, gold_lines, predicted_lines, run_events, table
+from .inputs import GOLD_LINES, PREDICTED_LINES, RUN_EVENTS, gold_lines, predicted_lines, reading_pairs, run_events, table
+from .metrics_plans import SCORED
 
 
 def stage_states(spark, sf_dir):
@@ -52,6 +54,30 @@ def ocr_page_summary(spark, sf_dir):
     return R.ocr_page_summary(_ocr_lines(spark, sf_dir))
 
 
+def ocr_run_summary(spark, sf_dir):
+    """Page records of which every ninth page failed and has no lines."""
+    lines = _ocr_lines(spark, sf_dir)
+    bad = (F.col("run_id") + F.col("page")) % 9 == 0
+    pages = lines.groupBy("run_id", "page").agg(F.collect_list(F.struct("text", "confidence")).alias("lines"))
+    return R.ocr_run_summary(pages.select("run_id", "page", F.when(bad, "failed_timeout").otherwise("completed").alias("status"), F.when(~bad, F.col("lines")).alias("lines")))
+
+
+def romanisation_reviews(spark, sf_dir):
+    """Gates of chat turns against their edited copies; every fifth has no second reading and so no gate."""
+    pairs = reading_pairs(spark, sf_dir)
+    gate = R.gate_or_skipped(F.when(F.col("doc_id") % 5 > 0, agreement_gate(F.col("a"), F.col("b"), composed=True)))
+    return pairs.select("doc_id", gate.alias("g")).groupBy("g.status", "g.needs_review").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("g.reason") == R.NO_GATE).alias("skipped"))
+
+
+def answered_references(spark, sf_dir):
+    """Orders as references and their lines of one mode as outputs: pairs, and references that have none."""
+    golds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.lit("RAIL").alias("kind"), "o_orderpriority")
+    outputs = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("doc"), F.when(F.col("l_partkey") % 3 == 0, "RAIL").otherwise("SHIP").alias("kind"), "l_partkey")
+    pairs, lone = R.unmatched_references(outputs, golds, ["doc", "kind"])
+    count = lambda rows, what: rows.groupBy("o_orderpriority").agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
+    return count(pairs, "paired").unionByName(count(lone, "lone"))
+
+
 def article_text(spark, sf_dir):
     return R.article_text(_ocr_lines(spark, sf_dir)).select("run_id", F.md5(F.col("text").cast("binary")).alias("md5"))
 
@@ -100,14 +126,14 @@ def chat_answers(spark, sf_dir):
 
 
 def verified_evidence(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text is not null")
+    d = table(spark, sf_dir, "documents")
     quote = lambda c: F.struct(F.lit("e").alias("entity"), c.alias("quote"))
     kept = S.verified_evidence(F.array(quote(F.substring("text", 3, 30)), quote(F.upper(F.substring("text", 3, 30))), quote(F.lit("no such words"))), F.col("text"))
     return d.select("doc_id", F.size(kept).cast("long").alias("kept"))
 
 
 VERIFIED_EVIDENCE = r"""
-WITH d AS (SELECT doc_id, text, trim(regexp_replace(text, '[\s\x1c-\x1f]+', ' ', 'g')) AS hay FROM documents WHERE text IS NOT NULL),
+WITH d AS (SELECT doc_id, text, trim(regexp_replace(coalesce(text, ''), '[\s\x1c-\x1f]+', ' ', 'g')) AS hay FROM documents),
 q AS (SELECT doc_id, hay, trim(regexp_replace(unnest([substr(text, 3, 30), upper(substr(text, 3, 30)), 'no such words']), '[\s\x1c-\x1f]+', ' ', 'g')) AS quote FROM d)
 SELECT doc_id, count_if(quote <> '' AND contains(hay, quote)) AS kept FROM q GROUP BY doc_id
 """
@@ -137,7 +163,7 @@ def run_ids(spark, sf_dir):
 
 
 def saved_texts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text is not null")
+    d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     kind = F.col("doc_id") % 5
     provider = F.when(kind == 0, "Provider: Kraken\n").otherwise("")
     mark = F.when(kind == 3, "Jawi OCR Result\n").otherwise("")
@@ -340,7 +366,23 @@ QUERIES = {
     "run_hot_runs": (hot_runs, f"WITH {RUN_EVENTS}, r AS (SELECT run_id, arg_max(status, seq) AS status, min(ts) AS created_at FROM run_events GROUP BY run_id) SELECT run_id, status FROM r ORDER BY created_at DESC, run_id DESC LIMIT 50"),
     "run_interrupted": (interrupted_runs, f"WITH {RUN_EVENTS} SELECT run_id, 'failed' AS status FROM run_events GROUP BY run_id HAVING NOT bool_or(stage = 'purchase') AND max(ts) < TIMESTAMP '2024-01-19 00:00:00'"),
     "ocr_page_summary": (ocr_page_summary, f"WITH {OCR} SELECT run_id, page, count(*) AS lines, round(avg(confidence), 6) AS mean_confidence, count_if(coalesce(confidence < 0.6::DOUBLE, false)) AS low_lines FROM ocr GROUP BY GROUPING SETS ((run_id, page), (run_id))"),
-    "ocr_article_text": (article_text, f"WITH {OCR}, p AS (SELECT run_id, page, string_agg(text, chr(10) ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice) AS text FROM ocr WHERE text <> '' GROUP BY 1, 2) SELECT run_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY page)) AS md5 FROM p GROUP BY run_id"),
+    "ocr_run_summary": (
+        ocr_run_summary,
+        f"""WITH {OCR}, l AS (SELECT run_id, page, (run_id + page) % 9 = 0 AS bad, confidence FROM ocr)
+        SELECT run_id, page, count(DISTINCT page) AS pages, count(DISTINCT page) FILTER (bad) AS failed_pages, count(*) FILTER (NOT bad) AS lines, round(avg(confidence) FILTER (NOT bad), 6) AS mean_confidence, count_if(NOT bad AND coalesce(confidence < 0.6::DOUBLE, false)) AS low_lines
+        FROM l GROUP BY GROUPING SETS ((run_id, page), (run_id))""",
+    ),
+    "romanisation_reviews": (
+        romanisation_reviews,
+        f"""WITH {SCORED}, s AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'skipped' WHEN agreement >= 0.85 THEN 'passed' ELSE 'flagged' END AS status FROM g)
+        SELECT status, status <> 'passed' AS needs_review, count(*) AS n, count_if(status = 'skipped') AS skipped FROM s GROUP BY 1, 2""",
+    ),
+    "answered_references": (
+        answered_references,
+        """WITH o AS (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 3 = 0)
+        SELECT o_orderpriority, 'paired' AS what, count(*) AS n FROM orders JOIN o ON l_orderkey = o_orderkey GROUP BY 1 UNION ALL SELECT o_orderpriority, 'lone', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM o) GROUP BY 1""",
+    ),
+    "ocr_article_text": (article_text, f"WITH {OCR}, p AS (SELECT run_id, page, string_agg(text, chr(10) ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice) AS text FROM ocr WHERE text <> '' GROUP BY 1, 2) SELECT run_id, md5(string_agg(text, chr(10) ORDER BY page)) AS md5 FROM p GROUP BY run_id"),
     "stage_outcomes": (stage_outcomes, "SELECT CASE WHEN value > 95 THEN 'failed_timeout' WHEN event_type = 'error' THEN 'failed_exception' WHEN value > 20 THEN 'completed' ELSE 'failed_empty_output' END AS status, CASE WHEN value > 50 THEN 'completed' ELSE 'needs_review' END AS gate, count(*) AS n FROM events GROUP BY 1, 2"),
     "routed_texts": (routed_texts, f"WITH c AS (SELECT conv_id, turn, {ONES} AS c FROM conversations), n AS (SELECT conv_id, turn, CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END AS n FROM c) SELECT conv_id, turn, n AS word_count, n >= 10 AS summarise, CASE WHEN n < 10 THEN 'Short snippet (' || n || ' words) — skipping summary agent' ELSE 'Full article (' || n || ' words) — running all 4 agents' END AS label FROM n"),
     "input_checks": (input_checks, r"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 400 WHEN length(text) > 9000 THEN 413 WHEN doc_id % 30 > 25 THEN 413 WHEN doc_id % 11 > 0 AND length(text) > 6000 THEN 413 WHEN doc_id % 11 = 0 OR text IS NULL OR regexp_full_match(text, '\s*') THEN 400 END AS status FROM documents"),
@@ -364,7 +406,7 @@ QUERIES = {
     "cost_estimates": (cost_estimates, "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN round(((p_partkey * 100 / 750.0::DOUBLE + length(p_name) / 4.0::DOUBLE) * 0.15::DOUBLE + p_size / 4.0::DOUBLE * 0.6::DOUBLE) / 1e6, 12) END AS cost FROM part"),
     "fallback_texts": (fallback_texts, "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'b' || turn ELSE 'input' END AS text FROM conversations"),
     "run_ids_and_issues": (run_ids, "SELECT event_id, event_id % 3 = 0 AS valid, strftime(ts, '%Y_%m') AS issue, CAST(strftime(ts, '%Y') AS INTEGER) AS year, CAST(strftime(ts, '%Y') AS INTEGER) BETWEEN 1950 AND 1969 AS in_range FROM events"),
-    "saved_texts": (saved_texts, r"SELECT doc_id, length(regexp_replace(CASE WHEN doc_id % 5 = 3 THEN 'Jawi OCR Result' || chr(10) ELSE '' END || text, '^\s+|\s+$', '', 'g')) AS chars, CAST(doc_id AS VARCHAR) AS page_no, CASE doc_id % 5 WHEN 0 THEN 'kraken' WHEN 1 THEN 'qwen-fixture' WHEN 2 THEN 'tesseract' WHEN 3 THEN 'tesseract' ELSE 'text-fixture' END AS provider FROM documents WHERE text IS NOT NULL"),
+    "saved_texts": (saved_texts, r"SELECT doc_id, length(regexp_replace(CASE WHEN doc_id % 5 = 3 THEN 'Jawi OCR Result' || chr(10) ELSE '' END || coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS chars, CAST(doc_id AS VARCHAR) AS page_no, CASE doc_id % 5 WHEN 0 THEN 'kraken' WHEN 1 THEN 'qwen-fixture' WHEN 2 THEN 'tesseract' WHEN 3 THEN 'tesseract' ELSE 'text-fixture' END AS provider FROM documents"),
     "line_names": (line_names, f"WITH {GOLD_LINES} SELECT page_id, idx, printf('1950_01_001_p%02d', idx) AS page_key, printf('a_p%02d_line_%03d.png', idx, idx) AS crop, '1950_01_00' || idx AS article, 'ab-' || idx AS sheet FROM gold"),
     "file_types": (file_types, "SELECT p_partkey, ['pdf', 'png', 'jpg', NULL, NULL, NULL][CAST(p_partkey % 6 + 1 AS BIGINT)] AS file_type FROM part"),
     "order_gap_groups": (gap_groups, f"WITH {GOLD_LINES}, r AS (SELECT *, max(y2) OVER (PARTITION BY page_id ORDER BY y1, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM gold) SELECT page_id, idx, CAST(sum(CASE WHEN y1 - reach >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY y1, idx) AS BIGINT) AS \"group\" FROM r"),
@@ -375,7 +417,7 @@ QUERIES = {
     "order_columns": (page_column_order, None),
     "order_suppressed_boxes": (suppressed_boxes, f"WITH {GOLD_LINES}, {PREDICTED_LINES} SELECT page_id, idx FROM pred"),
     "plugin_lines": (plugged_lines, "SELECT conv_id * 100 + turn AS doc_id, length(coalesce(text, '')) AS chars FROM conversations"),
-    "plugin_stage": (plugged_stage, "SELECT CASE WHEN length(text) = 0 THEN 'failed_empty_output' ELSE 'completed' END AS status, length(text) % 7 = 0 OR length(text) % 5 = 0 AS repaired, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2"),
+    "plugin_stage": (plugged_stage, "SELECT CASE WHEN length(coalesce(text, '')) = 0 THEN 'failed_empty_output' ELSE 'completed' END AS status, length(coalesce(text, '')) % 7 = 0 OR length(coalesce(text, '')) % 5 = 0 AS repaired, count(*) AS n FROM conversations GROUP BY 1, 2"),
     "files_by_split": (split_files, "SELECT CASE WHEN p_partkey % 10 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS lines, count(DISTINCT p_type) AS texts FROM part GROUP BY 1"),
     "files_sheet_cells": (sheet_texts, "SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(coalesce(text, '')) AS digest, len(string_split(coalesce(text, ''), chr(10))) AS lines FROM documents"),
     "files_word_pairs": (pair_files, "SELECT p_type, count(*) AS pairs FROM part GROUP BY 1"),
