@@ -49,6 +49,14 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def split_join(rows: DataFrame, looked_up: DataFrame, frequent: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined to ``looked_up``, a table of distinct keys: keys of ``frequent``, a small table with a proven bound, are
+    looked up in a broadcast, so that no task gets all rows of such a key; the rest is shuffled."""
+    marked = rows.join(F.broadcast(frequent.select(key).withColumn("_frequent", F.lit(True))), key, "left")
+    often = marked.filter("_frequent").join(F.broadcast(looked_up.join(frequent.select(key), key, "left_semi")), key, "left")
+    return often.unionByName(marked.filter("_frequent is null").join(looked_up, key, "left")).drop("_frequent")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; pure ASCII text takes the quick built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -20,13 +20,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import ascii_lower, materialise, split_join
 
 #: (action, host, path), as the queries use them.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?([a-z][a-z0-9+.\-]*://[^\"'\s>]+)"
 DAMPING = 0.85
+#: A host that more than one page in so many has is looked up in a broadcast table.
+COMMON_HOST = 1024
 #: Share of what the seeds give that may still be on its way when the rounds end: each round hands on ``DAMPING`` of what is.
 RESIDUAL = 0.01
 THRESHOLD = 0.5
@@ -95,7 +97,9 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     hosts = materialise(base.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
     named = hosts.filter("host <> ''")
     by_host = host_rules(named, rules)
-    ruled = base.select("page_id", "host", "path").join(by_host, "host", "left")
+    # Fewer than COMMON_HOST hosts have more than one in so many pages.
+    frequent = materialise(hosts.filter(F.col("pages") > base.count() / COMMON_HOST), "frequent-hosts")
+    ruled = split_join(base.select("page_id", "host", "path"), by_host, frequent, "host")
     first = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"])), F.lit(0))
     ruled = materialise(ruled.select("page_id", "host", "path", first.alias("_r")).select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.action").alias("action")), "ruled")
     shares = ruled.filter("action is not null").groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("a"), F.count_if(F.col("action") == "block").alias("b"))
@@ -103,7 +107,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     seeds = materialise(seeds.filter("seed > 0"), "seeds")
     scores = propagate(seeds, host_edges(base, named), damping, residual)
     wide = scores.groupBy("host").agg(*[F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)) / (1 - damping), 9).alias(name) for k, name in ((1, "trust"), (-1, "distrust"))])
-    out = ruled.join(wide, "host", "left").fillna(0.0, ["trust", "distrust"])
+    out = split_join(ruled, wide, frequent, "host").fillna(0.0, ["trust", "distrust"])
     by_method = F.when(F.col("distrust") - F.col("trust") >= threshold, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", by_method).alias("verdict"), "trust", "distrust")
 
