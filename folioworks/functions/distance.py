@@ -11,16 +11,11 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from . import bitvectors
-from .text import collapse, normalise_for_comparison
+from .text import collapse, normalise_for_comparison, once
 
 GATE = 0.85
 
 
-def once(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 #: A pair whose distance is no more than this is settled by a table of so many diagonals; bit vectors are quicker than a wider one.
 NEAR = 12
 

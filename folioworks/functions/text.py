@@ -60,6 +60,11 @@ def unicode_normalise(text: Column, form: str) -> Column:
     return run(text)
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     """White space runs to one space, none at the ends."""
     return F.trim(F.regexp_replace(text, SPACES, " "))
@@ -103,7 +108,7 @@ def spelling_variants(word: Column, script: Script = JAWI) -> Column:
     names = F.concat_ws("+", *[F.when(fit, name) for fit, (name, _, _) in zip(fits, script.rules)])
     several = sum((fit.cast("int") for fit in fits), F.lit(0)) > 1
     every = F.array_compact(F.array(F.struct(word.alias("variant"), F.lit("exact").alias("rule")), *alone, F.when(several, F.struct(together.alias("variant"), names.alias("rule")))))
-    return F.filter(every, lambda v, i: ~F.array_contains(F.transform(F.slice(every, F.lit(1), i), lambda e: e["variant"]), v["variant"]))
+    return once(every, lambda found: F.filter(found, lambda v, i: ~F.array_contains(F.transform(F.slice(found, F.lit(1), i), lambda e: e["variant"]), v["variant"])))
 
 
 def consonant_skeleton(word: Column, script: Script = JAWI) -> Column:
@@ -125,20 +130,24 @@ def normalise_label(text: Column, composed: bool = False) -> Column:
 
 def clean_pair(rumi: Column, jawi: Column, script: Script = JAWI, composed: bool = False) -> Column:
     """struct<reason, rumi, jawi>: reason is null for a usable pair, else the first test it fails."""
-    rumi, jawi = strip(rumi), strip(jawi)
-    quoted = F.regexp_replace(rumi, "^['\"]+|['\"]+$", "") != rumi
-    bare = F.when(quoted, F.regexp_replace(jawi, f"^['\"{script.hamza}]+|['\"{script.hamza}]+$", "")).otherwise(jawi)
-    edge = "[" + "".join(f"\\{c}" if ord(c) < 128 else c for c in script.edges) + "]+"
-    r = F.lower(F.regexp_replace(F.regexp_replace(rumi, "^['\"]+|['\"]+$", ""), f"^{edge}|{edge}$", ""))
-    j = F.regexp_replace(normalise_script(bare, script, composed), f"^{edge}|{edge}$", "")
+    quotes, edge = "^['\"]+|['\"]+$", "[" + "".join(f"\\{c}" if ord(c) < 128 else c for c in script.edges) + "]+"
+    edges, marks = f"^{edge}|{edge}$", f"['\"{script.hamza}]+"
+    quoted = lambda t: F.regexp_replace(t["r"], quotes, "") != t["r"]
+    bare = once(F.struct(strip(rumi).alias("r"), strip(jawi).alias("j")), lambda t: F.when(quoted(t), F.regexp_replace(t["j"], f"^{marks}|{marks}$", "")).otherwise(t["j"]))
+    r = F.lower(F.regexp_replace(F.regexp_replace(strip(rumi), quotes, ""), edges, ""))
+    j = F.regexp_replace(normalise_script(bare, script, composed), edges, "")
     hyphens = lambda c: F.length(c) - F.length(F.replace(c, F.lit("-"), F.lit("")))
-    reason = (
-        F.when((r == "") | (j == "") | r.isNull() | j.isNull(), "empty")
-        .when(~F.rlike(r, F.lit("^[a-z]+(-[a-z]+)*$")), "rumi_not_alphabetic")
-        .when(~F.rlike(j, F.lit(f"^{script.word}$")), "jawi_not_letters")
-        .when(hyphens(r) != hyphens(j), "hyphen_mismatch")
-    )
-    return F.struct(reason.alias("reason"), r.alias("rumi"), j.alias("jawi"))
+
+    def judged(t: Column) -> Column:
+        reason = (
+            F.when((t["rumi"] == "") | (t["jawi"] == "") | t["rumi"].isNull() | t["jawi"].isNull(), "empty")
+            .when(~F.rlike(t["rumi"], F.lit("^[a-z]+(-[a-z]+)*$")), "rumi_not_alphabetic")
+            .when(~F.rlike(t["jawi"], F.lit(f"^{script.word}$")), "jawi_not_letters")
+            .when(hyphens(t["rumi"]) != hyphens(t["jawi"]), "hyphen_mismatch")
+        )
+        return F.struct(reason.alias("reason"), t["rumi"].alias("rumi"), t["jawi"].alias("jawi"))
+
+    return once(F.struct(r.alias("rumi"), j.alias("jawi")), judged)
 
 
 def text_stats(text: Column) -> Column:

@@ -15,6 +15,8 @@ AMBIGUOUS_SHARE = 0.2
 TOP = 5
 #: Looked-up words that are broadcast at most, and places a word's rows are dealt to beyond that.
 BROADCAST_ROWS = 200_000
+#: The same where a lookup is a word and its status, some dozens of bytes.
+NARROW_ROWS = 1_000_000
 SALTS = 16
 
 
@@ -114,7 +116,7 @@ def resolve_words(words: DataFrame, lexicon: DataFrame, script: Script = JAWI) -
     """
     words, lexicon = _kept(words.select("word").distinct()), _kept(lexicon)
     parts = words.filter(F.contains("word", F.lit("-"))).select("word", F.posexplode(F.split("word", "-")).alias("at", "part"))
-    keys = _kept(words.select(F.col("word").alias("key")).union(parts.select("part")).distinct())
+    keys = words.select(F.col("word").alias("key")).union(parts.select("part")).distinct()
     prefixes = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(p).alias("prefix"), F.lit(r).alias("reads")) for i, (p, r) in enumerate(script.prefixes)])
     cut = keys.select("key", F.explode(prefixes).alias("p")).filter(F.startswith(F.col("key"), F.col("p.prefix")))
     cut = cut.select("key", "p.rank", "p.reads", F.expr("substring(key, length(p.prefix) + 1)").alias("rest")).filter(F.length("rest") >= script.least_rest)
@@ -139,7 +141,7 @@ def resolve_words(words: DataFrame, lexicon: DataFrame, script: Script = JAWI) -
         .join(bones.select("skeleton", F.struct("rumi", "status", "rule", "candidates").alias("b")), "skeleton", "left")
     )
     picks = [F.when(F.col(s).isNotNull(), shape(s)) for s in ("d", "p", "b")]
-    single = held.select("key", F.coalesce(*([clitic] if clitic is not None else []), *picks, unknown).alias("w")).select("key", "w.*")
+    single = _kept(held.select("key", F.coalesce(*([clitic] if clitic is not None else []), *picks, unknown).alias("w")).select("key", "w.*"))
 
     halves = parts.join(single.withColumnRenamed("key", "part"), "part").groupBy("word").agg(
         F.bool_and(F.col("rumi").isNotNull()).alias("whole"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "rumi"))), lambda x: x["rumi"]), "-").alias("joined"), F.bool_or(F.col("status") == "ambiguous").alias("doubt")
@@ -163,15 +165,16 @@ def document_tokens(docs: DataFrame, script: Script = JAWI, composed: bool = Fal
 
 
 def word_counts(docs: DataFrame, script: Script = JAWI, composed: bool = False) -> DataFrame:
-    """(doc_id, word, n): the distinct words of each document with their counts."""
-    words = document_tokens(docs, script, composed).filter("is_word")
-    return words.groupBy("doc_id", F.col("text").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    """(doc_id, word, n): the distinct words of each document with their counts. They are those of ``document_tokens``, found without
+    what stands between them."""
+    words = F.regexp_extract_all(normalise_script(F.col("text"), script, composed), F.lit(f"({script.word})(?:{script.repeat_mark})?"), F.lit(1))
+    return docs.select("doc_id", F.explode(words).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _attached(rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, word, more) with their lookup. Up to ``BROADCAST_ROWS`` lookups are broadcast; beyond, both sides are
-    shuffled, and the rows of a word are dealt to ``SALTS`` places by their document."""
-    if resolved.count() <= BROADCAST_ROWS:
+def _attached(rows: DataFrame, resolved: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` (doc_id, word, more) with their lookup. Up to ``most`` lookups are broadcast; beyond, both sides are shuffled, and
+    the rows of a word are dealt to ``SALTS`` places by their document."""
+    if resolved.count() <= most:
         return rows.join(F.broadcast(resolved), "word", "left")
     spread = resolved.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["word", "_salt"], "left").drop("_salt")
@@ -187,7 +190,7 @@ def document_coverage(docs: DataFrame, lexicon: DataFrame, script: Script = JAWI
     """Per document: doc_id, word_count, coverage, unknown_count, ambiguous_count and cases (both together). Words are counted
     before they are looked up."""
     counted = _kept(word_counts(docs, script, composed))
-    met = _attached(counted, resolve_words(counted, lexicon, script).select("word", "status"))
+    met = _attached(counted, resolve_words(counted, lexicon, script).select("word", "status"), NARROW_ROWS)
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
     per = met.groupBy("doc_id").agg(F.sum("n").alias("word_count"), total(F.col("status") == "unknown").alias("unknown_count"), total(F.col("status") == "ambiguous").alias("ambiguous_count"))
     out = docs.select("doc_id").join(per, "doc_id", "left").fillna(0, ["word_count", "unknown_count", "ambiguous_count"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.text import LATIN
 from ..operators import lexicon as L
-from .inputs import table
+from .inputs import dealt, table
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.lower("text").alias("text"))
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
