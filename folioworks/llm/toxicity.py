@@ -68,23 +68,28 @@ class OrdinalModel:
 
 
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 2500, rate: float = 0.05, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of the cumulative-link model by Adam: those of the least sum of the thresholds' logistic losses.
-    Thresholds stay in order as a start and positive gaps."""
+    """Weights and thresholds of the cumulative-link model by Adam: those of the greatest likelihood of the rows' grades, where
+    P(grade = k) = P(grade > k - 1) - P(grade > k). Thresholds stay in order as a start and positive gaps."""
     n, m = x.shape
     rows, times = np.unique(np.column_stack([x, grade]), axis=0, return_counts=True)  # most rows have no telling word and are alike
     x, grade = rows[:, :m], rows[:, m]
     gaps = np.zeros(grades)
     gaps[0] = 1.0
     params, first, second = np.r_[np.zeros(m), gaps], np.zeros(m + grades), np.zeros(m + grades)
-    above = (grade[:, None] > np.arange(grades)[None, :]).astype(float)
+    grade, share = grade.astype(np.int64), times / n
+    each, lower, upper = np.arange(len(grade)), grade >= 1, grade < grades
     for step in range(1, steps + 1):
         w, g = params[:m], params[m:]
         thresholds = np.cumsum(np.r_[g[0], np.exp(g[1:])])
-        p = 1 / (1 + np.exp(np.clip(thresholds[None, :] - (x @ w)[:, None], -60, 60)))
-        off = (p - above) * times[:, None] / n
-        by_threshold = -off.sum(axis=0)
+        above = np.ones((len(grade), grades + 2))  # P(grade > k) for k from -1, where it is 1, to the last, where it is 0
+        above[:, 1:-1] = 1 / (1 + np.exp(np.clip(thresholds[None, :] - (x @ w)[:, None], -60, 60)))
+        above[:, -1] = 0.0
+        a, b = above[each, grade], above[each, grade + 1]
+        likely = np.maximum(a - b, 1e-12)
+        off = (a + b - 1) * share
+        by_threshold = np.bincount(grade[lower] - 1, (a * (1 - a) / likely * share)[lower], grades) - np.bincount(grade[upper], (b * (1 - b) / likely * share)[upper], grades)
         tail = np.cumsum(by_threshold[::-1])[::-1]
-        grad = np.r_[x.T @ off.sum(axis=1) + l2 * w, tail[0], tail[1:] * np.exp(g[1:])]
+        grad = np.r_[x.T @ off + l2 * w, tail[0], tail[1:] * np.exp(g[1:])]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         params = params - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)

@@ -42,12 +42,12 @@ def test_media_that_share_most_chunks_read_back(spark, monkeypatch):
 
 
 def _loss(x, grade, grades, w, t, l2):
-    """Sum of the thresholds' logistic losses, row by row."""
+    """Minus the log likelihood of the grades, row by row: that of one grade is the difference of the chances to be above it and the one before."""
     total = 0.0
     for row, g in zip(x, grade):
         s = sum(a * b for a, b in zip(row, w))
-        for k in range(grades):
-            total += math.log1p(math.exp(-(s - t[k]))) if g > k else math.log1p(math.exp(s - t[k]))
+        above = [1.0, *(1 / (1 + math.exp(k - s)) for k in t), 0.0]
+        total -= math.log(above[g] - above[g + 1])
     return total / len(x) + l2 / 2 * sum(a * a for a in w)
 
 
