@@ -41,7 +41,11 @@ def article_split(spark, sf_dir):
 
 
 def split_overlap(spark, sf_dir):
-    return D.overlapping_splits(D.split_articles(_lines(spark, sf_dir), _test(spark, sf_dir))).agg(F.count(F.lit(1)).alias("overlapping"))
+    """Overlaps of the split and, as a counterexample, of the split with every article that ends in 3 also put in test."""
+    split = D.split_articles(_lines(spark, sf_dir), _test(spark, sf_dir)).select("article_id", "split")
+    spoilt = split.unionByName(split.filter(F.endswith("article_id", F.lit("3"))).withColumn("split", F.lit("test")))
+    count = lambda rows, name: D.overlapping_splits(rows).agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("overlapping"))
+    return count(split, "sound").unionByName(count(spoilt, "spoilt"))
 
 
 def split_stats(spark, sf_dir):
@@ -82,13 +86,18 @@ def _percent(spark, sf_dir):
 
 
 def detector_labels(spark, sf_dir):
-    out = D.detector_labels(_percent(spark, sf_dir), ["page_id"])
-    return out.select("page_id", F.size(F.split("label", "\n")).cast("long").alias("boxes"))
+    return D.detector_labels(_percent(spark, sf_dir), ["page_id"])
 
 
 def import_tasks(spark, sf_dir):
-    out = A.import_task(_percent(spark, sf_dir), ["page_id"])
-    return out.select("page_id", F.size(F.regexp_extract_all("task", F.lit('"rectangle"'), F.lit(0))).cast("long").alias("rectangles"), F.size(F.regexp_extract_all("task", F.lit('"textarea"'), F.lit(0))).cast("long").alias("texts"))
+    """The tasks read back: regions of either type, their left edges and widths added up, and their texts in order."""
+    region = "struct<id:string,type:string,value:struct<x:double,width:double,text:array<string>>>"
+    task = F.from_json("task", f"struct<data:struct<page_id:bigint>,predictions:array<struct<result:array<{region}>>>>")
+    regions = A.import_task(_percent(spark, sf_dir), ["page_id"]).select(task.alias("t")).select("t.data.page_id", F.posexplode(F.col("t.predictions")[0]["result"]).alias("at", "r"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r.type") == "textarea", F.struct("at", F.col("r.value.text")[0].alias("s"))))), lambda x: x["s"]), "\n")
+    return regions.groupBy("page_id").agg(
+        F.count_if(F.col("r.type") == "rectangle").alias("rectangles"), F.count_if(F.col("r.type") == "textarea").alias("texts"), F.countDistinct("r.id").alias("ids"), F.round(F.sum("r.value.x"), 3).alias("left_edges"), F.round(F.sum("r.value.width"), 3).alias("widths"), text.alias("text")
+    )
 
 
 def short_articles(spark, sf_dir):
@@ -218,11 +227,11 @@ letters AS (SELECT article_id, col, regexp_replace(value, '[^\p{L}]', '', 'g') A
 filled AS (SELECT article_id, col, count(*) AS k, avg(CASE WHEN length(l) > 0 THEN (length(l) - length(regexp_replace(l, '[a-z]', '', 'g'))) / length(l) ELSE 0 END) AS share FROM letters GROUP BY 1, 2)
 SELECT c.article_id, CAST(max(f.col) AS INTEGER) AS truth_col FROM counts c LEFT JOIN filled f ON f.article_id = c.article_id AND f.k >= greatest(2, c.n // 2) AND f.share > 0.5 GROUP BY 1
 """
-PERCENT = f"{GOLD_LINES}, pct AS (SELECT page_id, idx, text, CASE WHEN idx % 6 = 5 THEN 0 ELSE x2 - x1 END AS width, y2 - y1 AS height FROM gold)"
+PERCENT = f"{GOLD_LINES}, pct AS (SELECT page_id, idx, text, x1, y1, CASE WHEN idx % 6 = 5 THEN 0 ELSE x2 - x1 END AS width, y2 - y1 AS height FROM gold)"
 
 QUERIES = {
     "dataset_article_split": (article_split, f"WITH {LINES}, a AS (SELECT DISTINCT article_id FROM lines), n AS (SELECT count_if(suffix(article_id, '5')) AS t, count_if(NOT suffix(article_id, '5')) AS r FROM a), v AS (SELECT t, r, greatest(1, CAST(round_even(0.12::DOUBLE * r, 0) AS BIGINT)) AS v FROM n) SELECT 'test' AS split, t AS articles FROM v UNION ALL SELECT 'val', v FROM v UNION ALL SELECT 'train', r - v FROM v"),
-    "dataset_split_overlap": (split_overlap, "SELECT 0 AS overlapping"),
+    "dataset_split_overlap": (split_overlap, f"WITH {LINES} SELECT 'sound' AS dataset, 0 AS overlapping UNION ALL SELECT 'spoilt', count(DISTINCT article_id) FROM lines WHERE suffix(article_id, '3')"),
     "dataset_split_stats": (split_stats, f"WITH {LINES} SELECT split, count(*) AS lines, count(DISTINCT article_id) AS articles, count(DISTINCT (article_id, page_index)) AS pages, string_agg(DISTINCT article_id, ',' ORDER BY article_id) AS article_list FROM lines GROUP BY split"),
     "dataset_crop_sources": (crop_sources, f"WITH {LINES} SELECT split, source, count(*) AS lines FROM lines GROUP BY 1, 2"),
     "dataset_character_counts": (character_counts, f"WITH {LINES} SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS ch FROM lines) AS c GROUP BY ch"),
@@ -234,8 +243,12 @@ QUERIES = {
         """WITH w AS (SELECT l_orderkey AS block, l_linenumber % 3 AS line, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity - 3 AS conf, l_suppkey % 500 AS x, l_partkey % 300 AS y, CAST(l_quantity AS BIGINT) + 5 AS w FROM lineitem WHERE l_partkey % 19 <> 0 AND l_quantity >= 3)
         SELECT block, line, string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS text, min(x) AS left, min(y) AS top, max(x + w) - min(x) AS width, max(y + 30) - min(y) AS height, round(avg(conf) / 100, 4) AS confidence FROM w GROUP BY block, line""",
     ),
-    "detector_label_lines": (detector_labels, f"WITH {PERCENT} SELECT page_id, count(*) AS boxes FROM pct WHERE width > 0 AND height > 0 GROUP BY page_id"),
-    "annotation_import_tasks": (import_tasks, f"WITH {GOLD_LINES} SELECT page_id, count(*) AS rectangles, count(*) AS texts FROM gold GROUP BY page_id"),
+    "detector_label_lines": (detector_labels, f"""WITH {PERCENT}, c AS (SELECT page_id, idx, least(1, greatest(0, (x1 / 12 + width / 24) / 100)) AS cx, least(1, greatest(0, (y1 / 4 + height / 8) / 100)) AS cy, least(1, greatest(0, width / 1200)) AS w, least(1, greatest(0, height / 400)) AS h FROM pct WHERE width > 0 AND height > 0)
+        SELECT page_id, string_agg(printf('0 %.6f %.6f %.6f %.6f', cx, cy, w, h), chr(10) ORDER BY idx) AS label FROM c GROUP BY page_id"""),
+    "annotation_import_tasks": (
+        import_tasks,
+        f"WITH {PERCENT} SELECT page_id, count(*) AS rectangles, count(*) AS texts, count(*) AS ids, round(2 * sum(x1 / 12), 3) AS left_edges, round(2 * sum(width / 12), 3) AS widths, string_agg(text, chr(10) ORDER BY idx) AS text FROM pct GROUP BY page_id",
+    ),
     "dataset_short_articles": (short_articles, f"WITH {LINES} SELECT article_id, count(*) AS lines, count(*) < 40 AS suspicious FROM lines GROUP BY 1"),
     "dataset_article_totals": (article_totals, f"WITH {LINES}, p AS (SELECT article_id, page_index, count(*) AS n FROM lines GROUP BY 1, 2) SELECT article_id, count(*) AS pages, CAST(sum(n) AS BIGINT) AS lines FROM p GROUP BY ROLLUP (article_id)"),
     "dataset_exported_pairs": (exported_pairs, f"WITH {LINES} SELECT article_id, count(*) AS pairs FROM lines WHERE line_index % 9 <> 0 GROUP BY ROLLUP (article_id)"),

@@ -213,8 +213,10 @@ def page_column_order(spark, sf_dir):
 
 
 def suppressed_boxes(spark, sf_dir):
+    """Every page's second box gets a narrower one within it, which is less sure, surer or as sure."""
     p = predicted_lines(gold_lines(spark, sf_dir)).drop("text").fillna(1.0, ["conf"])
-    inner = p.filter("idx = 1").select("page_id", (F.col("idx") + 100).alias("idx"), F.col("x1"), F.col("y1"), (F.col("x1") + 50).alias("x2"), "y2", (F.col("conf") / 2).alias("conf"))
+    conf = F.when(F.col("page_id") % 3 == 0, F.col("conf") / 2).when(F.col("page_id") % 3 == 1, F.col("conf") + 0.25).otherwise(F.col("conf"))
+    inner = p.filter("idx = 1").select("page_id", (F.col("idx") + 100).alias("idx"), F.col("x1"), F.col("y1"), (F.col("x1") + 50).alias("x2"), "y2", conf.alias("conf"))
     return O.suppress_contained(p.unionByName(inner), ["page_id"]).select("page_id", "idx")
 
 
@@ -223,7 +225,7 @@ def suppressed_boxes(spark, sf_dir):
 
 def plugged_lines(spark, sf_dir):
     d = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text")
-    return P.romanise_lines(d, lambda lines: [x[::-1] for x in lines]).select("doc_id", F.length("romanised").cast("long").alias("chars"))
+    return P.romanise_lines(d, lambda lines: [x[::-1] for x in lines]).select("doc_id", F.md5(F.col("romanised").cast("binary")).alias("digest"))
 
 
 def plugged_stage(spark, sf_dir):
@@ -415,8 +417,8 @@ QUERIES = {
     "order_fixed_columns": (fixed_columns, f"WITH {GOLD_LINES} SELECT page_id, idx, CAST(row_number() OVER (PARTITION BY page_id ORDER BY (x1 + x2) / 2 < 500, (y1 + y2) / 2, idx) AS INTEGER) AS place FROM gold"),
     "order_reading": (page_reading_order, None),
     "order_columns": (page_column_order, None),
-    "order_suppressed_boxes": (suppressed_boxes, f"WITH {GOLD_LINES}, {PREDICTED_LINES} SELECT page_id, idx FROM pred"),
-    "plugin_lines": (plugged_lines, "SELECT conv_id * 100 + turn AS doc_id, length(coalesce(text, '')) AS chars FROM conversations"),
+    "order_suppressed_boxes": (suppressed_boxes, f"WITH {GOLD_LINES}, {PREDICTED_LINES} SELECT page_id, CASE WHEN idx = 1 AND page_id % 3 = 1 THEN 101 ELSE idx END AS idx FROM pred"),
+    "plugin_lines": (plugged_lines, "SELECT conv_id * 100 + turn AS doc_id, md5(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: CASE WHEN trim(x) = '' THEN x ELSE reverse(x) END), chr(10))) AS digest FROM conversations"),
     "plugin_stage": (plugged_stage, "SELECT CASE WHEN length(coalesce(text, '')) = 0 THEN 'failed_empty_output' ELSE 'completed' END AS status, length(coalesce(text, '')) % 7 = 0 OR length(coalesce(text, '')) % 5 = 0 AS repaired, count(*) AS n FROM conversations GROUP BY 1, 2"),
     "files_by_split": (split_files, "SELECT CASE WHEN p_partkey % 10 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS lines, count(DISTINCT p_type) AS texts FROM part GROUP BY 1"),
     "files_sheet_cells": (sheet_texts, "SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(coalesce(text, '')) AS digest, len(string_split(coalesce(text, ''), chr(10))) AS lines FROM documents"),
