@@ -7,7 +7,8 @@ medium of chunks that occur nowhere else is stored in one row, in place; all oth
 per digest. Reading joins the ordered list with the stored chunks, checks every digest and the digest of the whole.
 
 Defined results: a null text counts as empty; an empty payload is one block of padding; equal texts share one medium;
-repeated rows give equal rows; an empty table gives no rows; further columns are ignored.
+repeated rows give equal rows, and of equal chunks any copy serves, as their bytes are the same; a very long text is one payload,
+cut whole in memory in proportion to it; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Edges are the absolute links of the pages, and links both ways between a host an
 have pages.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and the verdict of a host that
-nothing is known of (allow); repeated rows are judged alike; an empty table gives no rows; without links the seeds alone decide.
+nothing is known of (allow); repeated rows are judged alike; urls and pages are read whole, however long; an empty table gives no
+rows; without links the seeds alone decide; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
