@@ -231,9 +231,10 @@ def dataset_line_name(article: Column, page: Column, line: Column) -> Column:
     return F.format_string("%s_p%02d_l%03d.png", article, page, line)
 
 
-def new_repeat_run(pred: Column, gold: Column, least: int = 5) -> Column:
-    """True when ``pred`` has a run of ``least`` equal characters or more that ``gold`` does not contain."""
-    runs = F.regexp_extract_all(pred, F.lit(rf"(?s)((.)\2{{{least - 1},}})"), F.lit(1))
+def new_repeat_run(pred: Column, gold: Column, least: int = 5, of: str = ".") -> Column:
+    """True when ``pred`` has a run of ``least`` equal characters or more that ``gold`` does not contain. ``of`` (a pattern of one
+    character) says which characters count, by default all."""
+    runs = F.regexp_extract_all(pred, F.lit(rf"(?s)(({of})\2{{{least - 1},}})"), F.lit(1))
     return F.exists(runs, lambda r: ~F.contains(gold, r))
 
 

@@ -79,12 +79,13 @@ def _matched(candidates: DataFrame, page: list[str]) -> DataFrame:
         rows = left.repartition(*page)
 
 
-def line_outcomes(pred: DataFrame, gold: DataFrame, page: list[str], threshold: float = IOU) -> DataFrame:
-    """(page, kind, edits, gold_chars, longer, shorter, repeats, touches): matched pairs, extra and missed lines."""
-    return compared(pred, gold, page, threshold)[0]
+def line_outcomes(pred: DataFrame, gold: DataFrame, page: list[str], threshold: float = IOU, repeated: str = ".") -> DataFrame:
+    """(page, kind, edits, gold_chars, longer, shorter, repeats, touches): matched pairs, extra and missed lines. ``repeated``
+    (a pattern of one character) says of which characters a run counts as a repeat, by default of all."""
+    return compared(pred, gold, page, threshold, repeated)[0]
 
 
-def compared(pred: DataFrame, gold: DataFrame, page: list[str], threshold: float = IOU) -> tuple[DataFrame, DataFrame]:
+def compared(pred: DataFrame, gold: DataFrame, page: list[str], threshold: float = IOU, repeated: str = ".") -> tuple[DataFrame, DataFrame]:
     """The outcomes of ``line_outcomes`` and the pairs of ``match_lines``, from boxes that meet once."""
     pred, gold = (lines.withColumn("text", F.coalesce("text", F.lit(""))) for lines in (pred, gold))  # a line without text is empty
     met = kept(touching(pred, gold, page), "touching")
@@ -92,7 +93,7 @@ def compared(pred: DataFrame, gold: DataFrame, page: list[str], threshold: float
     p, g = F.col("p.text"), F.col("g.text")
     longer = F.length(p) > LONG * F.length(g)
     matched = pairs.select(
-        *page, F.lit("matched").alias("kind"), F.levenshtein(g, p).cast("long").alias("edits"), F.length(g).cast("long").alias("gold_chars"), longer.alias("longer"), ((~longer) & (F.length(p) < SHORT * F.length(g))).alias("shorter"), new_repeat_run(p, g).alias("repeats"), F.lit(True).alias("touches")
+        *page, F.lit("matched").alias("kind"), F.levenshtein(g, p).cast("long").alias("edits"), F.length(g).cast("long").alias("gold_chars"), longer.alias("longer"), ((~longer) & (F.length(p) < SHORT * F.length(g))).alias("shorter"), new_repeat_run(p, g, of=repeated).alias("repeats"), F.lit(True).alias("touches")
     )
 
     def unmatched(lines: DataFrame, side: str, kind: str) -> DataFrame:
@@ -100,7 +101,7 @@ def compared(pred: DataFrame, gold: DataFrame, page: list[str], threshold: float
         near = met.select(*page, F.col(f"{side}.idx").alias("idx")).distinct().withColumn("near", F.lit(True))
         left = lines.join(mine, [*page, "idx"], "left_anti").join(near, [*page, "idx"], "left")
         size = F.length("text").cast("long")
-        repeats = new_repeat_run(F.col("text"), F.lit("")) if kind == "extra" else F.lit(False)
+        repeats = new_repeat_run(F.col("text"), F.lit(""), of=repeated) if kind == "extra" else F.lit(False)
         gold_chars = size if kind == "missed" else F.lit(0).cast("long")
         return left.select(*page, F.lit(kind).alias("kind"), size.alias("edits"), gold_chars.alias("gold_chars"), F.lit(False).alias("longer"), F.lit(False).alias("shorter"), repeats.alias("repeats"), F.coalesce("near", F.lit(False)).alias("touches"))
 
