@@ -13,17 +13,21 @@ from ..sources.store import kept
 
 AMBIGUOUS_SHARE = 0.2
 TOP = 5
-#: Looked-up words that are broadcast at most, and places a word's rows are dealt to beyond that.
-BROADCAST_ROWS = 200_000
-#: The same where a lookup is a word and its status, some dozens of bytes.
-NARROW_ROWS = 1_000_000
-SALTS = 16
+#: Looked-up words that are broadcast at most. Beyond that only words with more than one row in FREQUENT are: fewer than FREQUENT.
+BROADCAST_ROWS = 20_000
+FREQUENT = 1_000
 
 
 def _kept(df: DataFrame) -> DataFrame:
     return kept(df, "lexicon")
 
 
+def _shuffled(lookups: DataFrame) -> DataFrame:
+    """A table with a row per word, to be joined by shuffle: its Parquet files are small enough for Spark to broadcast it by
+    itself when its rows, unpacked and with their candidates, no longer fit in the driver."""
+    return lookups.hint("merge")
+
+
 def phrase_word_pairs(phrases: DataFrame) -> DataFrame:
     """(rumi, jawi, source, ord) of phrases with as many words on both sides; others become one mismatch row.
 
@@ -122,7 +126,7 @@ def resolve_words(words: DataFrame, lexicon: DataFrame, script: Script = JAWI) -
     cut = cut.select("key", "p.rank", "p.reads", F.expr("substring(key, length(p.prefix) + 1)").alias("rest")).filter(F.length("rest") >= script.least_rest)
 
     direct = _kept(resolve_variants(keys.union(cut.select("rest")).distinct(), lexicon, script))
-    split = cut.join(direct.withColumnRenamed("key", "rest"), "rest").groupBy("key").agg(
+    split = cut.join(_shuffled(direct.withColumnRenamed("key", "rest")), "rest").groupBy("key").agg(
         F.min(F.struct("rank", F.concat_ws(" ", "reads", "rumi").alias("rumi"), "status", F.concat(F.lit("prefix_split+"), "rule").alias("rule"), "candidates")).alias("p")
     )
     bones = _ranked(skeleton_index(lexicon, script).withColumn("rule", F.lit("consonant_skeleton")), "skeleton").withColumn("status", F.lit("ambiguous"))
@@ -136,17 +140,17 @@ def resolve_words(words: DataFrame, lexicon: DataFrame, script: Script = JAWI) -
         clitic = F.when(F.col("key") == letter, hit) if clitic is None else clitic.when(F.col("key") == letter, hit)
     unknown = F.struct(F.lit(None).cast("string").alias("rumi"), F.lit("unknown").alias("status"), F.lit(None).cast("string").alias("rule"), none.alias("candidates"))
     held = (
-        keyed.join(direct.select("key", F.struct("rumi", "status", "rule", "candidates").alias("d")), "key", "left")
-        .join(split, "key", "left")
+        keyed.join(_shuffled(direct.select("key", F.struct("rumi", "status", "rule", "candidates").alias("d"))), "key", "left")
+        .join(_shuffled(split), "key", "left")
         .join(bones.select("skeleton", F.struct("rumi", "status", "rule", "candidates").alias("b")), "skeleton", "left")
     )
     picks = [F.when(F.col(s).isNotNull(), shape(s)) for s in ("d", "p", "b")]
     single = _kept(held.select("key", F.coalesce(*([clitic] if clitic is not None else []), *picks, unknown).alias("w")).select("key", "w.*"))
 
-    halves = parts.join(single.withColumnRenamed("key", "part"), "part").groupBy("word").agg(
+    halves = parts.join(_shuffled(single.withColumnRenamed("key", "part")), "part").groupBy("word").agg(
         F.bool_and(F.col("rumi").isNotNull()).alias("whole"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "rumi"))), lambda x: x["rumi"]), "-").alias("joined"), F.bool_or(F.col("status") == "ambiguous").alias("doubt")
     )
-    out = words.join(single.withColumnRenamed("key", "word"), "word").join(halves.filter("whole"), "word", "left")
+    out = words.join(_shuffled(single.withColumnRenamed("key", "word")), "word").join(_shuffled(halves.filter("whole")), "word", "left")
     use = (F.col("status") == "unknown") & F.col("whole")
     found = out.select(
         "word",
@@ -171,26 +175,30 @@ def word_counts(docs: DataFrame, script: Script = JAWI, composed: bool = False)
     return docs.select("doc_id", F.explode(words).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _attached(rows: DataFrame, resolved: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``rows`` (doc_id, word, more) with their lookup. Up to ``most`` lookups are broadcast; beyond, both sides are shuffled, and
-    the rows of a word are dealt to ``SALTS`` places by their document."""
-    if resolved.count() <= most:
+def _attached(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``rows`` (word, more) with their lookup. Up to BROADCAST_ROWS lookups are broadcast. Beyond that those of frequent words are,
+    which are few by their definition, so that no task gets all rows of one word; the others meet in a shuffle."""
+    if resolved.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(resolved), "word", "left")
-    spread = resolved.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["word", "_salt"], "left").drop("_salt")
+    per = _kept(rows.groupBy("word").agg(F.count(F.lit(1)).alias("rows")))
+    total = per.agg(F.sum("rows")).head()[0] or 0
+    frequent = F.broadcast(per.filter(F.col("rows") * FREQUENT > total).select("word"))
+    common = rows.join(F.broadcast(resolved.join(frequent, "word", "left_semi")), "word")
+    rare = rows.join(frequent, "word", "left_anti").join(_shuffled(resolved), "word", "left")
+    return common.unionByName(rare)
 
 
 def looked_up(counted: DataFrame, lexicon: DataFrame, script: Script = JAWI) -> DataFrame:
     """(word, n) with the lookup of each word."""
     counted = _kept(counted)
-    return counted.join(resolve_words(counted, lexicon, script), "word")
+    return _attached(counted, resolve_words(counted, lexicon, script))
 
 
 def document_coverage(docs: DataFrame, lexicon: DataFrame, script: Script = JAWI, composed: bool = False) -> DataFrame:
     """Per document: doc_id, word_count, coverage, unknown_count, ambiguous_count and cases (both together). Words are counted
     before they are looked up."""
     counted = _kept(word_counts(docs, script, composed))
-    met = _attached(counted, resolve_words(counted, lexicon, script).select("word", "status"), NARROW_ROWS)
+    met = _attached(counted, resolve_words(counted, lexicon, script).select("word", "status"))
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
     per = met.groupBy("doc_id").agg(F.sum("n").alias("word_count"), total(F.col("status") == "unknown").alias("unknown_count"), total(F.col("status") == "ambiguous").alias("ambiguous_count"))
     out = docs.select("doc_id").join(per, "doc_id", "left").fillna(0, ["word_count", "unknown_count", "ambiguous_count"])
