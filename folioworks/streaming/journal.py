@@ -52,21 +52,28 @@ def numbered(events: DataFrame, late: str = LATE, idle: str = "1 day", end_stage
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["seq", "ts"], kind="stable")
+        batches = list(batches)
         count, low, high, over = state.get if state.exists else (0, [], [], False)
-        _expire_after(state, rows, milliseconds)
+        _expire_after(state, batches, milliseconds)
         if over:
             return
-        rows = rows[rows["seq"].isna() | ~rows["seq"].duplicated()]
-        known = rows["seq"].notna().to_numpy()
-        keep = np.ones(len(rows), dtype=bool)
-        keep[known], low, high = without_seen(rows["seq"].dropna().to_numpy(dtype=np.int64), list(low), list(high))
-        rows = rows[keep]
-        ended = np.flatnonzero(rows["stage"] == end_stage)
+        # numpy on whole columns: most runs have a few events, for which a data frame's sorts and selections take far longer
+        rows = batches[0] if len(batches) == 1 else pd.concat(batches)
+        seq = rows["seq"].to_numpy()
+        order = np.lexsort((rows["ts"].to_numpy("datetime64[ns]"), seq))  # those without a number last
+        seq = seq[order]
+        known = seq == seq
+        keep = np.ones(len(seq), dtype=bool)
+        keep[1:] = ~(known[1:] & (seq[1:] == seq[:-1]))
+        fresh, low, high = without_seen(seq[keep & known].astype(np.int64), list(low), list(high))
+        keep[np.flatnonzero(keep & known)[~fresh]] = False
+        order = order[keep]
+        ended = np.flatnonzero(rows["stage"].to_numpy()[order] == end_stage)
         if len(ended):
-            rows, over, low, high = rows.iloc[: ended[0] + 1], True, [], []
-        state.update((int(count + len(rows)), low, high, bool(over)))
-        yield rows.assign(**{INDEX: np.arange(count, count + len(rows))})[[*names, INDEX]]
+            order, over, low, high = order[: ended[0] + 1], True, [], []
+        state.update((int(count + len(order)), low, high, bool(over)))
+        if len(order):
+            yield rows.take(order).assign(**{INDEX: np.arange(count, count + len(order))})[[*names, INDEX]]
 
     return events.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(step, schema, "events long, low array<long>, high array<long>, over boolean", "append", GroupStateTimeout.EventTimeTimeout)
 

@@ -21,9 +21,9 @@ def _milliseconds(time: str) -> int:
     return int(pd.Timedelta(time).total_seconds() * 1000)
 
 
-def _expire_after(state, rows: pd.DataFrame, milliseconds: int) -> None:
-    """State of a key goes once the watermark is ``milliseconds`` past the newest event of the key in ``rows``."""
-    newest = int(rows["ts"].max().timestamp() * 1000) if len(rows) else 0
+def _expire_after(state, batches: list[pd.DataFrame], milliseconds: int) -> None:
+    """State of a key goes once the watermark is ``milliseconds`` past the newest event of the key in ``batches``."""
+    newest = max((int(b["ts"].to_numpy("datetime64[ms]").astype("int64").max()) for b in batches if len(b)), default=0)
     state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + milliseconds)
 
 
@@ -40,19 +40,31 @@ def live_state(events: DataFrame, late: str = LATE, idle: str = "1 day", end_sta
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches))
-        known = pd.DataFrame(zip(*state.get), columns=columns[1:]) if state.exists else rows.iloc[:0][columns[1:]]
-        last = rows.sort_values("seq", kind="stable").drop_duplicates("stage", keep="last")[columns[1:]]
-        before = last["stage"].map(known.set_index("stage")["seq"])
-        changed = last[before.isna() | (last["seq"] > before)]
-        if (rows["stage"] == end_stage).any():
+        # plain loops: most runs have a few events, for which a data frame's operations take a hundred times as long
+        batches, known, last, over = list(batches), {}, {}, False
+        if state.exists:
+            known = {stage: (seq, status) for stage, seq, status in zip(*state.get)}
+        for b in batches:
+            for stage, seq, status in zip(b["stage"].tolist(), b["seq"].tolist(), b["status"].tolist()):
+                over |= stage == end_stage
+                rank = (seq is None or seq != seq, seq)  # one without a number comes last
+                before = last.get(stage)
+                if before is None or rank[0] > before[0][0] or (rank[0] == before[0][0] and (rank[0] or seq >= before[0][1])):
+                    last[stage] = (rank, status)
+        changed = {
+            stage: (None if unnumbered else int(seq), status)
+            for stage, ((unnumbered, seq), status) in last.items()
+            if stage not in known or known[stage][0] is None or (not unnumbered and seq > known[stage][0])
+        }
+        if over:
             if state.exists:
                 state.remove()
         else:
-            now = pd.concat([known[~known["stage"].isin(changed["stage"])], changed])
-            state.update((now["stage"].tolist(), now["seq"].tolist(), now["status"].tolist()))
-            _expire_after(state, rows, milliseconds)
-        yield changed.assign(run_id=key[0])[columns]
+            now = {**known, **changed}
+            state.update((list(now), [r[0] for r in now.values()], [r[1] for r in now.values()]))
+            _expire_after(state, batches, milliseconds)
+        if changed:
+            yield pd.DataFrame({"run_id": key[0], "stage": list(changed), "seq": pd.Series([r[0] for r in changed.values()], dtype=object), "status": [r[1] for r in changed.values()]})
 
     rows = events.select("run_id", "stage", F.col("seq").cast("long").alias("seq"), "status", "ts").withWatermark("ts", late)
     return rows.groupBy("run_id").applyInPandasWithState(step, "run_id string, stage string, seq long, status string", "stages array<string>, seqs array<long>, statuses array<string>", "update", GroupStateTimeout.EventTimeTimeout)
@@ -96,16 +108,17 @@ def complete_articles(pages: DataFrame, counts: DataFrame, late: str = LATE, idl
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches))
+        batches = list(batches)
         held, complete = state.get if state.exists else ([], False)
         if not complete:
-            seen = pd.unique(pd.concat([pd.Series(held, dtype=object), rows["page"].dropna()]))
-            complete = len(seen) >= rows["page_count"].iloc[0]
-            held = [] if complete else [str(x) for x in seen]
+            seen = dict.fromkeys([*held, *(page for b in batches for page in b["page"].tolist() if page is not None)])
+            count = int(batches[0]["page_count"].iat[0])
+            complete = len(seen) >= count
+            held = [] if complete else list(seen)
             if complete:
-                yield pd.DataFrame({"run_id": [key[0]], "page_count": [int(rows["page_count"].iloc[0])]})
-        state.update((held, bool(complete)))
-        _expire_after(state, rows, milliseconds)
+                yield pd.DataFrame({"run_id": [key[0]], "page_count": [count]})
+        state.update((list(held), bool(complete)))
+        _expire_after(state, batches, milliseconds)
 
     rows = pages.withWatermark("ts", late).join(counts.select("run_id", F.col("page_count").cast("long").alias("page_count")), "run_id").select("run_id", F.col("page").cast("string").alias("page"), "page_count", "ts")
     return rows.groupBy("run_id").applyInPandasWithState(step, "run_id string, page_count long", "pages array<string>, complete boolean", "update", GroupStateTimeout.EventTimeTimeout)
