@@ -21,8 +21,8 @@ IOU = 0.5
 BAND = 64.0
 LONG, SHORT = 1.15, 0.85
 OPEN, TAKEN, CLOSED = 0, 1, 2
-#: Rounds of matching that are worked out before what is open is written.
-ROUNDS = 2
+#: Rounds of matching that are worked out before what is open is written. Each holds more sorts of all edges in a task's memory.
+ROUNDS = 1
 
 
 def _boxes(lines: DataFrame, name: str, page: list[str]) -> DataFrame:
@@ -60,18 +60,19 @@ def _matched(candidates: DataFrame, page: list[str]) -> DataFrame:
     there are no more rounds than such a group has matches, and mostly one or two. ROUNDS of them are one job.
     """
     rank = F.struct((-F.coalesce("p.conf", F.lit(1.0))).alias("c"), F.col("p.idx").alias("p"), (-F.col("iou")).alias("o"), F.col("g.idx").alias("g"))
-    ends = [Window.partitionBy(*page, F.col(f"{side}.idx")) for side in ("p", "g")]
-    rows, chosen = candidates.repartition(*page).withColumn("rank", rank).withColumn("state", F.lit(OPEN)), []
+    ends = [Window.partitionBy(*page, f"end{k}") for k in (0, 1)]
+    rows, chosen = candidates.repartition(*page).select("*", F.col("p.idx").alias("end0"), F.col("g.idx").alias("end1"), rank.alias("rank"), F.lit(OPEN).alias("state")), []
     while True:
         for _ in range(ROUNDS):
             is_open = F.col("state") == OPEN
-            for k, end in enumerate(ends):
-                rows = rows.withColumn(f"first{k}", F.min(F.when(is_open, F.col("rank"))).over(end))
-            rows = rows.withColumn("state", F.when(is_open & (F.col("rank") == F.col("first0")) & (F.col("rank") == F.col("first1")), TAKEN).otherwise(F.col("state")))
-            for k, end in enumerate(ends):
-                rows = rows.withColumn(f"met{k}", F.max(F.col("state") == TAKEN).over(end))
-            rows = rows.withColumn("state", F.when(is_open & (F.col("met0") | F.col("met1")), CLOSED).otherwise(F.col("state")))
-        done = kept(rows.filter(F.col("state") != CLOSED).select(*page, "p", "g", "iou", "rank", "state"), "edges")
+            # by ends 0, 1, then 1, 0: three sorts, since what a step leaves sorted by an end serves the next one
+            for k in (0, 1):
+                rows = rows.withColumn(f"first{k}", F.min(F.when(is_open, F.col("rank"))).over(ends[k]))
+            rows = rows.withColumn("state", F.when(is_open & (F.col("rank") == F.col("first0")) & (F.col("rank") == F.col("first1")), TAKEN).otherwise(F.col("state"))).drop("first0", "first1")
+            for k in (1, 0):
+                rows = rows.withColumn(f"met{k}", F.max(F.col("state") == TAKEN).over(ends[k]))
+            rows = rows.withColumn("state", F.when(is_open & (F.col("met0") | F.col("met1")), CLOSED).otherwise(F.col("state"))).drop("met0", "met1")
+        done = kept(rows.filter(F.col("state") != CLOSED).select(*page, "p", "g", "iou", "end0", "end1", "rank", "state"), "edges")
         chosen.append(done.filter(F.col("state") == TAKEN).select(*page, "p", "g", "iou"))
         left = done.filter(F.col("state") == OPEN)
         if left.isEmpty():
@@ -178,7 +179,7 @@ def overall(pages: DataFrame) -> DataFrame:
 
 def detector_stats(pred: DataFrame, gold: DataFrame, page: list[str], threshold: float = IOU) -> DataFrame:
     """tp, precision and recall per page at an overlap, 3 digits, 0 on empty sides."""
-    tp = match_lines(pred, gold, page, threshold).groupBy(*page).agg(F.count(F.lit(1)).alias("tp"))
+    tp = match_lines(pred.drop("text"), gold.drop("text"), page, threshold).groupBy(*page).agg(F.count(F.lit(1)).alias("tp"))
     sides = [d.groupBy(*page).agg(F.count(F.lit(1)).alias(n)) for d, n in ((pred, "n_pred"), (gold, "n_gold"))]
     rows = sides[0].join(sides[1], page, "full").join(tp, page, "left").fillna(0, ["tp", "n_pred", "n_gold"])
     share = lambda n: F.when(F.col(n) > 0, F.round(F.col("tp") / F.col(n), 3)).otherwise(0.0)
