@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,37 +52,51 @@ def json_object_text(text: Column) -> Column:
     return F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row. A column that is merely named several times is worked out as often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def validate_knowledge(text: Column, fields: tuple = KNOWLEDGE_FIELDS) -> Column:
     """struct<valid, reason, fields>: every field must be a list of strings or one string; blanks go."""
-    raw = json_object_text(text)
-    value = F.try_parse_json(raw)
-    parts = {f: F.try_variant_get(value, f"$.{f}", "variant") for f in fields}
-    kind = {f: F.schema_of_variant(parts[f]) for f in fields}
+    part = lambda value: F.struct(*[F.try_variant_get(value, f"$.{f}", "variant").alias(f) for f in fields])
+    kind = lambda parts: F.struct(*[F.schema_of_variant(parts[f]).alias(f) for f in fields])
+    checked = lambda raw, value, parts: bound(kind(parts), lambda kinds: bound(_reason(raw, value, kinds, fields), lambda reason: _knowledge(parts, kinds, reason, fields)))
+    return bound(json_object_text(text), lambda raw: bound(F.try_parse_json(raw), lambda value: bound(part(value), lambda parts: checked(raw, value, parts))))
+
+
+def _reason(raw: Column, value: Column, kinds: Column, fields: tuple) -> Column:
     present = F.coalesce(F.json_object_keys(F.when(value.isNotNull(), raw)), F.array().cast("array<string>"))
-    listed = {f: F.when(kind[f] == "STRING", F.array(F.try_variant_get(value, f"$.{f}", "string"))).otherwise(F.try_variant_get(value, f"$.{f}", "array<string>")) for f in fields}
-    clean = {f: F.filter(F.transform(F.coalesce(listed[f], F.array().cast("array<string>")), strip), lambda x: x != "") for f in fields}
     missing = F.array_except(F.array(*map(F.lit, fields)), present)
-    wrong = F.array_compact(F.array(*[F.when(~kind[f].isin("STRING", "ARRAY<STRING>", "ARRAY<VOID>"), f) for f in fields]))
-    reason = (
-        F.when(raw.isNull() | value.isNull() | ~F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), "response is not a JSON object")
-        .when(F.size(missing) > 0, F.concat(F.lit("missing keys: "), F.array_join(missing, ", ")))
-        .when(F.size(wrong) > 0, F.concat(F.lit("not a list of strings: "), F.array_join(wrong, ", ")))
-    )
+    wrong = F.array_compact(F.array(*[F.when(~kinds[f].isin("STRING", "ARRAY<STRING>", "ARRAY<VOID>"), f) for f in fields]))
+    lacks = bound(missing, lambda m: F.when(F.size(m) > 0, F.concat(F.lit("missing keys: "), F.array_join(m, ", "))))
+    other = bound(wrong, lambda w: F.when(F.size(w) > 0, F.concat(F.lit("not a list of strings: "), F.array_join(w, ", "))))
+    return F.when(raw.isNull() | value.isNull() | ~F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), "response is not a JSON object").otherwise(F.coalesce(lacks, other))
+
+
+def _knowledge(parts: Column, kinds: Column, reason: Column, fields: tuple) -> Column:
+    listed = {f: F.when(kinds[f] == "STRING", F.array(F.try_variant_get(parts[f], "$", "string"))).otherwise(F.try_variant_get(parts[f], "$", "array<string>")) for f in fields}
+    clean = {f: F.filter(F.transform(F.coalesce(listed[f], F.array().cast("array<string>")), strip), lambda x: x != "") for f in fields}
     return F.struct(reason.isNull().alias("valid"), reason.alias("reason"), F.when(reason.isNull(), F.struct(*[clean[f].alias(f) for f in fields])).alias("fields"))
 
 
 def message_text(response: Column) -> Column:
     """struct<text, error> of a chat answer: content is a string, or a list of strings and {text} parts."""
-    value = F.try_parse_json(response)
-    content = F.try_variant_get(value, "$.choices[0].message.content", "variant")
-    finish = F.try_variant_get(value, "$.choices[0].finish_reason", "string")
+    return bound(F.try_parse_json(response), lambda value: bound(F.try_variant_get(value, "$.choices[0].message.content", "variant"), lambda content: bound(_content_text(content), lambda text: _message(value, text))))
+
+
+def _content_text(content: Column) -> Column:
     kind = F.schema_of_variant(content)
     items = F.try_variant_get(content, "$", "array<variant>")
     joined = F.array_join(F.transform(items, lambda i: F.coalesce(F.try_variant_get(i, "$.text", "string"), F.when(F.schema_of_variant(i) == "STRING", F.try_variant_get(i, "$", "string")), F.lit(""))), "")
-    text = strip(F.when(kind == "STRING", F.try_variant_get(content, "$", "string")).when(F.startswith(kind, F.lit("ARRAY")), joined).otherwise(""))
+    return strip(F.when(kind == "STRING", F.try_variant_get(content, "$", "string")).when(F.startswith(kind, F.lit("ARRAY")), joined).otherwise(""))
+
+
+def _message(value: Column, text: Column) -> Column:
+    finish = F.try_variant_get(value, "$.choices[0].finish_reason", "string")
     none = F.try_variant_get(value, "$.choices[0]", "variant").isNull()
     error = F.when(none, "no_choices").when((F.coalesce(text, F.lit("")) == "") & (finish == "length"), "length_limit").when(F.coalesce(text, F.lit("")) == "", "empty")
-    return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"))
+    return bound(error, lambda e: F.struct(F.when(e.isNull(), text).alias("text"), e.alias("error")))
 
 
 def is_empty(text: Column) -> Column:
