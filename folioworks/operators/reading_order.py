@@ -9,6 +9,8 @@ from ..sources.store import new_folder
 
 #: Boxes from which two boxes may cross a gutter.
 CROWDED = 40
+#: Fewest boxes that have a gutter: two on either side.
+FEWEST = 4
 #: How much of the narrower column a box takes that spans a gutter; how many times a line a headline is high; how many
 #: times a gutter an empty band across is wide that goes before it.
 SPANNING, TALL, WIDER = 0.25, 1.8, 1.5
@@ -36,17 +38,23 @@ def gutters(boxes: DataFrame, page: list[str], least) -> DataFrame:
     on), emptier runs before longer ones, with two box centres or more on either side; an empty run may be of any width.
     ``least`` is a number or a column that is the same for all boxes of a page."""
     least = least if isinstance(least, Column) else F.lit(float(least))
+    w, by_centre = Window.partitionBy(*page).orderBy("x"), Window.partitionBy(*page).orderBy(F.asc_nulls_last("c"))
+    every = by_centre.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one sort does for all
     whole = boxes.select(*page, F.floor("x1").cast("int").alias("a"), F.floor("x2").cast("int").alias("b"), ((F.col("x1") + F.col("x2")) / 2).alias("c"), least.alias("least"))
-    sizes = whole.groupBy(*page).agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("end"), F.max("least").alias("least"))
-    steps = whole.select(*page, F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("d")), F.struct((F.col("b") + 1).alias("x"), F.lit(-1).alias("d")))).alias("s")).groupBy(*page, "s.x").agg(F.sum("s.d").alias("d"))
-    w = Window.partitionBy(*page).orderBy("x")
-    levels = steps.select(*page, "x", F.sum("d").over(w).alias("cover"), F.lead("x").over(w).alias("to")).filter("to is not null").join(sizes, page).filter("n >= 4")
+    ranked = whole.withColumns({"n": F.count(F.lit(1)).over(every), "_centres": F.count("c").over(every), "_k": F.row_number().over(by_centre)}).filter(F.col("n") >= FEWEST)
+    # two centres or more are on either side of what lies between the second from the left and the second from the right
+    second = lambda k: F.max(F.when(F.col("_k") == k, F.col("c"))).over(every)
+    sizes = ranked.withColumns({"end": F.max("b").over(every), "least": F.max("least").over(every), "_second": second(2), "_before": second(F.col("_centres") - 1)})
+    edges = F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("d")), F.struct((F.col("b") + 1).alias("x"), F.lit(-1).alias("d")))
+    steps = sizes.select(*page, "n", "end", "least", "_second", "_before", F.inline(edges))
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = steps.withColumns({"cover": F.sum("d").over(so_far), "to": F.lead("x").over(w)}).filter("to > x")  # of equal steps the last has all of them
     levels = levels.withColumn("to", F.least(F.col("to"), F.col("end") + 1))
     thin = levels.withColumn("thin", F.col("cover") <= F.when(F.col("n") < CROWDED, 1).otherwise(2))
-    runs = thin.withColumn("run", F.sum((~F.col("thin")).cast("int")).over(w)).filter("thin").groupBy(*page, "run", "least").agg(F.min("x").alias("lo"), F.max("to").alias("hi"), F.min("cover").alias("cover"))
+    runs = thin.withColumn("run", F.sum((~F.col("thin")).cast("int")).over(w)).filter("thin").groupBy(*page, "run", "least", "_second", "_before").agg(F.min("x").alias("lo"), F.max("to").alias("hi"), F.min("cover").alias("cover"))
     runs = runs.filter((F.col("hi") - F.col("lo")) >= F.when(F.col("cover") == 0, 1.0).otherwise(F.col("least")))
-    sides = runs.drop("least").join(whole.select(*page, "c"), page).withColumn("left", F.col("c") < (F.col("lo") + F.col("hi")) / 2)
-    kept = sides.groupBy(*page, "lo", "hi", "cover").agg(F.count_if("left").alias("left"), F.count_if(~F.col("left")).alias("right")).filter("left >= 2 and right >= 2")
+    middle = (F.col("lo") + F.col("hi")) / 2
+    kept = runs.filter((F.col("_second") < middle) & (F.col("_before") >= middle))
     return kept.groupBy(*page).agg(F.min(F.struct("cover", (F.col("lo") - F.col("hi")).alias("w"), "lo", "hi")).alias("g")).select(*page, F.col("g.lo").alias("lo"), F.col("g.hi").alias("hi"), F.col("g.cover").alias("cover"))
 
 
@@ -134,23 +142,32 @@ def _spans(x1, x2, lo, hi, left, right):
 def page_numbers(boxes: DataFrame, page: list[str]) -> DataFrame:
     """(page, idx) of page numbers: the box that starts lowest, if it is no wider than two lines are high and no other box
     ends more than a quarter of a line below its start."""
+    return _numbered(boxes, page).filter("_last").select(*page, "idx")
+
+
+def _numbered(boxes: DataFrame, page: list[str]) -> DataFrame:
+    """Boxes with ``_last``, whether they are the page's number."""
     w = Window.partitionBy(*page)
     lowest = F.max(F.struct("y1", (-F.col("idx")).alias("i"))).over(w)["i"] == -F.col("idx")
     line = F.percentile(F.col("y2") - F.col("y1"), F.lit(0.5)).over(w)
-    rows = boxes.select(*page, "idx", "x1", "x2", "y1", "y2", lowest.alias("lowest"), line.alias("line"), F.count(F.lit(1)).over(w).alias("n"))
-    rows = rows.withColumn("others", F.max(F.when(~F.col("lowest"), F.col("y2"))).over(w))
-    return rows.filter(F.col("lowest") & (F.col("n") > 1) & (F.col("x2") - F.col("x1") <= 2 * F.col("line")) & (F.col("y1") >= F.col("others") - 0.25 * F.col("line"))).select(*page, "idx")
+    rows = boxes.withColumns({"_lowest": lowest, "_line": line, "_n": F.count(F.lit(1)).over(w)})
+    rows = rows.withColumn("_others", F.max(F.when(~F.col("_lowest"), F.col("y2"))).over(w))
+    last = F.col("_lowest") & (F.col("_n") > 1) & (F.col("x2") - F.col("x1") <= 2 * F.col("_line")) & (F.col("y1") >= F.col("_others") - 0.25 * F.col("_line"))
+    return rows.withColumn("_last", F.coalesce(last, F.lit(False))).drop("_lowest", "_line", "_n", "_others")
 
 
-def headlines(boxes: DataFrame, page: list[str], least) -> DataFrame:
+def headlines(boxes: DataFrame, page: list[str], least, found: DataFrame | None = None) -> DataFrame:
     """(page, idx) of headlines: boxes that start in the top third of a page of three boxes or more, and are ``TALL`` times
-    as high as its lines or span its gutter, unless text that is no headline stands above them."""
+    as high as its lines or span its gutter, unless text that is no headline stands above them. ``found``: the boxes' gutters,
+    where they are known."""
     w = Window.partitionBy(*page)
-    rows = boxes.join(gutters(boxes, page, least).select(*page, F.col("lo").alias("g_lo"), F.col("hi").alias("g_hi")), page, "left")
+    found = gutters(boxes, page, least) if found is None else found
+    rows = boxes.join(found.select(*page, F.col("lo").alias("g_lo"), F.col("hi").alias("g_hi")), page, "left")
     rows = rows.select(*page, "idx", "x1", "x2", "y1", "y2", "g_lo", "g_hi", F.percentile(F.col("y2") - F.col("y1"), F.lit(0.5)).over(w).alias("line"), F.min("y1").over(w).alias("top"), F.max("y2").over(w).alias("bottom"), F.min("x1").over(w).alias("left"), F.max("x2").over(w).alias("right"), F.count(F.lit(1)).over(w).alias("n"))
     high = (F.col("y1") <= F.col("top") + (F.col("bottom") - F.col("top")) / 3) & (F.col("n") >= 3)
     large = (F.col("y2") - F.col("y1") >= TALL * F.col("line")) | _spans(F.col("x1"), F.col("x2"), F.col("g_lo"), F.col("g_hi"), F.col("left"), F.col("right"))
-    rows = _kept(rows.select(*page, "idx", "x1", "x2", "y1", "y2", "line", (high & large).alias("head")))
+    rows = rows.select(*page, "idx", "x1", "x2", "y1", "y2", "line", (high & large).alias("head"))
+    rows = _kept(rows.withColumn("_any", F.max("head").over(w)).filter("_any").drop("_any"))  # other pages have none
     p, q = F.col("p"), F.col("q")  # p above q
     above = (p["y2"] <= q["y1"] + 0.5 * q["line"]) & (F.least(p["x2"], q["x2"]) > F.greatest(p["x1"], q["x1"])) & q["head"]
     covers = _kept(_meeting(rows, page, ["idx", "x1", "x2", "y1", "y2", "line", "head"], "x1", "x2").filter(above).select(*page, F.col("p.idx").alias("by"), F.col("q.idx").alias("idx")))
@@ -163,25 +180,36 @@ def headlines(boxes: DataFrame, page: list[str], least) -> DataFrame:
         heads = fewer
 
 
-def _cut(boxes: DataFrame, region: list[str], least) -> DataFrame:
-    """Boxes with ``part``, the number of their part of the region. A region is cut at the widest empty band across, if it
+def _cut(boxes: DataFrame, region: list[str], found: DataFrame) -> DataFrame:
+    """Boxes with ``part`` by the gutters ``found``, the number of their part of the region. A region is cut at the widest empty band across, if it
     has no gutter or the band is ``WIDER`` times as wide; else at its gutter, the right side first; else at all bands.
-    Beside a gutter only bands next to a box that spans it count. A region that is not cut has the one part 0."""
-    whole, order = Window.partitionBy(*region), Window.partitionBy(*region).orderBy("y1", "idx")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = boxes.join(gutters(boxes, region, least).select(*region, F.col("lo").alias("g_lo"), F.col("hi").alias("g_hi")), region, "left")
-    rows = rows.withColumns({"_k": F.row_number().over(order), "_left": F.min("x1").over(whole), "_right": F.max("x2").over(whole)})
+    Beside a gutter only bands next to a box that spans it count. A region that is not cut has the one part 0. A region of
+    fewer than ``FEWEST`` boxes has no gutter, nor have its parts: it is cut at all bands at once, which one after the other
+    would leave the same parts. ``_done``: whether the part needs no further cut, as it is the region, part of such a region or
+    ``_alone``, one box."""
+    order = Window.partitionBy(*region).orderBy("y1", "idx")
+    whole, before = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = boxes.join(found.select(*region, F.col("lo").alias("g_lo"), F.col("hi").alias("g_hi")), region, "left")
+    rows = rows.withColumns({"_k": F.row_number().over(order), "_n": F.count(F.lit(1)).over(whole), "_left": F.min("x1").over(whole), "_right": F.max("x2").over(whole)})
     rows = rows.withColumn("_deep", F.max(F.struct("y2", (-F.col("_k")).alias("k"), "x1", "x2")).over(before))
     gap = F.col("y1") - F.col("_deep.y2")
     beside = [_spans(x1, x2, F.col("g_lo"), F.col("g_hi"), F.col("_left"), F.col("_right")) for x1, x2 in ((F.col("_deep.x1"), F.col("_deep.x2")), (F.col("x1"), F.col("x2")))]
     counts = (gap > 0) & (F.col("g_lo").isNull() | beside[0] | beside[1])
     rows = rows.withColumn("_band", F.max(F.when(counts, F.struct(gap.alias("gap"), (-F.col("_k")).alias("k")))).over(whole))
-    rows = rows.withColumn("_group", F.sum(F.coalesce((gap >= 1.0).cast("int"), F.lit(0))).over(order))
+    few = F.col("_n") < FEWEST
+    rows = rows.withColumn("_group", F.sum(F.coalesce(F.when(few, gap > 0).otherwise(gap >= 1.0).cast("int"), F.lit(0))).over(order))
     width = F.col("g_hi") - F.col("g_lo")
     across = F.coalesce(F.col("_band.gap").isNotNull() & (F.col("g_lo").isNull() | (F.col("_band.gap") > WIDER * width)), F.lit(False))
     left_side = ((F.col("x1") + F.col("x2")) / 2 < (F.col("g_lo") + F.col("g_hi")) / 2).cast("int")
-    part = F.when(across, (F.col("_k") >= -F.col("_band.k")).cast("int")).when(F.col("g_lo").isNotNull(), left_side).otherwise(F.col("_group"))
-    return rows.withColumn("part", part.cast("int")).drop("g_lo", "g_hi", "_k", "_left", "_right", "_deep", "_band", "_group")
+    beside_gutter = F.col("g_lo").isNotNull() & ~few & ~across
+    part = F.when(few, F.col("_group")).when(across, (F.col("_k") >= -F.col("_band.k")).cast("int")).when(F.col("g_lo").isNotNull(), left_side).otherwise(F.col("_group"))
+    rows = rows.withColumns({"part": part.cast("int"), "_beside": beside_gutter})
+    rows = rows.withColumns({"_parts": F.max("part").over(whole), "_ones": F.sum("part").over(whole), "_up": F.lag("part").over(order), "_down": F.lead("part").over(order)})
+    # other parts than the sides of a gutter follow each other from top to bottom
+    of_side = F.when(F.col("part") == 1, F.col("_ones")).otherwise(F.col("_n") - F.col("_ones"))
+    alone = F.when(F.col("_beside"), of_side == 1).otherwise(~F.col("part").eqNullSafe(F.col("_up")) & ~F.col("part").eqNullSafe(F.col("_down")))
+    rows = rows.withColumn("_alone", alone).withColumn("_done", (F.col("_parts") == 0) | few | F.col("_alone"))
+    return rows.select(*boxes.columns, "part", "_alone", "_done")
 
 
 def _rows(boxes: DataFrame, region: list[str]) -> DataFrame:
@@ -206,18 +234,22 @@ def reading_order(boxes: DataFrame, page: list[str], width: str = "page_width",
     leave, each in rows from the top and from the right, the page number last; ties by idx. A gutter that boxes cross must be
     ``share`` of the page's width."""
     least = F.col(width) * share
-    numbers = page_numbers(boxes, page).withColumn("_last", F.lit(True))
-    body = _kept(boxes.join(numbers, [*page, "idx"], "left").withColumn("_last", F.coalesce("_last", F.lit(False))))
-    heads = headlines(body.filter("not _last"), page, least).withColumn("_head", F.lit(True))
+    body = _kept(_numbered(boxes, page))
+    found = _kept(gutters(body.filter("not _last"), page, least))
+    heads = headlines(body.filter("not _last"), page, least, found)
     kind = F.when(F.col("_last"), 2).when(F.coalesce("_head", F.lit(False)), 0).otherwise(1)
-    body = body.join(heads, [*page, "idx"], "left").withColumn("_kind", kind).drop("_last", "_head").withColumn("_region", F.array(F.col("_kind")))
+    body = _kept(body.join(heads.withColumn("_head", F.lit(True)), [*page, "idx"], "left").withColumn("_kind", kind).drop("_last", "_head").withColumn("_region", F.array(F.col("_kind"))))
     region = [*page, "_region"]
-    done, open_ = body.filter("_kind <> 1"), _kept(body.filter("_kind = 1"))
+    done, open_ = body.filter("_kind <> 1").withColumn("_alone", F.col("_kind") == 2), body.filter("_kind = 1")
+    # pages without a headline have the gutters that were found for all their boxes
+    headed = heads.select(*page).distinct()
+    found = found.join(headed, page, "left_anti").withColumn("_region", F.array(F.lit(1))).unionByName(gutters(open_.join(headed, page, "left_semi"), region, least))
     while not open_.isEmpty():
-        parts = _cut(open_, region, least).withColumn("_cut", F.max("part").over(Window.partitionBy(*region)) > 0)
-        parts = _kept(parts)
-        done = done.unionByName(parts.filter("not _cut").drop("part", "_cut"))
-        open_ = parts.filter("_cut").withColumn("_region", F.concat("_region", F.array("part"))).drop("part", "_cut")
-    placed = _rows(done, region)
+        parts = _kept(_cut(open_, region, found).withColumn("_region", F.concat("_region", F.array("part"))).drop("part"))
+        done = done.unionByName(parts.filter("_done").drop("_done"))
+        open_ = parts.filter("not _done").drop("_done", "_alone")
+        found = gutters(open_, region, least)
+    single, several = done.filter("_alone").drop("_alone"), done.filter("not _alone").drop("_alone")
+    placed = single.withColumn("row", F.lit(0)).unionByName(_rows(several, region))
     order = Window.partitionBy(*page).orderBy("_region", "row", -(F.col("x1") + F.col("x2")), (F.col("y1") + F.col("y2")), "idx")
     return placed.withColumn("place", (F.row_number().over(order) - 1).cast("long")).select(*boxes.columns, "place")
