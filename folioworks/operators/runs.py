@@ -70,10 +70,24 @@ def ocr_run_summary(pages: DataFrame, threshold: float = 0.6) -> DataFrame:
     ).filter("run_id is not null")
 
 
+#: Lines that are joined at a time.
+PIECE = 1_000
+
+
 def article_text(lines: DataFrame) -> DataFrame:
-    """Non-empty page texts of a run joined in page order, lines in order, by one line end each."""
-    pages = lines.filter("text <> ''").groupBy("run_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return pages.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    """Non-empty page texts of a run joined in page order, lines in order, by one line end each.
+
+    Spark sorts the rows; arrays are of a piece's numbered lines, of a page's pieces and of a run's pages, never of all lines.
+    """
+    page = ["run_id", "page"]
+    numbered = lines.filter("text <> ''").select(*page, "text", F.row_number().over(Window.partitionBy(*page).orderBy("ord", "text")).alias("k"))
+    pieces = _joined_texts(numbered.withColumn("piece", F.floor(F.col("k") / PIECE)), [*page, "piece"], "k")
+    return _joined_texts(_joined_texts(pieces, page, "piece"), ["run_id"], "page")
+
+
+def _joined_texts(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    parts = F.sort_array(F.collect_list(F.struct(order, "text")))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
 
 
 def stage_outcome(output, error, timed_out):
