@@ -113,11 +113,49 @@ def suppress_contained(boxes: DataFrame, page: list[str], most: float = 0.6) ->
 
 def column_order(boxes: DataFrame, page: list[str]) -> DataFrame:
     """Boxes with ``place``: columns are boxes tied by a horizontal overlap of half the narrower or more, directly or through
-    others; they go from right to left by their mean centre, lines downwards."""
-    p, q = F.col("p"), F.col("q")
+    others; they go from right to left by their mean centre, lines downwards.
+
+    Boxes that start where all before them have ended begin a new group, and no tie crosses groups. A group is one column
+    if each other box of it is tied to the one before it or to the one before it that reaches furthest. Only pages that have
+    other groups go through rounds."""
+    in_order, group = Window.partitionBy(*page).orderBy("x1", "idx"), Window.partitionBy(*page, "_group")
+    before, every = in_order.rowsBetween(Window.unboundedPreceding, -1), in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    box = F.struct("x2", "x1")
+    unknown = [F.col(c).isNull() | F.isnan(c) for c in ("x1", "x2")]
+    rows = boxes.withColumns({"_far": F.max(box).over(before), "_last": F.lag(box).over(in_order), "_odd": F.max(unknown[0] | unknown[1]).over(every)})
+    starts = F.coalesce(F.col("x1") >= F.col("_far.x2"), F.lit(True))
+    joins = F.coalesce(_tied(box, F.col("_far")) | _tied(box, F.col("_last")), F.lit(False))
+    rows = rows.withColumns({"_group": F.when(F.col("_odd"), 0).otherwise(F.sum(starts.cast("int")).over(in_order)), "_sure": ~F.col("_odd") & (starts | joins)})
+    rows = rows.select(*boxes.columns, "_group", "_sure").withColumns({"label": F.min("idx").over(group), "_centre": _mean_centre(group), "_sure": F.min("_sure").over(group)})
+    whole = Window.partitionBy(*page).orderBy(*_columns_first()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = _kept(rows.withColumns({"place": _place(page), "_sure": F.min("_sure").over(whole)}).drop("_centre", "label"))
+    placed, open_ = rows.filter("_sure").select(*boxes.columns, "place"), rows.filter("not _sure").drop("place")
+    if open_.isEmpty():
+        return placed
+    labelled = open_.join(_column_labels(open_, [*page, "_group"]), [*page, "_group", "idx"]).withColumn("_centre", _mean_centre(Window.partitionBy(*page, "label")))
+    return placed.unionByName(labelled.withColumn("place", _place(page)).select(*boxes.columns, "place"))
+
+
+def _tied(p, q):
     inter = F.least(p["x2"], q["x2"]) - F.greatest(p["x1"], q["x1"])
-    tied = (inter > 0) & (inter / F.greatest(F.lit(1e-6), F.least(p["x2"] - p["x1"], q["x2"] - q["x1"])) >= 0.5)
-    ties = _kept(_meeting(boxes, page, ["idx", "x1", "x2"], "x1", "x2").filter(tied).select(*page, F.col("p.idx").alias("idx"), F.col("q.idx").alias("other")))
+    return (inter > 0) & (inter / F.greatest(F.lit(1e-6), F.least(p["x2"] - p["x1"], q["x2"] - q["x1"])) >= 0.5)
+
+
+def _mean_centre(column):
+    return F.avg((F.col("x1") + F.col("x2")) / 2).over(column)
+
+
+def _columns_first() -> list:
+    return [F.desc("_centre"), "label", (F.col("y1") + F.col("y2")) / 2, "idx"]
+
+
+def _place(page: list[str]) -> Column:
+    return (F.row_number().over(Window.partitionBy(*page).orderBy(*_columns_first())) - 1).cast("long")
+
+
+def _column_labels(boxes: DataFrame, page: list[str]) -> DataFrame:
+    """(page, idx, label): the least idx of the box's column, handed on along ties in rounds."""
+    ties = _kept(_meeting(boxes, page, ["idx", "x1", "x2"], "x1", "x2").filter(_tied(F.col("p"), F.col("q"))).select(*page, F.col("p.idx").alias("idx"), F.col("q.idx").alias("other")))
     labels = _kept(boxes.select(*page, "idx", F.col("idx").alias("label")))
     while True:
         near = ties.join(labels.withColumnRenamed("idx", "other"), [*page, "other"]).groupBy(*page, "idx").agg(F.min("label").alias("near"))
@@ -126,11 +164,7 @@ def column_order(boxes: DataFrame, page: list[str]) -> DataFrame:
         moved = _kept(least.join(own, [*page, "to"]).select(*page, "idx", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("new")))
         labels = moved.drop("new")
         if moved.filter("new").isEmpty():
-            break
-    column = Window.partitionBy(*page, "label")
-    placed = boxes.join(labels, [*page, "idx"]).withColumn("_centre", F.avg((F.col("x1") + F.col("x2")) / 2).over(column))
-    order = Window.partitionBy(*page).orderBy(F.desc("_centre"), "label", (F.col("y1") + F.col("y2")) / 2, "idx")
-    return placed.withColumn("place", (F.row_number().over(order) - 1).cast("long")).drop("label", "_centre")
+            return labels
 
 
 def _spans(x1, x2, lo, hi, left, right):

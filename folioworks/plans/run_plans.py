@@ -209,7 +209,7 @@ def page_reading_order(spark, sf_dir):
 
 
 def page_column_order(spark, sf_dir):
-    return O.column_order(gold_lines(spark, sf_dir).drop("text"), ["page_id"]).select("page_id", "idx", "place")
+    return O.column_order(gold_lines(spark, sf_dir, by_page=True).drop("text"), ["page_id"]).select("page_id", "idx", "place")
 
 
 def suppressed_boxes(spark, sf_dir):
