@@ -138,7 +138,7 @@ def import_task(lines: DataFrame, page: list[str]) -> DataFrame:
     """One JSON task per page: per box a rectangle and a text region that share an id, in line order."""
     rect = F.struct(F.col("id").alias("id"), F.lit("rectangle").alias("type"), F.struct("x", "y", "width", "height", F.lit(None).cast("array<string>").alias("text")).alias("value"))
     area = F.struct(F.col("id").alias("id"), F.lit("textarea").alias("type"), F.struct("x", "y", "width", "height", F.array("text").alias("text")).alias("value"))
-    rows = lines.groupBy(*page).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_index", F.array(rect, area).alias("r")))), lambda s: s["r"])).alias("result"))
+    rows = lines.groupBy(*page).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("line_index", F.array(rect, area).alias("r")))), lambda s: s["r"])).alias("result"))
     return rows.select(*page, F.to_json(F.struct(F.struct(*page).alias("data"), F.array(F.struct("result")).alias("predictions"))).alias("task"))
 
 

@@ -80,8 +80,8 @@ def words_to_lines(spark, sf_dir):
     return D.words_to_lines(w, ["block", "line"])
 
 
-def _percent(spark, sf_dir):
-    g = gold_lines(spark, sf_dir)
+def _percent(spark, sf_dir, by_page=False):
+    g = gold_lines(spark, sf_dir, by_page)
     return g.select("page_id", F.col("idx").alias("line_index"), (F.col("x1") / 12).alias("x"), (F.col("y1") / 4).alias("y"), F.when(F.col("idx") % 6 == 5, 0.0).otherwise((F.col("x2") - F.col("x1")) / 12).alias("width"), ((F.col("y2") - F.col("y1")) / 4).alias("height"), F.concat(F.lit("r"), "idx").alias("id"), "text")
 
 
@@ -90,13 +90,16 @@ def detector_labels(spark, sf_dir):
 
 
 def import_tasks(spark, sf_dir):
-    """The tasks read back: regions of either type, their left edges and widths added up, and their texts in order."""
+    """The tasks read back: regions of either type, their left edges and widths added up, and their texts in order. A task is a
+    page's row, so its regions are counted where they are."""
     region = "struct<id:string,type:string,value:struct<x:double,width:double,text:array<string>>>"
     task = F.from_json("task", f"struct<data:struct<page_id:bigint>,predictions:array<struct<result:array<{region}>>>>")
-    regions = A.import_task(_percent(spark, sf_dir), ["page_id"]).select(task.alias("t")).select("t.data.page_id", F.posexplode(F.col("t.predictions")[0]["result"]).alias("at", "r"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r.type") == "textarea", F.struct("at", F.col("r.value.text")[0].alias("s"))))), lambda x: x["s"]), "\n")
-    return regions.groupBy("page_id").agg(
-        F.count_if(F.col("r.type") == "rectangle").alias("rectangles"), F.count_if(F.col("r.type") == "textarea").alias("texts"), F.countDistinct("r.id").alias("ids"), F.round(F.sum("r.value.x"), 3).alias("left_edges"), F.round(F.sum("r.value.width"), 3).alias("widths"), text.alias("text")
+    tasks = A.import_task(_percent(spark, sf_dir, by_page=True), ["page_id"]).select(task.alias("t")).select("t.data.page_id", F.col("t.predictions")[0]["result"].alias("r"))
+    of = lambda kind: F.filter("r", lambda r: r["type"] == kind)
+    total = lambda values: F.round(F.aggregate(F.array_compact(values), F.lit(None).cast("double"), lambda a, x: F.coalesce(a, F.lit(0.0)) + x), 3)
+    return tasks.select(
+        "page_id", F.size(of("rectangle")).cast("long").alias("rectangles"), F.size(of("textarea")).cast("long").alias("texts"), F.size(F.array_distinct(F.array_compact(F.col("r.id")))).cast("long").alias("ids"),
+        total(F.col("r.value.x")).alias("left_edges"), total(F.col("r.value.width")).alias("widths"), F.array_join(F.transform(of("textarea"), lambda r: r["value"]["text"][0]), "\n").alias("text"),
     )
 
 
