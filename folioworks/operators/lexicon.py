@@ -13,7 +13,8 @@ from ..sources.store import kept
 
 AMBIGUOUS_SHARE = 0.2
 TOP = 5
-#: Looked-up words that are broadcast at most. Beyond that only words with more than one row in FREQUENT are: fewer than FREQUENT.
+#: Looked-up words, or rows of a lexicon, that are broadcast at most. Beyond that only words with more than one row in FREQUENT are:
+#: fewer than FREQUENT.
 BROADCAST_ROWS = 20_000
 FREQUENT = 1_000
 
@@ -119,13 +120,15 @@ def resolve_words(words: DataFrame, lexicon: DataFrame, script: Script = JAWI) -
     (always ambiguous), and for hyphenated words their parts, which must all resolve.
     """
     words, lexicon = _kept(words.select("word").distinct()), _kept(lexicon)
+    # a large lexicon meets the words in shuffles; it has no fewer rows than skeletons
+    met = _shuffled if lexicon.count() > BROADCAST_ROWS else lambda few: few
     parts = words.filter(F.contains("word", F.lit("-"))).select("word", F.posexplode(F.split("word", "-")).alias("at", "part"))
     keys = words.select(F.col("word").alias("key")).union(parts.select("part")).distinct()
     prefixes = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(p).alias("prefix"), F.lit(r).alias("reads")) for i, (p, r) in enumerate(script.prefixes)])
     cut = keys.select("key", F.explode(prefixes).alias("p")).filter(F.startswith(F.col("key"), F.col("p.prefix")))
     cut = cut.select("key", "p.rank", "p.reads", F.expr("substring(key, length(p.prefix) + 1)").alias("rest")).filter(F.length("rest") >= script.least_rest)
 
-    direct = _kept(resolve_variants(keys.union(cut.select("rest")).distinct(), lexicon, script))
+    direct = _kept(resolve_variants(keys.union(cut.select("rest")).distinct(), met(lexicon), script))
     split = cut.join(_shuffled(direct.withColumnRenamed("key", "rest")), "rest").groupBy("key").agg(
         F.min(F.struct("rank", F.concat_ws(" ", "reads", "rumi").alias("rumi"), "status", F.concat(F.lit("prefix_split+"), "rule").alias("rule"), "candidates")).alias("p")
     )
@@ -142,7 +145,7 @@ def resolve_words(words: DataFrame, lexicon: DataFrame, script: Script = JAWI) -
     held = (
         keyed.join(_shuffled(direct.select("key", F.struct("rumi", "status", "rule", "candidates").alias("d"))), "key", "left")
         .join(_shuffled(split), "key", "left")
-        .join(bones.select("skeleton", F.struct("rumi", "status", "rule", "candidates").alias("b")), "skeleton", "left")
+        .join(met(bones.select("skeleton", F.struct("rumi", "status", "rule", "candidates").alias("b"))), "skeleton", "left")
     )
     picks = [F.when(F.col(s).isNotNull(), shape(s)) for s in ("d", "p", "b")]
     single = _kept(held.select("key", F.coalesce(*([clitic] if clitic is not None else []), *picks, unknown).alias("w")).select("key", "w.*"))
