@@ -35,7 +35,8 @@ class Script:
 
     @property
     def word(self) -> str:
-        return f"[{self.letters}]+(?:-[{self.letters}]+)*"
+        # possessive, as the Java engine would go one call deeper with every hyphen
+        return f"[{self.letters}]+(?:-[{self.letters}]+)*+"
 
 
 JAWI = Script()
