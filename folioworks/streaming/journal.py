@@ -12,14 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import LongType, StructType
 
-from .runs import LATE, _expire_after, _milliseconds
+from .runs import LATE, by_run
 
 INDEX = "index"
 
@@ -45,37 +43,31 @@ def numbered(events: DataFrame, late: str = LATE, idle: str = "1 day", end_stage
     after its end event, so a run ends once. A run's state is a counter and the ranges of the numbers it had; it is dropped when the
     watermark is ``idle`` past the run's last event, and events later than that would start a new run.
     """
-    schema = StructType([*events.schema.fields]).add(INDEX, LongType())
-    names, milliseconds = [f.name for f in events.schema.fields], _milliseconds(idle)
-
-    def step(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        batches = list(batches)
-        count, low, high, over = state.get if state.exists else (0, [], [], False)
-        _expire_after(state, batches, milliseconds)
+    names = [f.name for f in events.schema.fields]
+
+    def step(columns, places, held, out):
+        count, low, high, over = held or (0, [], [], False)
         if over:
-            return
-        # numpy on whole columns: most runs have a few events, for which a data frame's sorts and selections take far longer
-        rows = batches[0] if len(batches) == 1 else pd.concat(batches)
-        seq = rows["seq"].to_numpy()
-        order = np.lexsort((rows["ts"].to_numpy("datetime64[ns]"), seq))  # those without a number last
-        seq = seq[order]
-        known = seq == seq
-        keep = np.ones(len(seq), dtype=bool)
-        keep[1:] = ~(known[1:] & (seq[1:] == seq[:-1]))
-        fresh, low, high = without_seen(seq[keep & known].astype(np.int64), list(low), list(high))
-        keep[np.flatnonzero(keep & known)[~fresh]] = False
-        order = order[keep]
-        ended = np.flatnonzero(rows["stage"].to_numpy()[order] == end_stage)
-        if len(ended):
-            order, over, low, high = order[: ended[0] + 1], True, [], []
-        state.update((int(count + len(order)), low, high, bool(over)))
-        if len(order):
-            yield rows.take(order).assign(**{INDEX: np.arange(count, count + len(order))})[[*names, INDEX]]
-
-    return events.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(step, schema, "events long, low array<long>, high array<long>, over boolean", "append", GroupStateTimeout.EventTimeTimeout)
+            return held
+        seqs, times = columns["seq"], columns["_at"]
+        order = sorted(places, key=lambda i: (seqs[i] is None, int(seqs[i] or 0), times[i]))  # those without a number last
+        numbers = list(dict.fromkeys(int(seqs[i]) for i in order if seqs[i] is not None))
+        fresh, low, high = without_seen(np.array(numbers, dtype=np.int64), low, high)
+        left = {n for n, new in zip(numbers, fresh.tolist()) if new}
+        for i in order:
+            if seqs[i] is not None:
+                if int(seqs[i]) not in left:
+                    continue
+                left.remove(int(seqs[i]))
+            out.append((*(columns[name][i] for name in names if name != "run_id"), str(count)))
+            count += 1
+            if columns["stage"][i] == end_stage:
+                return count, [], [], True
+        return count, low, high, False
+
+    rows = events.select("run_id", *[c for c in names if c != "run_id"])
+    schema = StructType([*rows.schema.fields]).add(INDEX, LongType())
+    return by_run(rows.withWatermark("ts", late), step, schema, "append", idle).select(*names, INDEX)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.distance import agreement_gate
 
 LATE = "10 minutes"
+#: Runs whose ids hash alike share a call and a row of state: a call costs milliseconds, whatever it holds.
+BUCKETS = 4_096
 
 
 def without_repeats(events: DataFrame, late: str = LATE) -> DataFrame:
@@ -21,10 +28,46 @@ def _milliseconds(time: str) -> int:
     return int(pd.Timedelta(time).total_seconds() * 1000)
 
 
-def _expire_after(state, batches: list[pd.DataFrame], milliseconds: int) -> None:
-    """State of a key goes once the watermark is ``milliseconds`` past the newest event of the key in ``batches``."""
-    newest = max((int(b["ts"].to_numpy("datetime64[ms]").astype("int64").max()) for b in batches if len(b)), default=0)
-    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + milliseconds)
+def by_run(events: DataFrame, step: Callable, schema: StructType, mode: str, idle: str) -> DataFrame:
+    """State per run over ``events``, which have run_id, ts and a watermark.
+
+    ``step(columns, places, held, out)`` gets the new rows of one run, as their places in lists by column, and what is held of the run
+    (None at first). It adds the run's results to ``out``, tuples of ``schema``'s columns without run_id, and returns what is held
+    from now on: values that JSON has, or None for nothing. Longs come as strings, so that nulls beside them cost no digits. ``_at``
+    is the time in microseconds. A run is dropped once the watermark is ``idle`` past its newest event.
+    """
+    milliseconds = _milliseconds(idle)
+    longs = [f.name for f in events.schema.fields if isinstance(f.dataType, LongType)]
+    names = [*events.columns, "_at"]
+
+    def bucket(key, batches, state):
+        now = state.getCurrentWatermarkMs()
+        runs = {run: (expires, held) for run, expires, held in json.loads(state.get[0])} if state.exists else {}
+        batches, places, out = [] if state.hasTimedOut else [b for b in batches if len(b)], defaultdict(list), []
+        if batches:
+            rows = batches[0] if len(batches) == 1 else pd.concat(batches)
+            columns = {name: rows[name].tolist() for name in names}
+            for place, run in enumerate(columns["run_id"]):
+                places[run].append(place)
+        for run, mine in places.items():
+            found: list[tuple] = []
+            held = step(columns, mine, runs.pop(run, (0, None))[1], found)
+            out += [(run, *row) for row in found]
+            if held is not None:
+                runs[run] = (max(max(columns["_at"][i] for i in mine) // 1000, now) + milliseconds, held)
+        runs = {run: kept for run, kept in runs.items() if kept[0] >= now}
+        if runs:
+            state.update((json.dumps([(run, *kept) for run, kept in runs.items()]),))
+            state.setTimeoutTimestamp(min(expires for expires, _ in runs.values()))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=wire.names)
+
+    wire = StructType([StructField(f.name, StringType() if isinstance(f.dataType, LongType) else f.dataType) for f in schema.fields])
+    rows = events.withColumns({"_bucket": F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)), "_at": F.coalesce(F.unix_micros("ts"), F.lit(-1 << 63)), **{c: F.col(c).cast("string") for c in longs}})
+    found = rows.groupBy("_bucket").applyInPandasWithState(bucket, wire, "runs string", mode, GroupStateTimeout.EventTimeTimeout)
+    return found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def live_state(events: DataFrame, late: str = LATE, idle: str = "1 day", end_stage: str = "pipeline_done") -> DataFrame:
@@ -33,41 +76,23 @@ def live_state(events: DataFrame, late: str = LATE, idle: str = "1 day", end_sta
     A run's state is dropped at its end event, and once the watermark is ``idle`` past its last event. A row that comes after
     that starts anew; ``newest`` keeps the higher sequence number. Repeated and older events change nothing.
     """
-    columns = ["run_id", "stage", "seq", "status"]
-    milliseconds = _milliseconds(idle)
 
-    def step(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # plain loops: most runs have a few events, for which a data frame's operations take a hundred times as long
-        batches, known, last, over = list(batches), {}, {}, False
-        if state.exists:
-            known = {stage: (seq, status) for stage, seq, status in zip(*state.get)}
-        for b in batches:
-            for stage, seq, status in zip(b["stage"].tolist(), b["seq"].tolist(), b["status"].tolist()):
-                over |= stage == end_stage
-                rank = (seq is None or seq != seq, seq)  # one without a number comes last
-                before = last.get(stage)
-                if before is None or rank[0] > before[0][0] or (rank[0] == before[0][0] and (rank[0] or seq >= before[0][1])):
-                    last[stage] = (rank, status)
-        changed = {
-            stage: (None if unnumbered else int(seq), status)
-            for stage, ((unnumbered, seq), status) in last.items()
-            if stage not in known or known[stage][0] is None or (not unnumbered and seq > known[stage][0])
-        }
-        if over:
-            if state.exists:
-                state.remove()
-        else:
-            now = {**known, **changed}
-            state.update((list(now), [r[0] for r in now.values()], [r[1] for r in now.values()]))
-            _expire_after(state, batches, milliseconds)
-        if changed:
-            yield pd.DataFrame({"run_id": key[0], "stage": list(changed), "seq": pd.Series([r[0] for r in changed.values()], dtype=object), "status": [r[1] for r in changed.values()]})
+    def step(columns, places, held, out):
+        last, over = {}, False
+        for i in places:
+            stage, seq, status = columns["stage"][i], columns["seq"][i], columns["status"][i]
+            over |= stage == end_stage
+            rank = (seq is None, None if seq is None else int(seq))  # one without a number comes last
+            before = last.get(stage)
+            if before is None or rank[0] > before[0][0] or (rank[0] == before[0][0] and (rank[0] or rank[1] >= before[0][1])):
+                last[stage] = (rank, status)
+        known = {stage: (seq, status) for stage, seq, status in held or []}
+        changed = {stage: (seq, status) for stage, ((_, seq), status) in last.items() if stage not in known or known[stage][0] is None or (seq is not None and seq > known[stage][0])}
+        out += [(stage, None if seq is None else str(seq), status) for stage, (seq, status) in changed.items()]
+        return None if over else [(stage, *row) for stage, row in {**known, **changed}.items()]
 
     rows = events.select("run_id", "stage", F.col("seq").cast("long").alias("seq"), "status", "ts").withWatermark("ts", late)
-    return rows.groupBy("run_id").applyInPandasWithState(step, "run_id string, stage string, seq long, status string", "stages array<string>, seqs array<long>, statuses array<string>", "update", GroupStateTimeout.EventTimeTimeout)
+    return by_run(rows, step, StructType.fromDDL("run_id string, stage string, seq long, status string"), "update", idle)
 
 
 def bursts(events: DataFrame, gap: str = "15 seconds", late: str = LATE) -> DataFrame:
@@ -102,26 +127,19 @@ def complete_articles(pages: DataFrame, counts: DataFrame, late: str = LATE, idl
     A run's state is the set of its pages, and no more than a mark once it is complete; it is dropped when the watermark is
     ``idle`` past the run's last page, whether all pages came or not. Repeated pages count once, pages without a number not at all.
     """
-    milliseconds = _milliseconds(idle)
 
-    def step(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        batches = list(batches)
-        held, complete = state.get if state.exists else ([], False)
+    def step(columns, places, held, out):
+        seen, complete = held or ([], False)
         if not complete:
-            seen = dict.fromkeys([*held, *(page for b in batches for page in b["page"].tolist() if page is not None)])
-            count = int(batches[0]["page_count"].iat[0])
-            complete = len(seen) >= count
-            held = [] if complete else list(seen)
+            seen = list(dict.fromkeys([*seen, *(page for i in places if (page := columns["page"][i]) is not None)]))
+            count = columns["page_count"][places[0]]
+            complete = len(seen) >= int(count)
             if complete:
-                yield pd.DataFrame({"run_id": [key[0]], "page_count": [count]})
-        state.update((list(held), bool(complete)))
-        _expire_after(state, batches, milliseconds)
+                out.append((count,))
+        return [] if complete else seen, complete
 
     rows = pages.withWatermark("ts", late).join(counts.select("run_id", F.col("page_count").cast("long").alias("page_count")), "run_id").select("run_id", F.col("page").cast("string").alias("page"), "page_count", "ts")
-    return rows.groupBy("run_id").applyInPandasWithState(step, "run_id string, page_count long", "pages array<string>, complete boolean", "update", GroupStateTimeout.EventTimeTimeout)
+    return by_run(rows, step, StructType.fromDDL("run_id string, page_count long"), "update", idle)
 
 
 def gated(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:
