@@ -19,6 +19,7 @@ ignored, whatever their names; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from itertools import permutations
 
 import numpy as np
@@ -37,6 +38,8 @@ SYMBOLS = "#$%&*|"
 SLICE_BYTES, SHARD_WORDS, SHARD_TERMS = 1 << 20, 4 << 20, 1 << 20
 #: A text that more than one row in so many has is looked up in a broadcast table, which therefore has fewer rows than this.
 COMMON_TEXT = 4096
+#: A slice is a row of megabytes. A task that writes or reads slices holds a row group of them, so these are small and looked at after every row.
+ROW_GROUPS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1}
 SALTS = 64
 
 ROWS = "doc_id array<long>, part array<string>, digest array<binary>, capitals array<boolean>, symbols array<boolean>"
@@ -131,11 +134,12 @@ def _numbered(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int64())], ["of_shard", "position", "number"])
 
 
-def term_shards(docs: DataFrame, max_capitals: int = 2, id_col: str = "doc_id", part_col: str = "source", text_col: str = "text") -> DataFrame:
+def term_shards(docs: DataFrame, max_capitals: int = 2, id_col: str = "doc_id", part_col: str = "source", text_col: str = "text", use: Callable[[pa.Table], pa.Table] | None = None, schema: str = SHARDS) -> DataFrame:
     """CSR slices of the document-term matrix. A row holds some documents: their ids, parts, digests and checks, and for the
-    i-th of them its term numbers and counts at places ``bounds[i]`` up to ``bounds[i + 1]``. Terms are numbered alike in all rows."""
+    i-th of them its term numbers and counts at places ``bounds[i]`` up to ``bounds[i + 1]``. Terms are numbered alike in all rows.
+    With ``use``, what that makes of a shard's rows, in ``schema``, where they are: they need not leave their task."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.col(text_col).cast("string").alias("text"))
-    local = materialise(rows.mapInArrow(_local_rows(max_capitals), LOCAL), "term-slices", "kind")
+    local = materialise(rows.mapInArrow(_local_rows(max_capitals), LOCAL), "term-slices", **ROW_GROUPS)
     held = local.filter("kind = 'word'").select("shard", "position", "word")
     # A word is held once by a shard, so no word has more rows than there are shards. Those of one word stand together.
     numbered = held.repartition("word").sortWithinPartitions("word").mapInArrow(_numbered, "of_shard long, position int, number long")
@@ -147,26 +151,31 @@ def term_shards(docs: DataFrame, max_capitals: int = 2, id_col: str = "doc_id",
         terms = left["terms"].combine_chunks()
         flat = pa.array(number[terms.flatten().to_numpy(zero_copy_only=False)], pa.int64())
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False))])
-        return left.set_column(left.column_names.index("terms"), "terms", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
+        found = left.set_column(left.column_names.index("terms"), "terms", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
+        return use(found) if use else found
 
-    return slices.groupBy("shard").cogroup(numbered.groupBy("of_shard")).applyInArrow(renumber, SHARDS)
+    return slices.groupBy("shard").cogroup(numbered.groupBy("of_shard")).applyInArrow(renumber, schema)
 
 
-def _row_sums(batches):
-    for batch in batches:
+def _row_sums(shard: pa.Table) -> pa.Table:
+    found = []
+    for batch in shard.to_batches():
         for at in range(batch.num_rows):
             one = {n: batch.column(n)[at].values for n in batch.schema.names if n != "shard"}
             bounds = one["bounds"].to_numpy()
             before = np.concatenate([[0], np.cumsum(one["counts"].to_numpy().astype(np.int64))])
-            yield pa.RecordBatch.from_arrays(
-                [*(one[n] for n in ("doc_id", "part", "digest", "capitals", "symbols")), pa.array(np.diff(before[bounds]), pa.int64()), pa.array(np.diff(bounds), pa.int64())],
-                ["doc_id", "part", "digest", "capitals", "symbols", "n_words", "n_distinct"],
+            found.append(
+                pa.table(
+                    [*(one[n] for n in ("doc_id", "part", "digest", "capitals", "symbols")), pa.array(np.diff(before[bounds]), pa.int64()), pa.array(np.diff(bounds), pa.int64())],
+                    ["doc_id", "part", "digest", "capitals", "symbols", "n_words", "n_distinct"],
+                )
             )
+    return pa.concat_tables(found)
 
 
 def document_checks(docs: DataFrame, min_words: int = 200, min_distinct: int = 50, max_capitals: int = 2, **columns: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, part, n_words, n_distinct and ``fails``, the letters of the filters it fails alone."""
-    rows = materialise(term_shards(docs, max_capitals, **columns).mapInArrow(_row_sums, CHECKS), "document-checks")
+    rows = materialise(term_shards(docs, max_capitals, **columns, use=_row_sums, schema=CHECKS), "document-checks")
     copies = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").select("digest", "n", "first")
     copies = materialise(copies, "equal-texts")
     limit = rows.count() / COMMON_TEXT
