@@ -39,11 +39,12 @@ SLICE_BYTES, SHARD_WORDS, SHARD_TERMS = 1 << 20, 4 << 20, 1 << 20
 #: A text that more than one row in so many has is looked up in a broadcast table, which therefore has fewer rows than this.
 COMMON_TEXT = 4096
 #: A slice is a row of megabytes. A task that writes or reads slices holds a row group of them, so these are small and looked at after every row.
-ROW_GROUPS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1}
+#: Words and terms of a shard are distinct or nearly, so no dictionary of them pays.
+ROW_GROUPS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": False}
 SALTS = 64
 
 ROWS = "doc_id array<long>, part array<string>, digest array<binary>, capitals array<boolean>, symbols array<boolean>"
-LOCAL = f"kind string, shard long, position int, word string, {ROWS}, bounds array<int>, terms array<int>, counts array<int>"
+LOCAL = f"kind string, shard long, position int, words array<string>, {ROWS}, bounds array<int>, terms array<int>, counts array<int>"
 SHARDS = f"shard long, {ROWS}, bounds array<int>, terms array<long>, counts array<int>"
 CHECKS = "doc_id long, part string, digest binary, capitals boolean, symbols boolean, n_words long, n_distinct long"
 
@@ -69,7 +70,7 @@ def _lists(values: np.ndarray | pa.Array, kind: pa.DataType) -> pa.Array:
 
 def _local_rows(max_capitals: int):
     """Batches of (doc_id, part, text) to CSR slices over shard dictionaries, and those dictionaries' words."""
-    arrow = [("kind", pa.string()), ("shard", pa.int64()), ("position", pa.int32()), ("word", pa.string())]
+    arrow = [("kind", pa.string()), ("shard", pa.int64()), ("position", pa.int32()), ("words", pa.list_(pa.string()))]
     lists = [("doc_id", pa.int64()), ("part", pa.string()), ("digest", pa.binary()), ("capitals", pa.bool_()), ("symbols", pa.bool_()), ("bounds", pa.int32()), ("terms", pa.int32()), ("counts", pa.int32())]
     schema = pa.schema([*arrow, *((n, pa.list_(t)) for n, t in lists)])
 
@@ -80,11 +81,8 @@ def _local_rows(max_capitals: int):
         def dictionary():
             every = list(known)
             for at in range(0, len(every), 65_536):
-                some = every[at : at + 65_536]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(["word"] * n), pa.array([shard] * n, pa.int64()), pa.array(range(at, at + n), pa.int32()), pa.array(some, pa.string()), *(pa.nulls(n, pa.list_(t)) for _, t in lists)], schema=schema
-                )
+                some = pa.array([every[at : at + 65_536]], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(["words"]), pa.array([shard], pa.int64()), pa.array([at], pa.int32()), some, *(pa.nulls(1, pa.list_(t)) for _, t in lists)], schema=schema)
 
         for batch in batches:
             whole = batch.column(2).fill_null("").cast(pa.large_string())
@@ -110,7 +108,7 @@ def _local_rows(max_capitals: int):
                 cells, counts = np.unique(row << 32 | number[coded.indices.to_numpy(zero_copy_only=False)], return_counts=True)
                 ends = np.searchsorted(cells, np.arange(n + 1) << 32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(["rows"]), pa.array([shard], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string())]
+                    [pa.array(["rows"]), pa.array([shard], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.string()))]
                     + [_lists(v, t) for v, (_, t) in zip((batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(digests, pa.binary()), capitals, symbols, ends, cells & 0xFFFFFFFF, counts), lists)],
                     schema=schema,
                 )
@@ -140,7 +138,7 @@ def term_shards(docs: DataFrame, max_capitals: int = 2, id_col: str = "doc_id",
     With ``use``, what that makes of a shard's rows, in ``schema``, where they are: they need not leave their task."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.col(text_col).cast("string").alias("text"))
     local = materialise(rows.mapInArrow(_local_rows(max_capitals), LOCAL), "term-slices", **ROW_GROUPS)
-    held = local.filter("kind = 'word'").select("shard", "position", "word")
+    held = local.filter("kind = 'words'").select("shard", "position", F.posexplode("words").alias("at", "word")).select("shard", (F.col("position") + F.col("at")).alias("position"), "word")
     # A word is held once by a shard, so no word has more rows than there are shards. Those of one word stand together.
     numbered = held.repartition("word").sortWithinPartitions("word").mapInArrow(_numbered, "of_shard long, position int, number long")
     slices = local.filter("kind = 'rows'").select("shard", "doc_id", "part", "digest", "capitals", "symbols", "bounds", "terms", "counts")
