@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import JAWI, Script, clean_pair, consonant_skeleton, normalise_script, normalise_separator, spelling_variants, tokens
+from ..functions.text import JAWI, Script, clean_pair, consonant_skeleton, normalise_script, normalise_separator, once, spelling_variants, tokens
 from ..sources.store import kept
 
 AMBIGUOUS_SHARE = 0.2
@@ -171,6 +171,19 @@ def document_tokens(docs: DataFrame, script: Script = JAWI, composed: bool = Fal
     return rows.select("doc_id", "at", "t.text", "t.is_word", "t.reduplicated")
 
 
+def _words_with_separators(docs: DataFrame, script: Script, composed: bool) -> DataFrame:
+    """(doc_id, at, word, reduplicated, separator): the tokens of each document, a word and what stands behind it in one row. What
+    stands behind no word is a row without one."""
+
+    def rows(found: Column) -> Column:
+        beside = lambda i: F.coalesce(F.get(found, i)["is_word"], F.lit(False))
+        behind = lambda i: F.when(~beside(i + 1), F.get(found, i + 1)["text"])
+        one = lambda t, i: F.struct(i.alias("at"), F.when(t["is_word"], t["text"]).alias("word"), t["reduplicated"].alias("reduplicated"), F.when(t["is_word"], behind(i)).otherwise(t["text"]).alias("separator"))
+        return F.filter(F.transform(found, one), lambda r: r["word"].isNotNull() | ~beside(r["at"] - 1))
+
+    return docs.select("doc_id", F.explode(once(tokens(normalise_script(F.col("text"), script, composed), script), rows)).alias("t")).select("doc_id", "t.*")
+
+
 def word_counts(docs: DataFrame, script: Script = JAWI, composed: bool = False) -> DataFrame:
     """(doc_id, word, n): the distinct words of each document with their counts. They are those of ``document_tokens``, found without
     what stands between them."""
@@ -211,21 +224,16 @@ def document_coverage(docs: DataFrame, lexicon: DataFrame, script: Script = JAWI
 
 def romanise(docs: DataFrame, lexicon: DataFrame, script: Script = JAWI, composed: bool = False) -> DataFrame:
     """Per document: doc_id, romanised text, word_count, coverage, unknown and ambiguous counts, case log."""
-    placed = _kept(document_tokens(docs, script, composed))
-    resolved = resolve_words(placed.filter("is_word").select(F.col("text").alias("word")), lexicon, script)
-    # separators are not looked up, so they meet nothing in a shuffle
-    words = _attached(placed.filter("is_word").withColumn("word", F.col("text")), resolved)
-    joined = words.unionByName(placed.filter("not is_word"), allowMissingColumns=True)
-    shown = (
-        F.when(~F.col("is_word"), normalise_separator(F.col("text"), script))
-        .when(F.col("rumi").isNull(), F.concat(F.lit("⟦"), "text", F.lit("⟧")))
-        .when(F.col("reduplicated"), F.concat_ws("-", "rumi", "rumi"))
-        .otherwise(F.col("rumi"))
-    )
-    case = F.when(F.col("is_word") & (F.col("status") != "known"), F.struct("at", F.col("text").alias("jawi"), "rumi", "status", "rule", "candidates"))
+    placed = kept(_words_with_separators(docs, script, composed), "lexicon", compression="zstd")
+    held = placed.filter("word is not null")
+    words = _attached(held, resolve_words(held, lexicon, script))
+    joined = words.unionByName(placed.filter("word is null"), allowMissingColumns=True)
+    read = F.when(F.col("word").isNull(), "").when(F.col("rumi").isNull(), F.concat(F.lit("⟦"), "word", F.lit("⟧"))).when(F.col("reduplicated"), F.concat_ws("-", "rumi", "rumi")).otherwise(F.col("rumi"))
+    shown = F.concat(read, F.coalesce(normalise_separator(F.col("separator"), script), F.lit("")))
+    case = F.when(F.col("word").isNotNull() & (F.col("status") != "known"), F.struct("at", F.col("word").alias("jawi"), "rumi", "status", "rule", "candidates"))
     per = joined.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("at", shown.alias("s")))).alias("parts"),
-        F.count_if("is_word").alias("word_count"),
+        F.count("word").alias("word_count"),
         F.count_if(F.col("status") == "unknown").alias("unknown_count"),
         F.count_if(F.col("status") == "ambiguous").alias("ambiguous_count"),
         F.array_sort(F.collect_list(case)).alias("case_log"),
